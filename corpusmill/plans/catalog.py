@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.plans import corpus_queries as cq
+from corpusmill.plans import eval_queries as eq
 from corpusmill.plans import oracle_sql as oq
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,8 @@ QUERIES: dict[str, QueryFn] = {
     "quick_asm": cq.quick_asm,
     "sample_inspection": cq.sample_inspection,
     "threshold_split": cq.threshold_split,
+    "split_metrics": eq.split_metrics,
+    "token_batches": eq.token_batches,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -43,6 +46,8 @@ ORACLES: dict[str, Callable[[], str]] = {
     "tidy_code": oq.q_tidy_code,
     "quick_asm": oq.q_quick_asm,
     "threshold_split": oq.q_threshold_split,
+    "split_metrics": oq.q_split_metrics,
+    "token_batches": oq.q_token_batches,
 }
 
 

@@ -218,3 +218,51 @@ def q_tidy_code() -> str:
     return f"""with {files_cte()}, src as (select name, content from files where name like '%.c')
 {tidy_ctes('src', 'name', 'content', 'tidy')}
 select name, tidy from td"""
+
+
+def q_split_metrics() -> str:
+    r = lambda e: f"round({e}, 6)"
+    return f"""with emb as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as l,
+   case when label = 0 then -100 else label end as label from embeddings),
+{split_cte('emb', 'vec_id')},
+tok as (select s.split, e.l, e.label, list_max(e.l) as m from emb e join splits s on e.vec_id = s.vec_id),
+sc as (select split, label,
+   case when label <> -100 and label >= 0 and label < len(l)
+        then m + ln(list_sum(list_transform(l, lambda x: exp(x - m)))) - l[label + 1] end as nll,
+   case when label <> -100 and label >= 0 and label < len(l)
+        then 0.9 * (m + ln(list_sum(list_transform(l, lambda x: exp(x - m)))) - l[label + 1])
+           + 0.1 * (m + ln(list_sum(list_transform(l, lambda x: exp(x - m)))) - list_avg(l)) end as nll_s,
+   list_position(l, list_max(l)) - 1 as pred from tok),
+g as (select split, count(*) filter (where label <> -100) as n_tokens,
+   coalesce(sum(nll) filter (where label <> -100), 0) as nll_sum,
+   count(*) filter (where label <> -100 and pred = label) as n_correct,
+   coalesce(sum(nll_s) filter (where label <> -100), 0) as s_sum from sc group by split)
+select split, n_tokens, {r('nll_sum')} as nll_sum, {r('nll_sum / greatest(n_tokens, 1)')} as avg_nll,
+  {r('exp(nll_sum / greatest(n_tokens, 1))')} as perplexity,
+  {r('n_correct / greatest(n_tokens, 1)')} as token_accuracy,
+  case when n_tokens = 0 then 'NaN'::double else {r('n_correct / n_tokens')} end as masked_accuracy,
+  {r('s_sum / greatest(n_tokens, 1)')} as smoothed_loss,
+  {r('exp(s_sum / greatest(n_tokens, 1))')} as smoothed_perplexity
+from g"""
+
+
+def q_token_batches() -> str:
+    return f"""with {files_cte()}, {PAIRS_CTE}, {split_cte()},
+ev as (select p.stem, p.tgt, s.split_rank from splits s join pairs p on s.stem = p.stem
+       where s.split = 'test' and p.src <> '' and p.tgt <> '')
+{normalize_c_ctes('ev', 'stem', 'tgt', 'tgt_n')},
+tk as (select ev.stem, ev.split_rank,
+   list_slice(list_filter(regexp_split_to_array(nc7.tgt_n, '\\s+'), lambda x: x <> ''), 1, 256) as toks
+   from ev join nc7 on ev.stem = nc7.stem),
+vocab as (select token, row_number() over (order by md5('42:' || token), token) as id
+   from (select distinct unnest(toks) as token from tk)),
+u as (select stem, unnest(toks) as token, generate_subscripts(toks, 1) as pos from tk),
+ids as (select u.stem, list(v.id order by u.pos) as ids from u join vocab v on u.token = v.token group by u.stem),
+b as (select tk.stem, cast(floor((tk.split_rank - 1) / 4) as bigint) as batch_id, coalesce(ids.ids, []) as ids
+   from tk left join ids on tk.stem = ids.stem),
+m as (select *, max(len(ids)) over (partition by batch_id) as mx from b)
+select stem, batch_id, len(ids) as n_tokens,
+  list_transform(list_concat(ids, list_transform(range(mx - len(ids)), lambda x: 0)),
+                 lambda x: case when x = 0 then -100 else x end) as labels,
+  list_concat(list_transform(range(len(ids)), lambda x: 1), list_transform(range(mx - len(ids)), lambda x: 0)) as attention_mask
+from m"""
