@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.plans import corpus_queries as cq
 from corpusmill.plans import eval_queries as eq
+from corpusmill.plans import harvest_queries as hq
 from corpusmill.plans import oracle_sql as oq
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,14 @@ QUERIES: dict[str, QueryFn] = {
     "threshold_split": cq.threshold_split,
     "split_metrics": eq.split_metrics,
     "token_batches": eq.token_batches,
+    "link_extraction": hq.link_extraction,
+    "section_harvest": hq.section_harvest,
+    "harvest_tally": hq.harvest_tally,
+    "safe_names": hq.safe_names,
+    "reply_code": hq.reply_code,
+    "chat_payloads": hq.chat_payloads,
+    "compile_gate": hq.compile_gate,
+    "compile_tally": hq.compile_tally,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -48,6 +57,14 @@ ORACLES: dict[str, Callable[[], str]] = {
     "threshold_split": oq.q_threshold_split,
     "split_metrics": oq.q_split_metrics,
     "token_batches": oq.q_token_batches,
+    "link_extraction": oq.q_link_extraction,
+    "section_harvest": oq.q_section_harvest,
+    "harvest_tally": oq.q_harvest_tally,
+    "safe_names": oq.q_safe_names,
+    "reply_code": oq.q_reply_code,
+    "chat_payloads": oq.q_chat_payloads,
+    "compile_gate": oq.q_compile_gate,
+    "compile_tally": oq.q_compile_tally,
 }
 
 

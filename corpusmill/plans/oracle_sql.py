@@ -266,3 +266,156 @@ select stem, batch_id, len(ids) as n_tokens,
                  lambda x: case when x = 0 then -100 else x end) as labels,
   list_concat(list_transform(range(len(ids)), lambda x: 1), list_transform(range(mx - len(ids)), lambda x: 0)) as attention_mask
 from m"""
+
+
+LINK_RE_RE2 = r"""(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>"""
+
+
+def unescape_expr(t: str) -> str:
+    e = t
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        e = f"replace({e}, '{ent}', '{ch}')"
+    return e
+
+
+def url_title_expr(u: str) -> str:
+    path = (f"regexp_replace(regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?(?://[^/?#]*)?([^?#]*)', 1), "
+            f"';[^/]*$', '')")
+    after = f"(case when instr({path}, '/wiki/') > 0 then substr({path}, instr({path}, '/wiki/') + 6) else {path} end)"
+    return f"replace(url_decode(replace({after}, '+', '%2B')), '_', ' ')"
+
+
+def nav_slice(html: str = "html") -> str:
+    return f"(case when instr({html}, '<nav') > 0 then split_part(substr({html}, instr({html}, '<nav')), '</nav>', 1) end)"
+
+
+def q_link_extraction() -> str:
+    return f"""with sl as (select page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+)', 1) as base,
+   {nav_slice()} as s from pages),
+m as (select page_id, base, regexp_extract_all(s, '{LINK_RE_RE2}', 1) as hrefs,
+   regexp_extract_all(s, '{LINK_RE_RE2}', 2) as inners from sl),
+u as (select page_id, base, unnest(hrefs) as href, unnest(inners) as inner_html, generate_subscripts(hrefs, 1) as pos from m),
+c as (select page_id, pos, trim({unescape_expr("regexp_replace(inner_html, '<[^>]*>', '', 'g')")}, {WS}) as title,
+   {unescape_expr('href')} as h, base from u),
+f as (select page_id, pos, title, base || h as url from c
+   where h <> '' and title <> '' and starts_with(h, '/') and not starts_with(h, '/Category:')),
+d as (select *, row_number() over (partition by page_id, url order by pos) as rn1 from f),
+e as (select *, row_number() over (partition by page_id order by pos) as n from d where rn1 = 1)
+select page_id, n - 1 as pos, title, url, {url_title_expr('url')} as page_title from e where n <= 200"""
+
+
+def _harvest_ctes() -> str:
+    art = "(case when instr(html, '<article') > 0 then split_part(substr(html, instr(html, '<article')), '</article>', 1) end)"
+    def block(tag: str) -> str:
+        inner = f"regexp_replace(regexp_extract(a, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1), '<[^>]*>', '', 'g')"
+        return (f"(case when regexp_matches(a, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>') "
+                f"then {unescape_expr(inner)} end)")
+    pre, code = block("pre"), block("code")
+    return f"""m as (select page_id, {art} as a,
+   list_transform(regexp_extract_all({nav_slice()}, '{LINK_RE_RE2}', 2),
+                  lambda x: trim({unescape_expr("regexp_replace(x, '<[^>]*>', '', 'g')")}, {WS})) as titles from pages),
+k as (select page_id, a, list_filter(list_transform(titles, lambda t, i: struct_pack(line := lower(t), idx := i)),
+   lambda s: starts_with(s.line, 'c') and not starts_with(s.line, 'c++')) as hits from m),
+h as (select page_id, case when len(hits) > 0 then hits[1].idx end as section_index, a,
+   coalesce(nullif({pre}, ''), nullif({code}, '')) as code from k),
+st as (select page_id, section_index, case when section_index is null then 'no section'
+   when coalesce(a, '') = '' then 'no html' when code is null then 'no code' else 'found' end as status from h)"""
+
+
+def q_section_harvest() -> str:
+    return f"with {_harvest_ctes()} select page_id, cast(section_index as integer) as section_index, status from st"
+
+
+def q_harvest_tally() -> str:
+    return f"with {_harvest_ctes()} select status, count(*) as n from st group by status"
+
+
+def safe_filename_expr(t: str, ext: str = ".c", max_chars: int = 120) -> str:
+    n = f"trim(regexp_replace({t}, '\\s+', ' ', 'g'), {WS})"
+    n = f"regexp_replace({n}, '[<>:\"/\\\\|?*\\x00-\\x1F]', '_', 'g')"
+    n = f"replace(regexp_replace({n}, ' +', ' ', 'g'), ' ', '_')"
+    b = f"substr({n}, 1, {max(1, max_chars - len(ext))})"
+    return f"(case when {b} = '' then 'snippet' else {b} end || '{ext}')"
+
+
+def q_safe_names() -> str:
+    return f"""with a as (select doc_id as arrival, {safe_filename_expr('source')} as base,
+   sha256(regexp_replace(text, '\\n+$', '') || chr(10)) as hash from documents),
+fb as (select base, min(arrival) as first_arrival, arg_min(hash, arrival) as first_hash from a group by base),
+s as (select a.*, case when a.arrival = fb.first_arrival then 'written'
+                       when a.hash = fb.first_hash then 'skipped-same' end as status from a join fb using (base)),
+cand as (select *, row_number() over (partition by base order by arrival) as k from s where status is null),
+taken as (select distinct base as slot from a),
+slots as (select b.base, g.i, substr(b.base, 1, length(b.base) - 2) || '__' || cast(g.i as varchar) || '.c' as slot
+   from (select distinct base from cand) b cross join generate_series(2, 999) as g(i)),
+free as (select base, slot, row_number() over (partition by base order by i) as k
+   from slots where slot not in (select slot from taken))
+select arrival, base, case when status = 'written' then base end as name, status from s where status is not null
+union all
+select c.arrival, c.base, coalesce(f.slot, c.base) as name,
+  case when f.slot is not null then 'written-suffixed' else 'conflict' end as status
+from cand c left join free f on c.base = f.base and c.k = f.k"""
+
+
+def _replies_ctes() -> str:
+    return """u as (select conv_id, turn, text, row_number() over (order by conv_id, turn) as problem_number
+   from conversations where role = 'user'),
+r as (select conv_id, turn - 1 as turn, text as reply from conversations where role = 'assistant'),
+j as (select u.*, case when r.reply is not null then cast(json_object('choices', [json_object('index', 0,
+   'message', json_object('role', 'assistant', 'content', r.reply))]) as varchar) end as response
+   from u left join r on u.conv_id = r.conv_id and u.turn = r.turn)"""
+
+
+def q_reply_code() -> str:
+    c = "coalesce(json_extract_string(response, '$.choices[0].message.content'), response)"
+    head = (f"(case when starts_with({c}, '```') then (case when instr({c}, chr(10)) > 0 "
+            f"then substr({c}, instr({c}, chr(10)) + 1) else '' end) else {c} end)")
+    return f"""with {_replies_ctes()},
+f1 as (select problem_number, text, {head} as h from j),
+f2 as (select problem_number, text, case when instr(h, '```') > 0
+   then left(h, length(h) - length(string_split(h, '```')[-1]) - 3) else h end as s from f1),
+f3 as (select problem_number, text, ltrim(case when instr(s, '#include') > 0 then substr(s, instr(s, '#include'))
+   when instr(s, 'int main') > 1 then substr(s, instr(s, 'int main')) else s end, ' ' || chr(10) || chr(13) || chr(9)) as code from f2)
+select problem_number, '_' || cast(problem_number as varchar) || '.c' as file_name,
+  'Problem ' || cast(problem_number as varchar) || ':' || chr(10) || text || chr(10) || chr(10)
+    || 'Write a single self-contained C program that solves this. Output ONLY C code.' as prompt,
+  code, case when code is null then 'no reply' when code = '' then 'empty' else 'written' end as status
+from f3"""
+
+
+def q_chat_payloads() -> str:
+    system = ("You are an expert C programmer. You receive algorithmic problem statements. "
+              "You MUST respond with ONLY valid C source code for a single .c file. "
+              "No markdown fences, your output must compile as is. "
+              "Include a main() function that demonstrates or solves the problem.")
+    prompt = ("'Problem ' || cast(problem_number as varchar) || ':' || chr(10) || text || chr(10) || chr(10) "
+              "|| 'Write a single self-contained C program that solves this. Output ONLY C code.'")
+    return f"""with u as (select text, row_number() over (order by conv_id, turn) as problem_number
+   from conversations where role = 'user')
+select problem_number, cast(json_object('model', 'local-model', 'messages',
+   [json_object('role', 'system', 'content', '{system}'), json_object('role', 'user', 'content', {prompt})],
+   'temperature', 0.2::double, 'max_tokens', -1, 'stream', false) as varchar) as payload from u"""
+
+
+def _gate_ctes() -> str:
+    return f"""{files_cte()},
+src as (select {suffix_key('name', '.c')} as stem, path from files where name like '%.c' and name not like '%.ghidra.c'
+   and (path = 'corpus' or starts_with(path, 'corpus/'))),
+asm as (select {suffix_key('name', '.s')} as stem, content as asm from files where name like '%.s'),
+res as (select 'doc_' || cast(l.doc_id as varchar) as stem, case when l.quality = 0 then 1 else 0 end as returncode,
+   case when l.quality = 0 then d.text else '' end as stderr from labels l join documents d on l.doc_id = d.doc_id),
+g as (select s.stem, s.path, r.returncode = 0 and a.asm is not null as ok, trim(coalesce(r.stderr, ''), {WS}) as err
+   from src s join res r on s.stem = r.stem left join asm a on s.stem = a.stem),
+gi as (select *, case when ok then '' when err = '' then 'unknown compile error'
+   when length(err) > 2000 then substr(err, 1, 2000) || ' ... [truncated]' else err end as info from g)"""
+
+
+def q_compile_gate() -> str:
+    return f"""with {_gate_ctes()}
+select stem, ok, case when ok then path || ' -> ' || regexp_replace(path, '([^/])\\.[^./]*$', '\\1') || '.s'
+   else path || ' (deleted) :: ' || replace(info, chr(10), ' ') end as log_line from gi"""
+
+
+def q_compile_tally() -> str:
+    return f"""with {_gate_ctes()}
+select case when ok then 'compiled' else 'failed' end as status, count(*) as n from gi group by 1"""
