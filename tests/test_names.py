@@ -1,0 +1,42 @@
+"""First-free-suffix naming rules."""
+from corpusmill.operators.names import assign_names, skip_existing
+
+
+def run(spark, arrivals, existing=None):
+    a = spark.createDataFrame(arrivals, "arrival long, title string, code string")
+    e = spark.createDataFrame(existing or [], "name string, content string")
+    return {r.arrival: (r.name, r.status) for r in assign_names(a, e).collect()}
+
+
+def test_new_base_then_same_then_different(spark):
+    got = run(spark, [(1, "Foo", "x"), (2, "Foo", "x\n\n"), (3, "Foo", "y"), (4, "Foo", "z")])
+    assert got[1] == ("Foo.c", "written")
+    assert got[2] == (None, "skipped-same")
+    assert got[3] == ("Foo__2.c", "written-suffixed")
+    assert got[4] == ("Foo__3.c", "written-suffixed")
+
+
+def test_third_copy_equal_to_suffixed_one_is_written_again(spark):
+    got = run(spark, [(1, "A", "1"), (2, "A", "2"), (3, "A", "2")])
+    assert got[2] == ("A__2.c", "written-suffixed")
+    assert got[3] == ("A__3.c", "written-suffixed")
+
+
+def test_existing_base_and_gaps(spark):
+    got = run(spark, [(1, "Foo", "new"), (2, "Foo", "old\n"), (3, "Foo", "other")],
+              [("Foo.c", "old\n"), ("Foo__3.c", "q")])
+    assert got[1] == ("Foo__2.c", "written-suffixed")
+    assert got[2] == (None, "skipped-same")
+    assert got[3] == ("Foo__4.c", "written-suffixed")
+
+
+def test_conflict_when_all_slots_taken(spark):
+    existing = [("B.c", "b")] + [(f"B__{i}.c", "t") for i in range(2, 1000)]
+    got = run(spark, [(1, "B", "c")], existing)
+    assert got[1] == ("B.c", "conflict")
+
+
+def test_skip_existing(spark):
+    a = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    e = spark.createDataFrame([(2,), (2,)], "k int")
+    assert sorted(r.k for r in skip_existing(a, e, "k").collect()) == [1, 3]
