@@ -9,8 +9,10 @@ Python and no shuffle.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.text import let, tokens
 
@@ -53,3 +55,59 @@ def similarity_from_tokens(a_tokens, b_tokens) -> Column:
 def similarity(a_text, b_text) -> Column:
     """Whitespace-token similarity of two texts."""
     return similarity_from_tokens(tokens(a_text), tokens(b_text))
+
+
+def _bit_parallel_distance(a: list, b: list) -> int:
+    """Exact unit-cost Levenshtein distance of two token lists with the
+    bit-vector recurrence (Myers 1999, Hyyro 2001): one pass over the longer
+    list, O(len(a) * len(b) / word) with Python integers as bit vectors."""
+    if len(a) < len(b):
+        a, b = b, a
+    m = len(b)
+    if m == 0:
+        return len(a)
+    peq: dict = {}
+    for i, tok in enumerate(b):
+        peq[tok] = peq.get(tok, 0) | (1 << i)
+    full = (1 << m) - 1
+    top = 1 << (m - 1)
+    pv, mv, score = full, 0, m
+    for tok in a:
+        eq = peq.get(tok, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | ~(xh | pv)
+        mh = pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+        ph = (ph << 1) | 1
+        mh <<= 1
+        pv = (mh | ~(xv | ph)) & full
+        mv = ph & xv & full
+    return score
+
+
+def _similarity_udf():
+    @F.pandas_udf(T.StructType([T.StructField("distance", T.IntegerType()),
+                                T.StructField("similarity", T.DoubleType())]))
+    def _sim(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        dist, sims = [], []
+        for x, y in zip(a, b):
+            ta = x.split() if x is not None else []
+            tb = y.split() if y is not None else []
+            d = _bit_parallel_distance(ta, tb)
+            dist.append(d)
+            sims.append(1.0 if not ta and not tb else 1.0 - d / max(len(ta), len(tb), 1))
+        return pd.DataFrame({"distance": dist, "similarity": sims})
+
+    return _sim
+
+
+def similarity_fast(a_text, b_text) -> Column:
+    """Same value as :func:`similarity`, computed in Arrow batches with the
+    bit-parallel recurrence (~word-size times fewer steps than the cell-by-
+    cell JVM kernel; pays off for long texts). Returns ``struct<distance,
+    similarity>``. Tokens are Python ``str.split()`` tokens."""
+    return _similarity_udf()(_c(a_text), _c(b_text))

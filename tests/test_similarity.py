@@ -54,3 +54,19 @@ def test_many_distinct_tokens(spark):
     df = spark.createDataFrame([(a, b)], "a string, b string")
     d = df.select(C.token_edit_distance(T.tokens("a"), T.tokens("b")).alias("d")).first().d
     assert d == 3
+
+
+def test_fast_path_matches_brute_force(spark):
+    rng = random.Random(11)
+    vocab = [f"t{i}" for i in range(12)] + ["é", "{"]
+    pairs = []
+    for _ in range(80):
+        a = [rng.choice(vocab) for _ in range(rng.randint(0, 90))]
+        b = [rng.choice(vocab) for _ in range(rng.randint(0, 90))]
+        pairs.append((" ".join(a), "  ".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    rows = df.select("a", "b", C.similarity_fast("a", "b").alias("f"), C.similarity("a", "b").alias("s")).collect()
+    for r in rows:
+        ta, tb = r.a.split(), r.b.split()
+        assert r.f.distance == brute(ta, tb)
+        assert r.f.similarity == pytest.approx(r.s)
