@@ -21,9 +21,15 @@ PY_WHITESPACE = (
 )
 LINE_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
-# Java regex fragments for the sets above.
-WS = r"[\s\x1c-\x1f]"            # used under (?U): Unicode White_Space + \x1c-\x1f
-WS_RUN = r"(?U)[\s\x1c-\x1f]+"
+# Java regex fragments for the sets above (explicit classes: the (?U) flag
+# makes every match several times slower).
+WS_CLASS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a"
+            r"\u2028\u2029\u202f\u205f\u3000]")
+# whitespace other than space, newline and tab (rare in code)
+RARE_WS_CLASS = (r"[\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a"
+                 r"\u2028\u2029\u202f\u205f\u3000]")
+WS = WS_CLASS
+WS_RUN = WS_CLASS + "+"
 BREAK_RE = r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 LINE_SPLIT_RE = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 # whitespace that is not a line break (for per-line matching after the
@@ -87,20 +93,35 @@ def collapse_ws(text) -> Column:
     return F.regexp_replace(_c(text), WS_RUN, " ")
 
 
-def lines(text) -> Column:
-    """Python ``str.splitlines()``: array of lines, no trailing empty line."""
-    return let(F.split(_c(text), LINE_SPLIT_RE, -1),
+def unify_breaks(text) -> Column:
+    """Every line boundary ``str.splitlines()`` knows -> ``\n`` (``\r\n``
+    counts once), in one regex pass."""
+    return F.regexp_replace(_c(text), BREAK_RE, "\n")
+
+
+def split_nl(text) -> Column:
+    """Lines of a text whose only break is ``\n`` (literal split, no
+    regex), without the trailing empty line."""
+    return let(F.split(_c(text), "\n", -1),
                lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1))
                .otherwise(parts))
 
 
+def lines(text) -> Column:
+    """Python ``str.splitlines()``: array of lines, no trailing empty line."""
+    return split_nl(unify_breaks(text))
+
+
 def join_lines(arr) -> Column:
     return F.array_join(arr, "\n")
 
 
 def tokens(text) -> Column:
-    """Python ``str.split()``: whitespace tokens, no empty strings."""
-    return F.filter(F.split(_c(text), WS_RUN, -1), lambda x: x != "")
+    """Python ``str.split()``: whitespace tokens, no empty strings (every
+    whitespace character becomes a space, then a literal split)."""
+    common = F.replace(F.replace(_c(text), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" "))
+    spaced = F.regexp_replace(common, RARE_WS_CLASS, " ")
+    return F.filter(F.split(spaced, " ", -1), lambda x: x != "")
 
 
 # ---------------------------------------------------------------------------
@@ -109,11 +130,12 @@ def tokens(text) -> Column:
 
 def brace_style(text) -> Column:
     """``)`` + any whitespace + ``{`` -> ``) {`` (also across newlines)."""
-    return F.regexp_replace(_c(text), r"(?U)\)[\s\x1c-\x1f]*\{", ") {")
+    return F.regexp_replace(_c(text), r"\)" + WS_CLASS + r"*\{", ") {")
 
 
 def _is_include(line: Column) -> Column:
-    return strip_ws(line).startswith("#include")
+    # cheap literal test first; ``strip().startswith`` needs only the left trim
+    return (F.instr(line, "#include") > 0) & lstrip_ws(line).startswith("#include")
 
 
 def _contains(needle: str):
@@ -134,21 +156,35 @@ def collapse_blank_runs(text) -> Column:
     return F.regexp_replace(_c(text), r"\n{3,}", "\n\n")
 
 
-def normalize_c(text, include_cap: int = 6, prefer=PREFERRED_HEADERS) -> Column:
-    """C normal form: brace placement, includes lifted/deduped/capped, at most
-    one blank line in a row, stripped."""
+def drop_repeated_blank_lines(lns) -> Column:
+    """Line-array form of ``re.sub(r'\n{3,}', '\n\n', text)`` for texts that
+    are stripped afterwards: an empty line right after an empty line goes."""
+    return F.filter(lns, lambda x, i: ~((x == "") & (i > 0) & (F.element_at(lns, i) == "")))
+
+
+def _normal_c_lines(text, include_cap: int, prefer) -> Column:
+    """Lines of the C normal form before the final join + strip: includes
+    first (then one empty line), body, repeated empty lines dropped."""
     def assemble(lns):
         body = F.filter(lns, lambda x: ~_is_include(x))
-        return let(ordered_includes(lns, include_cap, prefer), lambda ordered: strip_ws(collapse_blank_runs(F.concat(
-            F.when(F.size(ordered) > 0, F.concat(join_lines(ordered), F.lit("\n\n"))).otherwise(F.lit("")),
-            join_lines(body)))))
+        return let(ordered_includes(lns, include_cap, prefer), lambda ordered: F.when(
+            F.size(ordered) > 0, F.concat(ordered, F.array(F.lit("")), body)).otherwise(body))
+
+    return let(let(lines(brace_style(text)), assemble), drop_repeated_blank_lines)
 
-    return let(lines(brace_style(text)), assemble)
+
+def normalize_c(text, include_cap: int = 6, prefer=PREFERRED_HEADERS) -> Column:
+    """C normal form: brace placement, includes lifted/deduped/capped, at most
+    one blank line in a row, stripped. Two regex passes per text (braces,
+    line breaks); the rest works on the line array."""
+    return strip_ws(join_lines(_normal_c_lines(text, include_cap, prefer)))
 
 
-def normalize_for_eval(text, include_cap: int = 6) -> Column:
-    """Evaluation form: C normal form with every line right-trimmed."""
-    return join_lines(F.transform(lines(normalize_c(text, include_cap)), rstrip_ws))
+def normalize_for_eval(text, include_cap: int = 6, prefer=PREFERRED_HEADERS) -> Column:
+    """Evaluation form: C normal form with every line right-trimmed
+    (right-trimming every line, then stripping the text, is the same as
+    stripping first and right-trimming the lines after)."""
+    return strip_ws(join_lines(F.transform(_normal_c_lines(text, include_cap, prefer), rstrip_ws)))
 
 
 def clip_balanced(text) -> Column:
@@ -161,18 +197,24 @@ def clip_balanced(text) -> Column:
 
 
 def _clip(t: Column) -> Column:
-    segs = F.split(t, r"(?<=\})", -1)
-    acc0 = F.struct(F.lit(0).alias("bal"), F.lit(0).alias("pos"), F.lit(-1).alias("good"))
-
-    def step(acc, seg):
-        opened = F.length(seg) - F.length(F.regexp_replace(seg, r"\{", ""))
-        closes = seg.endswith("}")
-        bal = acc["bal"] + opened - F.when(closes, 1).otherwise(0)
-        pos = acc["pos"] + F.length(seg)
-        good = F.when(closes & (bal == 0), pos).otherwise(acc["good"])
-        return F.struct(bal.alias("bal"), pos.alias("pos"), good.alias("good"))
-
-    good = F.aggregate(segs, acc0, step, lambda a: a["good"])
+    # split on the literal '}' (no regex); every piece but the last was
+    # followed by one
+    acc0 = F.struct(F.lit(0).alias("bal"), F.lit(0).alias("pos"), F.lit(-1).alias("good"), F.lit(1).alias("i"))
+
+    def scan(segs):
+        n = F.size(segs)
+
+        def step(acc, seg):
+            closes = acc["i"] < n
+            opened = F.length(seg) - F.length(F.replace(seg, F.lit("{"), F.lit("")))
+            bal = acc["bal"] + opened - F.when(closes, 1).otherwise(0)
+            pos = acc["pos"] + F.length(seg) + F.when(closes, 1).otherwise(0)
+            good = F.when(closes & (bal == 0), pos).otherwise(acc["good"])
+            return F.struct(bal.alias("bal"), pos.alias("pos"), good.alias("good"), (acc["i"] + 1).alias("i"))
+
+        return F.aggregate(segs, acc0, step, lambda a: a["good"])
+
+    good = let(F.split(t, "}", -1), scan)
     return let(good, lambda g: F.when(g >= 0, rstrip_ws(F.substring(t, F.lit(1), g))).otherwise(t))
 
 
@@ -180,14 +222,20 @@ def tidy_c(text, include_cap: int = 8, prefer=PREFERRED_HEADERS) -> Column:
     """Tidy generated C: drop lone ``<`` lines, brace style, includes lifted
     (cap 8), body trimmed, blank runs collapsed, clipped at the last balanced
     ``}``."""
-    t = F.regexp_replace(_c(text), r"(?mdU)^<[\s\x1c-\x1f]*$", "")
+    # the lone-'<' rule only matters when some line starts with '<'
+    t = let(text, lambda src: F.when(
+        src.startswith("<") | (F.instr(src, "\n<") > 0),
+        F.regexp_replace(src, r"(?md)^<" + WS_CLASS + r"*$", "")).otherwise(src))
 
     def assemble(lns):
         body = strip_ws(join_lines(F.filter(lns, lambda x: ~_is_include(x))))
         return let(F.struct(ordered_includes(lns, include_cap, prefer).alias("o"), body.alias("b")), lambda r: F.when(
             F.size(r["o"]) > 0, strip_ws(F.concat(join_lines(r["o"]), F.lit("\n\n"), r["b"]))).otherwise(r["b"]))
 
-    return let(collapse_blank_runs(let(lines(brace_style(t)), assemble)), clip_balanced)
+    # the assembled text is stripped and has only \n breaks, so collapsing
+    # blank runs can work on its lines
+    collapsed = join_lines(let(split_nl(let(lines(brace_style(t)), assemble)), drop_repeated_blank_lines))
+    return let(collapsed, clip_balanced)
 
 
 # ---------------------------------------------------------------------------
@@ -196,7 +244,7 @@ def tidy_c(text, include_cap: int = 8, prefer=PREFERRED_HEADERS) -> Column:
 
 def _asm_line(st: Column, section: Column, keep_local_labels: bool) -> Column:
     """One stripped line -> kept text or NULL, given the active section."""
-    head = F.regexp_extract(st, r"(?U)^[^\s\x1c-\x1f]+", 0)
+    head = F.regexp_extract(st, r"^[^" + WS_CLASS[1:] + "+", 0)
     data_keep = section.isin(*ASM_DATA_SECTIONS) & head.isin(*ASM_DATA_DIRECTIVES)
     code = let(rstrip_ws(F.regexp_replace(st, r"(?s)(?://|#|;).*", "")), lambda cut: F.when(
         cut == "", F.lit(None)).when(cut.endswith(":"), cut).otherwise(collapse_ws(cut)))
@@ -216,7 +264,7 @@ def _section_of(first_line: Column) -> Column:
 
 
 def _section_from_stripped(st: Column) -> Column:
-    name = F.regexp_extract(st, r"^\.section(?U)[\s\x1c-\x1f]+([.A-Za-z0-9_]+)", 1)
+    name = F.regexp_extract(st, r"^\.section" + WS_CLASS + r"+([.A-Za-z0-9_]+)", 1)
     return (
         F.when(st.startswith(".section"), F.when(name != "", name))
         .when(st == ".text", F.lit(".text"))
@@ -236,7 +284,7 @@ def normalize_asm_expr(text, keep_local_labels: bool = False) -> Column:
     code cut at the first ``//``, ``#`` or ``;``; labels kept, instructions
     whitespace-collapsed.
     """
-    t = F.regexp_replace(_c(text), BREAK_RE, "\n")
+    t = unify_breaks(text)
     marker = rf"\n(?={HWS}*\.section|{HWS}*\.text{HWS}*(?:\n|\z))"
     chunks = F.split(t, marker, -1)
 

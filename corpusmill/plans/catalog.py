@@ -30,6 +30,7 @@ QUERIES: dict[str, QueryFn] = {
     "quick_asm": cq.quick_asm,
     "sample_inspection": cq.sample_inspection,
     "threshold_split": cq.threshold_split,
+    "prediction_samples": cq.prediction_samples,
     "split_metrics": eq.split_metrics,
     "token_batches": eq.token_batches,
     "link_extraction": hq.link_extraction,
@@ -55,6 +56,8 @@ ORACLES: dict[str, Callable[[], str]] = {
     "tidy_code": oq.q_tidy_code,
     "quick_asm": oq.q_quick_asm,
     "threshold_split": oq.q_threshold_split,
+    "sample_inspection": oq.q_sample_inspection,
+    "prediction_samples": oq.q_prediction_samples,
     "split_metrics": oq.q_split_metrics,
     "token_batches": oq.q_token_batches,
     "link_extraction": oq.q_link_extraction,

@@ -15,7 +15,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators import compare as OC
 from corpusmill.operators import split as S
 from corpusmill.sources.corpus import code_files
-from corpusmill.sources.files import non_empty_pairs, pair_by_stem, primary_only, with_suffix
+from corpusmill.sources.files import non_empty_pairs, of_suffix, pair_by_stem, primary_only, with_suffix
 
 SEED = 42
 TRAIN_FRAC = 0.8
@@ -61,14 +61,14 @@ def eval_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation normal form of every C file (originals and the other
     tool's output)."""
     files = code_files(spark, sf_dir)
-    return files.where(F.col("name").endswith(".c")).select(
+    return of_suffix(files, ".c").select(
         "name", T.normalize_for_eval("content").alias("normalized"))
 
 
 def asm_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assembly normal form of every listing (row-local expression form)."""
     files = code_files(spark, sf_dir)
-    return files.where(F.col("name").endswith(".s")).select(
+    return of_suffix(files, ".s").select(
         "name", T.normalize_asm_expr("content").alias("normalized"))
 
 
@@ -77,7 +77,7 @@ def comment_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag."""
     files = code_files(spark, sf_dir)
     cleaned = T.remove_comments("content")
-    return files.where(F.col("name").endswith(".c")).select(
+    return of_suffix(files, ".c").select(
         "name", cleaned.alias("cleaned"), (cleaned != F.col("content")).alias("changed"))
 
 
@@ -132,7 +132,7 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     include lines across all C sources."""
     files = code_files(spark, sf_dir)
     p = pair_by_stem(files, ".s", ".c")
-    incs = (files.where(F.col("name").endswith(".c"))
+    incs = (of_suffix(files, ".c")
             .select(F.explode(F.filter(T.lines("content"), lambda x: T.strip_ws(x).startswith("#include"))).alias("inc"))
             .select(T.collapse_ws(T.strip_ws("inc")).alias("inc")).distinct())
     kinds = files.select(
@@ -150,13 +150,13 @@ def tidy_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tidy every C text (lone '<' lines, braces, includes capped at 8,
     clipped at the last balanced brace)."""
     files = code_files(spark, sf_dir)
-    return files.where(F.col("name").endswith(".c")).select("name", T.tidy_c("content").alias("tidy"))
+    return of_suffix(files, ".c").select("name", T.tidy_c("content").alias("tidy"))
 
 
 def quick_asm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quick assembly clean-up (first 200 kept lines) of every listing."""
     files = code_files(spark, sf_dir)
-    return files.where(F.col("name").endswith(".s")).select("name", T.clean_asm("content").alias("cleaned"))
+    return of_suffix(files, ".s").select("name", T.clean_asm("content").alias("cleaned"))
 
 
 def sample_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,3 +174,24 @@ def sample_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def threshold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateless (stream-safe) hash-threshold split of every paired stem."""
     return pairs(spark, sf_dir).select("stem", S.split_threshold("stem", TRAIN_FRAC, VAL_FRAC, SEED).alias("split"))
+
+
+def prediction_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample report: the first five validation items of the training set
+    (all five from train when validation is empty), each rendered as
+    ``=== SAMPLE i ===`` + the evaluation form of its generated C."""
+    from corpusmill.sinks.writers import sample_report
+
+    p = pairs(spark, sf_dir)
+    split = S.split_exact(p.select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED, keep_rank=True)
+    items = non_empty_pairs(split.join(p, "stem", "inner")).select(
+        "stem", "split", "split_rank", T.normalize_asm_expr("src").alias("src"))
+    items = items.where(F.size(T.tokens("src")) <= 3 * MAX_SRC_TOKENS)
+    has_val = items.where(F.col("split") == "val").select(F.lit(True).alias("has_val")).limit(1)
+    chosen = items.crossJoin(F.broadcast(has_val.unionByName(
+        spark.createDataFrame([(False,)], "has_val boolean"))).agg(F.max("has_val").alias("has_val")))
+    chosen = chosen.where(F.col("split") == F.when(F.col("has_val"), "val").otherwise("train"))
+    top = chosen.orderBy("split_rank").limit(5).select(
+        "stem", "split_rank", T.normalize_for_eval(stand_in_prediction("src")).alias("prediction"))
+    report = sample_report(top, "split_rank", "prediction")
+    return report.join(top.select("stem", "split_rank"), "split_rank").select("stem", F.col("value").alias("report"))

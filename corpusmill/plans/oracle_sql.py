@@ -419,3 +419,34 @@ select stem, ok, case when ok then path || ' -> ' || regexp_replace(path, '([^/]
 def q_compile_tally() -> str:
     return f"""with {_gate_ctes()}
 select case when ok then 'compiled' else 'failed' end as status, count(*) as n from gi group by 1"""
+
+
+def q_sample_inspection() -> str:
+    return f"""with {files_cte()}, {PAIRS_CTE}, {split_cte()},
+one as (select stem from splits where split = 'test' order by md5('0:' || stem), stem limit 1),
+asm as (select o.stem, f.content from one o join files f on f.name = o.stem || '.s'),
+cl as (select stem, array_to_string(list_slice(list_filter(list_transform({lines_expr('content')}, lambda x: trim(x, {WS})),
+   lambda x: x <> '' and not starts_with(x, '.')), 1, 200), chr(10)) as c from asm),
+pr as (select stem, 'int ' || regexp_extract(c, '(?m)^([A-Za-z_][A-Za-z0-9_]*):', 1) || '(void)' || chr(10) || '{{' || chr(10)
+   || '  // ' || array_to_string(regexp_extract_all(c, '(?m)^\\s*\\.string\\s+"(.*)"\\s*$', 1), chr(10) || '  // ')
+   || chr(10) || '  return 0;' || chr(10) || '}}' || chr(10) as p from cl)
+{tidy_ctes('pr', 'stem', 'p', 'prediction')}
+select stem, prediction from td"""
+
+
+def q_prediction_samples() -> str:
+    return f"""with {files_cte()}, {PAIRS_CTE}, {split_cte('pairs')},
+usable as (select p.stem, p.src, s.split, s.split_rank from pairs p join splits s on p.stem = s.stem
+   where p.src <> '' and p.tgt <> '')
+{asm_ctes('usable', 'stem', 'src', 'src_n')},
+items as (select u.stem, u.split, u.split_rank, na4.src_n from usable u join na4 on u.stem = na4.stem
+   where len(list_filter(regexp_split_to_array(na4.src_n, '\\s+'), lambda x: x <> '')) <= 3 * 2048),
+chosen as (select * from items where split = case when exists (select 1 from items where split = 'val') then 'val' else 'train' end
+   order by split_rank limit 5),
+pr as (select stem, split_rank, 'int ' || regexp_extract(src_n, '(?m)^([A-Za-z_][A-Za-z0-9_]*):', 1) || '(void)' || chr(10) || '{{' || chr(10)
+   || '  // ' || array_to_string(regexp_extract_all(src_n, '(?m)^\\s*\\.string\\s+"(.*)"\\s*$', 1), chr(10) || '  // ')
+   || chr(10) || '  return 0;' || chr(10) || '}}' || chr(10) as p from chosen)
+{normalize_c_ctes('pr', 'stem', 'p', 'norm')},
+ev as (select pr.stem, pr.split_rank, {eval_form_expr('nc7.norm')} as e from pr join nc7 on pr.stem = nc7.stem)
+select stem, chr(10) || '=== SAMPLE ' || cast(row_number() over (order by split_rank) - 1 as varchar) || ' ===' || chr(10)
+   || e || chr(10) as report from ev"""

@@ -85,16 +85,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(name, path, content)`` — one row per file of the code view."""
+    """``(name, path, content, kind)`` — one row per file of the code view."""
     docs = table(spark, sf_dir, "documents").select(*DOC_COLUMNS)
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     failed = labels.where("quality = 0").select("doc_id")
     labelled = labels.select("doc_id")
 
     def files(df: DataFrame, suffix: str, text_sql: str) -> DataFrame:
+        # ``kind`` is a literal per branch: suffix filters fold to true/false
+        # on it, so Catalyst drops the branches (and their scans) a query
+        # cannot use
         name = F.concat(F.expr(STEM_SQL), F.lit(suffix))
         return df.select(name.alias("name"), F.concat(F.lit("corpus/"), name).alias("path"),
-                         F.expr(text_sql).alias("content"))
+                         F.expr(text_sql).alias("content"), F.lit(suffix).alias("kind"))
 
     return (
         files(docs, ".c", C_TEXT_SQL)

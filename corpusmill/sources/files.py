@@ -37,16 +37,32 @@ def stem_of(name) -> F.Column:
     return F.when(F.instr(n, ".") > 0, F.left(n, F.length(n) - F.length(ext) - 1)).otherwise(n)
 
 
+def of_suffix(files: DataFrame, suffix: str) -> DataFrame:
+    """Files whose name ends with ``suffix`` (all columns kept)."""
+    cond = F.col("name").endswith(suffix)
+    if "kind" in files.columns:
+        cond = F.col("kind").endswith(suffix) & cond
+    return files.where(cond)
+
+
 def with_suffix(files: DataFrame, suffix: str, key: str = "stem", value: str = "content") -> DataFrame:
     """Files ending in ``suffix`` keyed by the name without it."""
     n = F.col("name")
-    return files.where(n.endswith(suffix)).select(
+    cond = n.endswith(suffix)
+    if "kind" in files.columns:
+        # ``kind`` is the full suffix of each file; when it is a literal per
+        # source branch this folds away the branches that cannot match
+        cond = F.col("kind").endswith(suffix) & cond
+    return files.where(cond).select(
         F.expr(f"substring(name, 1, length(name) - {len(suffix)})").alias(key), F.col(value))
 
 
 def primary_only(files: DataFrame, derived_suffix: str = ".ghidra.c") -> DataFrame:
     """Drop derived files (another tool's output) from a listing."""
-    return files.where(~F.col("name").endswith(derived_suffix))
+    cond = ~F.col("name").endswith(derived_suffix)
+    if "kind" in files.columns:
+        cond = ~F.col("kind").endswith(derived_suffix) & cond
+    return files.where(cond)
 
 
 def pair_by_stem(files: DataFrame, src_suffix: str = ".s", tgt_suffix: str = ".c",
