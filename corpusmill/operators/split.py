@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import cut_lineage
+
 SPLIT_NAMES = ("train", "val", "test")
 
 
@@ -31,8 +33,10 @@ def exact_rank(df: DataFrame, key: str, seed=42, rank_col: str = "rank",
         raise ValueError("bucket_digits must be in 1..5")
     h = "__h"
     b = "__b"
+    # one exchange on the bucket serves both the counts and the ranking
+    # window (Spark reuses it), so the input is computed once
     keyed = df.withColumn(h, order_hash(key, seed)).withColumn(
-        b, F.conv(F.substring(F.col(h), 1, bucket_digits), 16, 10).cast("int"))
+        b, F.conv(F.substring(F.col(h), 1, bucket_digits), 16, 10).cast("int")).repartition(b)
     counts = keyed.groupBy(b).agg(F.count(F.lit(1)).alias("__n"))
     running = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -59,12 +63,17 @@ def split_cutoffs(n: F.Column, train: float, val: float):
 
 
 def split_exact(df: DataFrame, key: str = "stem", train: float = 0.8, val: float = 0.1,
-                seed=42, split_col: str = "split", keep_rank: bool = False) -> DataFrame:
+                seed=42, split_col: str = "split", keep_rank: bool = False, materialize: bool = True) -> DataFrame:
     """Seeded exact-count split: the first ``int(n*train)`` keys of the
     seeded order are ``train``, the next ``int(n*val)`` are ``val``, the rest
     ``test``. Keys are de-duplicated first (map-side partial aggregation, so
     a hot key costs nothing extra)."""
     keys = df.select(key).where(F.col(key).isNotNull()).dropDuplicates([key])
+    if materialize:
+        # the rank reads its input twice (bucket counts, then numbering):
+        # write the key set once to the shared checkpoint folder instead of
+        # recomputing everything upstream of it
+        keys = cut_lineage(keys)
     ranked = exact_rank(keys, key, seed, with_total=True)
     n_train, n_val = split_cutoffs(F.col("n_total"), train, val)
     r = F.col("rank")
@@ -98,7 +107,7 @@ def pick_one(df: DataFrame, key: str, seed=0) -> DataFrame:
 
 def _rank_in_buckets(df: DataFrame, bucket: F.Column, order_cols, rank_col: str) -> DataFrame:
     b = "__b"
-    keyed = df.withColumn(b, bucket)
+    keyed = df.withColumn(b, bucket).repartition(b)
     counts = keyed.groupBy(b).agg(F.count(F.lit(1)).alias("__n"))
     running = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(b, F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__off"))

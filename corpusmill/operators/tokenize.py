@@ -15,31 +15,38 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import tokens
 from corpusmill.operators.split import exact_rank
+from corpusmill.session import cut_lineage
 
 
-def build_vocab(df: DataFrame, tokens_col: str, seed=42, first_id: int = 1) -> DataFrame:
+def build_vocab(df: DataFrame, tokens_col: str, seed=42, first_id: int = 1, materialize: bool = True) -> DataFrame:
     """``(token, id)`` over every distinct token; ids start at ``first_id``
     (0 is left for padding)."""
     toks = df.select(F.explode(tokens_col).alias("token")).dropDuplicates(["token"])
+    if materialize:
+        # written once; the rank reads it twice
+        toks = cut_lineage(toks)
     ranked = exact_rank(toks, "token", seed)
     return ranked.select("token", (F.col("rank") + (first_id - 1)).cast("int").alias("id"))
 
 
 def to_ids(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, out: str = "ids",
            broadcast_max_rows: int | None = None) -> DataFrame:
-    """Token arrays -> id arrays in the original order.
+    """Token arrays -> id arrays in the original order; the other columns of
+    ``df`` are carried through (one pass over ``df``: no join back), so keep
+    wide text columns out of ``df``. Rows with no token get an empty array.
 
     ``broadcast_max_rows``: broadcast the vocabulary only after checking that
-    it has at most this many rows; otherwise a shuffle join."""
+    it has at most this many rows; otherwise a shuffle join on the token."""
     v = vocab
     if broadcast_max_rows is not None and vocab.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows:
         v = F.broadcast(vocab)
-    exploded = df.select(key, F.posexplode(tokens_col).alias("pos", "token"))
-    joined = exploded.join(v, "token", "inner")
-    regrouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("__p"))
-    ids = regrouped.select(key, F.transform("__p", lambda s: s["id"]).alias(out))
-    base = df.join(ids, key, "left")
-    return base.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+    carry = [c for c in df.columns if c not in (key, tokens_col)]
+    exploded = df.select(key, *carry, F.posexplode_outer(tokens_col).alias("pos", "token"))
+    joined = exploded.join(v, "token", "left")
+    pairs = F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))
+    regrouped = joined.groupBy(key).agg(*[F.first(c).alias(c) for c in carry],
+                                        F.array_sort(pairs).alias("__p"))
+    return regrouped.select(key, *carry, F.transform("__p", lambda s: s["id"]).cast("array<int>").alias(out))
 
 
 def whitespace_tokenize(df: DataFrame, text: str, out: str = "tokens", max_length: int | None = None) -> DataFrame:
