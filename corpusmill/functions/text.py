@@ -119,8 +119,8 @@ def join_lines(arr) -> Column:
 def tokens(text) -> Column:
     """Python ``str.split()``: whitespace tokens, no empty strings (every
     whitespace character becomes a space, then a literal split)."""
-    common = F.replace(F.replace(_c(text), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" "))
-    spaced = F.regexp_replace(common, RARE_WS_CLASS, " ")
+    # translate + literal split measured faster than any regex split here
+    spaced = F.translate(_c(text), PY_WHITESPACE, " " * len(PY_WHITESPACE))
     return F.filter(F.split(spaced, " ", -1), lambda x: x != "")
 
 

@@ -118,18 +118,28 @@ def _rank_in_buckets(df: DataFrame, bucket: F.Column, order_cols, rank_col: str)
             .drop(b, "__off"))
 
 
-def ordinal_rank(df: DataFrame, order_cols: list[str], rank_col: str = "rank", buckets: int = 4096) -> DataFrame:
-    """1-based position in the natural order of ``order_cols`` (the first one
-    numeric), without a one-task window: rows go to ``buckets`` ranges of the
-    first column (bounds from one min/max aggregate), each range is counted,
-    the bounded counts become offsets, and rows are numbered within their
-    range. Equal to ``row_number() over (order by order_cols)`` when the
-    order is total."""
-    first = order_cols[0]
-    lo, hi = df.select(F.min(first), F.max(first)).first()
-    if lo is None:
-        return df.withColumn(rank_col, F.lit(None).cast("long"))
-    span = float(hi) - float(lo) + 1.0
-    bucket = F.least(F.floor((F.col(first).cast("double") - F.lit(float(lo))) * F.lit(buckets / span)),
-                     F.lit(buckets - 1)).cast("int")
-    return _rank_in_buckets(df, bucket, [F.col(c) for c in order_cols], rank_col)
+def ordinal_rank(df: DataFrame, order_cols: list[str], rank_col: str = "rank",
+                 partitions: int | None = None) -> DataFrame:
+    """1-based position in the natural order of ``order_cols`` (a total
+    order), without a one-task window.
+
+    Rows are range-partitioned on the **whole** sort key (so one hot value
+    of the first column is still split by the others), sorted within
+    partitions and written once to the checkpoint folder; the written
+    partitions have a fixed content and order, so each row's index within
+    its partition is deterministic. Per-partition counts (one row per
+    partition, a bounded table) become broadcast offsets."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cut_lineage(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
+    mid = ordered.withColumn("__m", F.monotonically_increasing_id())
+    part = F.shiftright(F.col("__m"), 33)
+    idx = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    mid = mid.withColumn("__p", part).withColumn("__i", idx)
+    counts = mid.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    running = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__p", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__off"))
+    # offsets: one row per partition
+    return (mid.join(F.broadcast(offsets), "__p", "inner")
+            .withColumn(rank_col, F.col("__off") + F.col("__i") + 1)
+            .drop("__m", "__p", "__i", "__off"))

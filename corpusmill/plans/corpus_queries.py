@@ -140,10 +140,12 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.when(F.col("name").endswith(".s"), 1)).alias("n_listings"),
         F.count(F.when(F.col("name").endswith(".ghidra.c"), 1)).alias("n_other"),
     )
-    pc = p.select(F.count(F.lit(1)).alias("n_pairs"),
-                  F.count(F.when((F.col("src") != "") & (F.col("tgt") != ""), 1)).alias("n_usable"))
-    ic = incs.select(F.count(F.lit(1)).alias("n_distinct_includes"))
-    return kinds.crossJoin(pc).crossJoin(ic)
+    # one-row aggregates combined as scalar subqueries (no join)
+    n_pairs = p.select(F.count(F.lit(1))).scalar()
+    n_usable = p.select(F.count(F.when((F.col("src") != "") & (F.col("tgt") != ""), 1))).scalar()
+    n_incs = incs.select(F.count(F.lit(1))).scalar()
+    return kinds.select("*", n_pairs.alias("n_pairs"), n_usable.alias("n_usable"),
+                        n_incs.alias("n_distinct_includes"))
 
 
 def tidy_code(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,10 +189,8 @@ def prediction_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = non_empty_pairs(split.join(p, "stem", "inner")).select(
         "stem", "split", "split_rank", T.normalize_asm_expr("src").alias("src"))
     items = items.where(F.size(T.tokens("src")) <= 3 * MAX_SRC_TOKENS)
-    has_val = items.where(F.col("split") == "val").select(F.lit(True).alias("has_val")).limit(1)
-    chosen = items.crossJoin(F.broadcast(has_val.unionByName(
-        spark.createDataFrame([(False,)], "has_val boolean"))).agg(F.max("has_val").alias("has_val")))
-    chosen = chosen.where(F.col("split") == F.when(F.col("has_val"), "val").otherwise("train"))
+    has_val = items.where(F.col("split") == "val").exists()
+    chosen = items.where(F.col("split") == F.when(has_val, "val").otherwise("train"))
     top = chosen.orderBy("split_rank").limit(5).select(
         "stem", "split_rank", T.normalize_for_eval(stand_in_prediction("src")).alias("prediction"))
     report = sample_report(top, "split_rank", "prediction")

@@ -57,3 +57,12 @@ def test_pick_one_is_deterministic(spark):
     a = S.pick_one(df, "stem", 3).first().stem
     b = S.pick_one(df.repartition(7), "stem", 3).first().stem
     assert a == b
+
+
+def test_ordinal_rank_with_a_hot_first_key(spark):
+    rows = [(7, t) for t in range(3000)] + [(c, 0) for c in range(1000, 1600)]
+    df = spark.createDataFrame(rows, "c long, t long")
+    got = S.ordinal_rank(df, ["c", "t"], "r", partitions=8)
+    ref = df.withColumn("g", F.row_number().over(Window.orderBy("c", "t")))
+    assert got.join(ref, ["c", "t"]).where("r <> g").count() == 0
+    assert got.count() == len(rows)
