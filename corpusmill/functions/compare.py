@@ -109,5 +109,12 @@ def similarity_fast(a_text, b_text) -> Column:
     """Same value as :func:`similarity`, computed in Arrow batches with the
     bit-parallel recurrence (~word-size times fewer steps than the cell-by-
     cell JVM kernel; pays off for long texts). Returns ``struct<distance,
-    similarity>``. Tokens are Python ``str.split()`` tokens."""
+    similarity>``. Tokens are Python ``str.split()`` tokens.
+
+    Pass plain columns. In Spark 4.1, a Python UDF whose inputs are all
+    higher-order-function expressions (the normal forms, once Catalyst
+    collapses them into the UDF's input) fails with an internal "cannot
+    evaluate expression" error. Compute the normal forms in a projection
+    before the call, as ``system_similarity`` does."""
     return _similarity_udf()(_c(a_text), _c(b_text))
+

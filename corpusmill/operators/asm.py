@@ -20,7 +20,8 @@ from corpusmill.functions.text import (BREAK_RE, _asm_line, _section_from_stripp
 def asm_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, pos, line)`` for every line (Python line boundaries)."""
     t = F.regexp_replace(F.col(text), BREAK_RE, "\n")
-    return df.select(key, F.posexplode(F.split(t, "\n", -1)).alias("pos", "line"))
+    return df.select(key, F.posexplode_outer(F.split(t, "\n", -1)).alias("pos", "line")).where(
+        F.col("line").isNotNull())
 
 
 def section_marks(lines: DataFrame, key: str) -> DataFrame:

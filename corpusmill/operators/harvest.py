@@ -40,7 +40,10 @@ def extract_links(pages: DataFrame, html: str = "html", key: str = "page_id",
         F.col(key), base.alias("__base"),
         F.arrays_zip(F.regexp_extract_all(sl, F.lit(LINK_RE), 1).alias("href"),
                      F.regexp_extract_all(sl, F.lit(LINK_RE), 2).alias("inner")).alias("__links"))
-    links = arr.select(key, "__base", F.posexplode("__links").alias("pos", "l")).select(
+    # the _outer generator keeps Spark from inferring a size() filter that
+    # would be pushed below the projection and re-run both regex scans
+    links = arr.select(key, "__base", F.posexplode_outer("__links").alias("pos", "l")).where(
+        F.col("l").isNotNull()).select(
         key, "pos", html_unescape(F.col("l.href")).alias("href"),
         strip_ws(html_unescape(strip_tags(F.col("l.inner")))).alias("title"), "__base")
     keep = (F.col("href") != "") & (F.col("title") != "") & F.col("href").startswith(prefix)

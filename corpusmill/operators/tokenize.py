@@ -21,7 +21,9 @@ from corpusmill.session import cut_lineage
 def build_vocab(df: DataFrame, tokens_col: str, seed=42, first_id: int = 1, materialize: bool = True) -> DataFrame:
     """``(token, id)`` over every distinct token; ids start at ``first_id``
     (0 is left for padding)."""
-    toks = df.select(F.explode(tokens_col).alias("token")).dropDuplicates(["token"])
+    # explode_outer: no inferred size() filter re-running the tokenizer below
+    toks = df.select(F.explode_outer(tokens_col).alias("token")).where(
+        F.col("token").isNotNull()).dropDuplicates(["token"])
     if materialize:
         # written once; the rank reads it twice
         toks = cut_lineage(toks)

@@ -133,7 +133,9 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = code_files(spark, sf_dir)
     p = pair_by_stem(files, ".s", ".c")
     incs = (of_suffix(files, ".c")
-            .select(F.explode(F.filter(T.lines("content"), lambda x: T.strip_ws(x).startswith("#include"))).alias("inc"))
+            .select(F.explode_outer(F.filter(T.lines("content"), lambda x: T.strip_ws(x).startswith("#include")))
+                    .alias("inc"))
+            .where(F.col("inc").isNotNull())
             .select(T.collapse_ws(T.strip_ws("inc")).alias("inc")).distinct())
     kinds = files.select(
         F.count(F.when(F.col("name").endswith(".c") & ~F.col("name").endswith(".ghidra.c"), 1)).alias("n_sources"),
