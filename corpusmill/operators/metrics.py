@@ -83,3 +83,11 @@ def pad_batches(df: DataFrame, ids: str, batch_cols=("batch_id",), pad_id: int =
 def tally(df: DataFrame, status: str = "status") -> DataFrame:
     """Run tallies: rows per status."""
     return df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+
+
+def metrics_summary(metrics: DataFrame, group: str = "split") -> DataFrame:
+    """One printable line per split: name padded to 10, NLL and perplexity
+    with 4 decimals, token accuracy as a percentage with 4 decimals."""
+    line = F.format_string("%-10s | NLL: %.4f | PPL: %.4f | token_acc: %.4f%%", F.col(group),
+                           F.col("avg_nll"), F.col("perplexity"), F.col("token_accuracy") * 100.0)
+    return metrics.select(group, line.alias("summary"))

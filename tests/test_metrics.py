@@ -51,3 +51,10 @@ def test_flatten_logits(spark):
     df = spark.createDataFrame([("s", [[1.0, 2.0], [3.0, 0.0]], [1, 0])], "stem string, logits array<array<double>>, labels array<int>")
     rows = OM.flatten_logits(df).orderBy("pos").collect()
     assert [(r.pos, r.label) for r in rows] == [(0, 1), (1, 0)]
+
+
+def test_metrics_summary_line(spark):
+    df = spark.createDataFrame([("validation", 1.23456, 3.43689, 0.125)],
+                               "split string, avg_nll double, perplexity double, token_accuracy double")
+    line = OM.metrics_summary(df).first().summary
+    assert line == "validation | NLL: 1.2346 | PPL: 3.4369 | token_acc: 12.5000%"
