@@ -43,7 +43,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     session has none (tests, local runs). A cluster names a shared folder in
     ``spark.checkpoint.dir``; that setting always wins."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    try:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    except Exception:  # no SparkContext (e.g. a Connect session): use the config as is
+        return configured
     if configured:
         if not current.isDefined():
             spark.sparkContext.setCheckpointDir(configured)
