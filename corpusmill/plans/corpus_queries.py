@@ -14,6 +14,7 @@ from corpusmill.functions import compare as C
 from corpusmill.functions import text as T
 from corpusmill.operators import compare as OC
 from corpusmill.operators import split as S
+from corpusmill.operators.rows import select_where
 from corpusmill.sources.corpus import code_files
 from corpusmill.sources.files import non_empty_pairs, of_suffix, pair_by_stem, primary_only, with_suffix
 
@@ -104,12 +105,17 @@ def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     token budget (drop above 3x max, flag above max) -> C normal form."""
     p = pairs(spark, sf_dir)
     split = S.split_exact(p.select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED)
+    joined = non_empty_pairs(split.join(p, "stem", "inner"))
+    # normalise once, count tokens on the result, keep rows within budget
     src = T.normalize_asm_expr("src")
-    staged = non_empty_pairs(split.join(p, "stem", "inner")).select(
-        "stem", "split", src.alias("src"), T.normalize_c("tgt").alias("tgt"))
-    staged = staged.withColumn("n_src_tokens", F.size(T.tokens("src")))
-    return (staged.where(F.col("n_src_tokens") <= 3 * MAX_SRC_TOKENS)
-            .withColumn("will_truncate", F.col("n_src_tokens") > MAX_SRC_TOKENS))
+    staged = select_where(joined, [
+        F.col("stem"), F.col("split"),
+        T.let(src, lambda s: F.struct(s.alias("src"), F.size(T.tokens(s)).alias("n"))).alias("a"),
+        T.normalize_c("tgt").alias("tgt"),
+    ], lambda r: r["a"]["n"] <= 3 * MAX_SRC_TOKENS)
+    return staged.select("stem", "split", F.col("a.src").alias("src"), "tgt",
+                         F.col("a.n").alias("n_src_tokens"),
+                         (F.col("a.n") > MAX_SRC_TOKENS).alias("will_truncate"))
 
 
 def missing_kind_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,11 +194,16 @@ def prediction_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = pairs(spark, sf_dir)
     split = S.split_exact(p.select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED, keep_rank=True)
-    items = non_empty_pairs(split.join(p, "stem", "inner")).select(
-        "stem", "split", "split_rank", T.normalize_asm_expr("src").alias("src"))
-    items = items.where(F.size(T.tokens("src")) <= 3 * MAX_SRC_TOKENS)
-    has_val = items.where(F.col("split") == "val").exists()
-    chosen = items.where(F.col("split") == F.when(has_val, "val").otherwise("train"))
+    joined = non_empty_pairs(split.join(p, "stem", "inner"))
+
+    def usable(name: str) -> DataFrame:
+        return select_where(joined.where(F.col("split") == name), [
+            F.col("stem"), F.col("split_rank"), T.normalize_asm_expr("src").alias("src")],
+            lambda r: F.size(T.tokens(r["src"])) <= 3 * MAX_SRC_TOKENS)
+
+    val = usable("val")
+    # train rows are only looked at when no validation item survives
+    chosen = val.unionByName(usable("train").where(~val.exists()))
     top = chosen.orderBy("split_rank").limit(5).select(
         "stem", "split_rank", T.normalize_for_eval(stand_in_prediction("src")).alias("prediction"))
     report = sample_report(top, "split_rank", "prediction")

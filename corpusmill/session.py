@@ -29,6 +29,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # rows carry whole texts: keep Arrow batches to a few hundred rows
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
         .config("spark.driver.memory", os.environ.get("CORPUSMILL_DRIVER_MEMORY", "16g"))
         .config("spark.sql.ansi.enabled", "true")
     )
