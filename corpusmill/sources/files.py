@@ -96,12 +96,13 @@ def keys_from_lines(df: DataFrame, text_col: str = "value", column: str = "stem"
     return df.select(strip_ws(text_col).alias(column)).where(F.col(column) != "")
 
 
-def parse_problems(df: DataFrame, text_col: str = "value") -> DataFrame:
-    """Prompt-table lines ``"N. statement"`` -> ``(problem_number, text,
-    number_matches)``; ``number_matches`` checks the embedded number against
-    the given position column when present."""
+def parse_problems(df: DataFrame, text_col: str = "value", position_col: str | None = None) -> DataFrame:
+    """Prompt-table lines ``"N. statement"`` -> ``(problem_number, text)``.
+    With ``position_col`` (the 1-based row position, e.g. from
+    ``operators.split.ordinal_rank``) also ``number_matches``: the embedded
+    number, compared as text, equals the position."""
     m = F.regexp_extract(F.col(text_col), r"^(\d+)\. ", 1)
-    return df.select(
-        F.when(m != "", m.cast("int")).alias("problem_number"),
-        F.col(text_col).alias("text"),
-    )
+    cols = [F.when(m != "", m.cast("int")).alias("problem_number"), F.col(text_col).alias("text")]
+    if position_col is not None:
+        cols.append((m == F.col(position_col).cast("string")).alias("number_matches"))
+    return df.select(*cols)

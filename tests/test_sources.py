@@ -29,3 +29,9 @@ def test_read_keys_and_problems(spark):
     assert [r.stem for r in SF.read_keys(spark, p).collect()] == ["a", "b"]
     df = spark.createDataFrame([("1. first",), ("12. twelfth",), ("x",)], "value string")
     assert [r.problem_number for r in SF.parse_problems(df).collect()] == [1, 12, None]
+
+
+def test_problem_numbers_checked_against_position(spark):
+    df = spark.createDataFrame([("1. a", 1), ("3. b", 2), ("x", 3)], "value string, pos long")
+    rows = SF.parse_problems(df, position_col="pos").collect()
+    assert [r.number_matches for r in rows] == [True, False, False]
