@@ -27,7 +27,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import content_hash, safe_filename
+from corpusmill.functions.text import safe_filename
+from corpusmill.session import cut_lineage
 
 
 def skip_existing(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -35,20 +36,27 @@ def skip_existing(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return df.join(existing.select(key).dropDuplicates([key]), key, "left_anti")
 
 
+def _canonical(code: str) -> F.Column:
+    return F.concat(F.regexp_replace(F.col(code), r"\n+\z", ""), F.lit("\n"))
+
+
 def assign_names(arrivals: DataFrame, existing: DataFrame | None = None, arrival: str = "arrival",
                  title: str = "title", code: str = "code", ext: str = ".c", max_chars: int = 120,
-                 max_suffix: int = 999) -> DataFrame:
+                 max_suffix: int = 999, with_content: bool = True) -> DataFrame:
     """``arrivals(arrival, title, code)`` + ``existing(name, content)`` ->
-    ``(arrival, title, base, name, status, content)``; ``name`` is NULL for
-    ``skipped-same`` rows and the base name for ``conflict`` rows."""
+    ``(arrival, title, base, name, status[, content])``; ``name`` is NULL for
+    ``skipped-same`` rows and the base name for ``conflict`` rows.
+
+    The decision works on a narrow keyed table ``(arrival, title, base,
+    hash)`` written once to the checkpoint folder (it is read by five
+    branches); the canonical content is joined back only when asked for."""
     spark = arrivals.sparkSession
     if existing is None:
         existing = spark.createDataFrame([], "name string, content string")
-    a = arrivals.select(
+    a = cut_lineage(arrivals.select(
         F.col(arrival).alias("arrival"), F.col(title).alias("title"),
         safe_filename(title, ext, max_chars).alias("base"),
-        F.concat(F.regexp_replace(F.col(code), r"\n+\z", ""), F.lit("\n")).alias("content"),
-    ).withColumn("hash", F.sha2("content", 256))
+        F.sha2(_canonical(code), 256).alias("hash")))
     ex = existing.select("name", F.sha2(F.col("content"), 256).alias("ex_hash"))
 
     # per base: hash of the file at the base name, and who writes it if new
@@ -64,7 +72,7 @@ def assign_names(arrivals: DataFrame, existing: DataFrame | None = None, arrival
 
     decided = a.where(F.col("status").isNotNull()).select(
         "arrival", "title", "base",
-        F.when(F.col("status") == "written", F.col("base")).alias("name"), "status", "content")
+        F.when(F.col("status") == "written", F.col("base")).alias("name"), "status")
     cand = a.where(F.col("status").isNull())
 
     # rank colliders per base; the filter becomes a map-side group limit
@@ -82,11 +90,14 @@ def assign_names(arrivals: DataFrame, existing: DataFrame | None = None, arrival
     placed = ranked.join(free.select("base", "k", "slot"), ["base", "k"], "left").select(
         "arrival", "title", "base",
         F.when(F.col("slot").isNotNull(), F.col("slot")).otherwise(F.col("base")).alias("name"),
-        F.when(F.col("slot").isNotNull(), "written-suffixed").otherwise("conflict").alias("status"),
-        "content")
+        F.when(F.col("slot").isNotNull(), "written-suffixed").otherwise("conflict").alias("status"))
     overflow = cand.join(ranked.select("arrival"), "arrival", "left_anti").select(
-        "arrival", "title", "base", F.col("base").alias("name"), F.lit("conflict").alias("status"), "content")
-    return decided.unionByName(placed).unionByName(overflow)
+        "arrival", "title", "base", F.col("base").alias("name"), F.lit("conflict").alias("status"))
+    out = decided.unionByName(placed).unionByName(overflow)
+    if with_content:
+        out = out.join(arrivals.select(F.col(arrival).alias("arrival"), _canonical(code).alias("content")),
+                       "arrival", "inner")
+    return out
 
 
 def _re_escape(s: str) -> str:

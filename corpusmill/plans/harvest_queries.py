@@ -75,7 +75,7 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     skipped identical copies, first free suffixes, conflicts."""
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("arrival"), F.col("source").alias("title"), F.col("text").alias("code"))
-    named = N.assign_names(docs)
+    named = N.assign_names(docs, with_content=False)
     return named.select("arrival", "base", "name", "status")
 
 
@@ -120,7 +120,8 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = with_suffix(primary_only(files), ".c", value="path")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    asm = with_suffix(files, ".s").withColumnRenamed("content", "asm")
+    # only the listing's existence matters: join its name, not its text
+    asm = with_suffix(files, ".s", value="name").withColumnRenamed("name", "asm")
     results = (labels.join(docs, "doc_id", "inner")
                .select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("stem"),
                        F.when(F.col("quality") == 0, 1).otherwise(0).alias("returncode"),
