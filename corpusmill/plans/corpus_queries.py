@@ -176,7 +176,9 @@ def sample_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = S.split_exact(p.select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED).where("split = 'test'")
     one = S.pick_one(test, "stem", seed=0)
     asm = with_suffix(code_files(spark, sf_dir), ".s").withColumnRenamed("content", "asm")
-    row = one.join(asm, "stem", "inner")
+    # one row by construction (limit 1): broadcasting it keeps the listings
+    # from being shuffled for a single lookup
+    row = F.broadcast(one).join(asm, "stem", "inner")
     cleaned = T.clean_asm("asm")
     return row.select("stem", T.tidy_c(stand_in_prediction(cleaned)).alias("prediction"))
 
