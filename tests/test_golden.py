@@ -1,4 +1,8 @@
-"""The one data case: normalised assembly and the two similarities."""
+"""The one data case: normalised assembly and the two similarities.
+
+``CORPUSMILL_GOLDEN_DIR`` holds one ``*.s`` listing, the original ``*.c``
+with the same stem and two candidate ``*.c`` files."""
+import glob
 import os
 
 import pytest
@@ -9,23 +13,26 @@ from corpusmill.functions import compare as C
 from corpusmill.functions import text as T
 from corpusmill.operators.asm import normalize_asm
 
-pytestmark = pytest.mark.skipif(not os.path.isdir(GOLDEN_DIR), reason="golden files not present")
-
-
-def _read(name):
-    with open(os.path.join(GOLDEN_DIR, name), "rb") as fh:
-        return fh.read()
+pytestmark = pytest.mark.skipif(not GOLDEN_DIR or not os.path.isdir(GOLDEN_DIR),
+                                reason="set CORPUSMILL_GOLDEN_DIR to the golden case")
 
 
 @pytest.fixture(scope="module")
 def golden(spark):
-    names = ["write-entire-file.s", "write-entire-file.c", "write-entire-file-nn.c", "write-entire-file-ghidra.c"]
-    df = spark.createDataFrame([(n, bytearray(_read(n))) for n in names], "name string, raw binary")
-    return df.select("name", T.decode_text("raw").alias("content"))
+    asm = glob.glob(os.path.join(GOLDEN_DIR, "*.s"))[0]
+    stem = os.path.basename(asm)[:-2]
+    rows = []
+    for path in [asm] + sorted(glob.glob(os.path.join(GOLDEN_DIR, "*.c"))):
+        name = os.path.basename(path)
+        role = "asm" if path == asm else ("truth" if name == stem + ".c" else "candidate")
+        with open(path, "rb") as fh:
+            rows.append((name, role, bytearray(fh.read())))
+    df = spark.createDataFrame(rows, "name string, role string, raw binary")
+    return df.select("name", "role", T.decode_text("raw").alias("content"))
 
 
 def test_asm_normal_form_has_28_lines(golden):
-    out = golden.where("name like '%.s'").select(T.normalize_asm_expr("content").alias("a")).first().a
+    out = golden.where("role = 'asm'").select(T.normalize_asm_expr("content").alias("a")).first().a
     lines = out.split("\n")
     assert len(lines) == 28
     assert lines[0].startswith(".string\t")
@@ -36,35 +43,29 @@ def test_asm_normal_form_has_28_lines(golden):
 
 
 def test_asm_window_form_matches_expression_form(golden):
-    df = golden.where("name like '%.s'").withColumnRenamed("name", "stem")
+    df = golden.where("role = 'asm'").withColumnRenamed("name", "stem")
     w = normalize_asm(df, "content", "stem").first().normalized
     e = df.select(T.normalize_asm_expr("content").alias("a")).first().a
     assert w == e
 
 
 def test_c_normal_form_head(golden):
-    out = golden.where("name = 'write-entire-file.c'").select(T.normalize_c("content").alias("c")).first().c
-    lines = out.split("\n")
+    truth = golden.where("role = 'truth'")
+    lines = truth.select(T.normalize_c("content").alias("c")).first().c.split("\n")
     assert lines[0] == "#include <stdio.h>"
     assert lines[1] == ""
     assert lines[2] == "#define _CRT_SECURE_NO_WARNINGS  "
     assert lines[3] == ""
     assert lines[4] == "int main(void) {"
-    ev = golden.where("name = 'write-entire-file.c'").select(T.normalize_for_eval("content").alias("c")).first().c
+    ev = truth.select(T.normalize_for_eval("content").alias("c")).first().c
     assert ev.split("\n")[2] == "#define _CRT_SECURE_NO_WARNINGS"
 
 
 def test_similarities(golden):
-    truth = golden.where("name = 'write-entire-file.c'").select(T.normalize_for_eval("content").alias("t"))
-    cands = golden.where("name like '%-nn.c' or name like '%-ghidra.c'").select(
-        "name", T.normalize_for_eval("content").alias("n"))
-    rows = {r.name: r for r in cands.crossJoin(truth).select(
-        "name", C.similarity("n", "t").alias("sim"),
-        C.token_edit_distance(T.tokens("n"), T.tokens("t")).alias("d"),
-        F.size(T.tokens("n")).alias("len")).collect()}
-    nn = rows["write-entire-file-nn.c"]
-    gh = rows["write-entire-file-ghidra.c"]
-    assert (nn.d, nn.len) == (16, 15)
-    assert nn.sim == pytest.approx(0.238095, abs=1e-6)
-    assert (gh.d, gh.len) == (17, 26)
-    assert gh.sim == pytest.approx(0.346154, abs=1e-6)
+    truth = golden.where("role = 'truth'").select(T.normalize_for_eval("content").alias("t")).first().t
+    cands = golden.where("role = 'candidate'").select(T.normalize_for_eval("content").alias("n"))
+    t = F.lit(truth)
+    got = sorted((r.d, r.len, round(r.sim, 6)) for r in cands.select(
+        C.similarity("n", t).alias("sim"), C.token_edit_distance(T.tokens("n"), T.tokens(t)).alias("d"),
+        F.size(T.tokens("n")).alias("len")).collect())
+    assert got == [(16, 15, 0.238095), (17, 26, 0.346154)]
