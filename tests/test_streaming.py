@@ -43,3 +43,27 @@ def test_expression_forms_are_stream_safe(spark):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select a from asm_out").first().a == '.string "s"'
+
+
+def test_new_keys_with_watermark(spark):
+    d = tempfile.mkdtemp(prefix="corpusmill-stream3-")
+    rows = [("k1", "2024-01-01 00:00:00"), ("k1", "2024-01-01 00:00:30"), ("k2", "2024-01-01 00:01:00")]
+    spark.createDataFrame(rows, "key string, t string").select(
+        "key", F.to_timestamp("t").alias("ts")).write.parquet(d + "/in")
+    s = spark.readStream.schema("key string, ts timestamp").parquet(d + "/in")
+    q = CS.new_keys_only(s, "key", "ts", "10 minutes").writeStream.format("memory").queryName("wm_out").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.key for r in spark.sql("select key from wm_out").collect()) == ["k1", "k2"]
+
+
+def test_reply_codes_on_stream(spark):
+    d = tempfile.mkdtemp(prefix="corpusmill-stream4-")
+    rows = [('{"choices":[{"message":{"content":"```c\\nint main(){}\\n```"}}]}',), ("",)]
+    spark.createDataFrame(rows, "response string").write.parquet(d + "/in")
+    s = spark.readStream.schema("response string").parquet(d + "/in")
+    q = CS.reply_codes(s).writeStream.format("memory").queryName("rc_out").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.status: r.code for r in spark.sql("select * from rc_out").collect()}
+    assert got == {"written": "int main(){}\n", "empty": ""}
