@@ -19,6 +19,7 @@ QUERIES: dict[str, QueryFn] = {
     "system_similarity": cq.system_similarity,
     "eval_normal_form": cq.eval_normal_form,
     "asm_normal_form": cq.asm_normal_form,
+    "asm_normal_form_lines": cq.asm_normal_form_lines,
     "comment_free": cq.comment_free,
     "split_assignment": cq.split_assignment,
     "eval_pairs": cq.eval_pairs,
@@ -46,6 +47,7 @@ QUERIES: dict[str, QueryFn] = {
 ORACLES: dict[str, Callable[[], str]] = {
     "eval_normal_form": oq.q_eval_normal_form,
     "asm_normal_form": oq.q_asm_normal_form,
+    "asm_normal_form_lines": oq.q_asm_normal_form,
     "comment_free": oq.q_comment_free,
     "split_assignment": oq.q_split_assignment,
     "eval_pairs": oq.q_eval_pairs,

@@ -210,3 +210,13 @@ def prediction_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "stem", "split_rank", T.normalize_for_eval(stand_in_prediction("src")).alias("prediction"))
     report = sample_report(top, "split_rank", "prediction")
     return report.join(top.select("stem", "split_rank"), "split_rank").select("stem", F.col("value").alias("report"))
+
+
+def asm_normal_form_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assembly normal form through the line table: explode, carried section
+    (``last(ignorenulls)`` window), ordered re-assembly. Same result as
+    ``asm_normal_form``; one shuffle of all lines, keyed by file."""
+    from corpusmill.operators.asm import normalize_asm
+
+    files = of_suffix(code_files(spark, sf_dir), ".s").select("name", "content")
+    return normalize_asm(files, "content", "name")
