@@ -137,7 +137,10 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus tallies: files per kind, pairs found, usable pairs, distinct
     include lines across all C sources."""
     files = code_files(spark, sf_dir)
-    p = pair_by_stem(files, ".s", ".c")
+    # only "is it non-empty" crosses the pairing shuffle, not the texts
+    s_flags = with_suffix(files, ".s").select("stem", (F.col("content") != "").alias("s_ok"))
+    c_flags = with_suffix(files, ".c").select("stem", (F.col("content") != "").alias("c_ok"))
+    p = s_flags.join(c_flags, "stem", "inner")
     incs = (of_suffix(files, ".c")
             .select(F.explode_outer(F.filter(T.lines("content"), lambda x: T.strip_ws(x).startswith("#include")))
                     .alias("inc"))
@@ -149,10 +152,11 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.when(F.col("name").endswith(".ghidra.c"), 1)).alias("n_other"),
     )
     # one-row aggregates combined as scalar subqueries (no join)
-    n_pairs = p.select(F.count(F.lit(1))).scalar()
-    n_usable = p.select(F.count(F.when((F.col("src") != "") & (F.col("tgt") != ""), 1))).scalar()
+    pair_counts = p.select(F.struct(
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.count(F.when(F.col("s_ok") & F.col("c_ok"), 1)).alias("n_usable"))).scalar()
     n_incs = incs.select(F.count(F.lit(1))).scalar()
-    return kinds.select("*", n_pairs.alias("n_pairs"), n_usable.alias("n_usable"),
+    return kinds.select("*", pair_counts["n_pairs"].alias("n_pairs"), pair_counts["n_usable"].alias("n_usable"),
                         n_incs.alias("n_distinct_includes"))
 
 
