@@ -50,11 +50,12 @@ def extract_links(pages: DataFrame, html: str = "html", key: str = "page_id",
     if exclude_prefix:
         keep = keep & ~F.col("href").startswith(exclude_prefix)
     links = links.where(keep).select(key, "pos", "title", F.concat("__base", "href").alias("url"))
-    # both windows are clustered by the page key: one exchange serves them
-    links = links.repartition(key)
-    first = Window.partitionBy(key, "url").orderBy("pos")
+    # first occurrence per URL as an aggregate on (page, url): partial
+    # aggregation, and one huge page is spread over many tasks
+    deduped = links.groupBy(key, "url").agg(F.min("pos").alias("pos"), F.min_by("title", "pos").alias("title"))
+    # the cap is a per-page top-k; the filtered window runs as a map-side
+    # group limit, so at most `cap` rows per page and task are shuffled
     order = Window.partitionBy(key).orderBy("pos")
-    deduped = links.withColumn("__first", F.row_number().over(first)).where("__first = 1")
     capped = deduped.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= cap)
     return capped.select(key, (F.col("__n") - 1).alias("pos"), "title", "url")
 
