@@ -12,24 +12,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python's str.isspace() accepts, and the line
-# boundaries str.splitlines() breaks on.
+# The characters Python's str.isspace() accepts.
 PY_WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-LINE_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 # Java regex fragments for the sets above (explicit classes: the (?U) flag
 # makes every match several times slower).
 WS_CLASS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a"
             r"\u2028\u2029\u202f\u205f\u3000]")
-# whitespace other than space, newline and tab (rare in code)
-RARE_WS_CLASS = (r"[\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a"
-                 r"\u2028\u2029\u202f\u205f\u3000]")
 WS = WS_CLASS
 WS_RUN = WS_CLASS + "+"
+# The line boundaries str.splitlines() breaks on (besides \n),
+# with \r\n counting once.
 BREAK_RE = r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 LINE_SPLIT_RE = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 # whitespace that is not a line break (for per-line matching after the

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import cut_lineage
 
-SPLIT_NAMES = ("train", "val", "test")
-
-
 def order_hash(key, seed) -> F.Column:
     k = F.col(key) if isinstance(key, str) else key
     return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))

@@ -21,10 +21,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NL = "chr(10)"
-TAB = "chr(9)"
-Q = "chr(34)"
-
 # C source: duplicated / unordered includes, a non-preferred include, a string
 # literal holding '//', brace on its own line, a block comment, the whole
 # document as line comments, extra blank lines at the end.

@@ -135,3 +135,7 @@ def test_clean_asm(spark):
     src = "\n".join([".file x", "", "  a  "] + [f"i{k}" for k in range(300)])
     out = one(spark, T.clean_asm("t"), src).split("\n")
     assert len(out) == 200 and out[0] == "a" and out[-1] == "i198"
+
+
+def test_collapse_blank_runs(spark):
+    assert one(spark, T.collapse_blank_runs("t"), "a\n\n\n\nb\n\nc") == "a\n\nb\n\nc"
