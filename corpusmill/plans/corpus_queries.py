@@ -15,6 +15,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators import compare as OC
 from corpusmill.operators import split as S
 from corpusmill.operators.rows import select_where
+from corpusmill.plans import workflows as W
 from corpusmill.sources.corpus import code_files
 from corpusmill.sources.files import non_empty_pairs, of_suffix, pair_by_stem, primary_only, with_suffix
 
@@ -40,22 +41,7 @@ def system_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean token similarity to the original C, per system (another
     decompiler, and the generation stand-in), over every primary source that
     has its assembly and the other tool's output."""
-    files = code_files(spark, sf_dir)
-    keys = with_suffix(primary_only(files), ".c").select("stem")
-    joined = OC.join_systems(files, keys, truth=".c", asm=".s", other=".ghidra.c")
-    normalized = joined.select(
-        "stem", T.normalize_for_eval("truth").alias("truth"), T.normalize_for_eval("other").alias("other"),
-        T.normalize_for_eval(stand_in_prediction("asm")).alias("model"))
-    # normal forms stay in the JVM; only the edit-distance kernel crosses to
-    # Python, in Arrow batches, where the bit-parallel recurrence is ~64x
-    # fewer steps than the cell-by-cell JVM kernel on long texts
-    scored = normalized.select(
-        "stem",
-        C.similarity_fast("other", "truth")["similarity"].alias("sim_other"),
-        C.similarity_fast("model", "truth")["similarity"].alias("sim_model"),
-    )
-    long = OC.stack_systems(scored, "stem", {"other": "sim_other", "model": "sim_model"})
-    return OC.system_means(long, digits=9)
+    return W.compare_systems(code_files(spark, sf_dir), predict=stand_in_prediction)
 
 
 def eval_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,28 +80,15 @@ def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation set of the test split: key list -> pair lookup (missing
     keys skipped) -> both texts non-empty -> C normal form (assembly raw)."""
-    p = pairs(spark, sf_dir)
-    keys = S.split_exact(p.select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED).where("split = 'test'")
-    ev = non_empty_pairs(keys.join(p, "stem", "inner"))
-    return ev.select("stem", "src", T.normalize_c("tgt").alias("tgt"))
+    files = code_files(spark, sf_dir)
+    keys = S.split_exact(pair_by_stem(files, ".s", ".c").select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED)
+    return W.evaluation_set(files, keys.where("split = 'test'"))
 
 
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training set: pair -> split -> non-empty -> assembly normal form ->
     token budget (drop above 3x max, flag above max) -> C normal form."""
-    p = pairs(spark, sf_dir)
-    split = S.split_exact(p.select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED)
-    joined = non_empty_pairs(split.join(p, "stem", "inner"))
-    # normalise once, count tokens on the result, keep rows within budget
-    src = T.normalize_asm_expr("src")
-    staged = select_where(joined, [
-        F.col("stem"), F.col("split"),
-        T.let(src, lambda s: F.struct(s.alias("src"), F.size(T.tokens(s)).alias("n"))).alias("a"),
-        T.normalize_c("tgt").alias("tgt"),
-    ], lambda r: r["a"]["n"] <= 3 * MAX_SRC_TOKENS)
-    return staged.select("stem", "split", F.col("a.src").alias("src"), "tgt",
-                         F.col("a.n").alias("n_src_tokens"),
-                         (F.col("a.n") > MAX_SRC_TOKENS).alias("will_truncate"))
+    return W.build_training_set(code_files(spark, sf_dir), TRAIN_FRAC, VAL_FRAC, SEED, MAX_SRC_TOKENS)
 
 
 def missing_kind_report(spark: SparkSession, sf_dir: str) -> DataFrame:
