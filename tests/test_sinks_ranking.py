@@ -46,3 +46,13 @@ def test_candidate_ranking_with_scorer(spark):
     ranked = {(r.stem, r.candidate): r["rank"] for r in OC.rank_candidates(scored).collect()}
     assert ranked[("s1", "other")] == 1 and ranked[("s1", "model")] == 3
     assert ranked[("s2", "model")] == 1
+
+
+def test_write_named_keeps_only_written_rows(spark):
+    from corpusmill.operators.names import assign_names
+
+    d = tempfile.mkdtemp(prefix="corpusmill-sink3-")
+    arrivals = spark.createDataFrame([(1, "T", "a"), (2, "T", "a"), (3, "T", "b")], "arrival long, title string, code string")
+    W.write_named(assign_names(arrivals), os.path.join(d, "named"))
+    back = {r.name: r.content for r in spark.read.parquet(os.path.join(d, "named")).collect()}
+    assert back == {"T.c": "a\n", "T__2.c": "b\n"}
