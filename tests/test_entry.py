@@ -22,7 +22,7 @@ def test_registry_names_and_oracles():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     for name in q:
-        assert re.fullmatch(r"[a-z][a-z_]*", name)
+        assert re.fullmatch(r"[a-z][a-z0-9_]*", name)
 
 
 def _brute_lev(a, b):
