@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import exact_dedup
+from corpusmill.llm import exact_dedup, secrets
 
 QUERIES = {
+    "op5_linked_secrets": secrets.op5_linked_secrets,
     "op9_bloom_exact_dedup": exact_dedup.op9_bloom_exact_dedup,
 }
 
 #: the others have no SQL form; tests/llm holds them against brute force
 ORACLES = {
+    "op5_linked_secrets": secrets.oracle(),
     "op9_bloom_exact_dedup": exact_dedup.ORACLE,
 }
