@@ -98,9 +98,11 @@ def decisions(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     straight = tested.where(~F.col("maybe")).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     shuffled = tested.where("maybe")
-    groups = shuffled.groupBy("digest").agg(
+    # written first: AQE splits a hot digest only if the join reads both of its
+    # sides straight from a shuffle
+    groups = written(shuffled.groupBy("digest").agg(
         F.count(F.lit(1)).alias("group_size"),
-        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))
+        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")), "groups")
     decided = shuffled.join(groups, "digest").select(
         "id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "digest")
     return straight.unionByName(decided).select(
