@@ -1,7 +1,7 @@
 import random
 
 from corpusmill.llm import exact_dedup as X
-from tests.llm.conftest import DOCS, docs_of, ordered
+from llm_helpers import DOCS, docs_of, duck, ordered, tables  # noqa: F401
 
 COLS = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

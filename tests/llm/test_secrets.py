@@ -1,7 +1,7 @@
 import random
 
 from corpusmill.llm import secrets as S
-from tests.llm.conftest import DOCS, docs_of, ordered
+from llm_helpers import DOCS, docs_of, duck, ordered, tables  # noqa: F401
 
 COLS = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
@@ -27,7 +27,8 @@ def _kinds(spark, text):
 
 
 def test_weak_parts_need_their_complement(spark):
-    assert _kinds(spark, "user_name: bob, https://a.b/c, " + "aB3" * 9) == ["id", "endpoint", "key"]
+    assert _kinds(spark, "user_name: bob, https://a.b/c, " + "aB3" * 9) == ["id", "key"]
+    assert _kinds(spark, "https://a.b/c passwd: 0123456789") == ["endpoint", "assign"]
     assert _kinds(spark, "user_name: bob and https://a.b/c") == []
     assert _kinds(spark, "aB3" * 9 + " https://a.b/c") == []
     assert _kinds(spark, "login=root " + "x " * 150 + "secret=abcdefg") == ["assign"]
