@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import exact_dedup, secrets
+from corpusmill.llm import exact_dedup, secrets, simhash
 
 QUERIES = {
+    "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op5_linked_secrets": secrets.op5_linked_secrets,
     "op9_bloom_exact_dedup": exact_dedup.op9_bloom_exact_dedup,
 }
