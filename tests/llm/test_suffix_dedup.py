@@ -1,0 +1,110 @@
+import hashlib
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from corpusmill.llm import suffix_dedup as S
+from llm_helpers import DOCS, docs_of, duck, ordered, tables  # noqa: F401
+
+COLS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def brute(texts, length=100):
+    seen, out = set(), []
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for j in range(len(b) - length + 1):
+            s = b[j:j + length]
+            if s in seen:
+                gone[j:j + length] = b"\1" * length
+            seen.add(s)
+        left = bytes(c for c, g in zip(b, gone) if not g)
+        runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out.append((i, len(b), sum(gone), runs, hashlib.sha256(left).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def _texts(seed, n=120):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdeé ") for _ in range(rnd.randint(1, 9)))
+    fill = lambda k: " ".join(word() for _ in range(k))
+    shared = [fill(rnd.randint(10, 120)) for _ in range(8)]
+    exact = "".join(rnd.choice("xyz") for _ in range(100))
+    out = []
+    for _ in range(n):
+        parts = [rnd.choice([fill(rnd.randint(0, 40)), rnd.choice(shared), rnd.choice(shared)[rnd.randint(0, 30):], exact]) for _ in range(rnd.randint(0, 6))]
+        out.append(rnd.choice(["", " ", "Q"]).join(parts))
+    return out + out[:7] + [out[3] + "tail", None, "", "a" * 5_000, "a" * 99, "a" * 100, "a" * 300, "ab" * 400, exact, exact[:99], "Z" + exact + "Z",
+                            exact + exact[:50] + exact, "".join(shared), "é" * 200]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_query_against_brute_force(spark, tables, seed):
+    texts = _texts(seed)
+    got = S.op10_suffix_dedup(spark, tables("documents", docs_of(texts), DOCS)).collect()
+    want = brute(texts)
+    assert ordered(got, *COLS) == want
+    assert sum(r[2] > 0 for r in want) > 50
+
+
+def _arrow(rows, names):
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+
+
+def test_windows_of_long_texts_and_small_blocks(monkeypatch):
+    """A text longer than a block is ranked in parts: every window still
+    stands in exactly one run, or in a span that is settled."""
+    monkeypatch.setattr(S, "_BLOCK", 500)
+    monkeypatch.setattr(S, "_HELD", 50)
+    text = "".join(t or "" for t in _texts(8, 30)).encode()
+    out = pa.Table.from_batches(list(S._anchors(100, 32, S._whole, False)([_arrow([(1, 0, text)], ["id", "th", "text"])]))).to_pylist()
+    seen = np.zeros(len(text) - 99, int)
+    for r in out:
+        _, at, n = S._unpacked(r["place"])
+        seen[at:at + n if r["end"] is None else r["end"] - 99] += 1
+    # spans that touch are joined, so a window between two may be in both
+    assert (seen >= 1).all() and (seen == 1).mean() > 0.9
+
+
+def test_other_length_and_long_text(spark):
+    texts = _texts(7, 40) + ["".join(_texts(8, 30)[i] or "" for i in range(25))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert ordered(S.report(df, length=40).collect(), *COLS) == brute(texts, 40)
+
+
+def test_sorted_pass_over_any_batch_border():
+    rnd = random.Random(4)
+    rows = sorted((rnd.randint(0, 6), rnd.randint(0, 3), rnd.randint(0, 2), S._packed(0, rnd.randint(0, 5), 1)) for _ in range(60))
+
+    def run(cuts):
+        edges = [0, *sorted(cuts), len(rows)]
+        batches = [pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows[a:b]], pa.int64()) for k in range(4)), pa.nulls(b - a, pa.int64()), pa.array([b"%d" % i for i in range(a, b)], pa.binary())], S._NAMES)
+                   for a, b in zip(edges, edges[1:])]
+        out = [r for b in S._sorted_pass(100)(batches) for r in b.to_pylist()]
+        gone = {(r["id"], x) for r in out if r["end"] for x in range(S._unpacked(r["place"])[1], r["end"] - 99)}
+        return gone, sorted(str(r) for r in out if not r["end"])
+
+    whole = run([])
+    for _ in range(80):
+        assert run([rnd.randint(0, len(rows)) for _ in range(rnd.randint(1, 12))]) == whole
+
+
+def test_nulls_ties_repeated_rows_and_empty(spark):
+    rnd = random.Random(1)
+    t, u = "".join(rnd.choice("abc") for _ in range(150)), "z" * 120
+    rows = [(None, t, 1), (5, t, 2), (5, t, 2), (6, u, 3), (6, u, 3), (7, None, 4), (8, t[:100], 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    got = sorted([(r.doc_id, r.n_bytes, r.n_removed) for r in S.report(df).collect()], key=repr)
+    # u overlaps itself: all of its windows but the first repeat
+    assert got == sorted([(None, 150, 0), (5, 150, 150), (5, 150, 150), (6, 120, 119), (6, 120, 119), (7, 0, 0), (8, 100, 100)], key=repr)
+    assert S.report(df.limit(0)).count() == 0
+
+
+def test_ranks_are_those_of_the_bytes():
+    b = np.frombuffer(b"abcabc" * 20, np.uint8)
+    r = S._ranks(b, 32)
+    assert len(r) == len(b) - 31 and (r[3:] == r[:-3]).all() and len(set(r.tolist())) == 3
+    x = np.random.default_rng(0).integers(0, 1000, 500).astype(np.uint64)
+    assert (S._least(x, 69) == [x[i:i + 69].min() for i in range(len(x) - 68)]).all()
