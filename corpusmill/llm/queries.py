@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import bpe, exact_dedup, secrets, simhash, suffix_dedup
+from corpusmill.llm import bpe, exact_dedup, langid, secrets, simhash, suffix_dedup
 
 QUERIES = {
+    "op1_bitmask_langid": langid.op1_bitmask_langid,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op8_bpe_trie": bpe.op8_bpe_trie,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
