@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import bpe, exact_dedup, langid, secrets, simhash, suffix_dedup
+from corpusmill.llm import bpe, exact_dedup, langid, packing, secrets, simhash, suffix_dedup
 
 QUERIES = {
+    "op2_length_packing": packing.op2_length_packing,
     "op1_bitmask_langid": langid.op1_bitmask_langid,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op8_bpe_trie": bpe.op8_bpe_trie,
@@ -15,6 +16,7 @@ QUERIES = {
 
 #: the others have no SQL form; tests/llm holds them against brute force
 ORACLES = {
+    "op2_length_packing": packing.oracle(),
     "op5_linked_secrets": secrets.oracle(),
     "op9_bloom_exact_dedup": exact_dedup.ORACLE,
 }
