@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from corpusmill.session import ensure_checkpoint_dir
 
 #: ASCII white space as the contracts define it (fixed value)
 BLANKS = r"[\x20\x09-\x0D]+"
+#: characters of texts that are worked on at once
+BLOCK = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +45,28 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def text_key(text: Column) -> Column:
     """Tells rows with the same id but another text apart (null = empty)."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def blocks(texts: Iterable[tuple[int, str]], inside: Callable[[str], bool]) -> Iterator[list[tuple[int, str, bool]]]:
+    """Lists of (row, part of its text, whether it is the first part), about
+    BLOCK characters each. A long text is cut after a character that is not
+    ``inside`` a word (a word longer than a block: anywhere)."""
+    held: list[tuple[int, str, bool]] = []
+    size = 0
+    for row, t in texts:
+        at = 0
+        while True:
+            end = min(at + BLOCK, len(t))
+            most = min(end + BLOCK, len(t))
+            while end < most and inside(t[end - 1]):
+                end += 1
+            held.append((row, t[at:end], at == 0))
+            size += end - at
+            if size >= BLOCK:
+                yield held
+                held, size = [], 0
+            at = end
+            if at >= len(t):
+                break
+    if held:
+        yield held

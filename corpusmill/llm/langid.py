@@ -36,14 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import fresh, table, text_key, written
+from corpusmill.llm.common import blocks, fresh, table, text_key, written
 
 SLOTS_LOG2 = 20
 HASHES = 3
 MIN_SHARE = 2e-6
 RATIO = 0.25
 UNKNOWN = "und"
-_BLOCK = 1 << 20  # characters at once
 _MOST = 2_000_000  # distinct trigrams that a task holds before it hands them on
 _ODD = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
@@ -64,29 +63,6 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return text[2:][same], ((c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:])[same]
 
 
-def _blocks(texts):
-    """Lists of (row, part of a text), about a block of characters each. A long
-    text is cut between words (a word longer than a block anywhere)."""
-    held, size = [], 0
-    for row, t in texts:
-        at = 0
-        while True:
-            end = min(at + _BLOCK, len(t))
-            most = min(end + _BLOCK, len(t))
-            while end < most and t[end - 1].isalpha():
-                end += 1
-            held.append((row, t[at:end]))
-            size += end - at
-            if size >= _BLOCK:
-                yield held
-                held, size = [], 0
-            at = end
-            if at >= len(t):
-                break
-    if held:
-        yield held
-
-
 def slots(grams: np.ndarray, log2: int = SLOTS_LOG2) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         return [((g := grams * m) ^ (g >> np.uint64(31))) * _ODD[0] >> np.uint64(64 - log2) for m in _ODD[:HASHES]]
@@ -104,9 +80,9 @@ class Model:
     def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(trigrams, hits per language) of each text."""
         total, hits = np.zeros(len(texts)), np.zeros((len(texts), len(self.langs)))
-        for block in _blocks(enumerate(texts)):
-            row = np.array([r for r, _ in block])
-            text, grams = trigrams([t for _, t in block])
+        for block in blocks(enumerate(texts), str.isalpha):
+            row = np.array([r for r, _, _ in block])
+            text, grams = trigrams([t for _, t, _ in block])
             text = row[text]
             total += np.bincount(text, minlength=len(texts))
             at = slots(grams)
@@ -154,8 +130,8 @@ def _count(batches):
         for lang, text in zip(*(c.to_pylist() for c in b.columns)):
             by_lang[lang].append(text)
         for lang, texts in by_lang.items():
-            for block in _blocks(enumerate(texts)):
-                g, n = np.unique(trigrams([t for _, t in block])[1], return_counts=True)
+            for block in blocks(enumerate(texts), str.isalpha):
+                g, n = np.unique(trigrams([t for _, t, _ in block])[1], return_counts=True)
                 sums[lang].append((g, n))
                 held += len(g)
             if len(sums[lang]) > 16:

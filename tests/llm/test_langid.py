@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+from corpusmill.llm import common as C
 from corpusmill.llm import langid as L
 from llm_helpers import DOCS, docs_of, duck, ordered, tables  # noqa: F401
 
@@ -30,10 +31,10 @@ def _code(g):
 def test_trigrams_as_brute_force_in_any_block(monkeypatch):
     texts = [r[1] for r in _rows(30)] + ["", "12 3", "a", "é-ab", "x" * 50, "İstanbul ΣΑΣ"]
     for size in (1 << 20, 40):
-        monkeypatch.setattr(L, "_BLOCK", size)
+        monkeypatch.setattr(C, "BLOCK", size)
         got = {i: [] for i in range(len(texts))}
-        for block in L._blocks(enumerate(texts)):
-            row, grams = L.trigrams([t for _, t in block])
+        for block in C.blocks(enumerate(texts), str.isalpha):
+            row, grams = L.trigrams([t for _, t, _ in block])
             for r, g in zip(row, grams.tolist()):
                 got[block[r][0]].append(g)
         assert all(sorted(got[i]) == sorted(map(_code, _grams(t))) for i, t in enumerate(texts))
