@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import bpe, exact_dedup, langid, lm_score, packing, secrets, simhash, suffix_dedup, warc
+from corpusmill.llm import ann, bpe, exact_dedup, langid, lm_score, packing, secrets, simhash, suffix_dedup, warc
 
 QUERIES = {
+    "op7_multiprobe_ann": ann.op7_multiprobe_ann,
     "op6_warc_pages": warc.op6_warc_pages,
     "op4_cross_entropy_difference": lm_score.op4_cross_entropy_difference,
     "op2_length_packing": packing.op2_length_packing,
