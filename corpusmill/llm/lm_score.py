@@ -173,7 +173,8 @@ class Model:
 
 def _target(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """(text, good) of every row."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    # labels grow with the documents: no size at which they may be broadcast
+    good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct().hint("merge")
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(
         good, F.col("id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
 
