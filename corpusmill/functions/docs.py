@@ -4,6 +4,8 @@ expressions cannot follow is documented per function."""
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,17 +28,32 @@ SECTIONS_SCHEMA = "struct<parse:struct<sections:array<struct<line:string,index:s
 TEXT_SCHEMA = "struct<parse:struct<text:map<string,string>>>"
 
 
+ENTITY_RE = r"&(?:#[0-9]{1,10}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);"
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
 def html_unescape(text) -> Column:
-    """The five markup entities (``&amp;`` last). Other named or numeric
-    entities are left as they are."""
-    t = _c(text)
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
+    """Character references, decoded once: numeric ones (decimal and
+    hexadecimal) and the named ones of HTML 4 (the standard library's table).
+    Unknown names and numbers that are no character stay as they are."""
+    names = F.create_map(*[F.lit(x) for n, c in sorted(name2codepoint.items()) for x in (n, chr(c))])
+
+    def decoded(ref: Column) -> Column:
+        name = F.substring(ref, 2, F.length(ref) - 2)
+        number = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, 3, 12), 16, 10)).when(
+            name.startswith("#"), F.substring(name, 2, 12)).try_cast("long")
+        good = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.coalesce(F.when(good, char), F.try_element_at(names, name), ref)
+
+    def all_of(t: Column) -> Column:
+        parts, refs = F.split(t, ENTITY_RE, -1), F.regexp_extract_all(t, F.lit(ENTITY_RE), F.lit(0))
+        return F.array_join(F.zip_with(parts, refs, lambda p, r: F.concat(p, F.coalesce(decoded(r), F.lit("")))), "")
+
+    return let(_c(text), lambda t: F.when(F.instr(t, "&") > 0, all_of(t)).otherwise(t))
 
 
 def strip_tags(html) -> Column:

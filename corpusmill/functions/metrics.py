@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import let
+
 IGNORE_INDEX = -100
 
 
@@ -13,11 +15,33 @@ def _c(col) -> Column:
 
 
 def log_sum_exp(logits) -> Column:
-    """Numerically stable ``log(sum(exp(x)))``."""
-    l = _c(logits).cast("array<double>")
-    m = F.array_max(l)
-    total = F.aggregate(l, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))
-    return m + F.log(total)
+    """Numerically stable ``log(sum(exp(x)))``. The maximum is bound once:
+    written into the inner function, it would be taken anew for each logit."""
+    return let(_c(logits).cast("array<double>"), lambda l: let(F.array_max(l), lambda m: m + F.log(
+        F.aggregate(l, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))))
+
+
+def scorable(logits, label) -> Column:
+    """Whether a position can be scored: a label that is not ignored and lies
+    within logits that are all there."""
+    l, y = _c(logits), _c(label)
+    return F.coalesce((y != IGNORE_INDEX) & (y >= 0) & (y < F.size(l)) & ~F.exists(l, lambda x: x.isNull()), F.lit(False))
+
+
+def losses(logits, label, smoothing: float = 0.0) -> Column:
+    """Struct ``(nll, nll_smoothed)`` with one log-sum-exp for both; NULL where
+    the position can't be scored. See :func:`nll`."""
+    y = _c(label)
+
+    def of(l):
+        def both(lse):
+            plain = lse - F.try_element_at(l, (y + 1).cast("int"))
+            uniform = lse - F.aggregate(l, F.lit(0.0), lambda acc, x: acc + x) / F.size(l)
+            return F.struct(plain.alias("nll"), ((1.0 - smoothing) * plain + smoothing * uniform).alias("nll_smoothed"))
+
+        return F.when(scorable(l, y), let(log_sum_exp(l), both))
+
+    return let(_c(logits).cast("array<double>"), of)
 
 
 def nll(logits, label, smoothing: float = 0.0) -> Column:
@@ -26,16 +50,7 @@ def nll(logits, label, smoothing: float = 0.0) -> Column:
 
     With ``smoothing`` e > 0: ``(1 - e) * nll + e * mean_v(-log p_v)``, the
     published label-smoothing loss."""
-    l = _c(logits).cast("array<double>")
-    y = _c(label)
-    lse = log_sum_exp(l)
-    valid = (y != IGNORE_INDEX) & (y >= 0) & (y < F.size(l))
-    picked = F.try_element_at(l, (y + 1).cast("int"))
-    ce = lse - picked
-    if smoothing:
-        uniform = lse - F.aggregate(l, F.lit(0.0), lambda acc, x: acc + x) / F.size(l)
-        ce = (1.0 - smoothing) * ce + smoothing * uniform
-    return F.when(valid, ce)
+    return losses(logits, label, smoothing)["nll_smoothed" if smoothing else "nll"]
 
 
 def argmax(logits) -> Column:

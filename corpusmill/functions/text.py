@@ -1,8 +1,9 @@
 """Text column functions (``Column -> Column``).
 
 Every function here is a composition of built-in Spark expressions, so it
-runs inside whole-stage codegen / the JVM, works on batch and streaming
-frames alike, and never shuffles. Python text semantics (``str.strip``,
+runs in the JVM (higher-order functions are interpreted there, not compiled),
+works on batch and streaming frames alike, and never shuffles. No function
+cuts anything unless the caller asks for it. Python text semantics (``str.strip``,
 ``str.split``, ``str.splitlines``) are reproduced with explicit character
 sets, because Java's ``\\s`` is ASCII-only by default.
 """
@@ -140,13 +141,14 @@ def _contains(needle: str):
     return lambda x: F.instr(x, needle) > 0
 
 
-def ordered_includes(lns: Column, cap: int, prefer=PREFERRED_HEADERS) -> Column:
+def ordered_includes(lns: Column, cap: int | None, prefer=PREFERRED_HEADERS) -> Column:
     """Distinct include keys (whitespace collapsed), preferred headers first
-    (substring test, in preference order), the rest in order of appearance,
-    cut to ``cap``."""
+    (substring test, in preference order), the rest in order of appearance;
+    with ``cap``, the first ones alone (the others leave the text)."""
     incs = F.array_distinct(F.transform(F.filter(lns, _is_include), lambda x: collapse_ws(strip_ws(x))))
-    return let(incs, lambda i: F.slice(
-        F.array_distinct(F.concat(F.flatten(F.array(*[F.filter(i, _contains(p)) for p in prefer])), i)), 1, cap))
+    ordered = let(incs, lambda i: F.array_distinct(
+        F.concat(F.flatten(F.array(*[F.filter(i, _contains(p)) for p in prefer])), i)))
+    return ordered if cap is None else F.slice(ordered, 1, cap)
 
 
 def collapse_blank_runs(text) -> Column:
@@ -159,7 +161,7 @@ def drop_repeated_blank_lines(lns) -> Column:
     return F.filter(lns, lambda x, i: ~((x == "") & (i > 0) & (F.element_at(lns, i) == "")))
 
 
-def _normal_c_lines(text, include_cap: int, prefer) -> Column:
+def _normal_c_lines(text, include_cap: int | None, prefer) -> Column:
     """Lines of the C normal form before the final join + strip: includes
     first (then one empty line), body, repeated empty lines dropped."""
     def assemble(lns):
@@ -170,14 +172,14 @@ def _normal_c_lines(text, include_cap: int, prefer) -> Column:
     return let(let(lines(brace_style(text)), assemble), drop_repeated_blank_lines)
 
 
-def normalize_c(text, include_cap: int = 6, prefer=PREFERRED_HEADERS) -> Column:
-    """C normal form: brace placement, includes lifted/deduped/capped, at most
+def normalize_c(text, include_cap: int | None = None, prefer=PREFERRED_HEADERS) -> Column:
+    """C normal form: brace placement, includes lifted/deduped (capped, if asked for), at most
     one blank line in a row, stripped. Two regex passes per text (braces,
     line breaks); the rest works on the line array."""
     return strip_ws(join_lines(_normal_c_lines(text, include_cap, prefer)))
 
 
-def normalize_for_eval(text, include_cap: int = 6, prefer=PREFERRED_HEADERS) -> Column:
+def normalize_for_eval(text, include_cap: int | None = None, prefer=PREFERRED_HEADERS) -> Column:
     """Evaluation form: C normal form with every line right-trimmed
     (right-trimming every line, then stripping the text, is the same as
     stripping first and right-trimming the lines after)."""
@@ -215,9 +217,9 @@ def _clip(t: Column) -> Column:
     return let(good, lambda g: F.when(g >= 0, rstrip_ws(F.substring(t, F.lit(1), g))).otherwise(t))
 
 
-def tidy_c(text, include_cap: int = 8, prefer=PREFERRED_HEADERS) -> Column:
+def tidy_c(text, include_cap: int | None = None, prefer=PREFERRED_HEADERS) -> Column:
     """Tidy generated C: drop lone ``<`` lines, brace style, includes lifted
-    (cap 8), body trimmed, blank runs collapsed, clipped at the last balanced
+    (``include_cap`` of them, if given), body trimmed, blank runs collapsed, clipped at the last balanced
     ``}``."""
     # the lone-'<' rule only matters when some line starts with '<'
     t = let(text, lambda src: F.when(
@@ -307,11 +309,11 @@ def normalize_asm_expr(text, keep_local_labels: bool = False) -> Column:
     return strip_ws(join_lines(F.flatten(F.transform(chunks, per_chunk))))
 
 
-def clean_asm(text, max_lines: int = 200) -> Column:
-    """Quick clean-up: stripped lines, blanks and every ``.``-line dropped,
-    first ``max_lines`` kept lines."""
+def clean_asm(text, max_lines: int | None = None) -> Column:
+    """Quick clean-up: stripped lines, blanks and every ``.``-line dropped;
+    with ``max_lines``, the first kept lines alone."""
     kept = F.filter(F.transform(lines(text), strip_ws), lambda x: (x != "") & ~x.startswith("."))
-    return join_lines(F.slice(kept, 1, max_lines))
+    return join_lines(kept if max_lines is None else F.slice(kept, 1, max_lines))
 
 
 # ---------------------------------------------------------------------------
@@ -356,14 +358,17 @@ def clean_model_output(text) -> Column:
 # Names, URLs, hashes, logs
 # ---------------------------------------------------------------------------
 
-def safe_filename(title, ext: str = ".c", max_chars: int = 120) -> Column:
-    """Title -> file name: whitespace collapsed and stripped, each of
-    ``< > : " / \\ | ? *`` and control characters -> ``_``, spaces -> ``_``,
-    cut to ``max_chars - len(ext)``, empty -> ``snippet``."""
-    name = strip_ws(collapse_ws(_c(title)))
-    name = F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1F]', "_")
-    name = F.regexp_replace(F.regexp_replace(name, " +", " "), " ", "_")
-    base = F.substring(name, 1, max(1, max_chars - len(ext)))
+# Fixed value: characters that may not stand in a file name (inside of a class)
+UNSAFE_IN_NAMES = r'<>:"/\\|?*\x00-\x1F'
+
+
+def safe_filename(title, ext: str = ".c", max_chars: int | None = None) -> Column:
+    """Title -> file name, in one pass over the stripped title: a run of
+    whitespace and each character that file systems refuse become ``_``. With
+    ``max_chars``, cut to ``max_chars - len(ext)``; empty -> ``snippet``."""
+    base = F.regexp_replace(strip_ws(title), f"(?:{WS_RUN})|[{UNSAFE_IN_NAMES}]", "_")
+    if max_chars is not None:
+        base = F.substring(base, 1, max(1, max_chars - len(ext)))
     return F.concat(F.when(base == "", F.lit("snippet")).otherwise(base), F.lit(ext))
 
 
@@ -384,11 +389,12 @@ def content_hash(text) -> Column:
     return F.sha2(F.concat(F.regexp_replace(_c(text), r"\n+\z", ""), F.lit("\n")), 256)
 
 
-def truncate_info(text, n: int = 2000, empty: str = "unknown compile error") -> Column:
-    """Stripped error text, cut at ``n`` characters with a marker; empty ->
-    a fixed message."""
+def truncate_info(text, n: int | None = None, empty: str = "unknown compile error") -> Column:
+    """Stripped error text, with ``n`` cut at so many characters with a marker;
+    empty -> a fixed message."""
     t = strip_ws(F.coalesce(_c(text), F.lit("")))
-    cut = F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit(" ... [truncated]"))).otherwise(t)
+    cut = t if n is None else F.when(
+        F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit(" ... [truncated]"))).otherwise(t)
     return F.when(t == "", F.lit(empty)).otherwise(cut)
 
 

@@ -24,22 +24,26 @@ def with_suffix_path(path, new_suffix: str) -> Column:
 
 
 def gate(sources: DataFrame, results: DataFrame, key: str = "stem", path: str = "path",
-         parent: str | None = None) -> DataFrame:
+         parent: str | None = None, max_info: int | None = None) -> DataFrame:
     """Join sources with per-source results ``(key, returncode, stderr,
     asm)`` and decide: ``ok`` = return code 0 **and** output present;
-    ``info`` = the output name on success, else the stripped error text cut
-    at 2000 characters (``unknown compile error`` when empty); ``log_line``
-    in the ok / failed log format. Sources outside ``parent`` are dropped."""
+    ``info`` = the output name on success, else the stripped error text
+    (``unknown compile error`` when empty; with ``max_info``, cut at so many
+    characters); ``log_line`` in the ok / failed log format. A source without
+    a result stays, with ``status`` ``no result`` (others: ``compiled``,
+    ``failed``). Sources outside ``parent`` are dropped."""
     src = sources
     if parent is not None:
         src = src.where(is_safe_child(path, parent))
-    j = src.join(results, key, "inner")
-    ok = (F.col("returncode") == 0) & F.col("asm").isNotNull()
+    j = src.join(results, key, "left")
+    ok = F.coalesce((F.col("returncode") == 0) & F.col("asm").isNotNull(), F.lit(False))
     name = F.element_at(F.split(F.col(path), "/"), -1)
     info = F.when(ok, F.concat(name, F.lit(" -> "), F.element_at(F.split(with_suffix_path(path, ".s"), "/"), -1))) \
-        .otherwise(truncate_info("stderr"))
-    out = j.withColumn("ok", ok).withColumn("info", info)
+        .when(F.col("returncode").isNull(), F.lit("no result")).otherwise(truncate_info("stderr", max_info))
+    status = F.when(F.col("ok"), "compiled").when(F.col("returncode").isNull(), "no result").otherwise("failed")
+    out = j.withColumn("ok", ok).withColumn("info", info).withColumn("status", status)
     log = F.when(F.col("ok"), F.concat(F.col(path), F.lit(" -> "), with_suffix_path(path, ".s"))) \
+        .when(F.col("status") == "no result", F.concat(F.col(path), F.lit(" :: no result"))) \
         .otherwise(F.concat(F.col(path), F.lit(" (deleted) :: "), one_line("info")))
     return out.withColumn("log_line", log)
 
@@ -49,4 +53,5 @@ def survivors(gated: DataFrame) -> DataFrame:
 
 
 def rejects(gated: DataFrame) -> DataFrame:
+    """Failed sources and those without a result (see ``status``)."""
     return gated.where("not ok")

@@ -9,8 +9,20 @@ from pyspark.sql import functions as F
 from corpusmill.functions.docs import first_code_block, html_unescape, pick_section, section_html, strip_tags
 from corpusmill.functions.text import strip_ws, url_to_title
 
-LINK_RE = r"""(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>"""
-PER_PAGE_MAX_ITEMS = 200
+# an attribute of its own name (no ``data-href``), quoted either way or not at all
+LINK_RE = r"""(?is)<a(?:\s(?:[^>"']|"[^"]*"|'[^']*')*?)?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
+
+
+def link_parts(html) -> Column:
+    """Array of (href, inner markup) of all links in order; the page is
+    scanned once, the parts are taken from each link alone."""
+    h = F.col(html) if isinstance(html, str) else html
+
+    def parts(a):
+        href = F.concat(*[F.coalesce(F.regexp_extract(a, LINK_RE, g), F.lit("")) for g in (1, 2, 3)])
+        return F.struct(href.alias("href"), F.regexp_extract(a, LINK_RE, 4).alias("inner"))
+
+    return F.transform(F.regexp_extract_all(h, F.lit(LINK_RE), F.lit(0)), parts)
 
 
 def container_slice(html, start: str, end: str | None) -> Column:
@@ -29,17 +41,16 @@ def container_slice(html, start: str, end: str | None) -> Column:
 def extract_links(pages: DataFrame, html: str = "html", key: str = "page_id",
                   container_start: str = 'id="mw-pages"', container_end: str | None = None,
                   prefix: str = "/wiki/", exclude_prefix: str | None = "/wiki/Category:",
-                  base_url: Column | str = "", cap: int = PER_PAGE_MAX_ITEMS) -> DataFrame:
+                  base_url: Column | str = "", cap: int | None = None) -> DataFrame:
     """Links in page order -> ``(key, pos, title, url)``: href and title
     non-empty, href starting with ``prefix`` and not ``exclude_prefix``,
-    first occurrence of each URL kept, at most ``cap`` per page (after
-    de-duplication). One shuffle, on the page key."""
+    first occurrence of each URL kept, with ``cap`` so many per page at most
+    (after de-duplication). One shuffle, on the page key."""
     base = F.lit(base_url) if isinstance(base_url, str) else base_url
     sl = container_slice(html, container_start, container_end)
     arr = pages.select(
         F.col(key), base.alias("__base"),
-        F.arrays_zip(F.regexp_extract_all(sl, F.lit(LINK_RE), 1).alias("href"),
-                     F.regexp_extract_all(sl, F.lit(LINK_RE), 2).alias("inner")).alias("__links"))
+        link_parts(sl).alias("__links"))
     # the _outer generator keeps Spark from inferring a size() filter that
     # would be pushed below the projection and re-run both regex scans
     links = arr.select(key, "__base", F.posexplode_outer("__links").alias("pos", "l")).where(
@@ -56,7 +67,9 @@ def extract_links(pages: DataFrame, html: str = "html", key: str = "page_id",
     # the cap is a per-page top-k; the filtered window runs as a map-side
     # group limit, so at most `cap` rows per page and task are shuffled
     order = Window.partitionBy(key).orderBy("pos")
-    capped = deduped.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= cap)
+    capped = deduped.withColumn("__n", F.row_number().over(order))
+    if cap is not None:
+        capped = capped.where(F.col("__n") <= cap)
     return capped.select(key, (F.col("__n") - 1).alias("pos"), "title", "url")
 
 

@@ -22,29 +22,44 @@ def flatten_logits(df: DataFrame, logits: str = "logits", labels: str = "labels"
 
 def score_tokens(df: DataFrame, logits: str = "logits", label: str = "label",
                  smoothing: float = 0.0) -> DataFrame:
-    """Add ``nll`` (NULL where ignored), ``pred`` (argmax) and ``correct``."""
-    out = df.withColumn("nll", M.nll(logits, label)).withColumn("pred", M.argmax(logits))
+    """Add ``nll`` (NULL where ignored or not scorable), ``pred`` (argmax) and
+    ``correct``. Positions that can't be scored are told by
+    :func:`rejected_tokens`."""
+    both = M.losses(logits, label, smoothing)
+    out = df.withColumn("__losses", both).withColumn("pred", M.argmax(logits)).withColumn("nll", F.col("__losses.nll"))
     if smoothing:
-        out = out.withColumn("nll_smoothed", M.nll(logits, label, smoothing))
-    valid = F.col(label) != M.IGNORE_INDEX
-    return out.withColumn("correct", valid & (F.col("pred") == F.col(label)))
+        out = out.withColumn("nll_smoothed", F.col("__losses.nll_smoothed"))
+    return out.drop("__losses").withColumn(
+        "correct", F.col("nll").isNotNull() & F.coalesce(F.col("pred") == F.col(label), F.lit(False)))
 
 
-def split_metrics(scored: DataFrame, group: str = "split", label: str = "label", digits: int | None = 6,
+def rejected_tokens(df: DataFrame, logits: str = "logits", label: str = "label") -> DataFrame:
+    """Positions with a label (not the ignored one) that can't be scored: it
+    lies outside the logits, or logits are missing."""
+    return df.where((F.col(label) != M.IGNORE_INDEX) & ~M.scorable(logits, label))
+
+
+def split_metrics(scored: DataFrame, group: str = "split", digits: int | None = 6,
                   smoothing: float = 0.0) -> DataFrame:
-    """Token-weighted metrics per group: ``n_tokens``, ``nll_sum``,
+    """Token-weighted metrics per group over the positions that can be scored
+    (or, if ``scored`` has ``nll_sum``, ``n_tokens`` and ``n_correct`` per row, as
+    a scorer plug-in gives them, over those sums): ``n_tokens``, ``nll_sum``,
     ``avg_nll = sum / max(n, 1)``, ``perplexity = exp(avg_nll)`` (no cap),
     ``token_accuracy = correct / max(n, 1)``, ``masked_accuracy`` (NaN when
     no labelled token) and, with smoothing, the smoothed loss and its
     perplexity (``+inf`` on overflow)."""
-    valid = F.col(label) != M.IGNORE_INDEX
-    aggs = [
-        F.count_if(valid).alias("n_tokens"),
-        F.coalesce(F.sum(F.when(valid, F.col("nll"))), F.lit(0.0)).alias("nll_sum"),
-        F.count_if(F.col("correct")).alias("n_correct"),
-    ]
+    if {"nll_sum", "n_tokens", "n_correct"} <= set(scored.columns):
+        if smoothing:
+            raise ValueError("sums per row hold no smoothed loss")
+        aggs = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "nll_sum", "n_correct")]
+    else:
+        aggs = [
+            F.count("nll").alias("n_tokens"),
+            F.coalesce(F.sum("nll"), F.lit(0.0)).alias("nll_sum"),
+            F.count_if(F.col("correct")).alias("n_correct"),
+        ]
     if smoothing:
-        aggs.append(F.coalesce(F.sum(F.when(valid, F.col("nll_smoothed"))), F.lit(0.0)).alias("smoothed_sum"))
+        aggs.append(F.coalesce(F.sum("nll_smoothed"), F.lit(0.0)).alias("smoothed_sum"))
     g = scored.groupBy(group).agg(*aggs)
     n1 = F.greatest(F.col("n_tokens"), F.lit(1))
     r = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)

@@ -7,8 +7,8 @@ Rule, per base name (``safe_filename(title)``), in arrival order:
 * otherwise an arrival whose content hash equals the **base** file's hash is
   ``skipped-same`` (suffixed copies are never compared);
 * every other arrival takes the first free ``<stem>__<i><ext>``,
-  ``i = 2..max_suffix`` (names already on disk are not free, gaps are) —
-  ``written-suffixed``; none left -> ``conflict``.
+  ``i = 2, 3, …`` (names already on disk are not free, gaps are) —
+  ``written-suffixed``; with ``max_suffix`` and none left -> ``conflict``.
 
 Content is ``rstrip('\\n') + '\\n'`` and is hashed with sha256. Slot names that
 are themselves the base name of some arrival or existing file are treated as
@@ -17,9 +17,10 @@ colliders (the sequential original would let order decide).
 
 Scale: per-base values are plain aggregates (partial aggregation, so one base
 holding a third of all rows costs one partial row per task); the suffix rank
-uses a window filtered to ``rank < max_suffix``, which Spark turns into a
-map-side group limit, so at most ``max_suffix`` rows per base are shuffled for
-ranking. Arrivals beyond that are conflicts by construction.
+uses a window which, with ``max_suffix``, is filtered to ``rank < max_suffix``
+(a map-side group limit); arrivals beyond that are conflicts by construction.
+Without it every arrival gets a name: a base with n colliders and t names of
+its own that are taken needs no suffix above n + t + 1.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ def _canonical(code: str) -> F.Column:
 
 
 def assign_names(arrivals: DataFrame, existing: DataFrame | None = None, arrival: str = "arrival",
-                 title: str = "title", code: str = "code", ext: str = ".c", max_chars: int = 120,
-                 max_suffix: int = 999, with_content: bool = True) -> DataFrame:
+                 title: str = "title", code: str = "code", ext: str = ".c", max_chars: int | None = None,
+                 max_suffix: int | None = None, with_content: bool = True) -> DataFrame:
     """``arrivals(arrival, title, code)`` + ``existing(name, content)`` ->
     ``(arrival, title, base, name, status[, content])``; ``name`` is NULL for
     ``skipped-same`` rows and the base name for ``conflict`` rows.
@@ -77,14 +78,22 @@ def assign_names(arrivals: DataFrame, existing: DataFrame | None = None, arrival
 
     # rank colliders per base; the filter becomes a map-side group limit
     w = Window.partitionBy("base").orderBy("arrival")
-    ranked = cand.withColumn("k", F.row_number().over(w)).where(F.col("k") <= max_suffix - 1)
+    ranked = cand.withColumn("k", F.row_number().over(w))
+    if max_suffix is not None:
+        ranked = ranked.where(F.col("k") <= max_suffix - 1)
 
     # free slots only for bases that have colliders
     stem = F.regexp_replace(F.col("base"), F.lit(f"{_re_escape(ext)}$"), F.lit(""))
-    bases = ranked.select("base").distinct()
-    slots = bases.select("base", F.explode(F.sequence(F.lit(2), F.lit(max_suffix))).alias("i")) \
-        .withColumn("slot", F.concat(stem, F.lit("__"), F.col("i").cast("string"), F.lit(ext)))
     taken = ex.select(F.col("name").alias("slot")).unionByName(a.select(F.col("base").alias("slot"))).distinct()
+    bases = ranked.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+    suffixed = f"^(.*)__[0-9]+({_re_escape(ext)})$"
+    own = taken.where(F.col("slot").rlike(suffixed)).groupBy(
+        F.regexp_replace("slot", suffixed, "$1$2").alias("base")).agg(F.count(F.lit(1)).alias("t"))
+    last = F.col("n") + F.coalesce("t", F.lit(0)) + 1
+    if max_suffix is not None:
+        last = F.least(last, F.lit(max_suffix))
+    slots = bases.join(own, "base", "left").select("base", F.explode(F.sequence(F.lit(2).cast("long"), last)).alias("i")) \
+        .withColumn("slot", F.concat(stem, F.lit("__"), F.col("i").cast("string"), F.lit(ext)))
     free = slots.join(taken, "slot", "left_anti")
     free = free.withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("i")))
     placed = ranked.join(free.select("base", "k", "slot"), ["base", "k"], "left").select(

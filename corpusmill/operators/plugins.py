@@ -54,8 +54,8 @@ def generate(df: DataFrame, src: str, load: Callable[[], object],
 def score(df: DataFrame, src: str, tgt: str, load: Callable[[], object],
           score_fn: Callable[[object, list[str], list[str]], list[tuple[float, int, int]]]) -> DataFrame:
     """Scorer plug-in: per (src, tgt) row, ``score_fn`` returns
-    ``(nll_sum, n_tokens, n_correct)``; feeds the split metrics directly,
-    without materialising per-token logits."""
+    ``(nll_sum, n_tokens, n_correct)``, which ``metrics.split_metrics``
+    takes as they are; no logits per token are kept."""
     schema = T.StructType([T.StructField("nll_sum", T.DoubleType()), T.StructField("n_tokens", T.LongType()),
                            T.StructField("n_correct", T.LongType())])
 
@@ -81,9 +81,10 @@ def run_external(df: DataFrame, key: str, fn: Callable[[dict], tuple[int, str, s
             for row in pdf.to_dict("records"):
                 try:
                     rc, err, output = fn(row)
+                    rc = int(rc)
                 except Exception as exc:  # captured per row
                     rc, err, output = -1, f"unexpected error: {exc}", None
-                codes.append(int(rc))
+                codes.append(rc)
                 errs.append(err)
                 outs.append(output)
             yield pd.DataFrame({key: pdf[key], "returncode": codes, "stderr": errs, "asm": outs})

@@ -3,8 +3,8 @@
 The vocabulary is every distinct token of the input, numbered by the same
 distributed exact rank as the splits (seeded md5 order), so ids are dense,
 deterministic and independent of partitioning. Mapping tokens to ids is an
-equi-join on the token (the vocabulary grows with the data, so it is only
-broadcast when its checked size allows), followed by an ordered re-assembly
+equi-join on the token (the vocabulary grows with the data and is never
+broadcast), followed by an ordered re-assembly
 per row. Callers with a subword tokenizer use ``plugins.tokenize`` instead.
 """
 
@@ -32,22 +32,18 @@ def build_vocab(df: DataFrame, tokens_col: str, seed=42, first_id: int = 1, mate
 
 
 def to_ids(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, out: str = "ids",
-           broadcast_max_rows: int | None = None, salt_buckets: int = 16) -> DataFrame:
+           salt_buckets: int = 16) -> DataFrame:
     """Token arrays -> id arrays in the original order; the other columns of
     ``df`` are carried through (one pass over ``df``: no join back), so keep
     wide text columns out of ``df``. Rows with no token get an empty array.
 
-    ``broadcast_max_rows``: broadcast the vocabulary only after checking that
-    it has at most this many rows. Otherwise the join on the token is
-    salted: a very frequent token (``the``, ``{``) would put a large share
+    The join on the token is salted: a very frequent token (``the``, ``{``) would put a large share
     of all token rows into one task, so each row gets one of
     ``salt_buckets`` salts from its (key, position) and the vocabulary is
     repeated once per salt (a fixed multiple of its size)."""
     carry = [c for c in df.columns if c not in (key, tokens_col)]
     exploded = df.select(key, *carry, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    if broadcast_max_rows is not None and vocab.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows:
-        joined = exploded.join(F.broadcast(vocab), "token", "left")
-    elif salt_buckets and salt_buckets > 1:
+    if salt_buckets and salt_buckets > 1:
         salt = F.pmod(F.xxhash64(F.col(key), F.col("pos")), F.lit(salt_buckets)).cast("int")
         salted_vocab = vocab.select("token", "id", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
                                     .alias("__salt"))

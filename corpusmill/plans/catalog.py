@@ -17,6 +17,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {
     "system_similarity": cq.system_similarity,
+    "reply_similarity": cq.reply_similarity,
     "eval_normal_form": cq.eval_normal_form,
     "asm_normal_form": cq.asm_normal_form,
     "asm_normal_form_lines": cq.asm_normal_form_lines,
@@ -45,6 +46,7 @@ QUERIES: dict[str, QueryFn] = {
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
+    "reply_similarity": oq.q_reply_similarity,
     "eval_normal_form": oq.q_eval_normal_form,
     "asm_normal_form": oq.q_asm_normal_form,
     "asm_normal_form_lines": oq.q_asm_normal_form,

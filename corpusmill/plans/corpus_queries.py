@@ -16,13 +16,15 @@ from corpusmill.operators import compare as OC
 from corpusmill.operators import split as S
 from corpusmill.operators.rows import select_where
 from corpusmill.plans import workflows as W
-from corpusmill.sources.corpus import code_files
+from corpusmill.sources.corpus import code_files, reply_files
 from corpusmill.sources.files import non_empty_pairs, of_suffix, pair_by_stem, primary_only, with_suffix
 
 SEED = 42
 TRAIN_FRAC = 0.8
 VAL_FRAC = 0.1
 MAX_SRC_TOKENS = 2048
+# The limits of the rules that the queries show
+INCLUDE_CAP, TIDY_INCLUDE_CAP, QUICK_ASM_LINES = 6, 8, 200
 
 
 def stand_in_prediction(asm) -> F.Column:
@@ -41,7 +43,14 @@ def system_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean token similarity to the original C, per system (another
     decompiler, and the generation stand-in), over every primary source that
     has its assembly and the other tool's output."""
-    return W.compare_systems(code_files(spark, sf_dir), predict=stand_in_prediction)
+    return W.compare_systems(code_files(spark, sf_dir), predict=stand_in_prediction, include_cap=INCLUDE_CAP)
+
+
+def reply_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same comparison over stored replies: per conversation the first
+    assistant turn is the original, the last one the other system's answer,
+    and the candidate of the third system is the first user turn as it is."""
+    return W.compare_systems(reply_files(spark, sf_dir), predict=lambda asm: asm, include_cap=INCLUDE_CAP)
 
 
 def eval_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +58,7 @@ def eval_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     tool's output)."""
     files = code_files(spark, sf_dir)
     return of_suffix(files, ".c").select(
-        "name", T.normalize_for_eval("content").alias("normalized"))
+        "name", T.normalize_for_eval("content", INCLUDE_CAP).alias("normalized"))
 
 
 def asm_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,13 +91,13 @@ def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys skipped) -> both texts non-empty -> C normal form (assembly raw)."""
     files = code_files(spark, sf_dir)
     keys = S.split_exact(pair_by_stem(files, ".s", ".c").select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED)
-    return W.evaluation_set(files, keys.where("split = 'test'"))
+    return W.evaluation_set(files, keys.where("split = 'test'"), INCLUDE_CAP)
 
 
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training set: pair -> split -> non-empty -> assembly normal form ->
     token budget (drop above 3x max, flag above max) -> C normal form."""
-    return W.build_training_set(code_files(spark, sf_dir), TRAIN_FRAC, VAL_FRAC, SEED, MAX_SRC_TOKENS)
+    return W.build_training_set(code_files(spark, sf_dir), TRAIN_FRAC, VAL_FRAC, SEED, MAX_SRC_TOKENS, INCLUDE_CAP)
 
 
 def missing_kind_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,13 +146,13 @@ def tidy_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tidy every C text (lone '<' lines, braces, includes capped at 8,
     clipped at the last balanced brace)."""
     files = code_files(spark, sf_dir)
-    return of_suffix(files, ".c").select("name", T.tidy_c("content").alias("tidy"))
+    return of_suffix(files, ".c").select("name", T.tidy_c("content", TIDY_INCLUDE_CAP).alias("tidy"))
 
 
 def quick_asm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quick assembly clean-up (first 200 kept lines) of every listing."""
     files = code_files(spark, sf_dir)
-    return of_suffix(files, ".s").select("name", T.clean_asm("content").alias("cleaned"))
+    return of_suffix(files, ".s").select("name", T.clean_asm("content", QUICK_ASM_LINES).alias("cleaned"))
 
 
 def sample_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,8 +165,8 @@ def sample_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one row by construction (limit 1): broadcasting it keeps the listings
     # from being shuffled for a single lookup
     row = F.broadcast(one).join(asm, "stem", "inner")
-    cleaned = T.clean_asm("asm")
-    return row.select("stem", T.tidy_c(stand_in_prediction(cleaned)).alias("prediction"))
+    cleaned = T.clean_asm("asm", QUICK_ASM_LINES)
+    return row.select("stem", T.tidy_c(stand_in_prediction(cleaned), TIDY_INCLUDE_CAP).alias("prediction"))
 
 
 def threshold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +193,7 @@ def prediction_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     # train rows are only looked at when no validation item survives
     chosen = val.unionByName(usable("train").where(~val.exists()))
     top = chosen.orderBy("split_rank").limit(5).select(
-        "stem", "split_rank", T.normalize_for_eval(stand_in_prediction("src")).alias("prediction"))
+        "stem", "split_rank", T.normalize_for_eval(stand_in_prediction("src"), INCLUDE_CAP).alias("prediction"))
     report = sample_report(top, "split_rank", "prediction")
     return report.join(top.select("stem", "split_rank"), "split_rank").select("stem", F.col("value").alias("report"))
 

@@ -17,7 +17,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators import metrics as OM
 from corpusmill.operators import split as S
 from corpusmill.operators import tokenize as TK
-from corpusmill.plans.corpus_queries import SEED, TRAIN_FRAC, VAL_FRAC, pairs
+from corpusmill.plans.corpus_queries import INCLUDE_CAP, SEED, TRAIN_FRAC, VAL_FRAC, pairs
 from corpusmill.sources.corpus import table
 from corpusmill.sources.files import non_empty_pairs
 
@@ -49,7 +49,7 @@ def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs(spark, sf_dir)
     split = S.split_exact(p.select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED, keep_rank=True)
     test = non_empty_pairs(split.where("split = 'test'").join(p, "stem", "inner"))
-    toks = test.select("stem", "split_rank", F.slice(T.tokens(T.normalize_c("tgt")), 1, MAX_TGT_LEN).alias("tokens"))
+    toks = test.select("stem", "split_rank", F.slice(T.tokens(T.normalize_c("tgt", INCLUDE_CAP)), 1, MAX_TGT_LEN).alias("tokens"))
     vocab = TK.build_vocab(toks, "tokens", SEED, first_id=PAD_ID + 1)
     ids = TK.to_ids(toks, "stem", "tokens", vocab, "ids")
     batched = S.assign_batches(ids, "split_rank", BATCH_EVAL)

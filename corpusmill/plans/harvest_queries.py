@@ -30,6 +30,14 @@ NAV_START, NAV_END = "<nav", "</nav>"
 ARTICLE_START, ARTICLE_END = "<article", "</article>"
 LINK_PREFIX, LINK_EXCLUDE = "/", "/Category:"
 MODEL = "local-model"
+# The limits of the rules that the queries show
+MAX_ERROR_CHARS = 2000
+NAME_CHARS = 120
+MAX_SUFFIX = 999
+MAX_LINKS = 200
+
+
+TITLE_RE = r"^[^.\n]*"
 
 
 def page_origin(url) -> F.Column:
@@ -41,15 +49,14 @@ def link_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     page, with the title derived from the URL."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     links = H.extract_links(pages, "html", "page_id", NAV_START, NAV_END, LINK_PREFIX, LINK_EXCLUDE,
-                            base_url=page_origin("url"))
+                            base_url=page_origin("url"), cap=MAX_LINKS)
     return H.link_titles(links)
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
     nav = H.container_slice("html", NAV_START, NAV_END)
-    titles = F.transform(F.regexp_extract_all(nav, F.lit(H.LINK_RE), 2),
-                         lambda x: T.strip_ws(D.html_unescape(D.strip_tags(x))))
+    titles = F.transform(H.link_parts(nav), lambda x: T.strip_ws(D.html_unescape(D.strip_tags(x["inner"]))))
     sections = F.transform(titles, lambda t, i: F.struct(t.alias("line"), (i + 1).cast("string").alias("index")))
     article = H.container_slice("html", ARTICLE_START, ARTICLE_END)
     return pages.select(
@@ -71,11 +78,11 @@ def harvest_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document harvested under its source's title: safe names,
-    skipped identical copies, first free suffixes, conflicts."""
+    """Every document harvested under its own title, its text's first line up
+    to a full stop: safe names, skipped identical copies, first free suffixes."""
     docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("arrival"), F.col("source").alias("title"), F.col("text").alias("code"))
-    named = N.assign_names(docs, with_content=False)
+        F.col("doc_id").alias("arrival"), F.regexp_extract("text", TITLE_RE, 0).alias("title"), F.col("text").alias("code"))
+    named = N.assign_names(docs, max_chars=NAME_CHARS, max_suffix=MAX_SUFFIX, with_content=False)
     return named.select("arrival", "base", "name", "status")
 
 
@@ -127,14 +134,14 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.when(F.col("quality") == 0, 1).otherwise(0).alias("returncode"),
                        F.when(F.col("quality") == 0, F.col("text")).otherwise(F.lit("")).alias("stderr"))
                .join(asm, "stem", "left"))
-    return G.gate(sources, results, "stem", "path", parent="corpus")
+    return G.gate(sources, results, "stem", "path", parent="corpus", max_info=MAX_ERROR_CHARS)
 
 
 def compile_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compile verdict per source with its ok / failed log line."""
-    return _gated(spark, sf_dir).select("stem", "ok", "log_line")
+    """Compile verdict of every source with its log line; unlabelled sources
+    have no result."""
+    return _gated(spark, sf_dir).select("stem", "ok", "status", "log_line")
 
 
 def compile_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _gated(spark, sf_dir).withColumn("status", F.when(F.col("ok"), "compiled").otherwise("failed"))
-    return tally(g, "status")
+    return tally(_gated(spark, sf_dir), "status")

@@ -9,10 +9,18 @@ ASCII sets below agree with the Python/Unicode sets the Spark side uses.
 
 from __future__ import annotations
 
-from corpusmill.sources.corpus import code_files_sql
+from corpusmill.functions.docs import PROMPT_SUFFIX, SYSTEM_PROMPT
+from corpusmill.functions.text import PREFERRED_HEADERS
+from corpusmill.sources.corpus import code_files_sql, reply_files_sql
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-PREFER = ["<stdio.h>", "<stdlib.h>", "<string.h>", "<ctype.h>", "<math.h>"]
+# the fixed values are the library's own
+PREFER = PREFERRED_HEADERS
+
+
+def _sql_text(s: str) -> str:
+    """A text as an SQL expression, its line breaks as chr(10)."""
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in s.split("\n"))
 
 
 def files_cte() -> str:
@@ -226,17 +234,17 @@ def q_split_metrics() -> str:
    case when label = 0 then -100 else label end as label from embeddings),
 {split_cte('emb', 'vec_id')},
 tok as (select s.split, e.l, e.label, list_max(e.l) as m from emb e join splits s on e.vec_id = s.vec_id),
-sc as (select split, label,
-   case when label <> -100 and label >= 0 and label < len(l)
+sc as (select split, label, label <> -100 and label >= 0 and label < len(l) and len(list_filter(l, lambda x: x is null)) = 0 as fit,
+   case when fit
         then m + ln(list_sum(list_transform(l, lambda x: exp(x - m)))) - l[label + 1] end as nll,
-   case when label <> -100 and label >= 0 and label < len(l)
+   case when fit
         then 0.9 * (m + ln(list_sum(list_transform(l, lambda x: exp(x - m)))) - l[label + 1])
            + 0.1 * (m + ln(list_sum(list_transform(l, lambda x: exp(x - m)))) - list_avg(l)) end as nll_s,
    list_position(l, list_max(l)) - 1 as pred from tok),
-g as (select split, count(*) filter (where label <> -100) as n_tokens,
-   coalesce(sum(nll) filter (where label <> -100), 0) as nll_sum,
-   count(*) filter (where label <> -100 and pred = label) as n_correct,
-   coalesce(sum(nll_s) filter (where label <> -100), 0) as s_sum from sc group by split)
+g as (select split, count(*) filter (where fit) as n_tokens,
+   coalesce(sum(nll) filter (where fit), 0) as nll_sum,
+   count(*) filter (where fit and pred = label) as n_correct,
+   coalesce(sum(nll_s) filter (where fit), 0) as s_sum from sc group by split)
 select split, n_tokens, {r('nll_sum')} as nll_sum, {r('nll_sum / greatest(n_tokens, 1)')} as avg_nll,
   {r('exp(nll_sum / greatest(n_tokens, 1))')} as perplexity,
   {r('n_correct / greatest(n_tokens, 1)')} as token_accuracy,
@@ -268,7 +276,15 @@ select stem, batch_id, len(ids) as n_tokens,
 from m"""
 
 
-LINK_RE_RE2 = r"""(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>"""
+LINK_RE_RE2 = r"""(?is)<a(?:\s(?:[^>"\']|"[^"]*"|\'[^\']*\')*?)?\shref\s*=\s*(?:"([^"]*)"|\'([^\']*)\'|([^\s"\'>]+))[^>]*>(.*?)</a\s*>""".replace("\'", "''")
+
+
+def link_parts(s: str, part: str) -> str:
+    """Targets (three forms of quotes) or inner markup of all links of ``s``."""
+    if part == "inner":
+        return f"regexp_extract_all({s}, '{LINK_RE_RE2}', 4)"
+    one, two, three = (f"regexp_extract_all({s}, '{LINK_RE_RE2}', {g})" for g in (1, 2, 3))
+    return f"list_transform({one}, lambda x, i: coalesce(x, '') || coalesce({two}[i], '') || coalesce({three}[i], ''))"
 
 
 def unescape_expr(t: str) -> str:
@@ -292,8 +308,8 @@ def nav_slice(html: str = "html") -> str:
 def q_link_extraction() -> str:
     return f"""with sl as (select page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+)', 1) as base,
    {nav_slice()} as s from pages),
-m as (select page_id, base, regexp_extract_all(s, '{LINK_RE_RE2}', 1) as hrefs,
-   regexp_extract_all(s, '{LINK_RE_RE2}', 2) as inners from sl),
+m as (select page_id, base, {link_parts('s', 'href')} as hrefs,
+   {link_parts('s', 'inner')} as inners from sl),
 u as (select page_id, base, unnest(hrefs) as href, unnest(inners) as inner_html, generate_subscripts(hrefs, 1) as pos from m),
 c as (select page_id, pos, trim({unescape_expr("regexp_replace(inner_html, '<[^>]*>', '', 'g')")}, {WS}) as title,
    {unescape_expr('href')} as h, base from u),
@@ -312,7 +328,7 @@ def _harvest_ctes() -> str:
                 f"then {unescape_expr(inner)} end)")
     pre, code = block("pre"), block("code")
     return f"""m as (select page_id, {art} as a,
-   list_transform(regexp_extract_all({nav_slice()}, '{LINK_RE_RE2}', 2),
+   list_transform({link_parts(nav_slice(), 'inner')},
                   lambda x: trim({unescape_expr("regexp_replace(x, '<[^>]*>', '', 'g')")}, {WS})) as titles from pages),
 k as (select page_id, a, list_filter(list_transform(titles, lambda t, i: struct_pack(line := lower(t), idx := i)),
    lambda s: starts_with(s.line, 'c') and not starts_with(s.line, 'c++')) as hits from m),
@@ -331,15 +347,13 @@ def q_harvest_tally() -> str:
 
 
 def safe_filename_expr(t: str, ext: str = ".c", max_chars: int = 120) -> str:
-    n = f"trim(regexp_replace({t}, '\\s+', ' ', 'g'), {WS})"
-    n = f"regexp_replace({n}, '[<>:\"/\\\\|?*\\x00-\\x1F]', '_', 'g')"
-    n = f"replace(regexp_replace({n}, ' +', ' ', 'g'), ' ', '_')"
+    n = f"regexp_replace(trim({t}, {WS}), '(?:\\s+)|[<>:\"/\\\\|?*\\x00-\\x1F]', '_', 'g')"
     b = f"substr({n}, 1, {max(1, max_chars - len(ext))})"
     return f"(case when {b} = '' then 'snippet' else {b} end || '{ext}')"
 
 
 def q_safe_names() -> str:
-    return f"""with a as (select doc_id as arrival, {safe_filename_expr('source')} as base,
+    return f"""with a as (select doc_id as arrival, {safe_filename_expr("regexp_extract(text, '^[^.\\n]*', 0)")} as base,
    sha256(regexp_replace(text, '\\n+$', '') || chr(10)) as hash from documents),
 fb as (select base, min(arrival) as first_arrival, arg_min(hash, arrival) as first_hash from a group by base),
 s as (select a.*, case when a.arrival = fb.first_arrival then 'written'
@@ -377,19 +391,14 @@ f2 as (select problem_number, text, case when instr(h, '```') > 0
 f3 as (select problem_number, text, ltrim(case when instr(s, '#include') > 0 then substr(s, instr(s, '#include'))
    when instr(s, 'int main') > 1 then substr(s, instr(s, 'int main')) else s end, ' ' || chr(10) || chr(13) || chr(9)) as code from f2)
 select problem_number, '_' || cast(problem_number as varchar) || '.c' as file_name,
-  'Problem ' || cast(problem_number as varchar) || ':' || chr(10) || text || chr(10) || chr(10)
-    || 'Write a single self-contained C program that solves this. Output ONLY C code.' as prompt,
+  'Problem ' || cast(problem_number as varchar) || ':' || chr(10) || text || {_sql_text(PROMPT_SUFFIX)} as prompt,
   code, case when code is null then 'no reply' when code = '' then 'empty' else 'written' end as status
 from f3"""
 
 
 def q_chat_payloads() -> str:
-    system = ("You are an expert C programmer. You receive algorithmic problem statements. "
-              "You MUST respond with ONLY valid C source code for a single .c file. "
-              "No markdown fences, your output must compile as is. "
-              "Include a main() function that demonstrates or solves the problem.")
-    prompt = ("'Problem ' || cast(problem_number as varchar) || ':' || chr(10) || text || chr(10) || chr(10) "
-              "|| 'Write a single self-contained C program that solves this. Output ONLY C code.'")
+    system = SYSTEM_PROMPT.replace("'", "''")
+    prompt = "'Problem ' || cast(problem_number as varchar) || ':' || chr(10) || text || " + _sql_text(PROMPT_SUFFIX)
     return f"""with u as (select text, row_number() over (order by conv_id, turn) as problem_number
    from conversations where role = 'user')
 select problem_number, cast(json_object('model', 'local-model', 'messages',
@@ -404,21 +413,23 @@ src as (select {suffix_key('name', '.c')} as stem, path from files where name li
 asm as (select {suffix_key('name', '.s')} as stem, content as asm from files where name like '%.s'),
 res as (select 'doc_' || cast(l.doc_id as varchar) as stem, case when l.quality = 0 then 1 else 0 end as returncode,
    case when l.quality = 0 then d.text else '' end as stderr from labels l join documents d on l.doc_id = d.doc_id),
-g as (select s.stem, s.path, r.returncode = 0 and a.asm is not null as ok, trim(coalesce(r.stderr, ''), {WS}) as err
-   from src s join res r on s.stem = r.stem left join asm a on s.stem = a.stem),
+g as (select s.stem, s.path, coalesce(r.returncode = 0 and a.asm is not null, false) as ok,
+   case when r.stem is null then 'no result' when r.returncode = 0 and a.asm is not null then 'compiled' else 'failed' end as status,
+   trim(coalesce(r.stderr, ''), {WS}) as err
+   from src s left join res r on s.stem = r.stem left join asm a on s.stem = a.stem),
 gi as (select *, case when ok then '' when err = '' then 'unknown compile error'
    when length(err) > 2000 then substr(err, 1, 2000) || ' ... [truncated]' else err end as info from g)"""
 
 
 def q_compile_gate() -> str:
     return f"""with {_gate_ctes()}
-select stem, ok, case when ok then path || ' -> ' || regexp_replace(path, '([^/])\\.[^./]*$', '\\1') || '.s'
+select stem, ok, status, case when status = 'no result' then path || ' :: no result' when ok then path || ' -> ' || regexp_replace(path, '([^/])\\.[^./]*$', '\\1') || '.s'
    else path || ' (deleted) :: ' || replace(info, chr(10), ' ') end as log_line from gi"""
 
 
 def q_compile_tally() -> str:
     return f"""with {_gate_ctes()}
-select case when ok then 'compiled' else 'failed' end as status, count(*) as n from gi group by 1"""
+select status, count(*) as n from gi group by 1"""
 
 
 def q_sample_inspection() -> str:
@@ -450,3 +461,48 @@ pr as (select stem, split_rank, 'int ' || regexp_extract(src_n, '(?m)^([A-Za-z_]
 ev as (select pr.stem, pr.split_rank, {eval_form_expr('nc7.norm')} as e from pr join nc7 on pr.stem = nc7.stem)
 select stem, chr(10) || '=== SAMPLE ' || cast(row_number() over (order by split_rank) - 1 as varchar) || ' ===' || chr(10)
    || e || chr(10) as report from ev"""
+
+
+def tokens_expr(t: str) -> str:
+    return f"list_filter(regexp_split_to_array({t}, '\\s+'), lambda x: x <> '')"
+
+
+def similarity_sql(files: str, model: str) -> str:
+    """Mean token similarity per system: the C normal form, and the edit
+    distance as an anti-diagonal dynamic programme in a keyed recursive CTE."""
+    return f"""with recursive {files},
+keys as (select distinct {suffix_key('name', '.c')} as stem from files where name like '%.c' and name not like '%.ghidra.c'),
+j as (select k.stem, t.content as truth, s.content as asm, o.content as other from keys k
+   join files t on t.name like '%.c' and {suffix_key('t.name', '.c')} = k.stem
+   join files s on s.name like '%.s' and {suffix_key('s.name', '.s')} = k.stem
+   join files o on o.name like '%.ghidra.c' and {suffix_key('o.name', '.ghidra.c')} = k.stem),
+src_t as (select stem, truth as x from j), src_o as (select stem, other as x from j),
+src_m as (select stem, {model} as x from j)
+{normalize_c_ctes('src_t', 'stem', 'x', 'norm', prefix='nt')}
+{normalize_c_ctes('src_o', 'stem', 'x', 'norm', prefix='no')}
+{normalize_c_ctes('src_m', 'stem', 'x', 'norm', prefix='nm')},
+tt as (select stem, {tokens_expr(eval_form_expr('norm'))} as b from nt7),
+cand as (select 'other' as system, stem, {tokens_expr(eval_form_expr('norm'))} as a from no7
+   union all select 'model' as system, stem, {tokens_expr(eval_form_expr('norm'))} as a from nm7),
+pairs as (select row_number() over () as pid, c.system, c.a, t.b from cand c join tt t on c.stem = t.stem),
+dp(pid, d, n, m, a, b, p2, p1) using key (pid) as (
+  select pid, 1, len(a), len(b), a, b, [0::bigint] || list_transform(range(len(a)), lambda k: null::bigint),
+         list_transform(range(len(a) + 1), lambda i: case when i <= 1 then 1::bigint end)
+  from pairs
+  union
+  select pid, d + 1, n, m, a, b, p1,
+    list_transform(range(n + 1), lambda i:
+      case when d + 1 - i < 0 or d + 1 - i > m then null
+           when i = 0 then d + 1
+           when d + 1 - i = 0 then i
+           else least(p1[i] + 1, p1[i + 1] + 1, p2[i] + case when a[i] = b[d + 1 - i] then 0 else 1 end) end)
+  from dp where d < n + m),
+dist as (select p.system, dp.n, dp.m,
+   case when dp.n + dp.m = 0 then 0 when dp.n + dp.m = 1 then 1 else dp.p1[dp.n + 1] end as d
+   from dp join pairs p on dp.pid = p.pid),
+sims as (select system, case when n = 0 and m = 0 then 1.0 else 1.0 - d / greatest(n, m, 1) end as sim from dist)
+select system, count(*) as n_samples, round(avg(sim), 9) as mean_similarity from sims group by system"""
+
+
+def q_reply_similarity() -> str:
+    return similarity_sql(f"files as ({reply_files_sql()})", "asm")

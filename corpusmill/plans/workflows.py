@@ -20,10 +20,26 @@ from corpusmill.sources.files import non_empty_pairs, pair_by_stem, primary_only
 
 
 def build_training_set(files: DataFrame, train: float = 0.8, val: float = 0.1, seed=42,
-                       max_src_tokens: int = 2048) -> DataFrame:
+                       max_src_tokens: int | None = None, include_cap: int | None = None) -> DataFrame:
     """Pair ``.s``/``.c`` by stem -> seeded exact split of all pairs ->
-    both texts non-empty -> assembly normal form -> token budget (drop above
-    3x, flag above 1x) -> C normal form."""
+    both texts non-empty -> assembly normal form -> token budget -> C normal
+    form. With ``max_src_tokens``, pairs above three times that go (see
+    :func:`over_budget`) and those above it are flagged; without, all stay."""
+    staged = _training_pairs(files, train, val, seed, include_cap)
+    n = F.col("n_src_tokens")
+    if max_src_tokens is None:
+        return staged.withColumn("will_truncate", F.lit(False))
+    return staged.where(n <= 3 * max_src_tokens).withColumn("will_truncate", n > max_src_tokens)
+
+
+def over_budget(files: DataFrame, max_src_tokens: int, train: float = 0.8, val: float = 0.1, seed=42) -> DataFrame:
+    """The pairs that :func:`build_training_set` leaves out: ``(stem, split,
+    n_src_tokens)``."""
+    return _training_pairs(files, train, val, seed, None).where(F.col("n_src_tokens") > 3 * max_src_tokens).select(
+        "stem", "split", "n_src_tokens")
+
+
+def _training_pairs(files: DataFrame, train: float, val: float, seed, include_cap: int | None) -> DataFrame:
     p = pair_by_stem(files, ".s", ".c")
     split = S.split_exact(p.select("stem"), "stem", train, val, seed)
     joined = non_empty_pairs(split.join(p, "stem", "inner"))
@@ -31,23 +47,22 @@ def build_training_set(files: DataFrame, train: float = 0.8, val: float = 0.1, s
     staged = select_where(joined, [
         F.col("stem"), F.col("split"),
         T.let(src, lambda s: F.struct(s.alias("src"), F.size(T.tokens(s)).alias("n"))).alias("a"),
-        T.normalize_c("tgt").alias("tgt"),
-    ], lambda r: r["a"]["n"] <= 3 * max_src_tokens)
-    return staged.select("stem", "split", F.col("a.src").alias("src"), "tgt",
-                         F.col("a.n").alias("n_src_tokens"),
-                         (F.col("a.n") > max_src_tokens).alias("will_truncate"))
+        T.normalize_c("tgt", include_cap).alias("tgt"),
+    ], lambda r: F.lit(True))
+    return staged.select("stem", "split", F.col("a.src").alias("src"), "tgt", F.col("a.n").alias("n_src_tokens"))
 
 
-def evaluation_set(files: DataFrame, keys: DataFrame) -> DataFrame:
+def evaluation_set(files: DataFrame, keys: DataFrame, include_cap: int | None = None) -> DataFrame:
     """Key list -> pair lookup (missing keys skipped) -> both texts
     non-empty -> C normal form; the assembly stays raw."""
     p = pair_by_stem(files, ".s", ".c")
     ev = non_empty_pairs(keys.select("stem").join(p, "stem", "inner"))
-    return ev.select("stem", "src", T.normalize_c("tgt").alias("tgt"))
+    return ev.select("stem", "src", T.normalize_c("tgt", include_cap).alias("tgt"))
 
 
 def compare_systems(files: DataFrame, predict: Callable[[Column], Column] | None = None,
-                    other_suffix: str = ".ghidra.c", keys: DataFrame | None = None) -> DataFrame:
+                    other_suffix: str = ".ghidra.c", keys: DataFrame | None = None,
+                    include_cap: int | None = None) -> DataFrame:
     """Mean token similarity to the original, per system: the other tool's
     output (``other_suffix``) and, with ``predict`` (a column function of the
     assembly, e.g. a generation plug-in's output column), the model. Keys
@@ -55,9 +70,9 @@ def compare_systems(files: DataFrame, predict: Callable[[Column], Column] | None
     if keys is None:
         keys = with_suffix(primary_only(files, other_suffix), ".c").select("stem")
     joined = OC.join_systems(files, keys, truth=".c", asm=".s", other=other_suffix)
-    forms = [T.normalize_for_eval("truth").alias("truth"), T.normalize_for_eval("other").alias("other")]
+    forms = [T.normalize_for_eval("truth", include_cap).alias("truth"), T.normalize_for_eval("other", include_cap).alias("other")]
     if predict is not None:
-        forms.append(T.normalize_for_eval(predict(F.col("asm"))).alias("model"))
+        forms.append(T.normalize_for_eval(predict(F.col("asm")), include_cap).alias("model"))
     # one struct referenced by every similarity call (at least twice), so
     # Catalyst keeps it as a column instead of inlining the normal forms into
     # the Python UDF's inputs (which Spark 4.1 cannot evaluate)

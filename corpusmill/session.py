@@ -41,9 +41,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, setting a scratch one only when the
+    """Return the checkpoint folder, setting a scratch one only when a local
     session has none (tests, local runs). A cluster names a shared folder in
-    ``spark.checkpoint.dir``; that setting always wins."""
+    ``spark.checkpoint.dir``; that setting always wins, and without it a
+    cluster session is refused, as a folder of the driver's machine would not
+    be seen by the executors."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -55,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="corpusmill-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path

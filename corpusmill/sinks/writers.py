@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import cut_lineage
+
 
 def write_splits(splits: DataFrame, path: str, key: str = "stem", fmt: str = "parquet") -> None:
     """Split membership partitioned by ``split`` (``split=train/…``), so a
@@ -29,9 +31,12 @@ def write_changed(df: DataFrame, path: str, key: str, before: str, after: str) -
 
 
 def write_logs(gated: DataFrame, ok_path: str, fail_path: str) -> None:
-    """ok / failed log lines (one text line per row)."""
-    gated.where("ok").select(F.col("log_line").alias("value")).write.mode("overwrite").text(ok_path)
-    gated.where("not ok").select(F.col("log_line").alias("value")).write.mode("overwrite").text(fail_path)
+    """ok / failed log lines (one text line per row). The verdicts are taken
+    once, into the checkpoint folder: an external step above must not run a
+    second time, perhaps with another outcome."""
+    lines = cut_lineage(gated.select("ok", F.col("log_line").alias("value")))
+    lines.where("ok").select("value").write.mode("overwrite").text(ok_path)
+    lines.where("not ok").select("value").write.mode("overwrite").text(fail_path)
 
 
 def sample_report(samples: DataFrame, order_col: str, text_col: str) -> DataFrame:

@@ -102,6 +102,31 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reply_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(name, path, content, kind)``: three files per conversation, its first
+    assistant turn (``.c``), its last one (``.ghidra.c``) and its first user
+    turn (``.s``), whole."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(
+        F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("last"))
+    stem = F.concat(F.lit("conv_"), F.col("conv_id").cast("string"))
+
+    def files(role: str, suffix: str, which: str) -> DataFrame:
+        name = F.concat(stem, F.lit(suffix))
+        return turns.where(F.col("role") == role).select(name.alias("name"), F.concat(F.lit("replies/"), name).alias("path"),
+                                                          F.col(which).alias("content"), F.lit(suffix).alias("kind"))
+
+    return files("assistant", ".c", "first").unionByName(files("assistant", ".ghidra.c", "last")).unionByName(files("user", ".s", "first"))
+
+
+def reply_files_sql() -> str:
+    """DuckDB text of the same relation."""
+    def part(role: str, suffix: str, pick: str) -> str:
+        return (f"select 'conv_' || cast(conv_id as varchar) || '{suffix}' as name, {pick}(text, turn) as content "
+                f"from conversations where role = '{role}' group by conv_id")
+
+    return " union all ".join([part("assistant", ".c", "arg_min"), part("assistant", ".ghidra.c", "arg_max"), part("user", ".s", "arg_min")])
+
+
 def code_files_sql() -> str:
     """DuckDB/ANSI text of the same relation, for use as a CTE body."""
     cols = ", ".join(DOC_COLUMNS)

@@ -17,50 +17,12 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from corpusmill.plans.oracle_sql import (eval_form_expr, files_cte, normalize_c_ctes,  # noqa: E402
-                                         suffix_key)
+from corpusmill.plans.oracle_sql import files_cte, similarity_sql  # noqa: E402
 
 
-def tokens_expr(t: str) -> str:
-    return f"list_filter(regexp_split_to_array({t}, '\\s+'), lambda x: x <> '')"
-
-
-def similarity_sql() -> str:
-    model = ("'int ' || regexp_extract(asm, '(?m)^([A-Za-z_][A-Za-z0-9_]*):', 1) || '(void)' || chr(10) || '{' "
+STAND_IN = ("'int ' || regexp_extract(asm, '(?m)^([A-Za-z_][A-Za-z0-9_]*):', 1) || '(void)' || chr(10) || '{' "
              "|| chr(10) || '  // ' || array_to_string(regexp_extract_all(asm, '(?m)^\\s*\\.string\\s+\"(.*)\"\\s*$', 1), "
              "chr(10) || '  // ') || chr(10) || '  return 0;' || chr(10) || '}' || chr(10)")
-    return f"""with recursive {files_cte()},
-keys as (select distinct {suffix_key('name', '.c')} as stem from files where name like '%.c' and name not like '%.ghidra.c'),
-j as (select k.stem, t.content as truth, s.content as asm, o.content as other from keys k
-   join files t on t.name like '%.c' and {suffix_key('t.name', '.c')} = k.stem
-   join files s on s.name like '%.s' and {suffix_key('s.name', '.s')} = k.stem
-   join files o on o.name like '%.ghidra.c' and {suffix_key('o.name', '.ghidra.c')} = k.stem),
-src_t as (select stem, truth as x from j), src_o as (select stem, other as x from j),
-src_m as (select stem, {model} as x from j)
-{normalize_c_ctes('src_t', 'stem', 'x', 'norm', prefix='nt')}
-{normalize_c_ctes('src_o', 'stem', 'x', 'norm', prefix='no')}
-{normalize_c_ctes('src_m', 'stem', 'x', 'norm', prefix='nm')},
-tt as (select stem, {tokens_expr(eval_form_expr('norm'))} as b from nt7),
-cand as (select 'other' as system, stem, {tokens_expr(eval_form_expr('norm'))} as a from no7
-   union all select 'model' as system, stem, {tokens_expr(eval_form_expr('norm'))} as a from nm7),
-pairs as (select row_number() over () as pid, c.system, c.a, t.b from cand c join tt t on c.stem = t.stem),
-dp(pid, d, n, m, a, b, p2, p1) using key (pid) as (
-  select pid, 1, len(a), len(b), a, b, [0::bigint] || list_transform(range(len(a)), lambda k: null::bigint),
-         list_transform(range(len(a) + 1), lambda i: case when i <= 1 then 1::bigint end)
-  from pairs
-  union
-  select pid, d + 1, n, m, a, b, p1,
-    list_transform(range(n + 1), lambda i:
-      case when d + 1 - i < 0 or d + 1 - i > m then null
-           when i = 0 then d + 1
-           when d + 1 - i = 0 then i
-           else least(p1[i] + 1, p1[i + 1] + 1, p2[i] + case when a[i] = b[d + 1 - i] then 0 else 1 end) end)
-  from dp where d < n + m),
-dist as (select p.system, dp.n, dp.m,
-   case when dp.n + dp.m = 0 then 0 when dp.n + dp.m = 1 then 1 else dp.p1[dp.n + 1] end as d
-   from dp join pairs p on dp.pid = p.pid),
-sims as (select system, case when n = 0 and m = 0 then 1.0 else 1.0 - d / greatest(n, m, 1) end as sim from dist)
-select system, count(*) as n_samples, round(avg(sim), 9) as mean_similarity from sims group by system"""
 
 
 def main() -> None:
@@ -69,7 +31,7 @@ def main() -> None:
     for t in ("documents", "labels"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     t0 = time.time()
-    print(sorted(con.sql(similarity_sql()).fetchall()), round(time.time() - t0, 1), "s")
+    print(sorted(con.sql(similarity_sql(files_cte(), STAND_IN)).fetchall()), round(time.time() - t0, 1), "s")
 
 
 if __name__ == "__main__":

@@ -49,7 +49,11 @@ def test_extract_links(spark):
     capped = H.extract_links(spark.createDataFrame(
         [(2, '<div id="mw-pages">' + "".join(f'<a href="/wiki/p{i}">p{i}</a>' for i in range(250)) + "</div>")],
         "page_id long, html string"))
-    assert capped.count() == 200
+    assert capped.count() == 250  # nothing is cut unless asked for
+    few = H.extract_links(spark.createDataFrame(
+        [(2, '<div id="mw-pages">' + "".join(f'<a href="/wiki/p{i}">p{i}</a>' for i in range(250)) + "</div>")],
+        "page_id long, html string"), cap=200)
+    assert few.count() == 200
 
 
 def test_replies(spark):
@@ -66,3 +70,20 @@ def test_payload_round_trip(spark):
     assert body["model"] == "m" and body["temperature"] == 0.2 and body["max_tokens"] == -1 and body["stream"] is False
     assert body["messages"][0]["role"] == "system"
     assert body["messages"][1]["content"].startswith("Problem 7:\n7\n\nWrite a single")
+
+
+def test_links_take_their_own_attribute_in_any_quotes(spark):
+    html = ("<nav><a data-href='/wiki/Wrong' href=\"/wiki/Right\">r</a> <a class=x href='/wiki/Single'>s</a> <a href=/wiki/Bare>b</a>"
+            "<a title=\"href='/wiki/No'\" href=\"/wiki/Yes\">y</a><abbr href=\"/wiki/Abbr\">z</abbr></nav>")
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    got = [r.url for r in H.extract_links(df, container_start="<nav", container_end="</nav>").orderBy("pos").collect()]
+    assert got == ["/wiki/Right", "/wiki/Single", "/wiki/Bare", "/wiki/Yes"]
+
+
+def test_entities_of_all_forms(spark):
+    import html
+
+    cases = ["a&lt;b&#160;&#x3C;&#58;&nbsp;&eacute;", "&amp;lt; &amp;#58;", "&unknown; &#0; &#55296; &;", "plain", "&#128512;&copy;", "x&lt", ""]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
+    got = [r.u for r in df.select("i", D.html_unescape("t").alias("u")).orderBy("i").collect()]
+    assert got == [html.unescape(c) if c not in (cases[2], cases[5]) else c for c in cases]

@@ -58,3 +58,47 @@ def test_metrics_summary_line(spark):
                                "split string, avg_nll double, perplexity double, token_accuracy double")
     line = OM.metrics_summary(df).first().summary
     assert line == "validation | NLL: 1.2346 | PPL: 3.4369 | token_acc: 12.5000%"
+
+
+def test_bad_positions_are_rejected_and_not_counted(spark):
+    import math
+
+    from corpusmill.operators import metrics as OM
+
+    rows = [("a", [1.0, 2.0], 1), ("a", [1.0, 2.0], 7), ("a", [1.0, None], 0), ("a", None, 0), ("a", [0.0, 0.0], -100), ("a", [1.0], None)]
+    df = spark.createDataFrame(rows, "split string, logits array<double>, label int")
+    got = OM.split_metrics(OM.score_tokens(df, smoothing=0.1), smoothing=0.1, digits=None).first()
+    nll = math.log(math.exp(-1) + 1)
+    assert got.n_tokens == 1 and abs(got.avg_nll - nll) < 1e-12 and got.token_accuracy == 1.0
+    assert abs(got.smoothed_loss - (0.9 * nll + 0.1 * (nll + 0.5))) < 1e-12
+    assert OM.rejected_tokens(df).count() == 3
+
+
+def test_metrics_take_a_scorers_sums(spark):
+    from corpusmill.operators import metrics as OM
+
+    df = spark.createDataFrame([("a", 4.0, 2, 1), ("a", 2.0, 1, 1), ("b", 0.0, 0, 0)], "split string, nll_sum double, n_tokens long, n_correct long")
+    got = {r.split: r for r in OM.split_metrics(df).collect()}
+    assert got["a"].avg_nll == 2.0 and got["a"].n_tokens == 3 and got["b"].n_tokens == 0
+
+
+def test_loss_is_linear_in_the_width(spark):
+    """The maximum and the log-sum-exp are taken once: the plan's size and its
+    time do not grow with a second factor of the width."""
+    import time
+
+    from corpusmill.functions import metrics as FM
+    from pyspark.sql import functions as F
+
+    def seconds(width):
+        df = spark.range(40).select(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda x: (x % 7).cast("double")).alias("l"))
+        best = 1e9
+        for _ in range(2):
+            t = time.time()
+            df.select(F.sum(FM.nll("l", F.lit(3), 0.1))).collect()
+            best = min(best, time.time() - t)
+        return best
+
+    seconds(64)
+    # quadratic, 8,192 would take 16,000 times what 64 takes
+    assert seconds(8192) < 40 * max(seconds(64), 0.05)

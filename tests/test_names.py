@@ -2,10 +2,10 @@
 from corpusmill.operators.names import assign_names, skip_existing
 
 
-def run(spark, arrivals, existing=None):
+def run(spark, arrivals, existing=None, **kw):
     a = spark.createDataFrame(arrivals, "arrival long, title string, code string")
     e = spark.createDataFrame(existing or [], "name string, content string")
-    return {r.arrival: (r.name, r.status) for r in assign_names(a, e).collect()}
+    return {r.arrival: (r.name, r.status) for r in assign_names(a, e, **kw).collect()}
 
 
 def test_new_base_then_same_then_different(spark):
@@ -32,8 +32,11 @@ def test_existing_base_and_gaps(spark):
 
 def test_conflict_when_all_slots_taken(spark):
     existing = [("B.c", "b")] + [(f"B__{i}.c", "t") for i in range(2, 1000)]
-    got = run(spark, [(1, "B", "c")], existing)
+    got = run(spark, [(1, "B", "c")], existing, max_suffix=999)
     assert got[1] == ("B.c", "conflict")
+    # without a limit every arrival gets a name
+    got = run(spark, [(1, "B", "c"), (2, "B", "d")], existing)
+    assert got == {1: ("B__1000.c", "written-suffixed"), 2: ("B__1001.c", "written-suffixed")}
 
 
 def test_skip_existing(spark):

@@ -56,3 +56,22 @@ def test_write_named_keeps_only_written_rows(spark):
     W.write_named(assign_names(arrivals), os.path.join(d, "named"))
     back = {r.name: r.content for r in spark.read.parquet(os.path.join(d, "named")).collect()}
     assert back == {"T.c": "a\n", "T__2.c": "b\n"}
+
+
+def test_gate_keeps_sources_without_a_result(spark):
+    from corpusmill.operators import gate as G
+
+    src = spark.createDataFrame([("a", "c/a.c"), ("b", "c/b.c"), ("x", "c/x.c")], "stem string, path string")
+    res = spark.createDataFrame([("a", 0, "", "out"), ("b", 1, "e" * 3000, None)], "stem string, returncode int, stderr string, asm string")
+    got = {r.stem: r for r in G.gate(src, res).collect()}
+    assert {k: r.status for k, r in got.items()} == {"a": "compiled", "b": "failed", "x": "no result"}
+    assert got["x"].log_line == "c/x.c :: no result" and not got["x"].ok and len(got["b"].info) == 3000
+    assert len(G.gate(src, res, max_info=10).where("stem = 'b'").first()["info"]) < 40
+
+
+def test_an_external_step_may_return_anything(spark):
+    from corpusmill.operators.plugins import run_external
+
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+    got = {r.k: r for r in run_external(df, "k", lambda row: ("no number" if row["k"] == 1 else 0, "", "o")).collect()}
+    assert got[1].returncode == -1 and got[2].returncode == 0

@@ -39,7 +39,9 @@ def test_include_rules(spark):
         "#include <math.h>", "#include   <stdio.h>", "#include <stdio.h>", "#include <b.h>",
         "#include <c.h>", "#include <d.h>", "int main(){", "}",
     ])
-    out = one(spark, T.normalize_c("t"), src)
+    whole = one(spark, T.normalize_c("t"), src)
+    assert all(f"#include <{h}.h>" in whole for h in "abcd")  # no cap unless asked for
+    out = one(spark, T.normalize_c("t", include_cap=6), src)
     head = out.split("\n\n")[0].split("\n")
     # preferred first (stdio, then math), then order of appearance, cap 6
     assert head == ["#include <stdio.h>", "#include <math.h>", "#include<a.h>", "#include <a.h>",
@@ -102,8 +104,9 @@ def test_fences_and_model_output(spark):
 
 def test_safe_filename_and_url_title(spark):
     long = "x" * 200
-    got = many(spark, T.safe_filename("t"), [long, "a/b:c*", "", "  two   words "])
+    got = many(spark, T.safe_filename("t", max_chars=120), [long, "a/b:c*", "", "  two   words "])
     assert got == ["x" * 118 + ".c", "a_b_c_.c", "snippet.c", "two_words.c"]
+    assert many(spark, T.safe_filename("t"), [long]) == [long + ".c"]
     got = many(spark, T.url_to_title("t"), ["https://h.org/wiki/C%2B%2B+x", "/wiki/A_B", "/wiki/%zz", "/x/y"])
     assert got == ["C+++x", "A B", "%zz", "/x/y"]
 
@@ -112,7 +115,7 @@ def test_content_hash_and_truncation(spark):
     import hashlib
     h = one(spark, T.content_hash("t"), "abc\n\n\n")
     assert h == hashlib.sha256(b"abc\n").hexdigest()
-    got = many(spark, T.truncate_info("t"), ["e" * 2000, "e" * 2001, "", "  \n"])
+    got = many(spark, T.truncate_info("t", 2000), ["e" * 2000, "e" * 2001, "", "  \n"])
     assert got[0] == "e" * 2000
     assert got[1] == "e" * 2000 + " ... [truncated]"
     assert got[2] == got[3] == "unknown compile error"
@@ -133,7 +136,8 @@ def test_asm_rules(spark):
 
 def test_clean_asm(spark):
     src = "\n".join([".file x", "", "  a  "] + [f"i{k}" for k in range(300)])
-    out = one(spark, T.clean_asm("t"), src).split("\n")
+    assert len(one(spark, T.clean_asm("t"), src).split("\n")) == 301
+    out = one(spark, T.clean_asm("t", 200), src).split("\n")
     assert len(out) == 200 and out[0] == "a" and out[-1] == "i198"
 
 

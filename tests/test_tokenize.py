@@ -10,6 +10,6 @@ def test_ids_in_order_for_every_join_path(spark):
     ids = {r.token: r.id for r in vocab.collect()}
     assert sorted(ids.values()) == [1, 2, 3]
     expected = {"a": [ids["x"], ids["y"], ids["x"], ids["the"]], "b": [ids["the"]] * 50, "c": []}
-    for kwargs in ({"salt_buckets": 16}, {"salt_buckets": 1}, {"broadcast_max_rows": 10}):
+    for kwargs in ({"salt_buckets": 16}, {"salt_buckets": 1}):
         got = {r.stem: r.ids for r in TK.to_ids(df, "stem", "tokens", vocab, **kwargs).collect()}
         assert got == expected, kwargs
