@@ -80,7 +80,12 @@ def section_lines(json) -> Column:
 
 
 def pick_section(json, letter: str = "c", strict: bool = False) -> Column:
-    """Raw index of the first section whose stripped, lower-cased line starts
+    """See :func:`section_hit`; its ``index`` alone."""
+    return section_hit(json, letter, strict)["index"]
+
+
+def section_hit(json, letter: str = "c", strict: bool = False) -> Column:
+    """The section ``(line, index)``: raw index of the first section whose stripped, lower-cased line starts
     with ``letter`` but not ``letter++``. ``strict=True`` also requires the
     letter to stand alone (end, whitespace or a dash after it). Returns the
     index as text (NULL when no line qualifies); cast it with ``try_cast``."""
@@ -90,7 +95,7 @@ def pick_section(json, letter: str = "c", strict: bool = False) -> Column:
         if strict:
             cond = cond & F.regexp_like(line, F.lit(rf"^{letter}(\s|$|[–-])"))
         return cond
-    return F.try_element_at(F.filter(section_lines(json), ok), F.lit(1))["index"]
+    return F.try_element_at(F.filter(section_lines(json), ok), F.lit(1))
 
 
 def section_html(json) -> Column:

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.docs import first_code_block, html_unescape, pick_section, section_html, strip_tags
+from corpusmill.functions.docs import (TEXT_SCHEMA, first_code_block, html_unescape, section_hit, section_html,
+                                      section_lines, strip_tags)
 from corpusmill.functions.text import strip_ws, url_to_title
 
 # an attribute of its own name (no ``data-href``), quoted either way or not at all
@@ -75,19 +76,22 @@ def extract_links(pages: DataFrame, html: str = "html", key: str = "page_id",
 
 def harvest_status(items: DataFrame, sections_json: str = "sections_json", text_json: str = "text_json",
                    letter: str = "c", strict: bool = False) -> DataFrame:
-    """Per-item extraction with a status instead of a failure:
-    ``no section`` (no qualifying section), ``error`` (index not a number),
-    ``no html`` (empty section), ``no code`` (no code block), ``found``.
-    Adds ``section_index`` and ``code``."""
-    raw_idx = pick_section(sections_json, letter, strict)
-    out = items.withColumn("__raw_idx", raw_idx).withColumn("section_index", F.col("__raw_idx").try_cast("int"))
+    """Per-item extraction with a status instead of a failure: ``error`` (the
+    section list or the section is no such document, or the index is missing
+    or not a number), ``no section`` (no qualifying section), ``no html``
+    (empty section), ``no code`` (no code block), ``found``. Adds
+    ``section_index`` and ``code``."""
+    out = items.withColumn("__hit", section_hit(sections_json, letter, strict)).withColumn(
+        "__listed", section_lines(sections_json).isNotNull()).withColumn("section_index", F.col("__hit.index").try_cast("int"))
     out = out.withColumn("__html", section_html(text_json)).withColumn("code", first_code_block("__html"))
-    status = (F.when(F.col("__raw_idx").isNull(), "no section")
-              .when(F.col("section_index").isNull(), "error")
+    bad_body = F.col(text_json).isNotNull() & F.from_json(F.col(text_json), TEXT_SCHEMA)["parse"]["text"].isNull()
+    status = (F.when(~F.col("__listed"), "error")
+              .when(F.col("__hit").isNull(), "no section")
+              .when(F.col("section_index").isNull() | bad_body, "error")
               .when(F.coalesce(F.col("__html"), F.lit("")) == "", "no html")
               .when(F.col("code").isNull(), "no code")
               .otherwise("found"))
-    return out.withColumn("status", status).drop("__raw_idx", "__html")
+    return out.withColumn("status", status).drop("__hit", "__listed", "__html")
 
 
 def link_titles(links: DataFrame, url: str = "url") -> DataFrame:

@@ -2,9 +2,9 @@
 
 A global ``row_number()`` with no partition pulls every row into one task.
 ``exact_rank`` instead orders keys by ``md5(seed:key)``, splits them into
-4,096 hash buckets (first three hex digits), counts each bucket, turns the
-<= 4,096 counts into running offsets (a bounded table, broadcast), and ranks
-inside each bucket. The numbers equal the global window's, the work is
+65,536 hash buckets (first four hex digits), counts each bucket, turns the
+<= 65,536 counts into running offsets (a bounded table, broadcast), and ranks
+inside each bucket. Nothing runs while the DataFrame is built. The numbers equal the global window's, the work is
 spread over all buckets, and the one broadcast has a proven size bound.
 """
 
@@ -21,7 +21,7 @@ def order_hash(key, seed) -> F.Column:
 
 
 def exact_rank(df: DataFrame, key: str, seed=42, rank_col: str = "rank",
-               bucket_digits: int = 3, with_total: bool = False) -> DataFrame:
+               bucket_digits: int = 4, with_total: bool = False) -> DataFrame:
     """Add ``rank_col`` = 1-based position of each row in the order
     ``(md5('<seed>:' || key), key)``. Keys should be distinct (ties between
     equal keys are broken arbitrarily). ``bucket_digits`` hex digits give
@@ -30,10 +30,10 @@ def exact_rank(df: DataFrame, key: str, seed=42, rank_col: str = "rank",
         raise ValueError("bucket_digits must be in 1..5")
     h = "__h"
     b = "__b"
-    # one exchange on the bucket serves both the counts and the ranking
-    # window (Spark reuses it), so the input is computed once
+    # counted before any shuffle (a partial count per task and bucket); the
+    # rows themselves move once, to be ranked
     keyed = df.withColumn(h, order_hash(key, seed)).withColumn(
-        b, F.conv(F.substring(F.col(h), 1, bucket_digits), 16, 10).cast("int")).repartition(b)
+        b, F.conv(F.substring(F.col(h), 1, bucket_digits), 16, 10).cast("int"))
     counts = keyed.groupBy(b).agg(F.count(F.lit(1)).alias("__n"))
     running = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -60,16 +60,15 @@ def split_cutoffs(n: F.Column, train: float, val: float):
 
 
 def split_exact(df: DataFrame, key: str = "stem", train: float = 0.8, val: float = 0.1,
-                seed=42, split_col: str = "split", keep_rank: bool = False, materialize: bool = True) -> DataFrame:
+                seed=42, split_col: str = "split", keep_rank: bool = False, materialize: bool = False) -> DataFrame:
     """Seeded exact-count split: the first ``int(n*train)`` keys of the
     seeded order are ``train``, the next ``int(n*val)`` are ``val``, the rest
     ``test``. Keys are de-duplicated first (map-side partial aggregation, so
-    a hot key costs nothing extra)."""
+    a hot key costs nothing extra). ``materialize`` writes the key set to the
+    checkpoint folder, for inputs that are dear to read twice (the counts and
+    the numbering each read the narrow keys)."""
     keys = df.select(key).where(F.col(key).isNotNull()).dropDuplicates([key])
     if materialize:
-        # the rank reads its input twice (bucket counts, then numbering):
-        # write the key set once to the shared checkpoint folder instead of
-        # recomputing everything upstream of it
         keys = cut_lineage(keys)
     ranked = exact_rank(keys, key, seed, with_total=True)
     n_train, n_val = split_cutoffs(F.col("n_total"), train, val)
@@ -120,15 +119,18 @@ def ordinal_rank(df: DataFrame, order_cols: list[str], rank_col: str = "rank",
     """1-based position in the natural order of ``order_cols`` (a total
     order), without a one-task window.
 
-    Rows are range-partitioned on the **whole** sort key (so one hot value
-    of the first column is still split by the others), sorted within
-    partitions and written once to the checkpoint folder; the written
+    The order columns alone are range-partitioned on the **whole** sort key (so
+    one hot value of the first column is still split by the others), sorted
+    within partitions and written once to the checkpoint folder; the other
+    columns are joined back on them. The written
     partitions have a fixed content and order, so each row's index within
     its partition is deterministic. Per-partition counts (one row per
     partition, a bounded table) become broadcast offsets."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut_lineage(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
+    wide = len(df.columns) > len(order_cols)
+    keys = df.select(*order_cols)
+    ordered = cut_lineage(keys.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
     mid = ordered.withColumn("__m", F.monotonically_increasing_id())
     part = F.shiftright(F.col("__m"), 33)
     idx = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
@@ -137,6 +139,14 @@ def ordinal_rank(df: DataFrame, order_cols: list[str], rank_col: str = "rank",
     running = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__p", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__off"))
     # offsets: one row per partition
-    return (mid.join(F.broadcast(offsets), "__p", "inner")
-            .withColumn(rank_col, F.col("__off") + F.col("__i") + 1)
-            .drop("__m", "__p", "__i", "__off"))
+    ranked = (mid.join(F.broadcast(offsets), "__p", "inner")
+              .withColumn(rank_col, F.col("__off") + F.col("__i") + 1)
+              .drop("__m", "__p", "__i", "__off"))
+    if not wide:
+        return ranked
+    named = ranked.withColumnsRenamed({c: f"__o_{c}" for c in order_cols})
+    same = None
+    for c in order_cols:
+        eq = F.col(c).eqNullSafe(F.col(f"__o_{c}"))
+        same = eq if same is None else same & eq
+    return df.join(named, same, "inner").drop(*[f"__o_{c}" for c in order_cols])

@@ -35,6 +35,9 @@ QUERIES: dict[str, QueryFn] = {
     "prediction_samples": cq.prediction_samples,
     "split_metrics": eq.split_metrics,
     "token_batches": eq.token_batches,
+    "candidate_ranking": eq.candidate_ranking,
+    "code_harvest": hq.code_harvest,
+    "code_harvest_tally": hq.code_harvest_tally,
     "link_extraction": hq.link_extraction,
     "section_harvest": hq.section_harvest,
     "harvest_tally": hq.harvest_tally,
@@ -64,6 +67,9 @@ ORACLES: dict[str, Callable[[], str]] = {
     "prediction_samples": oq.q_prediction_samples,
     "split_metrics": oq.q_split_metrics,
     "token_batches": oq.q_token_batches,
+    "candidate_ranking": oq.q_candidate_ranking,
+    "code_harvest": oq.q_code_harvest,
+    "code_harvest_tally": oq.q_code_harvest_tally,
     "link_extraction": oq.q_link_extraction,
     "section_harvest": oq.q_section_harvest,
     "harvest_tally": oq.q_harvest_tally,

@@ -17,6 +17,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators import metrics as OM
 from corpusmill.operators import split as S
 from corpusmill.operators import tokenize as TK
+from corpusmill.plans import workflows as W
 from corpusmill.plans.corpus_queries import INCLUDE_CAP, SEED, TRAIN_FRAC, VAL_FRAC, pairs
 from corpusmill.sources.corpus import table
 from corpusmill.sources.files import non_empty_pairs
@@ -25,6 +26,8 @@ PAD_ID = 0
 SMOOTHING = 0.1
 MAX_TGT_LEN = 256
 BATCH_EVAL = 4
+N_CANDIDATES = 3
+PERPLEXITY_CAP = 20.0
 
 
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +45,17 @@ def split_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return OM.split_metrics(scored, "split", smoothing=SMOOTHING)
 
 
+def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored logits as the scored tokens of three candidates per source: a
+    row's label is its source, and rows take turns among the candidates. Mean
+    loss, perplexity capped at a loss of 20, rank."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("stem"), F.pmod("vec_id", F.lit(N_CANDIDATES)).alias("candidate"),
+                                                     M.nll("embedding", "label").alias("nll"))
+    ranked = W.rank_candidates_by_loss(rows.select("stem"), rows, PERPLEXITY_CAP)
+    return ranked.select("stem", "candidate", "n_tokens", F.round("mean_loss", 6).alias("mean_loss"),
+                         F.round("perplexity", 6).alias("perplexity"), "rank")
+
+
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test split -> C normal form -> whitespace tokens truncated to 256 ->
     dictionary ids -> batches of 4 in split order -> padded to the batch

@@ -23,6 +23,7 @@ from corpusmill.operators import harvest as H
 from corpusmill.operators import names as N
 from corpusmill.operators.metrics import tally
 from corpusmill.operators.split import ordinal_rank
+from corpusmill.plans import workflows as W
 from corpusmill.sources.corpus import code_files, table
 from corpusmill.sources.files import primary_only, with_suffix
 
@@ -77,6 +78,40 @@ def harvest_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tally(H.harvest_status(_sections(spark, sf_dir)), "status")
 
 
+def _harvest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a section list and a section body each. The body is the
+    document of the same number as the API would send it: escaped, in a
+    ``<pre>`` if it was judged good, in ``<code>`` if it was not judged, as
+    bare text if bad; no document, no body. The list is the page's links; a
+    page without links sends no list at all, and ``C`` is listed last, without
+    its index where the language is not known to the page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id"), "quality")
+    j = pages.join(docs, pages.page_id == docs.doc_id, "left").join(labels, F.col("page_id") == F.col("l_id"), "left")
+    escaped = "text"
+    for ch, ent in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;"), ('"', "&#x22;")):
+        escaped = F.replace(F.col(escaped) if isinstance(escaped, str) else escaped, F.lit(ch), F.lit(ent))
+    body = F.when(F.col("quality") == 1, F.concat(F.lit("<p>C</p><pre class='c'>"), escaped, F.lit("</pre>"))).when(
+        F.col("quality").isNull(), F.concat(F.lit("<code>"), escaped, F.lit("</code>"))).otherwise(escaped)
+    titles = F.transform(H.link_parts(H.container_slice("html", NAV_START, NAV_END)), lambda x: D.strip_tags(x["inner"]))
+    listed = F.transform(titles, lambda t, i: F.struct(t.alias("line"), (i + 1).cast("string").alias("index")))
+    last = F.array(F.struct(F.lit("C").alias("line"), F.when(F.col("lang") != "fr", F.lit("99")).alias("index")))
+    sections = F.to_json(F.struct(F.struct(F.concat(listed, last).alias("sections")).alias("parse")))
+    return j.select(F.col("page_id").alias("arrival"), T.url_to_title("url").alias("title"),
+                    F.when(F.size(titles) > 0, sections).otherwise("not found").alias("sections_json"),
+                    F.to_json(F.struct(F.struct(F.create_map(F.lit("*"), body).alias("text")).alias("parse"))).alias("text_json"))
+
+
+def code_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole harvest: section, code, name, outcome per page."""
+    return W.harvest_code(_harvest_items(spark, sf_dir), max_chars=NAME_CHARS, max_suffix=MAX_SUFFIX)
+
+
+def code_harvest_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tally(code_harvest(spark, sf_dir), "outcome")
+
+
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document harvested under its own title, its text's first line up
     to a full stop: safe names, skipped identical copies, first free suffixes."""

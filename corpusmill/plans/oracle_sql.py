@@ -352,25 +352,35 @@ def safe_filename_expr(t: str, ext: str = ".c", max_chars: int = 120) -> str:
     return f"(case when {b} = '' then 'snippet' else {b} end || '{ext}')"
 
 
-def q_safe_names() -> str:
-    return f"""with a as (select doc_id as arrival, {safe_filename_expr("regexp_extract(text, '^[^.\\n]*', 0)")} as base,
-   sha256(regexp_replace(text, '\\n+$', '') || chr(10)) as hash from documents),
-fb as (select base, min(arrival) as first_arrival, arg_min(hash, arrival) as first_hash from a group by base),
-s as (select a.*, case when a.arrival = fb.first_arrival then 'written'
+def _naming_ctes() -> str:
+    """From ``a(arrival, base, hash)``: who writes the base, who is the same,
+    and the free slots."""
+    return """fb as (select base, min(arrival) as first_arrival, arg_min(hash, arrival) as first_hash from a group by base),
+st as (select a.*, case when a.arrival = fb.first_arrival then 'written'
                        when a.hash = fb.first_hash then 'skipped-same' end as status from a join fb using (base)),
-cand as (select *, row_number() over (partition by base order by arrival) as k from s where status is null),
+cand as (select *, row_number() over (partition by base order by arrival) as k from st where status is null),
 taken as (select distinct base as slot from a),
 slots as (select b.base, g.i, substr(b.base, 1, length(b.base) - 2) || '__' || cast(g.i as varchar) || '.c' as slot
    from (select distinct base from cand) b cross join generate_series(2, 999) as g(i)),
 free as (select base, slot, row_number() over (partition by base order by i) as k
-   from slots where slot not in (select slot from taken))
-select arrival, base, case when status = 'written' then base end as name, status from s where status is not null
+   from slots where slot not in (select slot from taken)),"""
+
+
+def _naming_select() -> str:
+    return """select arrival, base, case when status = 'written' then base end as name, status from st where status is not null
 union all
 select c.arrival, c.base, coalesce(f.slot, c.base) as name,
   case when f.slot is not null then 'written-suffixed' else 'conflict' end as status
 from cand c left join free f on c.base = f.base and c.k = f.k"""
 
 
+def q_safe_names() -> str:
+    return f"""with a as (select doc_id as arrival, {safe_filename_expr("regexp_extract(text, '^[^.\\n]*', 0)")} as base,
+   sha256(regexp_replace(text, '\\n+$', '') || chr(10)) as hash from documents),
+{_naming_ctes().rstrip(',')}
+{_naming_select()}"""
+
+
 def _replies_ctes() -> str:
     return """u as (select conv_id, turn, text, row_number() over (order by conv_id, turn) as problem_number
    from conversations where role = 'user'),
@@ -506,3 +516,39 @@ select system, count(*) as n_samples, round(avg(sim), 9) as mean_similarity from
 
 def q_reply_similarity() -> str:
     return similarity_sql(f"files as ({reply_files_sql()})", "asm")
+
+
+def q_candidate_ranking() -> str:
+    return """with t as (select label as stem, vec_id % 3 as candidate, list_transform(embedding, lambda x: cast(x as double)) as l, label from embeddings),
+n as (select stem, candidate, case when label >= 0 and label < len(l) and label <> -100
+   then list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) - l[label + 1] end as nll from t),
+g as (select stem, candidate, count(nll) as n_tokens, avg(nll) as loss from n group by 1, 2)
+select stem, candidate, n_tokens, round(loss, 6) as mean_loss,
+  round(case when loss < 20 then exp(loss) when loss is not null then 'Infinity'::double end, 6) as perplexity,
+  cast(row_number() over (partition by stem order by loss nulls last, candidate) as integer) as rank from g"""
+
+
+def _code_harvest_ctes() -> str:
+    """From the view's rule, not from its markup: which page has which status."""
+    base = safe_filename_expr(url_title_expr("url"))
+    return f"""p as (select page_id as arrival, url, d.text, d.lang, l.quality, d.doc_id,
+   list_transform({link_parts(nav_slice(), 'inner')}, lambda x: lower(trim(regexp_replace(x, '<[^>]*>', '', 'g'), {WS}))) as titles
+   from pages left join documents d on page_id = d.doc_id left join labels l on page_id = l.doc_id),
+q as (select *, list_position(list_transform(titles, lambda t: starts_with(t, 'c') and not starts_with(t, 'c++')), true) as hit from p),
+s as (select *, case when len(coalesce(titles, [])) = 0 then null when coalesce(hit, 0) > 0 then hit when lang is null or lang = 'fr' then null else 99 end as section_index from q),
+h as (select *, case when len(coalesce(titles, [])) = 0 or section_index is null then 'error'
+   when coalesce(text, '') = '' and (doc_id is null or quality = 0) then 'no html'
+   when quality = 0 or text = '' then 'no code' else 'found' end as status from s),
+a as (select arrival, {base} as base, sha256(regexp_replace(text, '\\n+$', '') || chr(10)) as hash from h where status = 'found'),
+{_naming_ctes()}
+n as ({_naming_select()}),
+o as (select h.arrival, section_index, n.name, coalesce(n.status, h.status) as status from h left join n on h.arrival = n.arrival),
+r as (select *, case when starts_with(status, 'written') then 'saved' when status in ('error', 'conflict') then 'error' else 'skipped' end as outcome from o)"""
+
+
+def q_code_harvest() -> str:
+    return f"""with {_code_harvest_ctes()} select arrival, cast(section_index as integer) as section_index, name, status, outcome from r"""
+
+
+def q_code_harvest_tally() -> str:
+    return f"with {_code_harvest_ctes()} select outcome, count(*) as n from r group by outcome"

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import compare as C
 from corpusmill.functions import text as T
+from corpusmill.functions import metrics as M
 from corpusmill.operators import compare as OC
+from corpusmill.operators import harvest as H
+from corpusmill.operators import names as N
 from corpusmill.operators import split as S
 from corpusmill.operators.rows import select_where
 from corpusmill.sources.files import non_empty_pairs, pair_by_stem, primary_only, with_suffix
@@ -92,3 +95,31 @@ def clean_corpus(files: DataFrame, suffix: str = ".c") -> DataFrame:
     cleaned = T.remove_comments("content")
     return src.select("name", "path", "content", cleaned.alias("cleaned"),
                       (cleaned != F.col("content")).alias("changed"))
+
+
+def rank_candidates_by_loss(sources: DataFrame, scores: DataFrame, cap: float | None = 20.0, key: str = "stem") -> DataFrame:
+    """``sources(key)`` against their N ``scores(key, candidate, nll)`` rows (one
+    per token): mean loss, perplexity (``+inf`` from ``cap`` on) and rank of
+    each candidate within its source. A source without any candidate keeps a
+    row with nulls."""
+    joined = sources.select(key).dropDuplicates([key]).join(
+        scores.groupBy(key, "candidate").agg(F.count("nll").alias("n_tokens"), F.avg("nll").alias("mean_loss")), key, "left")
+    order = Window.partitionBy(key).orderBy(F.col("mean_loss").asc_nulls_last(), "candidate")
+    return joined.withColumn("perplexity", M.perplexity("mean_loss", cap)).withColumn(
+        "rank", F.when(F.col("candidate").isNotNull(), F.row_number().over(order)))
+
+
+def harvest_code(items: DataFrame, existing: DataFrame | None = None, letter: str = "c", max_chars: int | None = None,
+                 max_suffix: int | None = None) -> DataFrame:
+    """The whole harvest over ``items(arrival, title, sections_json,
+    text_json)``: pick the section, take its first code block, name the file.
+    ``(arrival, section_index, name, status, outcome)``, the outcome being
+    ``saved``, ``skipped`` (nothing to take, or the same file is there) or
+    ``error``; ``names.assign_names`` gives the content to write."""
+    found = H.harvest_status(items, letter=letter)
+    named = N.assign_names(found.where("status = 'found'").select("arrival", "title", "code"), existing, max_chars=max_chars,
+                           max_suffix=max_suffix, with_content=False).select("arrival", "name", F.col("status").alias("written"))
+    out = found.join(named.withColumnRenamed("arrival", "n_arrival"), F.col("arrival") == F.col("n_arrival"), "left")
+    status = F.coalesce("written", "status")
+    outcome = F.when(status.startswith("written"), "saved").when(status.isin("error", "conflict"), "error").otherwise("skipped")
+    return out.select("arrival", "section_index", "name", status.alias("status"), outcome.alias("outcome"))

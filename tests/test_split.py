@@ -66,3 +66,21 @@ def test_ordinal_rank_with_a_hot_first_key(spark):
     ref = df.withColumn("g", F.row_number().over(Window.orderBy("c", "t")))
     assert got.join(ref, ["c", "t"]).where("r <> g").count() == 0
     assert got.count() == len(rows)
+
+
+def test_split_runs_no_job_while_it_is_built_and_moves_keys_once(spark):
+    df = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("stem"), F.lit("text").alias("t"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "no job is expected")
+    out = S.split_exact(df, "stem")
+    assert not tracker.getJobIdsForGroup("build")
+    spark.sparkContext.setJobGroup("other", "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # the counts shuffle partial sums per bucket, the numbering shuffles keys
+    assert "partial_count" in plan and "REPARTITION_BY_COL" not in plan
+
+
+def test_ordinal_rank_carries_other_columns_and_null_keys(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, 2, "b"), (None, 3, "c")], "c long, t long, text string")
+    got = {r.text: r.r for r in S.ordinal_rank(df, ["c", "t"], "r").collect()}
+    assert got == {"c": 1, "a": 2, "b": 3}
