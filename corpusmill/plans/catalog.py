@@ -34,6 +34,7 @@ QUERIES: dict[str, QueryFn] = {
     "threshold_split": cq.threshold_split,
     "prediction_samples": cq.prediction_samples,
     "split_metrics": eq.split_metrics,
+    "training_tokens": eq.training_tokens,
     "token_batches": eq.token_batches,
     "candidate_ranking": eq.candidate_ranking,
     "code_harvest": hq.code_harvest,
@@ -66,6 +67,7 @@ ORACLES: dict[str, Callable[[], str]] = {
     "sample_inspection": oq.q_sample_inspection,
     "prediction_samples": oq.q_prediction_samples,
     "split_metrics": oq.q_split_metrics,
+    "training_tokens": oq.q_training_tokens,
     "token_batches": oq.q_token_batches,
     "candidate_ranking": oq.q_candidate_ranking,
     "code_harvest": oq.q_code_harvest,

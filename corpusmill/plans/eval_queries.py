@@ -18,8 +18,8 @@ from corpusmill.operators import metrics as OM
 from corpusmill.operators import split as S
 from corpusmill.operators import tokenize as TK
 from corpusmill.plans import workflows as W
-from corpusmill.plans.corpus_queries import INCLUDE_CAP, SEED, TRAIN_FRAC, VAL_FRAC, pairs
-from corpusmill.sources.corpus import table
+from corpusmill.plans.corpus_queries import INCLUDE_CAP, MAX_SRC_TOKENS, SEED, TRAIN_FRAC, VAL_FRAC, pairs
+from corpusmill.sources.corpus import code_files, table
 from corpusmill.sources.files import non_empty_pairs
 
 PAD_ID = 0
@@ -56,16 +56,25 @@ def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.round("perplexity", 6).alias("perplexity"), "rank")
 
 
+def training_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training set -> ids of source and target, truncated to 2,048 and 256."""
+    files = code_files(spark, sf_dir)
+    return W.tokenized_training_set(W.build_training_set(files, TRAIN_FRAC, VAL_FRAC, SEED, MAX_SRC_TOKENS, INCLUDE_CAP),
+                                    MAX_SRC_TOKENS, MAX_TGT_LEN, SEED, first_id=PAD_ID + 1)
+
+
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test split -> C normal form -> whitespace tokens truncated to 256 ->
-    dictionary ids -> batches of 4 in split order -> padded to the batch
-    maximum, pad labels -> -100."""
+    """Test split -> C normal form -> whitespace tokens -> dictionary ids,
+    truncated to 256 -> batches of 4 in split order -> padded to the batch
+    maximum, pad labels -> -100. The dictionary is that of the whole texts of
+    all splits, so ids mean the same in each."""
     p = pairs(spark, sf_dir)
     split = S.split_exact(p.select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED, keep_rank=True)
-    test = non_empty_pairs(split.where("split = 'test'").join(p, "stem", "inner"))
-    toks = test.select("stem", "split_rank", F.slice(T.tokens(T.normalize_c("tgt", INCLUDE_CAP)), 1, MAX_TGT_LEN).alias("tokens"))
-    vocab = TK.build_vocab(toks, "tokens", SEED, first_id=PAD_ID + 1)
-    ids = TK.to_ids(toks, "stem", "tokens", vocab, "ids")
+    every = non_empty_pairs(split.join(p, "stem", "inner")).select(
+        "stem", "split", "split_rank", T.tokens(T.normalize_c("tgt", INCLUDE_CAP)).alias("tokens"))
+    vocab = TK.build_vocab(every, "tokens", SEED, first_id=PAD_ID + 1)
+    cut = every.where("split = 'test'").select("stem", "split_rank", F.slice("tokens", 1, MAX_TGT_LEN).alias("tokens"))
+    ids = TK.to_ids(cut, "stem", "tokens", vocab, "ids")
     batched = S.assign_batches(ids, "split_rank", BATCH_EVAL)
     padded = OM.pad_batches(batched, "ids", ["batch_id"], PAD_ID)
     return padded.select("stem", "batch_id", F.size("ids").alias("n_tokens"), "labels", "attention_mask")

@@ -153,6 +153,19 @@ select stem, split, src, tgt, n_src_tokens, n_src_tokens > 2048 as will_truncate
 from staged where n_src_tokens <= 3 * 2048"""
 
 
+def q_training_tokens() -> str:
+    return f"""with ts as ({q_training_set()}),
+w as (select stem, split, list_filter(regexp_split_to_array(src, '\\s+'), lambda x: x <> '') as a,
+   list_filter(regexp_split_to_array(tgt, '\\s+'), lambda x: x <> '') as b from ts),
+vocab as (select token, row_number() over (order by md5('42:' || token), token) as id
+   from (select distinct unnest(list_concat(a, b)) as token from w)),
+u as (select stem, 'a' as side, unnest(a) as token, generate_subscripts(a, 1) as pos from w
+   union all select stem, 'b', unnest(b), generate_subscripts(b, 1) from w),
+ids as (select stem, side, list(v.id order by u.pos) as ids from u join vocab v on u.token = v.token group by 1, 2)
+select w.stem, w.split, list_slice(coalesce(x.ids, []), 1, 2048) as input_ids, list_slice(coalesce(y.ids, []), 1, 256) as labels
+from w left join ids x on x.stem = w.stem and x.side = 'a' left join ids y on y.stem = w.stem and y.side = 'b'"""
+
+
 def q_missing_kind_report() -> str:
     return f"""with {files_cte()},
 keys as (select distinct {suffix_key('name', '.c')} as stem from files where name like '%.c' and name not like '%.ghidra.c'),
@@ -256,14 +269,14 @@ from g"""
 
 def q_token_batches() -> str:
     return f"""with {files_cte()}, {PAIRS_CTE}, {split_cte()},
-ev as (select p.stem, p.tgt, s.split_rank from splits s join pairs p on s.stem = p.stem
-       where s.split = 'test' and p.src <> '' and p.tgt <> '')
+ev as (select p.stem, p.tgt, s.split, s.split_rank from splits s join pairs p on s.stem = p.stem
+       where p.src <> '' and p.tgt <> '')
 {normalize_c_ctes('ev', 'stem', 'tgt', 'tgt_n')},
-tk as (select ev.stem, ev.split_rank,
-   list_slice(list_filter(regexp_split_to_array(nc7.tgt_n, '\\s+'), lambda x: x <> ''), 1, 256) as toks
+whole as (select ev.stem, ev.split, ev.split_rank, list_filter(regexp_split_to_array(nc7.tgt_n, '\\s+'), lambda x: x <> '') as toks
    from ev join nc7 on ev.stem = nc7.stem),
 vocab as (select token, row_number() over (order by md5('42:' || token), token) as id
-   from (select distinct unnest(toks) as token from tk)),
+   from (select distinct unnest(toks) as token from whole)),
+tk as (select stem, split_rank, list_slice(toks, 1, 256) as toks from whole where split = 'test'),
 u as (select stem, unnest(toks) as token, generate_subscripts(toks, 1) as pos from tk),
 ids as (select u.stem, list(v.id order by u.pos) as ids from u join vocab v on u.token = v.token group by u.stem),
 b as (select tk.stem, cast(floor((tk.split_rank - 1) / 4) as bigint) as batch_id, coalesce(ids.ids, []) as ids

@@ -18,6 +18,7 @@ from corpusmill.operators import compare as OC
 from corpusmill.operators import harvest as H
 from corpusmill.operators import names as N
 from corpusmill.operators import split as S
+from corpusmill.operators import tokenize as TK
 from corpusmill.operators.rows import select_where
 from corpusmill.sources.files import non_empty_pairs, pair_by_stem, primary_only, with_suffix
 
@@ -123,3 +124,29 @@ def harvest_code(items: DataFrame, existing: DataFrame | None = None, letter: st
     status = F.coalesce("written", "status")
     outcome = F.when(status.startswith("written"), "saved").when(status.isin("error", "conflict"), "error").otherwise("skipped")
     return out.select("arrival", "section_index", "name", status.alias("status"), outcome.alias("outcome"))
+
+
+def tokenized_training_set(pairs: DataFrame, max_src: int | None = None, max_tgt: int | None = None, seed=42, first_id: int = 1,
+                           tokenizer: Callable[[DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
+    """``pairs(stem, split, src, tgt)`` -> ``(stem, split, input_ids, labels)``.
+
+    ``tokenizer(df, text_column, out_column)`` adds an id array (e.g.
+    ``plugins.tokenize`` with a subword tokenizer). By default whitespace tokens
+    get the ids of one dictionary over the whole texts of both sides and all
+    splits. Ids are cut to the lengths given, after the dictionary is made."""
+    def cut(col: str, most: int | None) -> Column:
+        return F.col(col) if most is None else F.slice(col, 1, most)
+
+    if tokenizer is not None:
+        ids = tokenizer(tokenizer(pairs, "src", "input_ids"), "tgt", "labels")
+    else:
+        # one row per side: the dictionary and the ids see both alike
+        sides = pairs.select("stem", "split", F.explode(F.array(
+            F.struct(F.lit("input_ids").alias("side"), T.tokens("src").alias("tokens")),
+            F.struct(F.lit("labels").alias("side"), T.tokens("tgt").alias("tokens")))).alias("s")).select(
+            F.struct("stem", "s.side").alias("row"), "split", "s.tokens")
+        vocab = TK.build_vocab(sides, "tokens", seed, first_id)
+        numbered = TK.to_ids(sides, "row", "tokens", vocab, "ids")
+        ids = numbered.groupBy(F.col("row.stem").alias("stem")).agg(
+            F.first("split").alias("split"), *[F.max_by("ids", F.when(F.col("row.side") == c, 1)).alias(c) for c in ("input_ids", "labels")])
+    return ids.select("stem", "split", cut("input_ids", max_src).alias("input_ids"), cut("labels", max_tgt).alias("labels"))
