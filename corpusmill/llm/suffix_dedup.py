@@ -48,7 +48,7 @@ from corpusmill.llm.exact_dedup import MAX_FILTER_BITS, filter_bits, maybe_repea
 LENGTH = 100
 #: bytes whose ranks the rounds before the last compare
 STEPS = (32, 64)
-_BLOCK = 1 << 22  # bytes ranked at once
+_BLOCK = 1 << 20  # bytes ranked at once
 _HELD = 1_000_000  # anchors settled within a task at once
 _POS = np.uint64((1 << 24) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd: 2**64 over the golden ratio
