@@ -60,9 +60,18 @@ def similarity(a_text, b_text) -> Column:
 def _bit_parallel_distance(a: list, b: list) -> int:
     """Exact unit-cost Levenshtein distance of two token lists with the
     bit-vector recurrence (Myers 1999, Hyyro 2001): one pass over the longer
-    list, O(len(a) * len(b) / word) with Python integers as bit vectors."""
+    list, O(len(a) * len(b) / word) with Python integers as bit vectors. What
+    both lists start and end with costs nothing and is left out first, so two
+    long texts that differ in one place take linear time."""
     if len(a) < len(b):
         a, b = b, a
+    same, most = 0, len(b)
+    while same < most and a[same] == b[same]:
+        same += 1
+    end = 0
+    while end < most - same and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[same:len(a) - end], b[same:len(b) - end]
     m = len(b)
     if m == 0:
         return len(a)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.docs import (TEXT_SCHEMA, first_code_block, html_unescape, section_hit, section_html,
                                       section_lines, strip_tags)
-from corpusmill.functions.text import strip_ws, url_to_title
+from corpusmill.functions.text import let, strip_ws, url_to_title
 
 # an attribute of its own name (no ``data-href``), quoted either way or not at all
 LINK_RE = r"""(?is)<a(?:\s(?:[^>"']|"[^"]*"|'[^']*')*?)?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
@@ -28,15 +28,40 @@ def link_parts(html) -> Column:
 
 def container_slice(html, start: str, end: str | None) -> Column:
     """Markup from the first ``start`` marker up to the first ``end`` marker
-    after it (to the end when ``end`` is None); NULL when ``start`` is
-    absent. Regular expressions cannot balance nested tags, so the end is a
-    marker rather than the matching close tag."""
+    after it, or, when ``end`` is None, the whole element whose start tag has
+    the marker (:func:`element_slice`); NULL when ``start`` is absent."""
     h = F.col(html) if isinstance(html, str) else html
+    if end is None:
+        return element_slice(h, start)
     pos = F.instr(h, start)
-    rest = F.substring(h, pos, 2147483647)
-    if end is not None:
-        rest = F.substring_index(rest, end, 1)
-    return F.when(pos > 0, rest)
+    return F.when(pos > 0, F.substring_index(F.substring(h, pos, 2147483647), end, 1))
+
+
+def element_slice(html, start: str) -> Column:
+    """The element whose start tag holds (or begins with) ``start``, up to its
+    own end tag: start and end tags of its name are counted. Without an end
+    tag it goes to the end of the text; NULL when ``start`` is absent."""
+    h = F.col(html) if isinstance(html, str) else html
+    at = F.instr(h, start)
+    # the '<' that opens the tag in which the marker stands
+    opened = at if start.startswith("<") else at - F.length(F.substring_index(F.substring(h, F.lit(1), at - 1), "<", -1)) - 1
+
+    def cut(rest: Column) -> Column:
+        name = F.regexp_extract(rest, r"^<([A-Za-z][A-Za-z0-9-]*)", 1)
+        tag = F.concat(F.lit("(?is)</?"), name, F.lit(r"(?![A-Za-z0-9-])[^>]*>"))
+        pieces = F.arrays_zip(F.split(rest, tag, -1).alias("gap"), F.regexp_extract_all(rest, tag, F.lit(0)).alias("tag"))
+
+        def step(acc, x):
+            pos = acc["pos"] + F.length(x["gap"]) + F.length(F.coalesce(x["tag"], F.lit("")))
+            depth = acc["depth"] + F.when(x["tag"].startswith("</"), -1).when(x["tag"].endswith("/>") | x["tag"].isNull(), 0).otherwise(1)
+            ends = (depth == 0) & x["tag"].startswith("</") & (acc["end"] == 0)
+            return F.struct(pos.alias("pos"), depth.alias("depth"), F.when(ends, pos).otherwise(acc["end"]).alias("end"))
+
+        zero = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
+        end = F.aggregate(pieces, zero, step, lambda a: a["end"])
+        return let(end, lambda e: F.when(e > 0, F.substring(rest, F.lit(1), e)).otherwise(rest))
+
+    return F.when((at > 0) & (opened > 0), let(F.substring(h, opened, F.length(h)), cut))
 
 
 def extract_links(pages: DataFrame, html: str = "html", key: str = "page_id",

@@ -87,3 +87,16 @@ def test_entities_of_all_forms(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
     got = [r.u for r in df.select("i", D.html_unescape("t").alias("u")).orderBy("i").collect()]
     assert got == [html.unescape(c) if c not in (cases[2], cases[5]) else c for c in cases]
+
+
+def test_container_ends_with_its_own_end_tag(spark):
+    html = ("<div><div class=a id=\"mw-pages\"><DIV><a href='/wiki/In'>i</a></DIV><divider/><div/><a href='/wiki/Last'>l</a></div>"
+            "<footer><a href='/wiki/Out'>o</a></footer></div>")
+    rows = [(1, html), (2, "<p>no container</p>"), (3, "x<div id=\"mw-pages\"><a href='/wiki/Open'>n</a>"), (4, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    got = {}
+    for r in H.extract_links(df).orderBy("page_id", "pos").collect():
+        got.setdefault(r.page_id, []).append(r.url)
+    assert got == {1: ["/wiki/In", "/wiki/Last"], 3: ["/wiki/Open"]}
+    whole = {r.page_id: r.e for r in df.select("page_id", H.element_slice("html", 'id="mw-pages"').alias("e")).collect()}
+    assert whole[1].startswith("<div class=a") and whole[1].endswith("l</a></div>") and whole[2] is None
