@@ -194,8 +194,7 @@ def prediction_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = val.unionByName(usable("train").where(~val.exists()))
     top = chosen.orderBy("split_rank").limit(5).select(
         "stem", "split_rank", T.normalize_for_eval(stand_in_prediction("src"), INCLUDE_CAP).alias("prediction"))
-    report = sample_report(top, "split_rank", "prediction")
-    return report.join(top.select("stem", "split_rank"), "split_rank").select("stem", F.col("value").alias("report"))
+    return sample_report(top, "split_rank", "prediction").select("stem", F.col("value").alias("report"))
 
 
 def asm_normal_form_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

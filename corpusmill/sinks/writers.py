@@ -41,11 +41,13 @@ def write_logs(gated: DataFrame, ok_path: str, fail_path: str) -> None:
 
 def sample_report(samples: DataFrame, order_col: str, text_col: str) -> DataFrame:
     """``=== SAMPLE i ===`` blocks (0-based ``i`` in ``order_col`` order)
-    over a small, already limited frame."""
+    over a small, already limited frame; ``value`` first, then the frame's
+    other columns."""
     w = Window.orderBy(order_col)
     i = F.row_number().over(w) - 1
     return samples.select(F.concat(F.lit("\n=== SAMPLE "), i.cast("string"), F.lit(" ===\n"),
-                                   F.col(text_col), F.lit("\n")).alias("value"), F.col(order_col))
+                                   F.col(text_col), F.lit("\n")).alias("value"),
+                          *[F.col(c) for c in samples.columns if c != text_col])
 
 
 def write_named(named: DataFrame, path: str) -> None:

@@ -3,6 +3,8 @@ and candidate ranking through a scorer plug-in."""
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from corpusmill.operators import compare as OC
@@ -75,3 +77,14 @@ def test_an_external_step_may_return_anything(spark):
     df = spark.createDataFrame([(1,), (2,)], "k int")
     got = {r.k: r for r in run_external(df, "k", lambda row: ("no number" if row["k"] == 1 else 0, "", "o")).collect()}
     assert got[1].returncode == -1 and got[2].returncode == 0
+
+
+def test_sample_report_computes_its_rows_once(spark):
+    """The report carries the frame's other columns: no join back to it."""
+    from corpusmill.plans import corpus_queries as cq
+    from conftest import SF_SMALL
+
+    if not os.path.isdir(SF_SMALL):
+        pytest.skip("driver tables not present")
+    plan = cq.prediction_samples(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("GlobalLimit 5") == 1
