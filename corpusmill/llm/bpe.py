@@ -96,48 +96,65 @@ class _Memo(dict):
         return out
 
 
+@lru_cache(maxsize=2)
+def prepared(path: str) -> dict:
+    """What tasks need of a vocabulary file, as plain values: the driver alone
+    reads the file, and its size bounds what is sent."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+    out = {
+        "ids": model["vocab"], "special": {t["content"]: t["id"] for t in spec["added_tokens"]},
+        "ranks": {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])},
+        "words": _spelled_out(pattern), "normalizer": json.dumps(spec["normalizer"]),
+        "odd": _ranges(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn"),
+    }
+    out["last_merge"] = {t: _last_merge(t, out["ranks"]) for t in out["ids"]}
+    return out
+
+
+def _last_merge(token: str, ranks: dict[tuple[str, str], int]) -> tuple[str, str, int] | None:
+    """The merge that plain BPE makes last in the token's own symbols; null if
+    these do not become the token (then it never comes out), and
+    (token, "", -1) for a single symbol."""
+    s = [*token[:-5], token[-5:]] if token.endswith(SUFFIX) and len(token) > 4 else list(token)
+    last = (token, "", -1)
+    while len(s) > 1:
+        rank, i = min((ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(s, s[1:])))
+        if rank == 1 << 60:
+            return None
+        last = (s[i], s[i + 1], rank)
+        s[i:i + 2] = [s[i] + s[i + 1]]
+    return last
+
+
 class Vocabulary:
-    """Token table, merges, and the verdicts on neighbouring tokens."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+    """Token table, merges, and the verdicts on neighbouring tokens; made from
+    what :func:`prepared` gives."""
+
+    def __init__(self, spec: dict):
+        self.ids: dict[str, int] = spec["ids"]
+        self.special: dict[str, int] = spec["special"]
+        self.ranks = spec["ranks"]
+        self.last_merge = spec["last_merge"]
         self.tokens = [""] * (1 + max(*self.ids.values(), *self.special.values()))
         for t, i in [*self.ids.items(), *self.special.items()]:
             self.tokens[i] = t
-        pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        self.words = re.compile(_spelled_out(pattern))
-        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.words = re.compile(spec["words"])
+        self.normalizer = Tokenizer.from_str(json.dumps(
+            {"version": "1.0", "added_tokens": [], "normalizer": json.loads(spec["normalizer"]), "model": {"type": "BPE", "vocab": {}, "merges": []}})).normalizer
         self.plain = re.compile("[\0-\x1b -\u0377]*\\Z").match  # quick, and true of most texts
         #: characters that Python's tables don't know, and blanks of str.split() alone
-        self.odd = re.compile("[\x1c-\x1f" + _ranges(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn") + "]")
+        self.odd = re.compile("[\x1c-\x1f" + spec["odd"] + "]")
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.bytes = str.maketrans({i: c for i, c in enumerate(_byte_symbols())})
         #: every end of a token (a walk backwards stops where no token goes on),
         #: and whether it is one itself
         self.ends = {t[i:]: False for t in self.ids for i in range(len(t))} | dict.fromkeys(self.ids, True)
-        self.last_merge = _Memo(self._last_merge)
         self.spine = _Memo(self._spine)
         self.fits = _Memo(self._fits)
 
-    def _last_merge(self, token: str) -> tuple[str, str, int] | None:
-        """The merge that plain BPE makes last in the token's own symbols; null
-        if these do not become the token (then it never comes out), and
-        (token, "", -1) for a single symbol."""
-        s = [*token[:-5], token[-5:]] if token.endswith(SUFFIX) and len(token) > 4 else list(token)
-        last = (token, "", -1)
-        while len(s) > 1:
-            rank, i = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(s, s[1:])))
-            if rank == 1 << 60:
-                return None
-            last = (s[i], s[i + 1], rank)
-            s[i:i + 2] = [s[i] + s[i + 1]]
-        return last
-
     def _spine(self, key: tuple[str, bool]) -> list[tuple[str, float]]:
         """The symbols at the right (or left) end of a token while BPE builds
         it, each with the rank of the merge that swallows it."""
@@ -238,16 +255,11 @@ def _unpacked(ids: bytes) -> array.array:
     return a
 
 
-@lru_cache(maxsize=2)
-def _vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
 class _Encoder:
     """Encodes texts block by block, keeping the encodings of chunks."""
 
-    def __init__(self, path: str):
-        self.vocab, self.kept = _vocabulary(path), {}
+    def __init__(self, spec: dict):
+        self.vocab, self.kept = Vocabulary(spec), {}
 
     def _learn(self, chunks: set[str]) -> None:
         new = chunks - self.kept.keys()
@@ -285,9 +297,10 @@ def _texts(column: pa.Array) -> Iterator[str]:
 def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, ids array<int>) of each row's whole text."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(prepared(path))
 
     def run(batches):
-        enc = _Encoder(path)
+        enc = _Encoder(sent.value)
         for b in batches:
             out = [array.array("I") for _ in range(b.num_rows)]
             for i, ids in enc.blocks(_texts(b.column(1))):
@@ -300,9 +313,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "do
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", id_col: str = "id") -> DataFrame:
     """(id, text) of rows with token ids; null ids give the empty text."""
     id_type = rows.schema[id_col].dataType.simpleString()
+    sent = rows.sparkSession.sparkContext.broadcast(prepared(path))
 
     def run(batches):
-        vocab = _vocabulary(path)
+        vocab = Vocabulary(sent.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vocab.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
 
@@ -314,9 +328,10 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", id_col: str =
     n_tokens, ids_sha256, decoded_sha256). Ids and decoded texts of a row pass
     through in blocks and are never whole in memory."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(prepared(path))
 
     def run(batches):
-        enc = _Encoder(path)
+        enc = _Encoder(sent.value)
         for b in batches:
             n, ids_sha, text_sha = [0] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
             for i, ids in enc.blocks(_texts(b.column(1))):

@@ -177,14 +177,21 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return Model(langs, masks, fill ** HASHES)
 
 
+def _sent(docs: DataFrame, model: Model):
+    """The model's parts as a broadcast of plain values, which a task can read
+    without this package on its path."""
+    return docs.sparkSession.sparkContext.broadcast((model.langs, model.masks, model.false))
+
+
 def predicted(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, th, lang_pred, score) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _sent(docs, model)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        model = Model(*shared.value)
         for b in batches:
-            langs, score = shared.value.predict([None if t is None else t.decode("utf-8", "replace") for t in b.column(2).to_pylist()])
+            langs, score = model.predict([None if t is None else t.decode("utf-8", "replace") for t in b.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(score)], ["id", "th", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
@@ -194,13 +201,13 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", id_col: str
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows whose text is in one of the learned languages, with all their
     columns unchanged: those without any letter go."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _sent(docs, model)
 
     @F.pandas_udf("string")
     def lang(texts):
         import pandas as pd
 
-        return pd.Series(shared.value.predict(texts.tolist())[0], dtype=object)
+        return pd.Series(Model(*shared.value).predict(texts.tolist())[0], dtype=object)
 
     name = fresh(docs, "lang")
     return docs.withColumn(name, lang(F.col(text_col))).where(F.col(name) != UNKNOWN).drop(name)

@@ -212,11 +212,12 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background (means per token), score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: a task can read them without this package on its path
+    sent = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.code, model.pair, model.context, model.one, model.mu))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        model = sent.value
+        model = Model(*sent.value)
         tokens = Tokens(model.vocabulary)
         for b in batches:
             n, loss = model.losses(_texts(b.column(1)), tokens)

@@ -52,6 +52,6 @@ def test_small_blocks_and_forgetting_change_nothing(library, monkeypatch):
     monkeypatch.setattr(B, "KEPT_CHUNKS", 11)
     texts = [t or "" for t in _texts()[380:]]
     out = [[] for _ in texts]
-    for i, ids in B._Encoder(PATH).blocks(texts):
+    for i, ids in B._Encoder(B.prepared(PATH)).blocks(texts):
         out[i].extend(np.frombuffer(ids, "<u4").tolist())
     assert out == [library.encode(t, add_special_tokens=False).ids for t in texts]
