@@ -290,6 +290,15 @@ class _Encoder:
         yield from flush()
 
 
+def _encoder(spec: dict) -> _Encoder:
+    """The encoder of a worker process. It is kept beside the broadcast value,
+    so that the worker's later tasks find what the earlier ones have learned
+    (verdicts and chunks, both of bounded number)."""
+    if "encoder" not in spec:
+        spec["encoder"] = _Encoder(spec)
+    return spec["encoder"]
+
+
 def _texts(column: pa.Array) -> Iterator[str]:
     return (x.as_py().decode("utf-8", "replace") if x.is_valid else "" for x in column)
 
@@ -300,7 +309,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "do
     sent = docs.sparkSession.sparkContext.broadcast(prepared(path))
 
     def run(batches):
-        enc = _Encoder(sent.value)
+        enc = _encoder(sent.value)
         for b in batches:
             out = [array.array("I") for _ in range(b.num_rows)]
             for i, ids in enc.blocks(_texts(b.column(1))):
@@ -316,7 +325,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", id_col: str = "id")
     sent = rows.sparkSession.sparkContext.broadcast(prepared(path))
 
     def run(batches):
-        vocab = Vocabulary(sent.value)
+        vocab = _encoder(sent.value).vocab
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vocab.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
 
@@ -331,7 +340,7 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", id_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(prepared(path))
 
     def run(batches):
-        enc = _Encoder(sent.value)
+        enc = _encoder(sent.value)
         for b in batches:
             n, ids_sha, text_sha = [0] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
             for i, ids in enc.blocks(_texts(b.column(1))):
