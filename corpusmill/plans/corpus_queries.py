@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions import compare as C
 from corpusmill.functions import text as T
 from corpusmill.operators import compare as OC
 from corpusmill.operators import split as S

@@ -5,7 +5,6 @@ import tempfile
 
 import pytest
 
-from pyspark.sql import functions as F
 
 from corpusmill.operators import compare as OC
 from corpusmill.operators import plugins as P
