@@ -45,7 +45,7 @@ from corpusmill.llm.common import table
 SUFFIX = "</w>"
 #: chunks (text between blanks) of a block, and chunks whose encoding is kept
 BLOCK_CHUNKS = 100_000
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 1_000_000
 
 
 def _byte_symbols() -> list[str]:
