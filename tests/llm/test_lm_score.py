@@ -81,3 +81,38 @@ def test_no_target_nulls_ties_empty_and_clashing_columns(spark):
     assert scores[1, 2] < 0 == scores[2, 0]
     empty = docs.limit(0)
     assert M.scored(empty, M.learn(empty, good)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1 << 20, 64])
+def test_whole_model_as_brute_force(spark, monkeypatch, size):
+    """Blocks, buckets and parts of texts of any size; repeated and null ids."""
+    monkeypatch.setattr(C, "BLOCK", size)
+    monkeypatch.setattr(M, "_TOGETHER", 2)
+    monkeypatch.setattr(M, "_PER_BUCKET", 50)
+    rows, good = _rows(3), {i for i in range(0, 60, 3)}
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(60)] + [(None, 1, 0)], LABELS)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for kept in (good, set()):
+        got = sorted(tuple(r) for r in M.differences(docs, labels if kept else labels.limit(0)).collect())
+        want = sorted(brute(rows, kept, 0, 0))
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert [x for g in got for x in g[2:]] == pytest.approx([x for w in want for x in w[2:]], abs=1e-9)
+    twice = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (1, None)], "doc_id long, text string")
+    got = M.differences(twice, labels).collect()
+    assert ordered(got, "doc_id", "n_tokens") == [(1, 0), (1, 2), (1, 2), (None, 2)]
+    assert M.differences(twice.limit(0), labels).count() == 0
+
+
+def test_rare_words_and_pairs_count_in_a_large_corpus(spark, tables):
+    """Words and pairs of one in a million tokens are in the models."""
+    n = 1_100_000
+    texts = ["the " * n, "rare gem", "gem rare"]
+    tables("labels", [(0, 0, 0), (1, 1, 0), (2, 0, 0)], LABELS)
+    got = {r.doc_id: r for r in M.op4_cross_entropy_difference(spark, tables("documents", docs_of(texts), DOCS)).collect()}
+    scale, size, mu = 2 / (n + 4), 4, M.MU
+    one = [(1 + 1) / (2 + size), (scale * 2 + 1) / (2 + size)]  # of rare and of gem alike
+    # <s> rare, rare gem: seen once in the target and in all; <s> stands three times in all
+    target = -math.log((1 + mu * one[0]) / (1 + mu)) * 2
+    background = -math.log((scale + mu * one[1]) / (3 * scale + mu)) - math.log((scale + mu * one[1]) / (scale + mu))
+    assert (got[1].loss_target, got[1].loss_background) == pytest.approx((target / 2, background / 2), abs=1e-12)
+    assert got[1].score < got[2].score < 0
