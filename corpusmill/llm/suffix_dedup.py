@@ -13,7 +13,7 @@ the one of smallest rank (leftmost of equals) is the window's *anchor*. Equal
 windows have equal anchors at equal offsets, so only anchors (in the first
 round about one position in 40) leave the task, each for the run of windows
 that it stands for. Spark sorts them by (rank, digest of the whole run,
-position). All windows of a run but the first with its rank and digest are
+document, position). All windows of a run but the first with its rank and digest are
 repeats. An anchor whose rank no other run has is unique and done. What is left
 (one rank, several runs: near the ends of repeats) goes to the next round with
 longer strings, until the rank is that of the whole window.
@@ -29,7 +29,8 @@ are.
 Defined results: null counts as empty; texts shorter than ``length`` stay
 whole. Null ids come before all others. Rows that agree in id and text are
 one document, each getting its result; rows with one id and different texts
-are documents ordered by a hash of the text. Extra columns are not read.
+are documents ordered by the 64-bit hash of the text that, with the id, tells
+documents apart. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -53,12 +54,8 @@ _HELD = 1_000_000  # anchors settled within a task at once
 _POS = np.uint64((1 << 24) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd: 2**64 over the golden ratio
 _BYTE = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
-#: a place in a document: 25 bits of its text's hash, 31 bits of the position, 7 bits of windows
-_TEXT_BITS, _AT_BITS, _RUN_BITS = 25, 31, 7
-
-
-def _th(text: Column) -> Column:
-    return F.shiftrightunsigned(text_key(text), 64 - _TEXT_BITS)
+#: a place in a document: 31 bits of the position, 7 bits of windows (above them: nothing)
+_AT_BITS, _RUN_BITS = 31, 7
 
 
 def _id(col: Column) -> Column:
@@ -113,46 +110,47 @@ def _runs(block: bytes, starts: np.ndarray, sizes: np.ndarray, length: int, gram
     return np.searchsorted(starts, first, "right") - 1, first, last - first + 1, ranks[anchor[np.r_[0, cut]]].view(np.int64), digest.view(np.int64)
 
 
-def _packed(th, at, n):
-    return (th << (_AT_BITS + _RUN_BITS)) | (at << _RUN_BITS) | n
+def _packed(above, at, n):
+    return (above << (_AT_BITS + _RUN_BITS)) | (at << _RUN_BITS) | n
 
 
 def _unpacked(p):
     return p >> (_AT_BITS + _RUN_BITS), (p >> _RUN_BITS) & ((1 << _AT_BITS) - 1), p & ((1 << _RUN_BITS) - 1)
 
 
-_ROWS = "gram long, run long, id long, place long, end long, bytes binary"
+#: the document is (id, th): th is the whole hash of its text
+_ROWS = "gram long, run long, id long, place long, end long, bytes binary, th long"
 _NAMES = ["gram", "run", "id", "place", "end", "bytes"]
 
 
-def _batch(gram, run, ids, place, end=None, parts=None):
+def _batch(gram, run, ids, place, th, end=None, parts=None):
     """Rows to sort, or settled spans: these have an ``end`` (and ``place``
     with no windows) and pass the sort by."""
     cols = [pa.array(c, pa.int64()) for c in (gram, run, ids, place)]
     cols.append(pa.nulls(len(ids), pa.int64()) if end is None else pa.array(end, pa.int64()))
     cols.append(pa.nulls(len(ids), pa.binary()) if parts is None else pa.array(parts, pa.binary()))
-    return pa.RecordBatch.from_arrays(cols, _NAMES)
+    return pa.RecordBatch.from_arrays([*cols, pa.array(th, pa.int64())], [*_NAMES, "th"])
 
 
-def _settled(ids, place, length):
+def _settled(ids, place, th, length):
     """Spans of repeated runs, those that touch within a document joined."""
-    o = np.lexsort((place, ids))
-    ids, (th, start, n) = ids[o], _unpacked(place[o])
+    o = np.lexsort((place, th, ids))
+    ids, th, (_, start, n) = ids[o], th[o], _unpacked(place[o])
     end = start + n + length - 1
     # within a document, runs come in order of start and of end
     at = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1]) | (start[1:] > end[:-1])])
-    ids, start, end, place = ids[at], start[at], end[np.r_[at[1:] - 1, len(end) - 1]], _packed(th[at], start[at], 0)
+    ids, th, end, place = ids[at], th[at], end[np.r_[at[1:] - 1, len(end) - 1]], _packed(0, start[at], 0)
     with np.errstate(over="ignore"):  # any spread will do
-        return _batch((ids ^ place) * _STEP.astype(np.int64), np.zeros_like(ids), ids, place, end)
+        return _batch((ids ^ place ^ th) * _STEP.astype(np.int64), np.zeros_like(ids), ids, place, th, end)
 
 
-def _repeats(gram, run, ids, place):
-    """For rows in order of (gram, run, id, place): whether each starts a
+def _repeats(gram, run, ids, place, th):
+    """For rows in order of (gram, run, id, th, place): whether each starts a
     class, the row that starts its class, and whether it repeats that row at
     another place (the same place is a row that is there twice)."""
     new = np.r_[True, (gram[1:] != gram[:-1]) | (run[1:] != run[:-1])]
     first = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
-    return new, first, ~new & ((ids != ids[first]) | (place != place[first]))
+    return new, first, ~new & ((ids != ids[first]) | (place != place[first]) | (th != th[first]))
 
 
 def _anchors(length: int, gram: int, texts_of, carry: bool):
@@ -161,13 +159,13 @@ def _anchors(length: int, gram: int, texts_of, carry: bool):
     from batches; ``carry``: rows take the bytes of their run along."""
 
     def settle(held):
-        gram, run, ids, place, parts = (np.concatenate(c) for c in zip(*held))
-        o = np.lexsort((place, ids, run, gram))
-        gram, run, ids, place, parts = gram[o], run[o], ids[o], place[o], parts[o] if carry else None
-        new, _, rep = _repeats(gram, run, ids, place)
-        yield _batch(gram[new], run[new], ids[new], place[new], None, parts[new] if carry else None)
+        gram, run, ids, place, th, parts = (np.concatenate(c) for c in zip(*held))
+        o = np.lexsort((place, th, ids, run, gram))
+        gram, run, ids, place, th, parts = gram[o], run[o], ids[o], place[o], th[o], parts[o] if carry else None
+        new, _, rep = _repeats(gram, run, ids, place, th)
+        yield _batch(gram[new], run[new], ids[new], place[new], th[new], None, parts[new] if carry else None)
         if rep.any():
-            yield _settled(ids[rep], place[rep], length)
+            yield _settled(ids[rep], place[rep], th[rep], length)
 
     def rank(texts):
         sizes = np.array([len(t[3]) for t in texts], np.int64)
@@ -178,7 +176,7 @@ def _anchors(length: int, gram: int, texts_of, carry: bool):
         parts = np.empty(len(first) if carry else 0, object)
         if carry:
             parts[:] = [block[a:b] for a, b in zip(first.tolist(), (first + n + length - 1).tolist())]
-        return ranks, digest, ids, _packed(th, first - starts[doc] + base, n), parts
+        return ranks, digest, ids, _packed(0, first - starts[doc] + base, n), th, parts
 
     def run(batches):
         held, n_held, texts, size = [], 0, [], 0
@@ -221,19 +219,19 @@ def _open_runs(length: int):
 
 
 def _carried(batches):
-    """Texts of rows that took their bytes along: (id, place, bytes)."""
+    """Texts of rows that took their bytes along: (id, th, place, bytes)."""
     for b in batches:
-        for i, place, part in zip(*b.columns):
-            th, at, _ = _unpacked(place.as_py())
-            yield i.as_py(), th, at, part.as_py()
+        for i, th, place, part in zip(*b.columns):
+            yield i.as_py(), th.as_py(), _unpacked(place.as_py())[1], part.as_py()
 
 
 def _sorted_pass(length: int):
-    """Task over rows in order of (gram, run, id, place): spans of all rows but
-    the first of their class, and the first rows of grams with several classes."""
+    """Task over rows in order of (gram, run, id, th, place): spans of all rows but
+    the first of their class, and the first rows of grams with several classes.
+    Rows without a th are of documents that their id alone tells apart."""
 
     def run(batches):
-        head, head_part = np.empty((4, 0), np.int64), np.empty(0, object)  # first row of the class that is open
+        head, head_part = np.empty((5, 0), np.int64), np.empty(0, object)  # first row of the class that is open
         gram, gram_part = head, head_part  # a class's first row of the gram that is open
         given = False  # whether that row is out already
         for b in batches:
@@ -243,11 +241,12 @@ def _sorted_pass(length: int):
                 b = b.filter(end.is_null())
             if not b.num_rows:
                 continue
-            rows = np.hstack([head, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[:4]])])
+            cols = [c.to_numpy(zero_copy_only=False) for c in (*b.columns[:4], *b.columns[6:])]
+            rows = np.hstack([head, np.stack(cols if len(cols) == 5 else [*cols, np.zeros_like(cols[0])])])
             parts = np.r_[head_part, b.column(5).to_numpy(zero_copy_only=False)]
             new, first, rep = _repeats(*rows)
             if rep.any():
-                yield _settled(rows[2][rep], rows[3][rep], length)
+                yield _settled(*rows[2:, rep], length)
             known, at = gram.shape[1], np.flatnonzero(new)[head.shape[1]:]
             starts, start_parts = np.hstack([gram, rows[:, at]]), np.r_[gram_part, parts[at]]
             same = starts[0][1:] == starts[0][:-1]
@@ -280,7 +279,7 @@ def _cut(batches):
 
 
 def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc"), _id(F.col(id_col)).alias("id"), _th(F.col(text_col)).alias("th"),
+    return docs.select(F.col(id_col).alias("doc"), _id(F.col(id_col)).alias("id"), text_key(F.col(text_col)).alias("th"),
                        F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
 
 
@@ -298,7 +297,7 @@ def _known(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _round(rows: DataFrame, length: int, gram: int, texts_of, carry: bool) -> DataFrame:
     """Rank, sort, and tell repeats (rows with an end) from open runs."""
     ranked = rows.mapInArrow(_anchors(length, gram, texts_of, carry), _ROWS)
-    in_order = ranked.repartition("gram").sortWithinPartitions("gram", "run", "id", "place")
+    in_order = ranked.repartition("gram").sortWithinPartitions("gram", "run", "id", "th", "place")
     return written(in_order.mapInArrow(_sorted_pass(length), _ROWS), f"round{gram}")
 
 
@@ -308,19 +307,18 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     if not steps or length - steps[0] >= (1 << _RUN_BITS) - 1:
         raise ValueError(f"length must be {STEPS[0] + 1} to {STEPS[0] + (1 << _RUN_BITS) - 2}")
     rows = _keyed(docs, text_col, id_col).select("id", "th", "text")
-    th = F.shiftrightunsigned("place", _AT_BITS + _RUN_BITS)
     rounds = [_round(rows, length, steps[0], _whole, False)]
-    open_runs = written(rounds[0].where("end is null").groupBy("id", th.alias("th")).agg(F.collect_set("place").alias("places")), "open")
+    open_runs = written(rounds[0].where("end is null").groupBy("id", "th").agg(F.collect_set("place").alias("places")), "open")
     maybe, _ = _known(rows, open_runs.select("id", "th"))
     texts, texts_of = maybe.join(open_runs, ["id", "th"]).select("id", "th", "text", "places"), _open_runs(length)
     for gram in [*steps[1:], length]:
         rounds.append(_round(texts, length, gram, texts_of, gram < length))
-        texts, texts_of = rounds[-1].where("end is null").select("id", "place", "bytes"), _carried
+        texts, texts_of = rounds[-1].where("end is null").select("id", "th", "place", "bytes"), _carried
     spans = rounds[0]
     for r in rounds[1:]:
         spans = spans.unionByName(r)
     start = F.shiftrightunsigned("place", _RUN_BITS).bitwiseAND(F.lit((1 << _AT_BITS) - 1))
-    return spans.where("end is not null").select("id", th.alias("th"), start.alias("start"), "end")
+    return spans.where("end is not null").select("id", "th", start.alias("start"), "end")
 
 
 def report(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from corpusmill.llm import suffix_dedup as S
 from llm_helpers import DOCS, docs_of, duck, ordered, tables  # noqa: F401
 
@@ -108,3 +109,27 @@ def test_ranks_are_those_of_the_bytes():
     assert len(r) == len(b) - 31 and (r[3:] == r[:-3]).all() and len(set(r.tolist())) == 3
     x = np.random.default_rng(0).integers(0, 1000, 500).astype(np.uint64)
     assert (S._least(x, 69) == [x[i:i + 69].min() for i in range(len(x) - 68)]).all()
+
+
+def test_texts_of_one_id_whose_hashes_begin_alike(spark):
+    """Different texts of a null or repeated id are documents of their own, also
+    where the first 25 bits of their 64-bit hashes are equal."""
+    rnd = random.Random(6)
+    passage = "".join(rnd.choices("abcdefgh", k=130))
+    text = lambda k: "".join(rnd.choices("abcdefgh", k=k))
+    key = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    kinds = [lambda: text(120) * 2, lambda: text(240), lambda: passage + text(20)]  # repeats itself; has no repeat; shares a passage
+    seen, alike = {}, {}
+    for i in range(72_000):
+        t = kinds[i % 3]()
+        u = seen.setdefault(key(t) >> 39, (i % 3, t))
+        if u[1] != t:
+            alike.setdefault(tuple(sorted((u[0], i % 3))), []).append((u[1], t))
+    pairs = alike[0, 1] + alike[2, 2]
+    assert alike[0, 1] and alike[2, 2]
+    signed = lambda t: key(t) - (key(t) >> 63 << 64)
+    texts = sorted({t for p in pairs for t in p}, key=signed)
+    want = sorted(r[1:] for r in brute(texts))
+    for i in (None, 5):
+        got = S.report(spark.createDataFrame([(i, t) for t in texts], "doc_id long, text string")).collect()
+        assert ordered(got, *COLS[1:]) == want
