@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import ann, bpe, exact_dedup, langid, lm_score, packing, secrets, simhash, suffix_dedup, warc
+from corpusmill.llm import ann, bpe, exact_dedup, fim, langid, lexical, lm_score, packing, secrets, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_bitmask_langid": langid.op1_bitmask_langid,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_bpe_trie": bpe.op8_bpe_trie,
     "op9_bloom_exact_dedup": exact_dedup.op9_bloom_exact_dedup,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_dual_tree_search": lexical.op11_dual_tree_search,
+    "op12_fenwick_fim": fim.op12_fenwick_fim,
 }
 
 #: the others have no SQL form; tests/llm holds them against brute force
@@ -22,4 +24,6 @@ ORACLES = {
     "op2_length_packing": packing.oracle(),
     "op5_linked_secrets": secrets.oracle(),
     "op9_bloom_exact_dedup": exact_dedup.ORACLE,
+    "op11_dual_tree_search": lexical.ORACLE,
+    "op12_fenwick_fim": fim.ORACLE,
 }
