@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import ann, bpe, exact_dedup, fim, langid, lexical, lm_score, packing, secrets, simhash, suffix_dedup, warc
+from corpusmill.llm import ann, bpe, collisions, exact_dedup, fim, langid, lexical, lm_score, packing, secrets, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_bitmask_langid": langid.op1_bitmask_langid,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_dual_tree_search": lexical.op11_dual_tree_search,
     "op12_fenwick_fim": fim.op12_fenwick_fim,
+    "op13_collision_near_dedup": collisions.op13_collision_near_dedup,
 }
 
 #: the others have no SQL form; tests/llm holds them against brute force
@@ -26,4 +27,5 @@ ORACLES = {
     "op9_bloom_exact_dedup": exact_dedup.ORACLE,
     "op11_dual_tree_search": lexical.ORACLE,
     "op12_fenwick_fim": fim.ORACLE,
+    "op13_collision_near_dedup": collisions.ORACLE,
 }
