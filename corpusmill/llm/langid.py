@@ -43,6 +43,7 @@ HASHES = 3
 MIN_SHARE = 2e-6
 RATIO = 0.25
 UNKNOWN = "und"
+LEAST = 10  # n-grams without which no hit at all proves nothing
 _MOST = 2_000_000  # distinct trigrams that a task holds before it hands them on
 _ODD = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
@@ -94,11 +95,22 @@ class Model:
                     hits[:, 64 * k + bit] += np.bincount(text[(found >> table_.dtype.type(bit)) & table_.dtype.type(1) == 1], minlength=len(texts))
         return total, hits
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def corrected(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(trigrams, hits per language without the false ones) of each text."""
         total, hits = self.hits([t or "" for t in texts])
+        return total, np.maximum((hits - total[:, None] * self.false) / (1 - self.false), 0)
+
+    def known(self, texts: list[str | None]) -> np.ndarray:
+        """Whether a text may be in a learned language: it has n-grams, and some of
+        them are in a filter unless they are fewer than ``LEAST`` or nothing was
+        learned."""
+        total, true = self.corrected(texts)
+        return (total > 0) & ((true.sum(axis=1) > 0) | (total < LEAST) | (not self.langs))
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        total, true = self.corrected(texts)
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        true = np.maximum((hits - total[:, None] * self.false) / (1 - self.false), 0)
         best, all_ = true.argmax(axis=1), true.sum(axis=1)
         score = np.where(all_ > 0, true.max(axis=1) / np.where(all_ > 0, all_, 1), 0.0)
         some = total > 0
@@ -199,18 +211,21 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", id_col: str
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows whose text is in one of the learned languages, with all their
-    columns unchanged: those without any letter go."""
+    """The rows whose text shows one of the learned languages, with all their
+    columns unchanged: those go that have no letter, or that have ``LEAST`` n-grams
+    and none of any language beyond the false positives. If nothing was learned (a corpus without
+    labels), there is no language to hold a text against, and every text with a
+    letter stays."""
     shared = _sent(docs, model)
 
-    @F.pandas_udf("string")
-    def lang(texts):
+    @F.pandas_udf("boolean")
+    def known(texts):
         import pandas as pd
 
-        return pd.Series(Model(*shared.value).predict(texts.tolist())[0], dtype=object)
+        return pd.Series(Model(*shared.value).known(texts.tolist()))
 
-    name = fresh(docs, "lang")
-    return docs.withColumn(name, lang(F.col(text_col))).where(F.col(name) != UNKNOWN).drop(name)
+    name = fresh(docs, "known")
+    return docs.withColumn(name, known(F.col(text_col))).where(F.col(name)).drop(name)
 
 
 def op1_bitmask_langid(spark, sf_dir: str) -> DataFrame:

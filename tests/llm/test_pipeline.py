@@ -77,3 +77,22 @@ def test_nulls_ties_extra_columns_and_empty(spark, tables, tmp_path):
     empty = str(tmp_path / "none")
     spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
     assert P.run(spark, empty).count() == 0
+
+
+def test_a_corpus_without_labels_keeps_its_clean_texts(spark):
+    rows = [(i, t, None, None, len(t)) for i, t in enumerate(["river stone light", "ჩვენ ვწერთ", "the thread", "12 - 3"])] + [(9, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted(r.doc_id for r in P.language_id(spark, docs, "").collect()) == [0, 1, 2]
+
+
+def test_texts_in_no_learned_language_go(spark):
+    texts = [" ".join(random.Random(i).choices(WORDS, k=60)) for i in range(40)]
+    docs = spark.createDataFrame(docs_of(texts) + [(100, "ჩვენ ვწერთ წერილს", None, "s", 17), (101, texts[3], None, "s", 5)], DOCS)
+    assert sorted(r.doc_id for r in P.language_id(spark, docs, "").collect()) == [*range(40), 101]
+
+
+def test_a_very_long_text_goes_through_all_stages(spark, tables):
+    rnd = random.Random(4)
+    long_text = " ".join(rnd.choices(WORDS, k=300_000)) + " password = hunter22x"
+    got = P.run(spark, tables("documents", docs_of([long_text, "the river and a stone", "window light thread"]), DOCS)).collect()
+    assert ordered(got, "doc_id", "n_tokens") == [(0, 300_001), (1, 5), (2, 3)]
