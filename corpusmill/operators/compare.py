@@ -19,7 +19,8 @@ def join_systems(files: DataFrame, keys: DataFrame | None = None, key: str = "st
     out = keys.select(key).dropDuplicates([key]) if keys is not None else None
     for col, suffix in suffixes.items():
         part = with_suffix(files, suffix, key=key, value="content").withColumnRenamed("content", col)
-        out = part if out is None else out.join(part, key, "inner")
+        # whole texts: no side may be broadcast on an estimate
+        out = part if out is None else out.join(part.hint("merge"), key, "inner")
     return out
 
 

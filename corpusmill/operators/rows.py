@@ -17,3 +17,16 @@ def select_where(df: DataFrame, columns: list[Column], keep: Callable[[Column],
     kept or dropped inside a generator, which nothing is pushed through."""
     row = F.struct(*columns)
     return df.select(F.inline(F.filter(F.array(row), keep)))
+
+
+#: bytes of input (as Spark estimates them) up to which rows are dealt anew
+SMALL_INPUT = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input evenly. Parquet is read a row group at a
+    time, so a table of some megabytes may be one row group, and all text work
+    over it one task. Inputs beyond ``SMALL_INPUT`` have row groups enough and are
+    left as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df

@@ -2,20 +2,22 @@
 
 The vocabulary is every distinct token of the input, numbered by the same
 distributed exact rank as the splits (seeded md5 order), so ids are dense,
-deterministic and independent of partitioning. Mapping tokens to ids is an
-equi-join on the token (the vocabulary grows with the data and is never
-broadcast), followed by an ordered re-assembly
-per row. Callers with a subword tokenizer use ``plugins.tokenize`` instead.
+deterministic and independent of partitioning. Ids come from an equi-join on the
+token (the vocabulary grows with the data and is never broadcast), but only a
+text's *distinct* tokens take part: a text is first turned into its own
+dictionary, each distinct token with the places where it stands, and the ids are
+put back at those places after the join. Callers with a subword tokenizer use
+``plugins.tokenize`` instead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import tokens
+from corpusmill.functions.text import let
 from corpusmill.operators.split import exact_rank
-from corpusmill.session import cut_lineage
+from corpusmill.session import stored
 
 
 def build_vocab(df: DataFrame, tokens_col: str, seed=42, first_id: int = 1, materialize: bool = True) -> DataFrame:
@@ -26,39 +28,66 @@ def build_vocab(df: DataFrame, tokens_col: str, seed=42, first_id: int = 1, mate
         F.col("token").isNotNull()).dropDuplicates(["token"])
     if materialize:
         # written once; the rank reads it twice
-        toks = cut_lineage(toks)
+        toks = stored(toks, "tokens")
     ranked = exact_rank(toks, "token", seed)
     return ranked.select("token", (F.col("rank") + (first_id - 1)).cast("int").alias("id"))
 
 
+def token_groups(toks) -> Column:
+    """Token array -> array of ``(token, places)``: each distinct token with its
+    0-based places in order. The tokens are sorted with their places once, and
+    each run of equal ones is cut out: no step looks through the whole array for
+    one token, so the work is that of the sort. Null tokens have no group."""
+    t = F.col(toks) if isinstance(toks, str) else toks
+    placed = F.sort_array(F.filter(F.transform(t, lambda x, i: F.struct(x.alias("token"), i.alias("place"))), lambda x: x["token"].isNotNull()))
+
+    def at(a: Column, i: Column) -> Column:
+        return F.get(a, i)["token"]
+
+    def runs(a: Column) -> Column:
+        first = F.when(F.size(a) == 0, F.array().cast("array<int>")).otherwise(F.filter(
+            F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (at(a, i) != at(a, i - 1))))
+        return let(first, lambda starts: F.transform(starts, lambda s, k: F.struct(
+            at(a, s).alias("token"),
+            F.transform(F.slice(a, s + 1, F.coalesce(F.get(starts, k + 1), F.size(a)) - s), lambda x: x["place"]).alias("places"))))
+
+    return let(placed, runs)
+
+
+def ids_of_groups(groups: DataFrame, key: str, groups_col: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
+    """``token_groups`` arrays -> id arrays in the original order, the other
+    columns of ``groups`` (narrow ones) carried through. Two shuffles, both of one
+    row for each distinct token of a text: by the token, where AQE splits a token
+    that many texts share, and back by the text's key. Places left out of the
+    groups leave no gap in the ids."""
+    carry = [c for c in groups.columns if c not in (key, groups_col)]
+    each = groups.select(key, *carry, F.explode_outer(groups_col).alias("__g")).select(
+        key, *carry, F.col("__g.token").alias("token"), F.col("__g.places").alias("__places"))
+    joined = each.join(vocab, "token", "left").select(key, *carry, "id", "__places")
+    found = F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "__places")))
+    placed = F.flatten(F.transform("__f", lambda g: F.transform(g["__places"], lambda p: F.struct(p.alias("place"), g["id"].alias("id")))))
+    regrouped = joined.groupBy(key).agg(*[F.first(c).alias(c) for c in carry], found.alias("__f"))
+    return regrouped.select(key, *carry, F.transform(F.sort_array(placed), lambda s: s["id"]).cast("array<int>").alias(out))
+
+
 def to_ids(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, out: str = "ids",
-           salt_buckets: int = 16) -> DataFrame:
+           salt_buckets: int = 1) -> DataFrame:
     """Token arrays -> id arrays in the original order; the other columns of
-    ``df`` are carried through (one pass over ``df``: no join back), so keep
-    wide text columns out of ``df``. Rows with no token get an empty array.
-
-    The join on the token is salted: a very frequent token (``the``, ``{``) would put a large share
-    of all token rows into one task, so each row gets one of
-    ``salt_buckets`` salts from its (key, position) and the vocabulary is
-    repeated once per salt (a fixed multiple of its size)."""
-    carry = [c for c in df.columns if c not in (key, tokens_col)]
-    exploded = df.select(key, *carry, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    if salt_buckets and salt_buckets > 1:
-        salt = F.pmod(F.xxhash64(F.col(key), F.col("pos")), F.lit(salt_buckets)).cast("int")
-        salted_vocab = vocab.select("token", "id", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
-                                    .alias("__salt"))
-        joined = exploded.withColumn("__salt", salt).join(salted_vocab, ["token", "__salt"], "left")
-    else:
-        joined = exploded.join(vocab, "token", "left")
-    pairs = F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))
-    regrouped = joined.groupBy(key).agg(*[F.first(c).alias(c) for c in carry],
-                                        F.array_sort(pairs).alias("__p"))
-    return regrouped.select(key, *carry, F.transform("__p", lambda s: s["id"]).cast("array<int>").alias(out))
-
-
-def whitespace_tokenize(df: DataFrame, text: str, out: str = "tokens", max_length: int | None = None) -> DataFrame:
-    """Whitespace tokens, truncated to ``max_length`` when given."""
-    t = tokens(text)
-    if max_length is not None:
-        t = F.slice(t, 1, max_length)
-    return df.withColumn(out, t)
+    ``df`` are carried through, so keep wide text columns out of ``df``. Rows with
+    no token get an empty array.
+
+    A token that many texts share is split by AQE. Where AQE is off,
+    ``salt_buckets`` deals its rows by their key and repeats the vocabulary once
+    per salt."""
+    groups = df.withColumn(tokens_col, token_groups(tokens_col))
+    if salt_buckets <= 1:
+        return ids_of_groups(groups, key, tokens_col, vocab, out)
+
+    def salted(token: Column, salt: Column) -> Column:
+        return F.concat(salt.cast("string"), F.lit(":"), token)
+
+    salt = F.pmod(F.xxhash64(F.col(key)), F.lit(salt_buckets))
+    named = groups.withColumn(tokens_col, F.transform(tokens_col, lambda g: F.struct(salted(g["token"], salt).alias("token"), g["places"].alias("places"))))
+    every = vocab.select(F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))).alias("__salt"), "token", "id").select(
+        salted(F.col("token"), F.col("__salt")).alias("token"), "id")
+    return ids_of_groups(named, key, tokens_col, every, out)

@@ -20,6 +20,7 @@ from corpusmill.operators import names as N
 from corpusmill.operators import split as S
 from corpusmill.operators import tokenize as TK
 from corpusmill.operators.rows import select_where
+from corpusmill.session import stored
 from corpusmill.sources.files import non_empty_pairs, pair_by_stem, primary_only, with_suffix
 
 
@@ -46,7 +47,7 @@ def over_budget(files: DataFrame, max_src_tokens: int, train: float = 0.8, val:
 def _training_pairs(files: DataFrame, train: float, val: float, seed, include_cap: int | None) -> DataFrame:
     p = pair_by_stem(files, ".s", ".c")
     split = S.split_exact(p.select("stem"), "stem", train, val, seed)
-    joined = non_empty_pairs(split.join(p, "stem", "inner"))
+    joined = non_empty_pairs(split.hint("merge").join(p, "stem", "inner"))
     src = T.normalize_asm_expr("src")
     staged = select_where(joined, [
         F.col("stem"), F.col("split"),
@@ -60,7 +61,7 @@ def evaluation_set(files: DataFrame, keys: DataFrame, include_cap: int | None =
     """Key list -> pair lookup (missing keys skipped) -> both texts
     non-empty -> C normal form; the assembly stays raw."""
     p = pair_by_stem(files, ".s", ".c")
-    ev = non_empty_pairs(keys.select("stem").join(p, "stem", "inner"))
+    ev = non_empty_pairs(keys.select("stem").hint("merge").join(p, "stem", "inner"))
     return ev.select("stem", "src", T.normalize_c("tgt", include_cap).alias("tgt"))
 
 
@@ -134,19 +135,29 @@ def tokenized_training_set(pairs: DataFrame, max_src: int | None = None, max_tgt
     ``plugins.tokenize`` with a subword tokenizer). By default whitespace tokens
     get the ids of one dictionary over the whole texts of both sides and all
     splits. Ids are cut to the lengths given, after the dictionary is made."""
-    def cut(col: str, most: int | None) -> Column:
-        return F.col(col) if most is None else F.slice(col, 1, most)
-
     if tokenizer is not None:
+        def cut(col: str, most: int | None) -> Column:
+            return F.col(col) if most is None else F.slice(col, 1, most)
+
         ids = tokenizer(tokenizer(pairs, "src", "input_ids"), "tgt", "labels")
-    else:
-        # one row per side: the dictionary and the ids see both alike
-        sides = pairs.select("stem", "split", F.explode(F.array(
-            F.struct(F.lit("input_ids").alias("side"), T.tokens("src").alias("tokens")),
-            F.struct(F.lit("labels").alias("side"), T.tokens("tgt").alias("tokens")))).alias("s")).select(
-            F.struct("stem", "s.side").alias("row"), "split", "s.tokens")
-        vocab = TK.build_vocab(sides, "tokens", seed, first_id)
-        numbered = TK.to_ids(sides, "row", "tokens", vocab, "ids")
-        ids = numbered.groupBy(F.col("row.stem").alias("stem")).agg(
-            F.first("split").alias("split"), *[F.max_by("ids", F.when(F.col("row.side") == c, 1)).alias(c) for c in ("input_ids", "labels")])
-    return ids.select("stem", "split", cut("input_ids", max_src).alias("input_ids"), cut("labels", max_tgt).alias("labels"))
+        return ids.select("stem", "split", cut("input_ids", max_src).alias("input_ids"), cut("labels", max_tgt).alias("labels"))
+    # both sides of a pair are one row of tokens, written once: the dictionary and
+    # the ids read the same normal forms, and a token of both sides is joined once
+    sides = select_where(pairs, [F.col("stem"), F.col("split"), T.tokens("src").alias("s"), T.tokens("tgt").alias("t")], lambda r: F.lit(True))
+    rows = stored(sides.select(
+        F.monotonically_increasing_id().alias("row"), "stem", "split", F.size("s").alias("n_src"), F.size("t").alias("n_tgt"),
+        TK.token_groups(F.concat("s", "t")).alias("groups")), "tokens")
+    vocab = TK.build_vocab(rows.select(F.transform("groups", lambda g: g["token"]).alias("tokens")), "tokens", seed, first_id)
+    # only places that stay after the cut are numbered
+    n_src = F.col("n_src") if max_src is None else F.least("n_src", F.lit(max_src))
+    last = F.col("n_src") + (F.col("n_tgt") if max_tgt is None else F.least("n_tgt", F.lit(max_tgt)))
+
+    def stays(p: Column) -> Column:
+        return (p < n_src) | ((p >= F.col("n_src")) & (p < last))
+
+    kept = F.filter(F.transform("groups", lambda g: F.struct(g["token"].alias("token"), F.filter(g["places"], stays).alias("places"))),
+                    lambda g: F.size(g["places"]) > 0)
+    numbered = TK.ids_of_groups(rows.select("row", n_src.alias("n"), kept.alias("groups")), "row", "groups", vocab, "ids")
+    return rows.select("row", "stem", "split").join(numbered, "row").select(
+        "stem", "split", F.slice("ids", F.lit(1), F.col("n")).alias("input_ids"),
+        F.slice("ids", F.col("n") + 1, F.greatest(F.size("ids") - F.col("n"), F.lit(0))).alias("labels"))

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.operators.rows import spread
+
 # C source: duplicated / unordered includes, a non-preferred include, a string
 # literal holding '//', brace on its own line, a block comment, the whole
 # document as line comments, extra blank lines at the end.
@@ -76,8 +78,13 @@ STEM_SQL = "concat('doc_', cast(doc_id as string))"
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: tables of whole texts: their work is heavy for their bytes
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:

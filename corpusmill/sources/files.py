@@ -70,10 +70,12 @@ def pair_by_stem(files: DataFrame, src_suffix: str = ".s", tgt_suffix: str = ".c
     """Stems having both suffixes -> ``(stem, src, tgt)``.
 
     Keyed by Python's stem rule on each suffix, so ``x.ghidra.c`` pairs only
-    with ``x.ghidra.s``. One shuffle (an inner equi-join on stem)."""
+    with ``x.ghidra.s``. One shuffle of each side (an inner equi-join on stem):
+    whole texts grow with the corpus, so neither side is ever broadcast on an
+    estimate of its size."""
     src = with_suffix(files, src_suffix, value="content").withColumnRenamed("content", "src")
     tgt = with_suffix(files, tgt_suffix, value="content").withColumnRenamed("content", "tgt")
-    pairs = src.join(tgt, "stem", "inner").select("stem", "src", "tgt")
+    pairs = src.join(tgt.hint("merge"), "stem", "inner").select("stem", "src", "tgt")
     if require_non_empty and pairs.isEmpty():
         raise RuntimeError("no (src, tgt) pairs found")
     return pairs
