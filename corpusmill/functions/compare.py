@@ -9,6 +9,8 @@ Python and no shuffle.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,12 +59,66 @@ def similarity(a_text, b_text) -> Column:
     return similarity_from_tokens(tokens(a_text), tokens(b_text))
 
 
-def _bit_parallel_distance(a: list, b: list) -> int:
-    """Exact unit-cost Levenshtein distance of two token lists with the
-    bit-vector recurrence (Myers 1999, Hyyro 2001): one pass over the longer
-    list, O(len(a) * len(b) / word) with Python integers as bit vectors. What
-    both lists start and end with costs nothing and is left out first, so two
-    long texts that differ in one place take linear time."""
+BAND = 64  # rows to each side of the diagonal that are tried first
+_EQ_BITS = 1 << 29  # bits of the places of tokens that are held at once
+
+
+def _within_band(a: list, m: int, places: dict, k: int) -> int:
+    """Edit distance of ``a`` and a list of ``m`` tokens that stand at ``places``
+    (token -> indexes in order), over the cells at most ``k`` off the diagonal:
+    never too small, and right if it is ``k`` or less. The column of
+    cells is kept as bit vectors of vertical differences (Myers 1999, Hyyro 2001),
+    of which only the ``2k + 1`` bits of the band are held: with each token of
+    ``a`` the band moves down by one row. A cell outside counts as one more than
+    its neighbour inside, which is a real way to get there.
+
+    A token's places are made into bits for some columns at a time, so what is
+    held stays bounded for texts of any length."""
+    ahead = max(64, min(4096, _EQ_BITS // (2 * k + 4096)))  # columns
+    base, bits_of = 1, {}
+    low, last = 1, min(m, k)  # rows of the band, from 1
+    full = (1 << last) - 1
+    pv, mv, score = full, 0, last
+    for j, tok in enumerate(a, 1):
+        if j > k + 1:
+            low += 1
+            pv >>= 1
+            mv >>= 1
+        if last < m:
+            last += 1
+            pv |= 1 << (last - low)
+            score += 1
+        full = (1 << (last - low + 1)) - 1
+        if j % ahead == 1:
+            base, bits_of = low, {}
+        bits = bits_of.get(tok)
+        if bits is None:
+            at = places.get(tok, ())
+            top = min(m, j - j % ahead + ahead + k)  # the last row that these columns reach
+            held = bytearray((top - base >> 3) + 1)  # one bit at a time of a long number would be quadratic
+            for i in at[bisect_left(at, base - 1):bisect_left(at, top)]:
+                held[i + 1 - base >> 3] |= 1 << (i + 1 - base & 7)
+            bits = bits_of[tok] = int.from_bytes(held, "little")
+        eq = bits >> (low - base) & full
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | (full & ~(xh | pv))
+        mh = pv & xh
+        bottom = last - low
+        score += (ph >> bottom & 1) - (mh >> bottom & 1)
+        ph = (ph << 1) | 1
+        mh <<= 1
+        pv = (mh | ~(xv | ph)) & full
+        mv = ph & xv & full
+    return score
+
+
+def _edit_distance(a: list, b: list) -> int:
+    """Exact unit-cost Levenshtein distance of two token lists. What both start
+    and end with costs nothing and is left out; the rest is tried in a band
+    around the diagonal that is doubled until the distance fits into it. So the
+    work follows the distance: texts of any length that are near each other
+    never cost the product of their lengths."""
     if len(a) < len(b):
         a, b = b, a
     same, most = 0, len(b)
@@ -72,30 +128,18 @@ def _bit_parallel_distance(a: list, b: list) -> int:
     while end < most - same and a[-1 - end] == b[-1 - end]:
         end += 1
     a, b = a[same:len(a) - end], b[same:len(b) - end]
-    m = len(b)
-    if m == 0:
+    if not b:
         return len(a)
-    peq: dict = {}
+    places: dict = {}
     for i, tok in enumerate(b):
-        peq[tok] = peq.get(tok, 0) | (1 << i)
-    full = (1 << m) - 1
-    top = 1 << (m - 1)
-    pv, mv, score = full, 0, m
-    for tok in a:
-        eq = peq.get(tok, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | ~(xh | pv)
-        mh = pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-        ph = (ph << 1) | 1
-        mh <<= 1
-        pv = (mh | ~(xv | ph)) & full
-        mv = ph & xv & full
-    return score
+        places.setdefault(tok, []).append(i)
+    k = max(BAND, 2 * (len(a) - len(b)))
+    while True:
+        k = min(k, len(a))
+        d = _within_band(a, len(b), places, k)
+        if d <= k or k == len(a):
+            return d
+        k *= 2
 
 
 def _similarity_udf():
@@ -106,7 +150,7 @@ def _similarity_udf():
         for x, y in zip(a, b):
             ta = x.split() if x is not None else []
             tb = y.split() if y is not None else []
-            d = _bit_parallel_distance(ta, tb)
+            d = _edit_distance(ta, tb)
             dist.append(d)
             sims.append(1.0 if not ta and not tb else 1.0 - d / max(len(ta), len(tb), 1))
         return pd.DataFrame({"distance": dist, "similarity": sims})

@@ -50,6 +50,7 @@ QUERIES: dict[str, QueryFn] = {
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
+    "system_similarity": oq.q_system_similarity,
     "reply_similarity": oq.q_reply_similarity,
     "eval_normal_form": oq.q_eval_normal_form,
     "asm_normal_form": oq.q_asm_normal_form,

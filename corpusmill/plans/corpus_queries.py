@@ -46,9 +46,9 @@ def system_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reply_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same comparison over stored replies: per conversation the first
-    assistant turn is the original, the last one the other system's answer,
-    and the candidate of the third system is the first user turn as it is."""
+    """The same comparison over all stored turns: for each user turn with a reply
+    and a later one, the reply is the original, the later one the other system's
+    answer, and the candidate of the third system is the user turn as it is."""
     return W.compare_systems(reply_files(spark, sf_dir), predict=lambda asm: asm, include_cap=INCLUDE_CAP)
 
 

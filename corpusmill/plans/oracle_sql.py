@@ -490,9 +490,19 @@ def tokens_expr(t: str) -> str:
     return f"list_filter(regexp_split_to_array({t}, '\\s+'), lambda x: x <> '')"
 
 
+def slide(i: str, n: str, m: str, k: str) -> str:
+    """``i`` plus the number of equal tokens from there on along diagonal ``k``."""
+    left = f"least({n} - {i}, {m} - {i} - {k})"
+    return (f"{i} + coalesce(list_position(list_transform(range({left}), lambda l: a[{i} + l + 1] <> b[{i} + {k} + l + 1]), true) - 1, "
+            f"greatest({left}, 0))")
+
+
 def similarity_sql(files: str, model: str) -> str:
     """Mean token similarity per system: the C normal form, and the edit
-    distance as an anti-diagonal dynamic programme in a keyed recursive CTE."""
+    distance by furthest reaching points: step ``e`` of a keyed recursive CTE
+    knows, for each diagonal of the band ``-e .. e``, how far ``e`` edits lead. The
+    band grows until the end is reached, so the work follows the distances, not
+    the product of the lengths."""
     return f"""with recursive {files},
 keys as (select distinct {suffix_key('name', '.c')} as stem from files where name like '%.c' and name not like '%.ghidra.c'),
 j as (select k.stem, t.content as truth, s.content as asm, o.content as other from keys k
@@ -508,25 +518,32 @@ tt as (select stem, {tokens_expr(eval_form_expr('norm'))} as b from nt7),
 cand as (select 'other' as system, stem, {tokens_expr(eval_form_expr('norm'))} as a from no7
    union all select 'model' as system, stem, {tokens_expr(eval_form_expr('norm'))} as a from nm7),
 pairs as (select row_number() over () as pid, c.system, c.a, t.b from cand c join tt t on c.stem = t.stem),
-dp(pid, d, n, m, a, b, p2, p1) using key (pid) as (
-  select pid, 1, len(a), len(b), a, b, [0::bigint] || list_transform(range(len(a)), lambda k: null::bigint),
-         list_transform(range(len(a) + 1), lambda i: case when i <= 1 then 1::bigint end)
-  from pairs
+dp(pid, e, n, m, a, b, reach) using key (pid) as (
+  select pid, 0::bigint, len(a), len(b), a, b, [{slide('0', 'len(a)', 'len(b)', '0')}] from pairs
   union
-  select pid, d + 1, n, m, a, b, p1,
-    list_transform(range(n + 1), lambda i:
-      case when d + 1 - i < 0 or d + 1 - i > m then null
-           when i = 0 then d + 1
-           when d + 1 - i = 0 then i
-           else least(p1[i] + 1, p1[i + 1] + 1, p2[i] + case when a[i] = b[d + 1 - i] then 0 else 1 end) end)
-  from dp where d < n + m),
-dist as (select p.system, dp.n, dp.m,
-   case when dp.n + dp.m = 0 then 0 when dp.n + dp.m = 1 then 1 else dp.p1[dp.n + 1] end as d
-   from dp join pairs p on dp.pid = p.pid),
-sims as (select system, case when n = 0 and m = 0 then 1.0 else 1.0 - d / greatest(n, m, 1) end as sim from dist)
+  select pid, e + 1, n, m, a, b,
+    list_transform(starts, lambda s, x: case when s < 0 or s + x - e - 2 < 0 then -1000000000
+      else {slide('s', 'n', 'm', '(x - e - 2)')} end)
+  from (select *, list_transform(range(2 * e + 3), lambda x: least(n, m - (x - e - 1), greatest(
+      -- a token changed, one of a's left out, one of b's put in
+      case when x between 1 and 2 * e + 1 then reach[x] + 1 else -1000000000 end,
+      case when x <= 2 * e then reach[x + 1] + 1 else -1000000000 end,
+      case when x >= 2 then reach[x - 1] else -1000000000 end))) as starts
+    from dp where not (abs(m - n) <= e and coalesce(reach[m - n + e + 1], -1) >= n))),
+sims as (select p.system, case when n = 0 and m = 0 then 1.0 else 1.0 - e / greatest(n, m, 1) end as sim
+   from dp join pairs p on dp.pid = p.pid)
 select system, count(*) as n_samples, round(avg(sim), 9) as mean_similarity from sims group by system"""
 
 
+def q_system_similarity() -> str:
+    """The stand-in's C text: the listing's first label and its string constants."""
+    label = "regexp_extract(asm, '(?m)^([A-Za-z_][A-Za-z0-9_]*):', 1)"
+    strings = "regexp_extract_all(asm, '(?m)^\\s*\\.string\\s+\"(.*)\"\\s*$', 1)"
+    stand_in = (f"'int ' || {label} || '(void)' || chr(10) || '{{' || chr(10) || '  // ' || array_to_string({strings}, chr(10) || '  // ') "
+                "|| chr(10) || '  return 0;' || chr(10) || '}' || chr(10)")
+    return similarity_sql(files_cte(), stand_in)
+
+
 def q_reply_similarity() -> str:
     return similarity_sql(f"files as ({reply_files_sql()})", "asm")
 

@@ -18,7 +18,7 @@ DuckDB oracle, so both engines see byte-identical inputs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.rows import spread
@@ -110,28 +110,44 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reply_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(name, path, content, kind)``: three files per conversation, its first
-    assistant turn (``.c``), its last one (``.ghidra.c``) and its first user
-    turn (``.s``), whole."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(
-        F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("last"))
-    stem = F.concat(F.lit("conv_"), F.col("conv_id").cast("string"))
-
-    def files(role: str, suffix: str, which: str) -> DataFrame:
-        name = F.concat(stem, F.lit(suffix))
-        return turns.where(F.col("role") == role).select(name.alias("name"), F.concat(F.lit("replies/"), name).alias("path"),
-                                                          F.col(which).alias("content"), F.lit(suffix).alias("kind"))
-
-    return files("assistant", ".c", "first").unionByName(files("assistant", ".ghidra.c", "last")).unionByName(files("user", ".s", "first"))
+    """``(name, path, content, kind)``, a file set for each user turn of a
+    conversation, of whole turns: the turn itself (``.s``), the first reply to it
+    (``.c``) and the conversation's next reply after that one (``.ghidra.c``). Every
+    user and assistant turn is read, and no turn is set against itself."""
+    turns = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    conv = Window.partitionBy("conv_id").orderBy("turn")
+    ahead = conv.rowsBetween(1, Window.unboundedFollowing)
+    before = conv.rowsBetween(Window.unboundedPreceding, -1)
+    said = F.col("role") == "assistant"
+    # decided on (conv_id, turn, role) alone: no text is sorted
+    decided = turns.select("conv_id", "turn", "role").select(
+        "conv_id", "turn", "role",
+        F.last(F.when(~said, F.col("turn")), ignorenulls=True).over(before).alias("asked"),
+        F.lag("role").over(conv).alias("previous"),
+        F.first(F.when(said, F.col("turn")), ignorenulls=True).over(ahead).alias("next_reply"))
+    first_reply = (F.col("role") == "assistant") & (F.col("previous") == "user")
+    sets = decided.where("role = 'user'").select("conv_id", "turn", F.col("turn").alias("asked"), F.lit(".s").alias("kind")).unionByName(
+        decided.where(first_reply).select("conv_id", "turn", "asked", F.lit(".c").alias("kind"))).unionByName(
+        decided.where(first_reply & F.col("next_reply").isNotNull()).select("conv_id", F.col("next_reply").alias("turn"), "asked", F.lit(".ghidra.c").alias("kind")))
+    name = F.concat_ws("_", F.lit("conv"), "conv_id", "asked")
+    return sets.join(turns.select("conv_id", "turn", F.col("text").alias("content")), ["conv_id", "turn"]).select(
+        F.concat(name, F.col("kind")).alias("name"), F.concat(F.lit("replies/"), name, F.col("kind")).alias("path"), "content", "kind")
 
 
 def reply_files_sql() -> str:
-    """DuckDB text of the same relation."""
-    def part(role: str, suffix: str, pick: str) -> str:
-        return (f"select 'conv_' || cast(conv_id as varchar) || '{suffix}' as name, {pick}(text, turn) as content "
-                f"from conversations where role = '{role}' group by conv_id")
-
-    return " union all ".join([part("assistant", ".c", "arg_min"), part("assistant", ".ghidra.c", "arg_max"), part("user", ".s", "arg_min")])
+    """DuckDB text of the same relation, without windows: by comparing turns."""
+    turn = "select conv_id, turn, text from conversations where role = "
+    reply = ("select u.conv_id, u.turn as asked, min(a.turn) as turn from (" + turn + "'user') u join (" + turn + "'assistant') a "
+             "on a.conv_id = u.conv_id and a.turn > u.turn and not exists (select 1 from conversations c where c.conv_id = u.conv_id "
+             "and c.role = 'user' and c.turn > u.turn and c.turn < a.turn) group by u.conv_id, u.turn")
+
+    def part(suffix: str, found: str) -> str:
+        return (f"select 'conv_' || cast(f.conv_id as varchar) || '_' || cast(f.asked as varchar) || '{suffix}' as name, c.text as content "
+                f"from ({found}) f join conversations c on c.conv_id = f.conv_id and c.turn = f.turn")
+
+    later = (f"select r.conv_id, r.asked, min(a.turn) as turn from ({reply}) r join ({turn}'assistant') a on a.conv_id = r.conv_id and a.turn > r.turn "
+             "group by r.conv_id, r.asked")
+    return " union all ".join([part(".s", turn.replace("turn, text", "turn as asked, turn") + "'user'"), part(".c", reply), part(".ghidra.c", later)])
 
 
 def code_files_sql() -> str:

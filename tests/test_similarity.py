@@ -70,3 +70,38 @@ def test_fast_path_matches_brute_force(spark):
         ta, tb = r.a.split(), r.b.split()
         assert r.f.distance == brute(ta, tb)
         assert r.f.similarity == pytest.approx(r.s)
+
+
+def test_the_band_grows_until_it_is_exact(monkeypatch):
+    rng = random.Random(3)
+    for band in (1, 2, 5):
+        monkeypatch.setattr(C, "BAND", band)
+        for _ in range(400):
+            a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 16))] for _ in range(2))
+            assert C._edit_distance(a, b) == brute(a, b)
+
+
+def test_places_are_held_for_some_columns_at_a_time(monkeypatch):
+    monkeypatch.setattr(C, "BAND", 4)
+    monkeypatch.setattr(C, "_EQ_BITS", 1 << 10)
+    rng = random.Random(4)
+    for _ in range(15):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randint(150, 300))]
+        b = list(a)
+        for _ in range(rng.randint(0, 60)):
+            b[rng.randrange(len(b))] = "x"
+            if rng.random() < 0.5:
+                del b[rng.randrange(len(b))]
+        assert C._edit_distance(a, b) == brute(a, b)
+
+
+def test_very_long_texts_that_are_near_each_other():
+    """200,000 tokens: the product of the lengths is out of reach."""
+    rng = random.Random(5)
+    a = [str(rng.randint(0, 5000)) for _ in range(200_000)]
+    b = list(a)
+    for i in range(0, 200_000, 2000):
+        b[i] = "changed"
+    del b[1001]
+    b.insert(150_000, "more")
+    assert C._edit_distance(a, b) == 102

@@ -35,3 +35,14 @@ def test_problem_numbers_checked_against_position(spark):
     df = spark.createDataFrame([("1. a", 1), ("3. b", 2), ("x", 3)], "value string, pos long")
     rows = SF.parse_problems(df, position_col="pos").collect()
     assert [r.number_matches for r in rows] == [True, False, False]
+
+
+def test_reply_files_read_every_turn_and_pair_none_with_itself(spark, tmp_path):
+    from corpusmill.sources.corpus import reply_files
+
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "u1"), (1, 2, "assistant", "a1"), (1, 3, "assistant", "a2"), (1, 4, "user", "u2"), (1, 5, "user", "u3"),
+             (1, 6, "assistant", "a3"), (2, 0, "assistant", "b0"), (2, 1, "user", "v1"), (2, 2, "assistant", "b1"), (3, 0, "user", "w")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.name, r.content) for r in reply_files(spark, str(tmp_path)).collect()}
+    assert got == {("conv_1_1.s", "u1"), ("conv_1_1.c", "a1"), ("conv_1_1.ghidra.c", "a2"), ("conv_1_4.s", "u2"), ("conv_1_5.s", "u3"), ("conv_1_5.c", "a3"),
+                   ("conv_2_1.s", "v1"), ("conv_2_1.c", "b1"), ("conv_3_0.s", "w")}
