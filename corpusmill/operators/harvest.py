@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.docs import (TEXT_SCHEMA, first_code_block, html_unescape, section_hit, section_html,
                                       section_lines, strip_tags)
+from corpusmill.functions.html import page_links
 from corpusmill.functions.text import let, strip_ws, url_to_title
 
 # an attribute of its own name (no ``data-href``), quoted either way or not at all
@@ -86,19 +87,61 @@ def extract_links(pages: DataFrame, html: str = "html", key: str = "page_id",
     keep = (F.col("href") != "") & (F.col("title") != "") & F.col("href").startswith(prefix)
     if exclude_prefix:
         keep = keep & ~F.col("href").startswith(exclude_prefix)
-    links = links.where(keep).select(key, "pos", "title", F.concat("__base", "href").alias("url"))
+    kept = links.where(keep).select(key, F.struct("pos").alias("at"), "title", F.concat("__base", "href").alias("url"))
+    return _first_of_each(kept, key, cap)
+
+
+def _first_of_each(links: DataFrame, key: str, cap: int | None) -> DataFrame:
+    """``links(key, at, title, url)`` -> the first of each URL in the order of
+    ``at``, numbered from 0 within the page, ``cap`` of them at most."""
     # first occurrence per URL as an aggregate on (page, url): partial
     # aggregation, and one huge page is spread over many tasks
-    deduped = links.groupBy(key, "url").agg(F.min("pos").alias("pos"), F.min_by("title", "pos").alias("title"))
+    deduped = links.groupBy(key, "url").agg(F.min("at").alias("at"), F.min_by("title", "at").alias("title"))
     # the cap is a per-page top-k; the filtered window runs as a map-side
     # group limit, so at most `cap` rows per page and task are shuffled
-    order = Window.partitionBy(key).orderBy("pos")
+    order = Window.partitionBy(key).orderBy("at")
     capped = deduped.withColumn("__n", F.row_number().over(order))
     if cap is not None:
         capped = capped.where(F.col("__n") <= cap)
     return capped.select(key, (F.col("__n") - 1).alias("pos"), "title", "url")
 
 
+# The lists of a category page
+CATEGORY_CONTAINER = "mw-pages"
+CATEGORY_SELECTORS = (("div", "mw-category"), ("div", "mw-category-group"))
+
+
+def category_links(pages: DataFrame, html: str = "html", key: str = "page_id", container: str | None = CATEGORY_CONTAINER,
+                   selectors=CATEGORY_SELECTORS, prefix: str = "/wiki/", exclude_prefix: str | None = "/wiki/Category:",
+                   base_url: Column | str = "", cap: int | None = None) -> DataFrame:
+    """Links of the element with the id ``container`` -> ``(key, pos, title,
+    url)``. Those below an element of the first selector ``(name, class)`` come
+    first, then those of the second, and so on, each in page order; if a page has
+    no wanted link below any of them, all links of its container count. First
+    occurrence of each URL, ``cap`` per page at most. A page without the container
+    has no links."""
+    base = F.lit(base_url) if isinstance(base_url, str) else base_url
+    found = pages.select(F.col(key), base.alias("__base"), page_links(html, container, list(selectors)).alias("__links"))
+
+    def wanted(x: Column) -> Column:
+        keep = (x["href"] != "") & (x["title"] != "") & x["href"].startswith(prefix)
+        return keep & ~x["href"].startswith(exclude_prefix) if exclude_prefix else keep
+
+    def of(links: Column, selector: int) -> Column:
+        """The links below the selector (all of them for the one past the last)."""
+        some = links if selector == len(selectors) else F.filter(links, lambda x: F.array_contains(x["selectors"], selector))
+        return F.transform(some, lambda x: F.struct(F.lit(selector).alias("selector"), x["pos"].alias("pos"), x["title"].alias("title"), x["href"].alias("href")))
+
+    def chosen(links: Column) -> Column:
+        """Decided on the page's own array: the page is read once and nothing is joined."""
+        listed = F.flatten(F.array(*[of(links, i) for i in range(len(selectors))])) if selectors else F.slice(of(links, 0), 1, 0)
+        return let(listed, lambda x: F.when(F.size(x) > 0, x).otherwise(of(links, len(selectors))))
+
+    placed = F.transform("__links", lambda x, i: F.struct(i.alias("pos"), x["href"].alias("href"), x["title"].alias("title"), x["selectors"].alias("selectors")))
+    each = found.select(key, "__base", F.explode_outer(let(F.filter(placed, wanted), chosen)).alias("l")).where(F.col("l").isNotNull())
+    return _first_of_each(each.select(key, F.struct("l.selector", "l.pos").alias("at"), "l.title", F.concat("__base", "l.href").alias("url")), key, cap)
+
+
 def harvest_status(items: DataFrame, sections_json: str = "sections_json", text_json: str = "text_json",
                    letter: str = "c", strict: bool = False) -> DataFrame:
     """Per-item extraction with a status instead of a failure: ``error`` (the

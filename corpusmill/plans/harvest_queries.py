@@ -24,7 +24,7 @@ from corpusmill.operators import names as N
 from corpusmill.operators.metrics import tally
 from corpusmill.operators.split import ordinal_rank
 from corpusmill.plans import workflows as W
-from corpusmill.sources.corpus import code_files, table
+from corpusmill.sources.corpus import code_files, listing_pages, table
 from corpusmill.sources.files import primary_only, with_suffix
 
 NAV_START, NAV_END = "<nav", "</nav>"
@@ -46,11 +46,10 @@ def page_origin(url) -> F.Column:
 
 
 def link_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of every page in order, de-duplicated by URL, capped at 200 per
+    """Links of every listing page: those of the first kind of list, then of the
+    second, else all of the container; de-duplicated by URL, capped at 200 per
     page, with the title derived from the URL."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    links = H.extract_links(pages, "html", "page_id", NAV_START, NAV_END, LINK_PREFIX, LINK_EXCLUDE,
-                            base_url=page_origin("url"), cap=MAX_LINKS)
+    links = H.category_links(listing_pages(spark, sf_dir), prefix=LINK_PREFIX, exclude_prefix=LINK_EXCLUDE, base_url=page_origin("url"), cap=MAX_LINKS)
     return H.link_titles(links)
 
 

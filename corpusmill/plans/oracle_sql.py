@@ -319,13 +319,16 @@ def nav_slice(html: str = "html") -> str:
 
 
 def q_link_extraction() -> str:
+    """From the rule of the view, over the stored pages' own links: no markup of the
+    listing is read. German pages have their first link in the second kind of
+    list, so it comes last; pages of the last form add the links around the list
+    that begin as wanted, English ones don't."""
     return f"""with sl as (select page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+)', 1) as base,
-   {nav_slice()} as s from pages),
-m as (select page_id, base, {link_parts('s', 'href')} as hrefs,
-   {link_parts('s', 'inner')} as inners from sl),
-u as (select page_id, base, unnest(hrefs) as href, unnest(inners) as inner_html, generate_subscripts(hrefs, 1) as pos from m),
-c as (select page_id, pos, trim({unescape_expr("regexp_replace(inner_html, '<[^>]*>', '', 'g')")}, {WS}) as title,
-   {unescape_expr('href')} as h, base from u),
+   regexp_extract(html, '<html lang="(..)', 1) as lang, {nav_slice()} as s from pages),
+m as (select page_id, base, lang, {link_parts('s', 'href')} as hrefs, {link_parts('s', 'inner')} as inners from sl),
+u as (select page_id, base, lang, unnest(hrefs) as href, unnest(inners) as inner_html, generate_subscripts(hrefs, 1) as pos from m),
+c as (select page_id, case when lang = 'de' and pos = 1 then 1000000 else pos end as pos,
+   trim({unescape_expr("regexp_replace(inner_html, '<[^>]*>', '', 'g')")}, {WS}) as title, {unescape_expr('href')} as h, base from u),
 f as (select page_id, pos, title, base || h as url from c
    where h <> '' and title <> '' and starts_with(h, '/') and not starts_with(h, '/Category:')),
 d as (select *, row_number() over (partition by page_id, url order by pos) as rn1 from f),

@@ -73,6 +73,27 @@ OTHER_TEXT_SQL = (
     "'  return ', cast(n_chars as string), ';', chr(10), '}', chr(10))"
 )
 
+# A listing page made of a stored page: its own links stand in the lists of a
+# category page, in four forms by the page's language: one list; the first link
+# in a list of the second kind and the others in one of the first; lists inside
+# each other; no list at all. Around it stand links that do not count.
+_LANG = "substr(html, instr(html, '<html lang=') + 12, 2)"
+_FIRST, _LAST = "instr(html, '<nav><ul>')", "instr(html, '</ul></nav>')"
+_ITEMS = f"substr(html, {_FIRST} + 9, {_LAST} - {_FIRST} - 9)"
+_ONE = f"case when instr({_ITEMS}, '</li>') > 0 then instr({_ITEMS}, '</li>') + 4 else 0 end"
+LISTING_SQL = (
+    f"case when {_FIRST} > 0 and {_LAST} > {_FIRST} then concat(substr(html, 1, {_FIRST} - 1), "
+    "'<div class=\"mw-category\"><p><a href=\"/outside\">outside</a></div><div id=mw-pages2><a href=/other>other</a></div>"
+    "<div class=\"box\" id=''mw-pages''><!-- <a href=\"/comment\">comment</a> --><p>', "
+    f"case {_LANG} when 'en' then concat('<div class=\"mw-category\"><ul>', {_ITEMS}, '</ul></div><a href=\"/unlisted\">unlisted</a>') "
+    f"when 'de' then concat('<div class=mw-category-group><ul>', substr({_ITEMS}, 1, {_ONE}), '</ul></div><div class=\"a mw-category b\"><ul>', "
+    f"substr({_ITEMS}, {_ONE} + 1), '</ul></div>') "
+    f"when 'fr' then concat('<div class=\"mw-category\"><div class=\"mw-category-group\"><h3>A</h3><ul>', {_ITEMS}, '</ul></div></div>') "
+    f"else concat('<ul data-href=\"/data\">', {_ITEMS}, '</ul>') end, "
+    "'<a href=\"/Category:C\">C</a><a data-href=\"/x\">x</a><a href=\"#top\">top</a></p></div><a href=\"/after\">after</a>', "
+    f"substr(html, {_LAST} + 11)) else html end"
+)
+
 STEM_SQL = "concat('doc_', cast(doc_id as string))"
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -109,6 +130,11 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, url, html)``: every stored page as a category page."""
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.expr(LISTING_SQL).alias("html"))
+
+
 def reply_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(name, path, content, kind)``, a file set for each user turn of a
     conversation, of whole turns: the turn itself (``.s``), the first reply to it
