@@ -17,9 +17,11 @@ from corpusmill.functions.text import decode_text, strip_ws
 
 def load_text_files(spark: SparkSession, path: str, glob: str | None = None,
                     recursive: bool = False) -> DataFrame:
-    """Whole-file text load: bytes decoded as UTF-8 dropping bad bytes, and
-    universal newlines. ``glob`` is pushed to the file listing
-    (``pathGlobFilter``), so unmatched files are never opened."""
+    """Whole-file text load -> ``(name, path, content)``: bytes decoded as UTF-8
+    dropping bad bytes, and universal newlines. ``glob`` is pushed to the file
+    listing (``pathGlobFilter``), so unmatched files are never opened. With
+    ``recursive`` there is also ``folder``, and pairs are made inside a folder
+    only: equal names in two folders are two files."""
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -27,7 +29,8 @@ def load_text_files(spark: SparkSession, path: str, glob: str | None = None,
         reader = reader.option("recursiveFileLookup", "true")
     df = reader.load(path)
     name = F.element_at(F.split(F.col("path"), "/"), -1)
-    return df.select(name.alias("name"), F.col("path"), decode_text("content").alias("content"))
+    folder = [F.expr("substring(path, 1, length(path) - length(element_at(split(path, '/'), -1)) - 1)").alias("folder")] if recursive else []
+    return df.select(name.alias("name"), F.col("path"), decode_text("content").alias("content"), *folder)
 
 
 def stem_of(name) -> F.Column:
@@ -46,15 +49,17 @@ def of_suffix(files: DataFrame, suffix: str) -> DataFrame:
 
 
 def with_suffix(files: DataFrame, suffix: str, key: str = "stem", value: str = "content") -> DataFrame:
-    """Files ending in ``suffix`` keyed by the name without it."""
+    """Files ending in ``suffix`` keyed by the name without it (and their folder,
+    if they have one)."""
     n = F.col("name")
     cond = n.endswith(suffix)
     if "kind" in files.columns:
         # ``kind`` is the full suffix of each file; when it is a literal per
         # source branch this folds away the branches that cannot match
         cond = F.col("kind").endswith(suffix) & cond
+    folder = ["folder"] if "folder" in files.columns else []
     return files.where(cond).select(
-        F.expr(f"substring(name, 1, length(name) - {len(suffix)})").alias(key), F.col(value))
+        *folder, F.expr(f"substring(name, 1, length(name) - {len(suffix)})").alias(key), F.col(value))
 
 
 def primary_only(files: DataFrame, derived_suffix: str = ".ghidra.c") -> DataFrame:
@@ -67,15 +72,17 @@ def primary_only(files: DataFrame, derived_suffix: str = ".ghidra.c") -> DataFra
 
 def pair_by_stem(files: DataFrame, src_suffix: str = ".s", tgt_suffix: str = ".c",
                  require_non_empty: bool = False) -> DataFrame:
-    """Stems having both suffixes -> ``(stem, src, tgt)``.
+    """Stems having both suffixes -> ``(stem, src, tgt)``; with a column
+    ``folder``, stems of one folder -> ``(folder, stem, src, tgt)``.
 
     Keyed by Python's stem rule on each suffix, so ``x.ghidra.c`` pairs only
     with ``x.ghidra.s``. One shuffle of each side (an inner equi-join on stem):
     whole texts grow with the corpus, so neither side is ever broadcast on an
     estimate of its size."""
+    keys = [c for c in ("folder",) if c in files.columns] + ["stem"]
     src = with_suffix(files, src_suffix, value="content").withColumnRenamed("content", "src")
     tgt = with_suffix(files, tgt_suffix, value="content").withColumnRenamed("content", "tgt")
-    pairs = src.join(tgt.hint("merge"), "stem", "inner").select("stem", "src", "tgt")
+    pairs = src.join(tgt.hint("merge"), keys, "inner").select(*keys, "src", "tgt")
     if require_non_empty and pairs.isEmpty():
         raise RuntimeError("no (src, tgt) pairs found")
     return pairs
