@@ -15,12 +15,14 @@ are themselves the base name of some arrival or existing file are treated as
 taken, so a title such as ``Foo__2`` never shares a file with ``Foo``'s
 colliders (the sequential original would let order decide).
 
-Scale: per-base values are plain aggregates (partial aggregation, so one base
-holding a third of all rows costs one partial row per task); the suffix rank
-uses a window which, with ``max_suffix``, is filtered to ``rank < max_suffix``
-(a map-side group limit); arrivals beyond that are conflicts by construction.
-Without it every arrival gets a name: a base with n colliders and t names of
-its own that are taken needs no suffix above n + t + 1.
+Scale: the slots of a base are never made. Its taken numbers and its colliders
+are merged into one order in which a taken number stands behind as many colliders
+as there are free numbers below it: the place in that order is the number. Per-base
+values are plain aggregates (partial aggregation, so one base holding a third of
+all rows costs one partial row per task). With ``max_suffix`` no base has more than
+that many colliders to place (a map-side group limit) and those beyond are
+conflicts. Without it, places are numbered over ranges of (base, arrival), so that
+a base with very many colliders is spread over tasks.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import safe_filename
-from corpusmill.session import cut_lineage
+from corpusmill.operators.split import ordinal_rank
+from corpusmill.session import stored
 
 
 def skip_existing(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -49,65 +52,66 @@ def assign_names(arrivals: DataFrame, existing: DataFrame | None = None, arrival
     ``skipped-same`` rows and the base name for ``conflict`` rows.
 
     The decision works on a narrow keyed table ``(arrival, title, base,
-    hash)`` written once to the checkpoint folder (it is read by five
+    hash)`` written once to the checkpoint folder (it is read by several
     branches); the canonical content is joined back only when asked for."""
     spark = arrivals.sparkSession
     if existing is None:
         existing = spark.createDataFrame([], "name string, content string")
-    a = cut_lineage(arrivals.select(
+    a = stored(arrivals.select(
         F.col(arrival).alias("arrival"), F.col(title).alias("title"),
         safe_filename(title, ext, max_chars).alias("base"),
-        F.sha2(_canonical(code), 256).alias("hash")))
-    ex = existing.select("name", F.sha2(F.col("content"), 256).alias("ex_hash"))
+        F.sha2(_canonical(code), 256).alias("hash")), "arrivals")
+    ex = existing.select(F.col("name").alias("base"), F.sha2(F.col("content"), 256).alias("ex_hash"))
 
     # per base: hash of the file at the base name, and who writes it if new
-    firsts = a.groupBy("base").agg(F.min("arrival").alias("first_arrival"),
-                                   F.min_by("hash", "arrival").alias("first_hash"))
-    per_base = (firsts.join(ex.withColumnRenamed("name", "base"), "base", "left")
-                .select("base", F.col("ex_hash").isNotNull().alias("on_disk"),
-                        F.coalesce("ex_hash", "first_hash").alias("base_hash"), "first_arrival"))
-    a = a.join(per_base, "base", "inner")
-    writes_base = ~F.col("on_disk") & (F.col("arrival") == F.col("first_arrival"))
-    same = F.col("hash") == F.col("base_hash")
-    a = a.withColumn("status", F.when(writes_base, "written").when(same, "skipped-same"))
-
-    decided = a.where(F.col("status").isNotNull()).select(
-        "arrival", "title", "base",
-        F.when(F.col("status") == "written", F.col("base")).alias("name"), "status")
-    cand = a.where(F.col("status").isNull())
-
-    # rank colliders per base; the filter becomes a map-side group limit
-    w = Window.partitionBy("base").orderBy("arrival")
-    ranked = cand.withColumn("k", F.row_number().over(w))
+    blank = {"arrival": a.schema["arrival"].dataType, "hash": "string"}
+    both = a.select("base", "arrival", "hash", F.lit(None).cast("string").alias("ex_hash")).unionByName(
+        ex.select("base", *[F.lit(None).cast(t).alias(c) for c, t in blank.items()], "ex_hash"))
+    per_base = both.groupBy("base").agg(F.min("arrival").alias("first_arrival"), F.min_by("hash", "arrival").alias("first_hash"),
+                                        F.max("ex_hash").alias("ex_hash"))
+    at = a.join(per_base, "base")
+    writes_base = F.col("ex_hash").isNull() & (F.col("arrival") == F.col("first_arrival"))
+    same = F.col("hash") == F.coalesce("ex_hash", "first_hash")
+    at = at.withColumn("decided", F.when(writes_base, "written").when(same, "skipped-same"))
+
+    colliders = _placed(at.where(F.col("decided").isNull()).select("base", "arrival"), ["arrival"], "v", max_suffix)
     if max_suffix is not None:
-        ranked = ranked.where(F.col("k") <= max_suffix - 1)
+        colliders = colliders.where(F.col("v") < max_suffix)  # a map-side group limit
+    # numbers that are taken: free numbers below the j-th one (from 0) are i - 2 - j
+    suffixed = f"^(.*)__([1-9][0-9]{{0,17}})({_re_escape(ext)})$"
+    number = F.regexp_extract("slot", suffixed, 2).cast("long")
+    slots = ex.select(F.col("base").alias("slot")).unionByName(a.select(F.col("base").alias("slot"))).where(F.col("slot").rlike(suffixed))
+    taken = slots.select(F.regexp_replace("slot", suffixed, "$1$3").alias("base"), number.alias("i")).where("i >= 2").distinct()
+    if max_suffix is not None:
+        taken = taken.where(F.col("i") <= max_suffix)
+    below = _placed(taken, ["i"], "j", max_suffix).select("base", (F.col("i") - 1 - F.col("j")).alias("v"), F.lit(1).alias("kind"), "i",
+                                                           F.lit(None).cast(blank["arrival"]).alias("arrival"))
+    merged = colliders.select("base", F.col("v").cast("long").alias("v"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("i"), "arrival").unionByName(below)
+    numbered = _placed(merged, ["v", "kind", "i"], "place", max_suffix).where("kind = 0").select(
+        F.col("arrival").alias("c_arrival"), (F.col("place") + 1).alias("number"))
+    if max_suffix is not None:
+        numbered = numbered.where(F.col("number") <= max_suffix)
 
-    # free slots only for bases that have colliders
     stem = F.regexp_replace(F.col("base"), F.lit(f"{_re_escape(ext)}$"), F.lit(""))
-    taken = ex.select(F.col("name").alias("slot")).unionByName(a.select(F.col("base").alias("slot"))).distinct()
-    bases = ranked.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
-    suffixed = f"^(.*)__[0-9]+({_re_escape(ext)})$"
-    own = taken.where(F.col("slot").rlike(suffixed)).groupBy(
-        F.regexp_replace("slot", suffixed, "$1$2").alias("base")).agg(F.count(F.lit(1)).alias("t"))
-    last = F.col("n") + F.coalesce("t", F.lit(0)) + 1
-    if max_suffix is not None:
-        last = F.least(last, F.lit(max_suffix))
-    slots = bases.join(own, "base", "left").select("base", F.explode(F.sequence(F.lit(2).cast("long"), last)).alias("i")) \
-        .withColumn("slot", F.concat(stem, F.lit("__"), F.col("i").cast("string"), F.lit(ext)))
-    free = slots.join(taken, "slot", "left_anti")
-    free = free.withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("i")))
-    placed = ranked.join(free.select("base", "k", "slot"), ["base", "k"], "left").select(
-        "arrival", "title", "base",
-        F.when(F.col("slot").isNotNull(), F.col("slot")).otherwise(F.col("base")).alias("name"),
-        F.when(F.col("slot").isNotNull(), "written-suffixed").otherwise("conflict").alias("status"))
-    overflow = cand.join(ranked.select("arrival"), "arrival", "left_anti").select(
-        "arrival", "title", "base", F.col("base").alias("name"), F.lit("conflict").alias("status"))
-    out = decided.unionByName(placed).unionByName(overflow)
+    slot = F.concat(stem, F.lit("__"), F.col("number").cast("string"), F.lit(ext))
+    name = F.when(F.col("decided") == "skipped-same", None).when(F.col("number").isNotNull(), slot).otherwise(F.col("base"))
+    status = F.coalesce("decided", F.when(F.col("number").isNotNull(), "written-suffixed").otherwise("conflict"))
+    out = at.join(numbered, F.col("arrival") == F.col("c_arrival"), "left").select("arrival", "title", "base", name.alias("name"), status.alias("status"))
     if with_content:
         out = out.join(arrivals.select(F.col(arrival).alias("arrival"), _canonical(code).alias("content")),
                        "arrival", "inner")
     return out
 
 
+def _placed(df: DataFrame, order: list[str], out: str, bound: int | None) -> DataFrame:
+    """Number the rows of each base from 1 in the order given: by a window if few
+    rows of a base are wanted, else over ranges of (base, order)."""
+    if bound is not None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy("base").orderBy(*order)))
+    ranked = ordinal_rank(df, ["base", *order], "__r")
+    first = ranked.groupBy(F.col("base").alias("__b")).agg(F.min("__r").alias("__first"))
+    return ranked.join(first, F.col("base") == F.col("__b")).withColumn(out, F.col("__r") - F.col("__first") + 1).drop("__r", "__b", "__first")
+
+
 def _re_escape(s: str) -> str:
     return "".join("\\" + ch if ch in ".^$*+?()[]{}|\\" else ch for ch in s)

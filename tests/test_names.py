@@ -1,4 +1,7 @@
 """First-free-suffix naming rules."""
+import random
+
+import pytest
 from corpusmill.operators.names import assign_names, skip_existing
 
 
@@ -43,3 +46,49 @@ def test_skip_existing(spark):
     a = spark.createDataFrame([(1,), (2,), (3,)], "k int")
     e = spark.createDataFrame([(2,), (2,)], "k int")
     assert sorted(r.k for r in skip_existing(a, e, "k").collect()) == [1, 3]
+
+
+def sequential(arrivals, existing, most):
+    """The rule one arrival after the other; names that are some arrival's base are taken."""
+    disk = {n: c for n, c in existing}
+    bases = {f"{t}.c" for _, t, _ in arrivals}
+    out = {}
+    for i, title, code in sorted(arrivals):
+        content, base = code.rstrip("\n") + "\n", f"{title}.c"
+        if base not in disk:
+            disk[base], out[i] = content, (base, "written")
+        elif disk[base] == content:
+            out[i] = (None, "skipped-same")
+        else:
+            n = 2
+            while f"{title}__{n}.c" in disk or f"{title}__{n}.c" in bases:
+                n += 1
+            if most is not None and n > most:
+                out[i] = (base, "conflict")
+            else:
+                disk[f"{title}__{n}.c"], out[i] = content, (f"{title}__{n}.c", "written-suffixed")
+    return out
+
+
+@pytest.mark.parametrize("most", [None, 6])
+def test_random_arrivals_against_the_sequential_rule(spark, most):
+    rng = random.Random(most or 0)
+    titles = ["A", "B", "A__2", "A__3", "B__02", "C__x", "A__2__2"]
+    for _ in range(3):
+        arrivals = [(i, rng.choice(titles[:3] * 3 + titles), rng.choice("xyz") + "\n" * rng.randint(0, 2)) for i in rng.sample(range(1000), 45)]
+        names = ["A.c", "B.c"] + [f"{t}__{i}.c" for t in ("A", "B", "C__x", "A__2") for i in (2, 3, 4, 5, 7, 9)] + ["A__04.c", "B__1.c", "A__99999999999999999999.c"]
+        existing = [(n, rng.choice("xyz") + "\n") for n in rng.sample(names, 9)]
+        assert run(spark, arrivals, existing, max_suffix=most) == sequential(arrivals, existing, most)
+
+
+def test_a_base_with_very_many_colliders_is_numbered_whole(spark):
+    arrivals = spark.range(3000).selectExpr("id as arrival", "'hot' as title", "cast(id as string) as code")
+    got = {r.arrival: r.name for r in assign_names(arrivals).collect()}
+    assert got == {i: "hot.c" if i == 0 else f"hot__{i + 1}.c" for i in range(3000)}
+
+
+def test_naming_takes_few_exchanges(spark):
+    from corpusmill.plans.harvest_queries import safe_names
+
+    plan = safe_names(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 6, plan
