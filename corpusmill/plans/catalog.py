@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.plans import corpus_queries as cq
 from corpusmill.plans import eval_queries as eq
+from corpusmill.plans import file_queries as fq
 from corpusmill.plans import harvest_queries as hq
 from corpusmill.plans import oracle_sql as oq
+from corpusmill.plans import stream_queries as sq
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +49,14 @@ QUERIES: dict[str, QueryFn] = {
     "chat_payloads": hq.chat_payloads,
     "compile_gate": hq.compile_gate,
     "compile_tally": hq.compile_tally,
+    "loaded_pairs": fq.loaded_pairs,
+    "rewritten_files": fq.rewritten_files,
+    "split_lists": fq.split_lists,
+    "generated_files": fq.generated_files,
+    "named_beside_existing": fq.named_beside_existing,
+    "stream_normal_form": sq.stream_normal_form,
+    "stream_new_texts": sq.stream_new_texts,
+    "stream_reply_tally": sq.stream_reply_tally,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -81,6 +91,14 @@ ORACLES: dict[str, Callable[[], str]] = {
     "chat_payloads": oq.q_chat_payloads,
     "compile_gate": oq.q_compile_gate,
     "compile_tally": oq.q_compile_tally,
+    "loaded_pairs": oq.q_loaded_pairs,
+    "rewritten_files": oq.q_rewritten_files,
+    "split_lists": oq.q_split_lists,
+    "generated_files": oq.q_generated_files,
+    "named_beside_existing": oq.q_named_beside_existing,
+    "stream_normal_form": oq.q_stream_normal_form,
+    "stream_new_texts": oq.q_stream_new_texts,
+    "stream_reply_tally": oq.q_stream_reply_tally,
 }
 
 

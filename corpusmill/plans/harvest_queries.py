@@ -120,13 +120,19 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("arrival", "base", "name", "status")
 
 
-def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def numbered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(conv_id, turn, text, problem_number, reply)``: user turns as prompts, and
+    the assistant turn right after each, if there is one."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     users = conv.where(F.col("role") == "user").select("conv_id", "turn", "text")
     numbered = ordinal_rank(users, ["conv_id", "turn"], "problem_number")
     replies = conv.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
-    j = numbered.join(replies, ["conv_id", "turn"], "left")
+    return numbered.join(replies, ["conv_id", "turn"], "left")
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = numbered_prompts(spark, sf_dir)
     response = F.when(F.col("reply").isNotNull(), F.to_json(F.struct(F.array(F.struct(
         F.lit(0).alias("index"),
         F.struct(F.lit("assistant").alias("role"), F.col("reply").alias("content")).alias("message"))).alias("choices"))))

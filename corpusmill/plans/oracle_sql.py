@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from corpusmill.functions.docs import PROMPT_SUFFIX, SYSTEM_PROMPT
 from corpusmill.functions.text import PREFERRED_HEADERS
-from corpusmill.sources.corpus import code_files_sql, reply_files_sql
+from corpusmill.sources.corpus import ASM_TEXT_SQL, C_TEXT_SQL, code_files_sql, reply_files_sql
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 # the fixed values are the library's own
@@ -368,16 +368,18 @@ def safe_filename_expr(t: str, ext: str = ".c", max_chars: int = 120) -> str:
     return f"(case when {b} = '' then 'snippet' else {b} end || '{ext}')"
 
 
-def _naming_ctes() -> str:
-    """From ``a(arrival, base, hash)``: who writes the base, who is the same,
-    and the free slots."""
-    return """fb as (select base, min(arrival) as first_arrival, arg_min(hash, arrival) as first_hash from a group by base),
-st as (select a.*, case when a.arrival = fb.first_arrival then 'written'
-                       when a.hash = fb.first_hash then 'skipped-same' end as status from a join fb using (base)),
+def _naming_ctes(existing: str = "select null::varchar as name, null::varchar as content where false", most: int = 999) -> str:
+    """From ``a(arrival, base, hash)`` and the files on disk: who writes the base,
+    who is the same, and the free slots."""
+    return f"""ex as ({existing}),
+fb as (select base, min(arrival) as first_arrival, arg_min(hash, arrival) as first_hash from a group by base),
+st as (select a.*, case when ex.name is null and a.arrival = fb.first_arrival then 'written'
+                       when a.hash = coalesce(sha256(ex.content), fb.first_hash) then 'skipped-same' end as status
+   from a join fb using (base) left join ex on ex.name = a.base),
 cand as (select *, row_number() over (partition by base order by arrival) as k from st where status is null),
-taken as (select distinct base as slot from a),
+taken as (select base as slot from a union select name from ex),
 slots as (select b.base, g.i, substr(b.base, 1, length(b.base) - 2) || '__' || cast(g.i as varchar) || '.c' as slot
-   from (select distinct base from cand) b cross join generate_series(2, 999) as g(i)),
+   from (select distinct base from cand) b cross join generate_series(2, {most}) as g(i)),
 free as (select base, slot, row_number() over (partition by base order by i) as k
    from slots where slot not in (select slot from taken)),"""
 
@@ -585,3 +587,69 @@ def q_code_harvest() -> str:
 
 def q_code_harvest_tally() -> str:
     return f"with {_code_harvest_ctes()} select outcome, count(*) as n from r group by outcome"
+
+
+def _loaded(text: str, tail: str) -> str:
+    """What the file source makes of the raw bytes: line ends as they were, bad bytes gone."""
+    return f"sha256({text} || {tail})"
+
+
+def q_loaded_pairs() -> str:
+    c, s = _loaded(C_TEXT_SQL, "chr(10)"), _loaded(ASM_TEXT_SQL, "chr(10)")
+    return f"""select lang as folder, concat('f', cast(d.doc_id as string)) as stem, {s} as src_sha256, {c} as tgt_sha256
+from documents d where lang is not null and d.doc_id in (select doc_id from labels where quality <> 0)"""
+
+
+def q_rewritten_files() -> str:
+    return f"""with q as ({q_comment_free()}), n as (select count(*) as n_seen, count(*) filter (where changed) as n_changed from q)
+select name, sha256(cleaned) as sha256, n_seen, n_changed, n_changed as n_written from q, n where changed"""
+
+
+def q_split_lists() -> str:
+    return f"""with q as ({q_split_assignment()}) select split, stem, count(*) over (partition by split) as n_in_list from q"""
+
+
+def q_generated_files() -> str:
+    """What each form of reply comes to, by the reply's length and its own text."""
+    trim = "' ' || chr(10) || chr(13) || chr(9)"
+    def cut(s: str) -> str:
+        return (f"ltrim(case when instr({s}, '#include') > 0 then substr({s}, instr({s}, '#include')) "
+                f"when instr({s}, 'int main') > 1 then substr({s}, instr({s}, 'int main')) else {s} end, {trim})")
+    return f"""with {_replies_ctes().replace("u as (select conv_id", "u as (select conv_id").split("j as (select")[0].rstrip().rstrip(",")},
+j as (select u.conv_id, problem_number, reply from u left join r on u.conv_id = r.conv_id and u.turn = r.turn),
+k as (select problem_number, conv_id in (select conv_id from conversations where role = 'system') as there,
+   case length(reply) % 4 when 0 then '#include <stdio.h>' || chr(10) || reply || chr(10) when 1 then ''
+     when 2 then 'int main(void) {{ /* ' || reply || ' */ }}' || chr(10) else {cut('reply')} end as code from j)
+select problem_number, '_' || cast(problem_number as varchar) || '.c' as file_name,
+  case when there then 'exists' when code is null then 'no reply' when code = '' then 'empty' else 'written' end as status,
+  case when not there and code <> '' then sha256(code) end as sha256 from k"""
+
+
+def q_named_beside_existing() -> str:
+    base = safe_filename_expr("title")
+    judged = "select a0.*, l.quality from a0 join labels l on a0.arrival = l.doc_id"
+    existing = f"""select base as name, regexp_replace(arg_min(code, arrival), '\\n+$', '') || chr(10) as content from ({judged}) group by base
+   union all select distinct substr(base, 1, length(base) - 2) || '__' || cast(2 + length(code) % 9 as varchar) || '.c', 'taken' || chr(10)
+   from ({judged}) where quality = 1"""
+    return f"""with t as (select doc_id as arrival, lang || ' ' || upper(substr(text, 1, 1)) as title, text as code from documents where text <> '' and lang is not null),
+a0 as (select arrival, {base} as base, code from t),
+a as (select arrival, base, sha256(regexp_replace(code, '\\n+$', '') || chr(10)) as hash from a0),
+{_naming_ctes(existing, 20)}
+n as ({_naming_select()})
+select n.arrival, n.base, n.name, n.status, case when starts_with(n.status, 'written') then a.hash end as sha256 from n join a using (arrival)"""
+
+
+def q_stream_normal_form() -> str:
+    return f"""with q as ({q_eval_normal_form()}), c as ({q_comment_free()})
+select name, normalized, cleaned as comment_free from q join c using (name) where name not like '%.ghidra.c'"""
+
+
+def q_stream_new_texts() -> str:
+    return "select distinct sha256(coalesce(text, '')) as text_sha256 from documents"
+
+
+def q_stream_reply_tally() -> str:
+    return f"""with t as (select trim(text, {WS}) as c from conversations where role = 'assistant'),
+h as (select case when starts_with(c, '```') then (case when instr(c, chr(10)) > 0 then substr(c, instr(c, chr(10)) + 1) else '' end) else c end as h from t),
+f as (select case when instr(h, '```') > 0 then left(h, length(h) - length(string_split(h, '```')[-1]) - 3) else h end as s from h)
+select case when s is null then 'no reply' when ltrim(s, ' ' || chr(10) || chr(13) || chr(9)) = '' then 'empty' else 'written' end as status, count(*) as n from f group by 1"""

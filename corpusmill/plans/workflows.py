@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import compare as C
+from corpusmill.functions import docs as D
 from corpusmill.functions import text as T
 from corpusmill.functions import metrics as M
 from corpusmill.operators import compare as OC
@@ -21,6 +22,7 @@ from corpusmill.operators import split as S
 from corpusmill.operators import tokenize as TK
 from corpusmill.operators.rows import select_where
 from corpusmill.session import stored
+from corpusmill.sinks.named_files import write_changed_files
 from corpusmill.sources.files import non_empty_pairs, pair_by_stem, primary_only, with_suffix
 
 
@@ -99,6 +101,30 @@ def clean_corpus(files: DataFrame, suffix: str = ".c") -> DataFrame:
                       (cleaned != F.col("content")).alias("changed"))
 
 
+def rewrite_corpus(files: DataFrame, path: str, suffix: str = ".c") -> dict:
+    """Comment removal over every ``suffix`` file; those that change are written as
+    ``path/<name>``: ``rows``, ``changed``, ``files`` and ``bytes``."""
+    return write_changed_files(clean_corpus(files, suffix), path, "content", "cleaned")
+
+
+def generated_code(problems: DataFrame, replies: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """``problems(problem_number, text)`` and ``replies(problem_number, response)``
+    -> ``(problem_number, file_name, prompt, code, status)``, a row a problem. A
+    problem whose file is among ``existing(name)`` is not looked at again
+    (``exists``); the others are ``written``, or rejected: ``empty`` (no code in the
+    reply) or ``no reply``."""
+    named = problems.select("problem_number", "text", F.concat(F.lit("_"), F.col("problem_number").cast("string"), F.lit(".c")).alias("file_name"))
+    todo = named if existing is None else N.skip_existing(named, existing.select(F.col("name").alias("file_name")), "file_name")
+    coded = todo.join(replies.select("problem_number", D.reply_to_code("response").alias("code")), "problem_number", "left")
+    status = F.when(F.col("code").isNull(), "no reply").when(F.col("code") == "", "empty").otherwise("written")
+    out = coded.select("problem_number", "file_name", D.build_prompt("problem_number", "text").alias("prompt"), "code", status.alias("status"))
+    if existing is None:
+        return out
+    there = named.join(existing.select(F.col("name").alias("file_name")).distinct(), "file_name", "left_semi").select(
+        "problem_number", "file_name", D.build_prompt("problem_number", "text").alias("prompt"), F.lit(None).cast("string").alias("code"), F.lit("exists").alias("status"))
+    return out.unionByName(there)
+
+
 def rank_candidates_by_loss(sources: DataFrame, scores: DataFrame, cap: float | None = 20.0, key: str = "stem") -> DataFrame:
     """``sources(key)`` against their N ``scores(key, candidate, nll)`` rows (one
     per token): mean loss, perplexity (``+inf`` from ``cap`` on) and rank of

@@ -16,12 +16,18 @@ from corpusmill.functions.text import decode_text, strip_ws
 
 
 def load_text_files(spark: SparkSession, path: str, glob: str | None = None,
-                    recursive: bool = False) -> DataFrame:
+                    recursive: bool = False, hidden: bool = False) -> DataFrame:
     """Whole-file text load -> ``(name, path, content)``: bytes decoded as UTF-8
     dropping bad bytes, and universal newlines. ``glob`` is pushed to the file
     listing (``pathGlobFilter``), so unmatched files are never opened. With
     ``recursive`` there is also ``folder``, and pairs are made inside a folder
-    only: equal names in two folders are two files."""
+    only: equal names in two folders are two files. Spark's file listing passes
+    over names that begin with ``_`` or ``.``; with ``hidden`` they are read too."""
+    if hidden:
+        from corpusmill.sinks.named_files import read_files
+
+        found = read_files(spark, path, glob, recursive)
+        return found.select("name", "path", decode_text("content").alias("content"), *(["folder"] if recursive else []))
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
