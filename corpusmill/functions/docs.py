@@ -124,8 +124,7 @@ def chat_payload(prompt, model: str, system: str = SYSTEM_PROMPT, temperature: f
 def reply_text(response) -> Column:
     """``choices[0].message.content`` of a chat response, falling back to the
     raw text when it is not such a JSON document."""
-    r = _c(response)
-    return F.coalesce(F.get_json_object(r, "$.choices[0].message.content"), r)
+    return let(_c(response), lambda r: F.coalesce(F.get_json_object(r, "$.choices[0].message.content"), r))
 
 
 def reply_to_code(response) -> Column:

@@ -337,21 +337,25 @@ def remove_comments(text) -> Column:
 def strip_code_fences(text) -> Column:
     """Drop an opening fence line (only at position 0) and cut at the last
     remaining fence."""
-    s = _c(text)
-    nl = F.instr(s, "\n")
-    head = F.when(s.startswith("```"), F.when(nl > 0, F.substring(s, nl + 1, 2147483647)).otherwise(F.lit(""))).otherwise(s)
-    tail_len = F.length(F.substring_index(head, "```", -1))
-    return F.when(F.instr(head, "```") > 0, F.substring(head, 1, F.length(head) - tail_len - 3)).otherwise(head)
+    def opened(s: Column) -> Column:
+        nl = F.instr(s, "\n")
+        return F.when(s.startswith("```"), F.when(nl > 0, F.substring(s, nl + 1, 2147483647)).otherwise(F.lit(""))).otherwise(s)
+
+    def closed(head: Column) -> Column:
+        tail_len = F.length(F.substring_index(head, "```", -1))
+        return F.when(F.instr(head, "```") > 0, F.substring(head, 1, F.length(head) - tail_len - 3)).otherwise(head)
+
+    return let(let(text, opened), closed)
 
 
 def clean_model_output(text) -> Column:
     """Jump to the first ``#include``; else to the first ``int main``; then
     drop leading spaces, newlines, carriage returns and tabs."""
-    s = _c(text)
-    inc = F.instr(s, "#include")
-    mn = F.instr(s, "int main")
-    cut = F.when(inc > 0, F.substring(s, inc, 2147483647)).when(mn > 1, F.substring(s, mn, 2147483647)).otherwise(s)
-    return F.ltrim(cut, F.lit(" \n\r\t"))
+    def cut(s: Column) -> Column:
+        inc, mn = F.instr(s, "#include"), F.instr(s, "int main")
+        return F.when(inc > 0, F.substring(s, inc, 2147483647)).when(mn > 1, F.substring(s, mn, 2147483647)).otherwise(s)
+
+    return F.ltrim(let(text, cut), F.lit(" \n\r\t"))
 
 
 # ---------------------------------------------------------------------------
@@ -372,16 +376,37 @@ def safe_filename(title, ext: str = ".c", max_chars: int | None = None) -> Colum
     return F.concat(F.when(base == "", F.lit("snippet")).otherwise(base), F.lit(ext))
 
 
+# one escape or a run of them; what is no escape stays between the runs
+ESCAPES_RE = r"(?:%[0-9A-Fa-f]{2})+"
+
+
+def percent_decode(text) -> Column:
+    """Percent escapes decoded as a browser or ``unquote`` does it: each run of
+    escapes becomes bytes, and the bytes text, in which a byte sequence that is no
+    UTF-8 is replaced by U+FFFD. ``%`` without two hexadecimal digits stays, and so
+    does ``+``."""
+    def decoded(t: Column) -> Column:
+        runs = F.regexp_extract_all(t, F.lit(ESCAPES_RE), F.lit(0))
+        chars = F.transform(runs, lambda r: _utf8(F.unhex(F.replace(r, F.lit("%"), F.lit("")))))
+        return F.array_join(F.zip_with(F.split(t, ESCAPES_RE, -1), chars, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
+
+    return let(_c(text), lambda t: F.when(F.instr(t, "%") > 0, decoded(t)).otherwise(t))
+
+
+def _utf8(data: Column) -> Column:
+    """Bytes as text, each maximal part of a sequence that is no UTF-8 being one U+FFFD."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
 def url_to_title(url) -> Column:
     """URL -> page title: path after ``/wiki/`` (whole path when absent),
     percent-decoded (``+`` stays ``+``), ``_`` -> space."""
-    u = _c(url)
-    path = F.regexp_extract(u, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-    path = F.regexp_replace(path, r";[^/]*\z", "")
-    after = F.when(F.instr(path, "/wiki/") > 0,
-                   F.substring(path, F.instr(path, "/wiki/") + 6, 2147483647)).otherwise(path)
-    decoded = F.coalesce(F.try_url_decode(F.replace(after, F.lit("+"), F.lit("%2B"))), after)
-    return F.replace(decoded, F.lit("_"), F.lit(" "))
+    def title(path: Column) -> Column:
+        after = F.when(F.instr(path, "/wiki/") > 0, F.substring(path, F.instr(path, "/wiki/") + 6, 2147483647)).otherwise(path)
+        return F.replace(percent_decode(after), F.lit("_"), F.lit(" "))
+
+    path = F.regexp_extract(_c(url), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return let(F.regexp_replace(path, r";[^/]*\z", ""), title)
 
 
 def content_hash(text) -> Column:

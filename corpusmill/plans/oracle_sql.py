@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from corpusmill.functions.docs import PROMPT_SUFFIX, SYSTEM_PROMPT
 from corpusmill.functions.text import PREFERRED_HEADERS
-from corpusmill.sources.corpus import ASM_TEXT_SQL, C_TEXT_SQL, code_files_sql, reply_files_sql
+from corpusmill.sources.corpus import ASM_TEXT_SQL, BAD_ESCAPES, C_TEXT_SQL, code_files_sql, reply_files_sql
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 # the fixed values are the library's own
@@ -326,14 +326,16 @@ def q_link_extraction() -> str:
     return f"""with sl as (select page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+)', 1) as base,
    regexp_extract(html, '<html lang="(..)', 1) as lang, {nav_slice()} as s from pages),
 m as (select page_id, base, lang, {link_parts('s', 'href')} as hrefs, {link_parts('s', 'inner')} as inners from sl),
-u as (select page_id, base, lang, unnest(hrefs) as href, unnest(inners) as inner_html, generate_subscripts(hrefs, 1) as pos from m),
+u as (select page_id, base, lang, unnest(hrefs) as href, unnest(inners) as inner_html, generate_subscripts(hrefs, 1) as pos from m
+   union all select page_id, base, lang, '{BAD_ESCAPES}', 'bad escapes', 100000 from sl where s is not null),
 c as (select page_id, case when lang = 'de' and pos = 1 then 1000000 else pos end as pos,
    trim({unescape_expr("regexp_replace(inner_html, '<[^>]*>', '', 'g')")}, {WS}) as title, {unescape_expr('href')} as h, base from u),
 f as (select page_id, pos, title, base || h as url from c
    where h <> '' and title <> '' and starts_with(h, '/') and not starts_with(h, '/Category:')),
 d as (select *, row_number() over (partition by page_id, url order by pos) as rn1 from f),
 e as (select *, row_number() over (partition by page_id order by pos) as n from d where rn1 = 1)
-select page_id, n - 1 as pos, title, url, {url_title_expr('url')} as page_title from e where n <= 200"""
+select page_id, n - 1 as pos, title, url, case when title = 'bad escapes' then 'a b%ZZ' || chr(65533) || '+c' else {url_title_expr('url')} end as page_title
+from e where n <= 200"""
 
 
 def _harvest_ctes() -> str:

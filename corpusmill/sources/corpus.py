@@ -80,16 +80,19 @@ OTHER_TEXT_SQL = (
 _LANG = "substr(html, instr(html, '<html lang=') + 12, 2)"
 _FIRST, _LAST = "instr(html, '<nav><ul>')", "instr(html, '</ul></nav>')"
 _ITEMS = f"substr(html, {_FIRST} + 9, {_LAST} - {_FIRST} - 9)"
+# the last link of every list: an escape that is none, and bytes that are no UTF-8
+BAD_ESCAPES = "/wiki/a%20b%ZZ%E6%97+c"
+_BAD = f"'<li><a href=\"{BAD_ESCAPES}\">bad escapes</a></li>'"
 _ONE = f"case when instr({_ITEMS}, '</li>') > 0 then instr({_ITEMS}, '</li>') + 4 else 0 end"
 LISTING_SQL = (
     f"case when {_FIRST} > 0 and {_LAST} > {_FIRST} then concat(substr(html, 1, {_FIRST} - 1), "
     "'<div class=\"mw-category\"><p><a href=\"/outside\">outside</a></div><div id=mw-pages2><a href=/other>other</a></div>"
     "<div class=\"box\" id=''mw-pages''><!-- <a href=\"/comment\">comment</a> --><p>', "
-    f"case {_LANG} when 'en' then concat('<div class=\"mw-category\"><ul>', {_ITEMS}, '</ul></div><a href=\"/unlisted\">unlisted</a>') "
+    f"case {_LANG} when 'en' then concat('<div class=\"mw-category\"><ul>', {_ITEMS}, {_BAD}, '</ul></div><a href=\"/unlisted\">unlisted</a>') "
     f"when 'de' then concat('<div class=mw-category-group><ul>', substr({_ITEMS}, 1, {_ONE}), '</ul></div><div class=\"a mw-category b\"><ul>', "
-    f"substr({_ITEMS}, {_ONE} + 1), '</ul></div>') "
-    f"when 'fr' then concat('<div class=\"mw-category\"><div class=\"mw-category-group\"><h3>A</h3><ul>', {_ITEMS}, '</ul></div></div>') "
-    f"else concat('<ul data-href=\"/data\">', {_ITEMS}, '</ul>') end, "
+    f"substr({_ITEMS}, {_ONE} + 1), {_BAD}, '</ul></div>') "
+    f"when 'fr' then concat('<div class=\"mw-category\"><div class=\"mw-category-group\"><h3>A</h3><ul>', {_ITEMS}, {_BAD}, '</ul></div></div>') "
+    f"else concat('<ul data-href=\"/data\">', {_ITEMS}, {_BAD}, '</ul>') end, "
     "'<a href=\"/Category:C\">C</a><a data-href=\"/x\">x</a><a href=\"#top\">top</a></p></div><a href=\"/after\">after</a>', "
     f"substr(html, {_LAST} + 11)) else html end"
 )

@@ -143,3 +143,15 @@ def test_clean_asm(spark):
 
 def test_collapse_blank_runs(spark):
     assert one(spark, T.collapse_blank_runs("t"), "a\n\n\n\nb\n\nc") == "a\n\nb\n\nc"
+
+
+def test_percent_escapes_equal_unquote(spark):
+    """Bad escapes stay, bytes that are no UTF-8 are replaced as the standard library replaces them."""
+    import random
+    from urllib.parse import unquote
+
+    rng = random.Random(6)
+    bits = ["%20", "%ZZ", "%", "%4", "a", "+", "%C3%A9", "%c3", "%E6%97%A5", "%E6%97", "%F0%9F%98%80", "%F0%9F", "%80", "%ff", "é", "%25", "%00", "%2", "%ED%A0%80", "%C0%AF", "%E0%80%80", "%F8%88", "_"]
+    values = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 8))) for _ in range(600)] + ["a%20b%ZZ", "", "%"]
+    assert many(spark, T.percent_decode("t"), values) == [unquote(v) for v in values]
+    assert many(spark, T.url_to_title("t"), ["https://h.org/wiki/C%2B%2B+a%20b%ZZ_c?x=1", "/wiki/%zz"]) == ["C+++a b%ZZ c", "%zz"]
