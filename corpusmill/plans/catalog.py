@@ -39,6 +39,7 @@ QUERIES: dict[str, QueryFn] = {
     "training_tokens": eq.training_tokens,
     "token_batches": eq.token_batches,
     "candidate_ranking": eq.candidate_ranking,
+    "evaluation_metrics": eq.evaluation_metrics,
     "code_harvest": hq.code_harvest,
     "code_harvest_tally": hq.code_harvest_tally,
     "link_extraction": hq.link_extraction,
@@ -81,6 +82,7 @@ ORACLES: dict[str, Callable[[], str]] = {
     "training_tokens": oq.q_training_tokens,
     "token_batches": oq.q_token_batches,
     "candidate_ranking": oq.q_candidate_ranking,
+    "evaluation_metrics": oq.q_evaluation_metrics,
     "code_harvest": oq.q_code_harvest,
     "code_harvest_tally": oq.q_code_harvest_tally,
     "link_extraction": oq.q_link_extraction,

@@ -15,7 +15,7 @@ from corpusmill.operators import compare as OC
 from corpusmill.operators import split as S
 from corpusmill.operators.rows import select_where
 from corpusmill.plans import workflows as W
-from corpusmill.sources.corpus import code_files, reply_files
+from corpusmill.sources.corpus import code_files, code_files_at_once, reply_files
 from corpusmill.sources.files import non_empty_pairs, of_suffix, pair_by_stem, primary_only, with_suffix
 
 SEED = 42
@@ -90,7 +90,7 @@ def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys skipped) -> both texts non-empty -> C normal form (assembly raw)."""
     files = code_files(spark, sf_dir)
     keys = S.split_exact(pair_by_stem(files, ".s", ".c").select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED)
-    return W.evaluation_set(files, keys.where("split = 'test'"), INCLUDE_CAP)
+    return W.evaluation_set(files, keys.where("split = 'test'").select("stem"), INCLUDE_CAP)
 
 
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,28 +117,7 @@ def pending_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus tallies: files per kind, pairs found, usable pairs, distinct
     include lines across all C sources."""
-    files = code_files(spark, sf_dir)
-    # only "is it non-empty" crosses the pairing shuffle, not the texts
-    s_flags = with_suffix(files, ".s").select("stem", (F.col("content") != "").alias("s_ok"))
-    c_flags = with_suffix(files, ".c").select("stem", (F.col("content") != "").alias("c_ok"))
-    p = s_flags.join(c_flags, "stem", "inner")
-    incs = (of_suffix(files, ".c")
-            .select(F.explode_outer(F.filter(T.lines("content"), lambda x: T.strip_ws(x).startswith("#include")))
-                    .alias("inc"))
-            .where(F.col("inc").isNotNull())
-            .select(T.collapse_ws(T.strip_ws("inc")).alias("inc")).distinct())
-    kinds = files.select(
-        F.count(F.when(F.col("name").endswith(".c") & ~F.col("name").endswith(".ghidra.c"), 1)).alias("n_sources"),
-        F.count(F.when(F.col("name").endswith(".s"), 1)).alias("n_listings"),
-        F.count(F.when(F.col("name").endswith(".ghidra.c"), 1)).alias("n_other"),
-    )
-    # one-row aggregates combined as scalar subqueries (no join)
-    pair_counts = p.select(F.struct(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.count(F.when(F.col("s_ok") & F.col("c_ok"), 1)).alias("n_usable"))).scalar()
-    n_incs = incs.select(F.count(F.lit(1))).scalar()
-    return kinds.select("*", pair_counts["n_pairs"].alias("n_pairs"), pair_counts["n_usable"].alias("n_usable"),
-                        n_incs.alias("n_distinct_includes"))
+    return W.corpus_counts(code_files_at_once(spark, sf_dir))
 
 
 def tidy_code(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,9 @@ from corpusmill.operators import split as S
 from corpusmill.operators import tokenize as TK
 from corpusmill.plans import workflows as W
 from corpusmill.plans.corpus_queries import INCLUDE_CAP, MAX_SRC_TOKENS, SEED, TRAIN_FRAC, VAL_FRAC, pairs
+from corpusmill.session import stored
 from corpusmill.sources.corpus import code_files, table
-from corpusmill.sources.files import non_empty_pairs
+from corpusmill.sources.files import non_empty_pairs, pair_by_stem
 
 PAD_ID = 0
 SMOOTHING = 0.1
@@ -45,6 +46,38 @@ def split_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return OM.split_metrics(scored, "split", smoothing=SMOOTHING)
 
 
+WIDTH = 64  # of the stored logits
+
+
+def hashed_ids(tokens: F.Column) -> F.Column:
+    """Token array -> ids in the width of the stored logits, 0 being left for padding."""
+    return F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % (WIDTH - 1) + 1).cast("int"))
+
+
+def stored_logits(spark: SparkSession, sf_dir: str, batches: DataFrame) -> DataFrame:
+    """``(stem, logits)``: the stored vectors as a model's output for the batches,
+    one for each position, in turn from the place of the stem's hash."""
+    vectors = S.ordinal_rank(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("row")), ["vec_id"], "number")
+    total = vectors.agg(F.count(F.lit(1))).scalar()
+    first = F.conv(F.substring(F.md5(F.col("stem").cast("binary")), 1, 8), 16, 10).cast("long")
+    places = batches.select("stem", F.posexplode("labels").alias("pos", "label")).select("stem", "pos", ((first + F.col("pos")) % total + 1).alias("number"))
+    found = places.join(vectors, "number")
+    return found.groupBy("stem").agg(F.sort_array(F.collect_list(F.struct("pos", "row"))).alias("rows")).select(
+        "stem", F.transform("rows", lambda r: r["row"]).alias("logits"))
+
+
+def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIP-3 in one piece: the stems of the validation and test split -> their
+    pairs -> target ids, cut to 256, in padded batches of 4 -> the stored logits of
+    each batch, nested -> flattened by position, scored, per split, with its line."""
+    files = code_files(spark, sf_dir)
+    split = S.split_exact(pair_by_stem(files, ".s", ".c").select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED, keep_rank=True)
+    keys = split.where("split <> 'train'").select("stem", "split", "split_rank")
+    evaluated = W.evaluation_set(files, keys, INCLUDE_CAP, require=True)
+    batches = stored(W.evaluation_batches(evaluated, hashed_ids, BATCH_EVAL, MAX_TGT_LEN, PAD_ID), "batches")
+    return W.evaluation_metrics(batches, stored_logits(spark, sf_dir, batches))
+
+
 def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored logits as the scored tokens of three candidates per source: a
     row's label is its source, and rows take turns among the candidates. Mean

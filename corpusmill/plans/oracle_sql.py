@@ -267,6 +267,26 @@ select split, n_tokens, {r('nll_sum')} as nll_sum, {r('nll_sum / greatest(n_toke
 from g"""
 
 
+def q_evaluation_metrics() -> str:
+    number = "cast(concat('0x', substr(md5({}), 1, 8)) as bigint)"
+    r = lambda e: f"round({e}, 6)"
+    return f"""with {files_cte()}, {PAIRS_CTE}, {split_cte()},
+ev as (select p.stem, p.tgt, s.split from splits s join pairs p on s.stem = p.stem where s.split <> 'train' and p.src <> '' and p.tgt <> '')
+{normalize_c_ctes('ev', 'stem', 'tgt', 'tgt_n')},
+tk as (select ev.stem, ev.split, list_slice(list_filter(regexp_split_to_array(nc7.tgt_n, '\\s+'), lambda x: x <> ''), 1, 256) as toks
+   from ev join nc7 on ev.stem = nc7.stem),
+u as (select stem, split, unnest(toks) as token, generate_subscripts(toks, 1) - 1 as pos from tk),
+v as (select list_transform(embedding, lambda x: cast(x as double)) as l, row_number() over (order by vec_id) - 1 as number from embeddings),
+t as (select split, v.l, {number.format('token')} % 63 + 1 as label
+   from u join v on v.number = ({number.format('stem')} + pos) % (select count(*) from embeddings)),
+sc as (select split, list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) - l[label + 1] as nll,
+   list_position(l, list_max(l)) - 1 = label as hit from t),
+g as (select split, count(*) as n, sum(nll) as s, count(*) filter (where hit) as c from sc group by split)
+select split, n as n_tokens, {r('s')} as nll_sum, {r('s / n')} as avg_nll, {r('exp(s / n)')} as perplexity, {r('c / n')} as token_accuracy,
+  {r('c / n')} as masked_accuracy, rpad(split, 10, ' ') || printf(' | NLL: %.4f | PPL: %.4f | token_acc: %.4f%%', s / n, exp(s / n), c / n * 100) as summary
+from g"""
+
+
 def q_token_batches() -> str:
     return f"""with {files_cte()}, {PAIRS_CTE}, {split_cte()},
 ev as (select p.stem, p.tgt, s.split, s.split_rank from splits s join pairs p on s.stem = p.stem

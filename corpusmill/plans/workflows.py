@@ -15,28 +15,38 @@ from corpusmill.functions import compare as C
 from corpusmill.functions import docs as D
 from corpusmill.functions import text as T
 from corpusmill.functions import metrics as M
+from corpusmill.operators import checks as CH
 from corpusmill.operators import compare as OC
 from corpusmill.operators import harvest as H
+from corpusmill.operators import metrics as OM
 from corpusmill.operators import names as N
 from corpusmill.operators import split as S
 from corpusmill.operators import tokenize as TK
 from corpusmill.operators.rows import select_where
 from corpusmill.session import stored
 from corpusmill.sinks.named_files import write_changed_files
-from corpusmill.sources.files import non_empty_pairs, pair_by_stem, primary_only, with_suffix
+from corpusmill.sources.files import non_empty_pairs, pair_by_stem, primary_only, stem_of, with_suffix
 
 
 def build_training_set(files: DataFrame, train: float = 0.8, val: float = 0.1, seed=42,
-                       max_src_tokens: int | None = None, include_cap: int | None = None) -> DataFrame:
+                       max_src_tokens: int | None = None, include_cap: int | None = None, require: bool = False) -> DataFrame:
     """Pair ``.s``/``.c`` by stem -> seeded exact split of all pairs ->
     both texts non-empty -> assembly normal form -> token budget -> C normal
     form. With ``max_src_tokens``, pairs above three times that go (see
-    :func:`over_budget`) and those above it are flagged; without, all stay."""
+    :func:`over_budget`) and those above it are flagged; without, all stay.
+
+    With ``require``, the set is written once, and no pairs at all, or no training
+    or validation rows, are an error."""
     staged = _training_pairs(files, train, val, seed, include_cap)
     n = F.col("n_src_tokens")
+    kept = F.lit(True) if max_src_tokens is None else n <= 3 * max_src_tokens
+    if require:
+        staged = CH.required(staged, "training-set", pairs=(F.count(F.lit(1)), "no (src, tgt) pairs found"),
+                             train=(F.count_if(kept & (F.col("split") == "train")), "no training rows are left"),
+                             val=(F.count_if(kept & (F.col("split") == "val")), "no validation rows are left"))
     if max_src_tokens is None:
         return staged.withColumn("will_truncate", F.lit(False))
-    return staged.where(n <= 3 * max_src_tokens).withColumn("will_truncate", n > max_src_tokens)
+    return staged.where(kept).withColumn("will_truncate", n > max_src_tokens)
 
 
 def over_budget(files: DataFrame, max_src_tokens: int, train: float = 0.8, val: float = 0.1, seed=42) -> DataFrame:
@@ -59,12 +69,64 @@ def _training_pairs(files: DataFrame, train: float, val: float, seed, include_ca
     return staged.select("stem", "split", F.col("a.src").alias("src"), "tgt", F.col("a.n").alias("n_src_tokens"))
 
 
-def evaluation_set(files: DataFrame, keys: DataFrame, include_cap: int | None = None) -> DataFrame:
+def evaluation_set(files: DataFrame, keys: DataFrame, include_cap: int | None = None, require: bool = False) -> DataFrame:
     """Key list -> pair lookup (missing keys skipped) -> both texts
-    non-empty -> C normal form; the assembly stays raw."""
+    non-empty -> C normal form; the assembly stays raw. Other columns of the keys
+    are carried along. With ``require``, an empty list and a list without any valid
+    pair are errors."""
+    if require:
+        keys = CH.required(keys, "keys", keys=(F.count(F.lit(1)), "no stems in the list"))
     p = pair_by_stem(files, ".s", ".c")
-    ev = non_empty_pairs(keys.select("stem").hint("merge").join(p, "stem", "inner"))
-    return ev.select("stem", "src", T.normalize_c("tgt", include_cap).alias("tgt"))
+    more = [c for c in keys.columns if c != "stem"]
+    ev = non_empty_pairs(keys.hint("merge").join(p, "stem", "inner"))
+    out = ev.select("stem", "src", T.normalize_c("tgt", include_cap).alias("tgt"), *more)
+    return CH.required(out, "evaluation-set", pairs=(F.count(F.lit(1)), "no valid pairs after filtering")) if require else out
+
+
+def evaluation_batches(evaluated: DataFrame, tokenizer: Callable[[Column], Column], size: int, max_tgt: int | None = None, pad_id: int = 0,
+                       group: str = "split", rank: str = "split_rank") -> DataFrame:
+    """``evaluated(stem, tgt, group, rank)`` -> ``(group, stem, batch_id, labels,
+    attention_mask)``: target ids by ``tokenizer`` (token array -> id array), cut to
+    ``max_tgt``, in batches of ``size`` in the order of ``rank`` within each group,
+    padded to the longest of the batch; labels equal to the pad id are ignored."""
+    ids = tokenizer(T.tokens("tgt"))
+    cut = ids if max_tgt is None else F.slice(ids, 1, max_tgt)
+    rows = evaluated.select(group, "stem", rank, cut.alias("ids"))
+    return OM.pad_batches(S.assign_batches(rows, rank, size), "ids", [group, "batch_id"], pad_id).select(group, "stem", "batch_id", "labels", "attention_mask")
+
+
+def evaluation_metrics(batches: DataFrame, logits: DataFrame, group: str = "split", digits: int | None = 6) -> DataFrame:
+    """Teacher-forced metrics of each group: ``batches(group, stem, labels)`` with
+    the ``logits(stem, logits)`` a model has stored for them (one row of logits for
+    each position, ``[T, V]``). Positions are flattened with their labels, those
+    ignored do not count, and a stem without logits counts nowhere. Adds the
+    printable ``summary`` line."""
+    flat = OM.flatten_logits(batches.join(logits, "stem"), "logits", "labels", keep=(group, "stem"))
+    # the line is made of the exact values, the columns are rounded
+    exact = OM.split_metrics(OM.score_tokens(flat), group, digits=None)
+    lines = OM.metrics_summary(exact, group).withColumnRenamed(group, "__g")
+    joined = exact.join(lines, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+    numbers = [c for c, t in exact.dtypes if t == "double"]
+    return joined if digits is None else joined.withColumns({c: F.when(F.isnan(c), F.col(c)).otherwise(F.round(c, digits)) for c in numbers})
+
+
+def corpus_counts(files: DataFrame, primary: str = ".c", listing: str = ".s", derived: str = ".ghidra.c") -> DataFrame:
+    """One row of counts over ``files(name, content)``: sources, listings and the
+    other tool's files, pairs by stem and those with two non-empty texts, distinct
+    include lines. The texts are read in one pass, which observes the counts of the
+    files and leaves a narrow row for each."""
+    name = F.col("name")
+    incs = F.transform(F.filter(T.lines("content"), lambda x: T.strip_ws(x).startswith("#include")), lambda x: T.collapse_ws(T.strip_ws(x)))
+    is_src, is_tgt = name.endswith(listing), name.endswith(primary)
+    narrow = files.where(is_src | is_tgt).select(
+        stem_of(name).alias("stem"), name.endswith(derived).alias("derived"), is_tgt.alias("is_tgt"), (F.col("content") != "").alias("ok"),
+        F.when(is_tgt, F.array_distinct(incs)).alias("incs"))
+    rows, seen = CH.counted(narrow, "counts", n_sources=F.count_if(F.col("is_tgt") & ~F.col("derived")), n_listings=F.count_if(~F.col("is_tgt")),
+                            n_other=F.count_if("derived"))
+    both = rows.groupBy("stem").agg(F.bool_or(~F.col("is_tgt")).alias("s"), F.bool_or("is_tgt").alias("t"), F.bool_and("ok").alias("ok")).where("s and t")
+    n_incs = rows.select(F.explode_outer("incs").alias("inc")).where("inc is not null").agg(F.count_distinct("inc"))
+    counts = both.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("ok").alias("n_usable"))
+    return counts.select(*[F.lit(n).cast("long").alias(k) for k, n in seen.items()], "n_pairs", "n_usable", n_incs.scalar().alias("n_distinct_includes"))
 
 
 def compare_systems(files: DataFrame, predict: Callable[[Column], Column] | None = None,

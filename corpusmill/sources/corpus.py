@@ -133,6 +133,22 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def code_files_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(name, content)`` of all files of the code view from one scan of the
+    documents, for what looks at every kind (:func:`code_files` prunes kinds)."""
+    docs = table(spark, sf_dir, "documents").select(*DOC_COLUMNS)
+    verdict = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(
+        F.coalesce(F.bool_or(F.col("quality") == 0), F.lit(False)).alias("failed"))
+    judged = docs.join(verdict.hint("merge"), F.col("doc_id") == F.col("l_id"), "left")
+
+    def file(suffix: str, text_sql: str, there) -> F.Column:
+        return F.when(there, F.struct(F.concat(F.expr(STEM_SQL), F.lit(suffix)).alias("name"), F.expr(text_sql).alias("content")))
+
+    every = F.array(file(".c", C_TEXT_SQL, F.lit(True)), file(".s", ASM_TEXT_SQL, ~F.coalesce("failed", F.lit(False))),
+                    file(".ghidra.c", OTHER_TEXT_SQL, F.col("l_id").isNotNull()))
+    return judged.select(F.explode(every).alias("f")).where(F.col("f").isNotNull()).select("f.name", "f.content")
+
+
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(page_id, url, html)``: every stored page as a category page."""
     return table(spark, sf_dir, "pages").select("page_id", "url", F.expr(LISTING_SQL).alias("html"))
