@@ -101,19 +101,6 @@ def pick_one(df: DataFrame, key: str, seed=0) -> DataFrame:
     return df.orderBy(order_hash(key, seed), F.col(key)).limit(1)
 
 
-def _rank_in_buckets(df: DataFrame, bucket: F.Column, order_cols, rank_col: str) -> DataFrame:
-    b = "__b"
-    keyed = df.withColumn(b, bucket).repartition(b)
-    counts = keyed.groupBy(b).agg(F.count(F.lit(1)).alias("__n"))
-    running = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(b, F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__off"))
-    # one row per non-empty bucket: bounded by the bucket count
-    within = Window.partitionBy(b).orderBy(*order_cols)
-    return (keyed.join(F.broadcast(offsets), b, "inner")
-            .withColumn(rank_col, F.col("__off") + F.row_number().over(within))
-            .drop(b, "__off"))
-
-
 def ordinal_rank(df: DataFrame, order_cols: list[str], rank_col: str = "rank",
                  partitions: int | None = None) -> DataFrame:
     """1-based position in the natural order of ``order_cols`` (a total

@@ -105,7 +105,9 @@ def split_cte(src: str = "pairs", key: str = "stem", seed: int = 42, train: floa
    from {name}_r)"""
 
 
-COMMENT_RE_RE2 = r"""("(?:\\.|[^"\\])*")|('(?:\\.|[^'\\])*')|//[^\n]*|/\*.*?\*/|\r""".replace("'", "''")
+# the same tokens for RE2, which has neither possessive repetition nor look-ahead
+_LITERALS = "|".join(f"{q}(?:[^{q}\\\\]|\\\\.)*{q}" for q in ('"', "''"))
+COMMENT_RE_RE2 = f"({_LITERALS})|//[^\\n]*|/\\*(?:[^*]|\\*+[^*/])*\\*+/|\\r"
 
 
 def q_eval_normal_form() -> str:
@@ -122,8 +124,8 @@ select name, normalized from na4"""
 
 def q_comment_free() -> str:
     return f"""with {files_cte()}
-select name, regexp_replace(content, '{COMMENT_RE_RE2}', '\\1\\2', 'gs') as cleaned,
-  regexp_replace(content, '{COMMENT_RE_RE2}', '\\1\\2', 'gs') <> content as changed
+select name, regexp_replace(content, '{COMMENT_RE_RE2}', '\\1', 'gs') as cleaned,
+  regexp_replace(content, '{COMMENT_RE_RE2}', '\\1', 'gs') <> content as changed
 from files where name like '%.c'"""
 
 

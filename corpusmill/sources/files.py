@@ -107,10 +107,6 @@ def read_keys(spark: SparkSession, path: str, column: str = "stem") -> DataFrame
     return df.select(k.alias(column)).where(F.col(column) != "")
 
 
-def keys_from_lines(df: DataFrame, text_col: str = "value", column: str = "stem") -> DataFrame:
-    return df.select(strip_ws(text_col).alias(column)).where(F.col(column) != "")
-
-
 def parse_problems(df: DataFrame, text_col: str = "value", position_col: str | None = None) -> DataFrame:
     """Prompt-table lines ``"N. statement"`` -> ``(problem_number, text)``.
     With ``position_col`` (the 1-based row position, e.g. from

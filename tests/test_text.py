@@ -155,3 +155,38 @@ def test_percent_escapes_equal_unquote(spark):
     values = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 8))) for _ in range(600)] + ["a%20b%ZZ", "", "%"]
     assert many(spark, T.percent_decode("t"), values) == [unquote(v) for v in values]
     assert many(spark, T.url_to_title("t"), ["https://h.org/wiki/C%2B%2B+a%20b%ZZ_c?x=1", "/wiki/%zz"]) == ["C+++a b%ZZ c", "%zz"]
+
+
+def test_comments_against_a_scanner(spark):
+    """A scanner that reads character by character, over random code."""
+    import random
+
+    def scan(code):
+        out, i = [], 0
+        while i < len(code):
+            c = code[i]
+            if c in "\"'":
+                j = i + 1
+                while j < len(code) and code[j] != c:
+                    j += 2 if code[j] == "\\" else 1
+                if j < len(code):
+                    out.append(code[i:j + 1])
+                    i = j + 1
+                    continue
+            if code.startswith("//", i):
+                while i < len(code) and code[i] != "\n":
+                    i += 1
+                continue
+            if code.startswith("/*", i) and code.find("*/", i + 2) >= 0:
+                i = code.find("*/", i + 2) + 2
+                continue
+            if c != "\r":
+                out.append(c)
+            i += 1
+        return "".join(out)
+
+    rng = random.Random(12)
+    values = ["".join(rng.choice(["/", "*", "//", "/*", "*/", "\"", "'", "\\", "\n", "\r", "a", "é", "**/", " "]) for _ in range(rng.randint(0, 14))) for _ in range(800)]
+    assert many(spark, T.remove_comments("t"), values) == [scan(v) for v in values]
+    assert one(spark, T.remove_comments("t"), '"' + "x" * 2_000_000 + '" // y') == '"' + "x" * 2_000_000 + '" '
+    assert one(spark, T.remove_comments("t"), "/*" + "*x" * 1_000_000 + "*/z") == "z"
