@@ -50,6 +50,9 @@ QUERIES: dict[str, QueryFn] = {
     "chat_payloads": hq.chat_payloads,
     "compile_gate": hq.compile_gate,
     "compile_tally": hq.compile_tally,
+    "candidate_texts": eq.candidate_texts,
+    "sorted_listing": cq.sorted_listing,
+    "gate_logs": hq.gate_logs,
     "loaded_pairs": fq.loaded_pairs,
     "rewritten_files": fq.rewritten_files,
     "split_lists": fq.split_lists,
@@ -93,6 +96,9 @@ ORACLES: dict[str, Callable[[], str]] = {
     "chat_payloads": oq.q_chat_payloads,
     "compile_gate": oq.q_compile_gate,
     "compile_tally": oq.q_compile_tally,
+    "candidate_texts": oq.q_candidate_texts,
+    "sorted_listing": oq.q_sorted_listing,
+    "gate_logs": oq.q_gate_logs,
     "loaded_pairs": oq.q_loaded_pairs,
     "rewritten_files": oq.q_rewritten_files,
     "split_lists": oq.q_split_lists,

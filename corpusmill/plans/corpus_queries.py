@@ -136,15 +136,13 @@ def quick_asm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One seeded test-split stem: quick asm clean-up -> generation stand-in
     -> tidy."""
-    p = pairs(spark, sf_dir)
-    test = S.split_exact(p.select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED).where("split = 'test'")
-    one = S.pick_one(test, "stem", seed=0)
-    asm = with_suffix(code_files(spark, sf_dir), ".s").withColumnRenamed("content", "asm")
-    # one row by construction (limit 1): broadcasting it keeps the listings
-    # from being shuffled for a single lookup
-    row = F.broadcast(one).join(asm, "stem", "inner")
-    cleaned = T.clean_asm("asm", QUICK_ASM_LINES)
-    return row.select("stem", T.tidy_c(stand_in_prediction(cleaned), TIDY_INCLUDE_CAP).alias("prediction"))
+    test = S.split_exact(pairs(spark, sf_dir).select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED).where("split = 'test'")
+    return W.inspect_sample(code_files(spark, sf_dir), test, stand_in_prediction, 0, QUICK_ASM_LINES, TIDY_INCLUDE_CAP)
+
+
+def sorted_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIM-1: the primary sources in the order of their names."""
+    return W.sorted_listing(code_files(spark, sf_dir))
 
 
 def threshold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,20 +156,8 @@ def prediction_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``=== SAMPLE i ===`` + the evaluation form of its generated C."""
     from corpusmill.sinks.writers import sample_report
 
-    p = pairs(spark, sf_dir)
-    split = S.split_exact(p.select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED, keep_rank=True)
-    joined = non_empty_pairs(split.join(p, "stem", "inner"))
-
-    def usable(name: str) -> DataFrame:
-        return select_where(joined.where(F.col("split") == name), [
-            F.col("stem"), F.col("split_rank"), T.normalize_asm_expr("src").alias("src")],
-            lambda r: F.size(T.tokens(r["src"])) <= 3 * MAX_SRC_TOKENS)
-
-    val = usable("val")
-    # train rows are only looked at when no validation item survives
-    chosen = val.unionByName(usable("train").where(~val.exists()))
-    top = chosen.orderBy("split_rank").limit(5).select(
-        "stem", "split_rank", T.normalize_for_eval(stand_in_prediction("src"), INCLUDE_CAP).alias("prediction"))
+    first = W.first_samples(code_files(spark, sf_dir), 5, TRAIN_FRAC, VAL_FRAC, SEED, MAX_SRC_TOKENS)
+    top = first.select("stem", "split_rank", T.normalize_for_eval(stand_in_prediction("src"), INCLUDE_CAP).alias("prediction"))
     return sample_report(top, "split_rank", "prediction").select("stem", F.col("value").alias("report"))
 
 

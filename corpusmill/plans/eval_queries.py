@@ -21,7 +21,7 @@ from corpusmill.plans import workflows as W
 from corpusmill.plans.corpus_queries import INCLUDE_CAP, MAX_SRC_TOKENS, SEED, TRAIN_FRAC, VAL_FRAC, pairs
 from corpusmill.session import stored
 from corpusmill.sources.corpus import code_files, table
-from corpusmill.sources.files import non_empty_pairs, pair_by_stem
+from corpusmill.sources.files import non_empty_pairs, pair_by_stem, with_suffix
 
 PAD_ID = 0
 SMOOTHING = 0.1
@@ -89,6 +89,18 @@ def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.round("perplexity", 6).alias("perplexity"), "rank")
 
 
+def candidate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIP-5, SET-3 over whole texts: each source the other tool was run on, with
+    its original and the other tool's text as candidates; the stored logits of the
+    source score both, and rank them."""
+    files = code_files(spark, sf_dir)
+    sources = with_suffix(files, ".ghidra.c").select("stem")
+    candidates = stored(W.candidate_texts(files, sources, original=".c", other=".ghidra.c"), "candidates")
+    longest = candidates.groupBy("stem").agg(F.max(F.size(T.tokens("text"))).alias("n")).select("stem", F.array_repeat(F.lit(0), F.col("n")).alias("labels"))
+    ranked = W.rank_candidate_texts(candidates, stored_logits(spark, sf_dir, longest), hashed_ids, cap=PERPLEXITY_CAP)
+    return ranked.select("stem", "candidate", "n_tokens", F.round("mean_loss", 6).alias("mean_loss"), F.round("perplexity", 6).alias("perplexity"), "rank")
+
+
 def training_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training set -> ids of source and target, truncated to 2,048 and 256."""
     files = code_files(spark, sf_dir)

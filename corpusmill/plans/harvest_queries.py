@@ -25,7 +25,8 @@ from corpusmill.operators.metrics import tally
 from corpusmill.operators.split import ordinal_rank
 from corpusmill.plans import workflows as W
 from corpusmill.sources.corpus import code_files, listing_pages, table
-from corpusmill.sources.files import primary_only, with_suffix
+from corpusmill.session import fresh_folder
+from corpusmill.sources.files import with_suffix
 
 NAV_START, NAV_END = "<nav", "</nav>"
 ARTICLE_START, ARTICLE_END = "<article", "</article>"
@@ -162,19 +163,21 @@ def chat_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
                            .alias("payload"))
 
 
-def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = code_files(spark, sf_dir)
-    sources = with_suffix(primary_only(files), ".c", value="path")
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(stem, returncode, stderr, asm)``: the labels as a compiler's results."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     # only the listing's existence matters: join its name, not its text
-    asm = with_suffix(files, ".s", value="name").withColumnRenamed("name", "asm")
-    results = (labels.join(docs, "doc_id", "inner")
-               .select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("stem"),
-                       F.when(F.col("quality") == 0, 1).otherwise(0).alias("returncode"),
-                       F.when(F.col("quality") == 0, F.col("text")).otherwise(F.lit("")).alias("stderr"))
-               .join(asm, "stem", "left"))
-    return G.gate(sources, results, "stem", "path", parent="corpus", max_info=MAX_ERROR_CHARS)
+    asm = with_suffix(code_files(spark, sf_dir), ".s", value="name").withColumnRenamed("name", "asm")
+    return (labels.join(docs, "doc_id", "inner")
+            .select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("stem"),
+                    F.when(F.col("quality") == 0, 1).otherwise(0).alias("returncode"),
+                    F.when(F.col("quality") == 0, F.col("text")).otherwise(F.lit("")).alias("stderr"))
+            .join(asm, "stem", "left"))
+
+
+def _gated(spark: SparkSession, sf_dir: str, log_dir: str | None = None) -> DataFrame:
+    return W.gate_corpus(code_files(spark, sf_dir), _results(spark, sf_dir), "corpus", MAX_ERROR_CHARS, log_dir)
 
 
 def compile_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,5 +186,13 @@ def compile_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gated(spark, sf_dir).select("stem", "ok", "status", "log_line")
 
 
+def gate_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-5, PIP-9: the ok and failed logs as they are written, line by line."""
+    root = fresh_folder(spark, "logs")
+    _gated(spark, sf_dir, root)
+    lines = spark.read.text(f"{root}/ok").withColumn("log", F.lit("ok")).unionByName(spark.read.text(f"{root}/failed").withColumn("log", F.lit("failed")))
+    return lines.select("log", F.col("value").alias("line"))
+
+
 def compile_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tally(_gated(spark, sf_dir), "status")

@@ -289,6 +289,34 @@ select split, n as n_tokens, {r('s')} as nll_sum, {r('s / n')} as avg_nll, {r('e
 from g"""
 
 
+def q_candidate_texts() -> str:
+    number = "cast(concat('0x', substr(md5({}), 1, 8)) as bigint)"
+    return f"""with {files_cte()},
+src as (select {suffix_key('name', '.ghidra.c')} as stem from files where name like '%.ghidra.c'),
+c as (select stem || '/other' as ckey, stem, 'other' as candidate, content from src join files on name = stem || '.ghidra.c'
+   union all select stem || '/original', stem, 'original', content from src join files on name = stem || '.c')
+{normalize_c_ctes('c', 'ckey', 'content', 'norm', cap=1000000)},
+tk as (select c.stem, c.candidate, list_filter(regexp_split_to_array(nc7.norm, '\\s+'), lambda x: x <> '') as toks from c join nc7 using (ckey)),
+u as (select stem, candidate, unnest(toks) as token, generate_subscripts(toks, 1) - 1 as pos from tk),
+v as (select list_transform(embedding, lambda x: cast(x as double)) as l, row_number() over (order by vec_id) - 1 as number from embeddings),
+e as (select number, l, list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) as lse from v),
+z as (select number, unnest(range(64)) as id, lse - unnest(l) as nll from e),
+y as (select distinct token, {number.format('token')} % 63 + 1 as id from u),
+x as (select stem, candidate, y.id, ({number.format('stem')} + pos) % (select count(*) from embeddings) as number from u join y using (token)),
+g as (select stem, candidate, count(*) as n_tokens, avg(nll) as loss from x join z using (number, id) group by 1, 2)
+select stem, candidate, n_tokens, round(loss, 6) as mean_loss, round(case when loss < 20 then exp(loss) else 'Infinity'::double end, 6) as perplexity,
+  cast(row_number() over (partition by stem order by loss, candidate) as integer) as rank from g"""
+
+
+def q_sorted_listing() -> str:
+    return f"""with {files_cte()} select row_number() over (order by name) as position, name from files
+where name like '%.c' and name not like '%.ghidra.c'"""
+
+
+def q_gate_logs() -> str:
+    return f"""with q as ({q_compile_gate()}) select case when ok then 'ok' else 'failed' end as log, unnest(string_split(log_line, chr(10))) as line from q"""
+
+
 def q_token_batches() -> str:
     return f"""with {files_cte()}, {PAIRS_CTE}, {split_cte()},
 ev as (select p.stem, p.tgt, s.split, s.split_rank from splits s join pairs p on s.stem = p.stem

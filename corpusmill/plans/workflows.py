@@ -17,6 +17,7 @@ from corpusmill.functions import text as T
 from corpusmill.functions import metrics as M
 from corpusmill.operators import checks as CH
 from corpusmill.operators import compare as OC
+from corpusmill.operators import gate as G
 from corpusmill.operators import harvest as H
 from corpusmill.operators import metrics as OM
 from corpusmill.operators import names as N
@@ -25,7 +26,7 @@ from corpusmill.operators import tokenize as TK
 from corpusmill.operators.rows import select_where
 from corpusmill.session import stored
 from corpusmill.sinks.named_files import write_changed_files
-from corpusmill.sources.files import non_empty_pairs, pair_by_stem, primary_only, stem_of, with_suffix
+from corpusmill.sources.files import non_empty_pairs, of_suffix, pair_by_stem, primary_only, stem_of, with_suffix
 
 
 def build_training_set(files: DataFrame, train: float = 0.8, val: float = 0.1, seed=42,
@@ -69,6 +70,38 @@ def _training_pairs(files: DataFrame, train: float, val: float, seed, include_ca
     return staged.select("stem", "split", F.col("a.src").alias("src"), "tgt", F.col("a.n").alias("n_src_tokens"))
 
 
+def first_samples(files: DataFrame, n: int = 5, train: float = 0.8, val: float = 0.1, seed=42, max_src_tokens: int | None = None) -> DataFrame:
+    """The first ``n`` validation items of the training set, in split order; if none
+    is left, those of the training split: ``(stem, split_rank, src)``, the assembly
+    in normal form. The order is made on the stems alone, and only the texts of the
+    first few are fetched and normalised; if the token budget drops some of them,
+    twice as many are looked at."""
+    def stems(suffix: str, flag: str) -> DataFrame:
+        return with_suffix(files, suffix).select("stem", (F.col("content") != "").alias(flag))
+
+    both = stems(".s", "s_ok").join(stems(".c", "c_ok"), "stem")
+    ranked = S.split_exact(both.select("stem"), "stem", train, val, seed, keep_rank=True).select("stem", "split", "split_rank")
+    usable = stored(ranked.join(both.where("s_ok and c_ok").select("stem"), "stem"), "ranked")
+    asm = with_suffix(files, ".s").withColumnRenamed("content", "src")
+    found = None
+    for split in ("val", "train"):
+        keys, look = usable.where(F.col("split") == split), 2 * n
+        total = keys.count()
+        while True:
+            # a stated number of narrow rows: broadcast to the listings
+            some = F.broadcast(keys.orderBy("split_rank").limit(look).select("stem", "split_rank"))
+            found = select_where(asm.join(some, "stem"), [F.col("stem"), F.col("split_rank"), T.normalize_asm_expr("src").alias("src")],
+                                 lambda r: F.lit(True) if max_src_tokens is None else F.size(T.tokens(r["src"])) <= 3 * max_src_tokens)
+            found = stored(found.orderBy("split_rank").limit(n), "samples")
+            left = found.count()
+            if left >= n or look >= total:
+                break
+            look *= 2
+        if left:
+            break
+    return found
+
+
 def evaluation_set(files: DataFrame, keys: DataFrame, include_cap: int | None = None, require: bool = False) -> DataFrame:
     """Key list -> pair lookup (missing keys skipped) -> both texts
     non-empty -> C normal form; the assembly stays raw. Other columns of the keys
@@ -169,6 +202,65 @@ def rewrite_corpus(files: DataFrame, path: str, suffix: str = ".c") -> dict:
     return write_changed_files(clean_corpus(files, suffix), path, "content", "cleaned")
 
 
+def gate_corpus(files: DataFrame, results: DataFrame, parent: str | None = None, max_info: int | None = None, log_dir: str | None = None,
+                suffix: str = ".c", derived: str = ".ghidra.c") -> DataFrame:
+    """Every primary source below ``parent`` against ``results(stem, returncode,
+    stderr, asm)`` of an external step (a results table, or
+    ``plugins.run_external``), as :func:`operators.gate.gate` decides. The verdicts
+    are taken once and stored; with ``log_dir``, its folders ``ok`` and ``failed``
+    get the log lines, in the order of the paths."""
+    sources = with_suffix(primary_only(files, derived), suffix, value="path")
+    gated = stored(G.gate(sources, results, "stem", "path", parent=parent, max_info=max_info).select(
+        "stem", "path", "returncode", "ok", "info", "status", "log_line"), "gated")
+    if log_dir is not None:
+        for name, some in (("ok", G.survivors(gated)), ("failed", G.rejects(gated))):
+            some.orderBy("path").select(F.col("log_line").alias("value")).write.mode("overwrite").text(f"{log_dir}/{name}")
+    return gated
+
+
+def inspect_sample(files: DataFrame, keys: DataFrame, predict: Callable[[Column], Column], seed=0, max_lines: int | None = None,
+                   include_cap: int | None = None) -> DataFrame:
+    """One seeded key of a list: its listing, cleaned quickly, goes to ``predict``
+    (a column function, e.g. a generation plug-in's), whose C text is tidied:
+    ``(stem, prediction)``."""
+    one = S.pick_one(keys.select("stem"), "stem", seed=seed)
+    asm = with_suffix(files, ".s").withColumnRenamed("content", "asm")
+    # one row by construction (limit 1): broadcasting it keeps the listings
+    # from being shuffled for a single lookup
+    row = F.broadcast(one).join(asm, "stem", "inner")
+    return row.select("stem", T.tidy_c(predict(T.clean_asm("asm", max_lines)), include_cap).alias("prediction"))
+
+
+def sorted_listing(files: DataFrame, suffix: str = ".c", derived: str = ".ghidra.c") -> DataFrame:
+    """The primary files in the order of their names, numbered from 1:
+    ``(position, name)``. The order is made over ranges of names, not in one task."""
+    names = of_suffix(primary_only(files, derived), suffix).select("name")
+    return S.ordinal_rank(names, ["name"], "position").select("position", "name")
+
+
+def candidate_texts(files: DataFrame, sources: DataFrame, **suffixes: str) -> DataFrame:
+    """``sources(stem)`` against the texts that stand for each of them, one
+    candidate per suffix (``original=".c", other=".ghidra.c"``): ``(stem, candidate,
+    text)`` in C normal form. A source keeps what candidates it has."""
+    every = None
+    for name, suffix in suffixes.items():
+        one = with_suffix(files, suffix).select("stem", F.lit(name).alias("candidate"), F.col("content").alias("text"))
+        every = one if every is None else every.unionByName(one)
+    return sources.select("stem").dropDuplicates(["stem"]).hint("merge").join(every, "stem").select("stem", "candidate", T.normalize_c("text").alias("text"))
+
+
+def rank_candidate_texts(candidates: DataFrame, logits: DataFrame, tokenizer: Callable[[Column], Column], max_tokens: int | None = None,
+                         cap: float | None = 20.0) -> DataFrame:
+    """``candidates(stem, candidate, text)`` scored by the ``logits(stem, logits)``
+    that a model has stored for the source, position by position: tokens, mean
+    loss, perplexity (``+inf`` from ``cap`` on) and rank within the source."""
+    ids = tokenizer(T.tokens("text"))
+    labelled = candidates.select("stem", "candidate", (ids if max_tokens is None else F.slice(ids, 1, max_tokens)).alias("labels"))
+    with_logits = labelled.join(logits, "stem").select("stem", "candidate", "labels", F.slice("logits", F.lit(1), F.size("labels")).alias("logits"))
+    scored = OM.score_tokens(OM.flatten_logits(with_logits, "logits", "labels", keep=("stem", "candidate")))
+    return rank_candidates_by_loss(candidates, scored.select("stem", "candidate", "nll"), cap)
+
+
 def generated_code(problems: DataFrame, replies: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """``problems(problem_number, text)`` and ``replies(problem_number, response)``
     -> ``(problem_number, file_name, prompt, code, status)``, a row a problem. A
