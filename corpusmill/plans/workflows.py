@@ -99,7 +99,7 @@ def first_samples(files: DataFrame, n: int = 5, train: float = 0.8, val: float =
             look *= 2
         if left:
             break
-    return found
+    return found.orderBy("split_rank").limit(n)  # a stored table has no order of its own
 
 
 def evaluation_set(files: DataFrame, keys: DataFrame, include_cap: int | None = None, require: bool = False) -> DataFrame:
