@@ -17,7 +17,7 @@ only if the cut parts them and neither is within reach, for which they must diff
 by twice the reach: the number of tables is the least with which a pair at the
 least cosine still meets with probability ``RECALL``. ``cuts`` follows the size of
 the label, so a vector meets an ever smaller share of its label, until
-``MAX_CUTS``; labels of up to ``CELL`` vectors are one cell.
+``MAX_CUTS``; labels of up to 16 times ``CELL`` vectors are one cell.
 
 Cells are worked on in blocks of bounded size on both sides, however many vectors
 a cell holds. Equal vectors are one class before anything is dealt, so copies
@@ -77,7 +77,8 @@ def needed(projections: int, window: float = WINDOW, recall: float = RECALL) ->
 
 
 def cuts_for(n: int) -> int:
-    return min(MAX_CUTS, max(0, math.ceil(math.log2(max(n, 1) / CELL))))
+    """Fewer than five cuts, with the tables they need, save no pair."""
+    return 0 if n <= 16 * CELL else min(MAX_CUTS, math.ceil(math.log2(n / CELL)))
 
 
 def tables_for(cuts: int, recall: float = RECALL) -> int:
