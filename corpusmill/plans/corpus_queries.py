@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import compare as OC
 from corpusmill.operators import split as S
-from corpusmill.operators.rows import select_where
 from corpusmill.plans import workflows as W
 from corpusmill.sources.corpus import code_files, code_files_at_once, reply_files
-from corpusmill.sources.files import non_empty_pairs, of_suffix, pair_by_stem, primary_only, with_suffix
+from corpusmill.sources.files import of_suffix, pair_by_stem, primary_only, with_suffix
 
 SEED = 42
 TRAIN_FRAC = 0.8

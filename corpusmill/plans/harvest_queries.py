@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import docs as D
 from corpusmill.functions import text as T
-from corpusmill.operators import gate as G
 from corpusmill.operators import harvest as H
 from corpusmill.operators import names as N
 from corpusmill.operators.metrics import tally

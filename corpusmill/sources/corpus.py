@@ -158,7 +158,7 @@ def reply_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(name, path, content, kind)``, a file set for each user turn of a
     conversation, of whole turns: the turn itself (``.s``), the first reply to it
     (``.c``) and the conversation's next reply after that one (``.ghidra.c``). Every
-    user and assistant turn is read, and no turn is set against itself."""
+    user turn and every first reply is a file, and no turn is set against itself."""
     turns = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
     conv = Window.partitionBy("conv_id").orderBy("turn")
     ahead = conv.rowsBetween(1, Window.unboundedFollowing)
