@@ -35,7 +35,6 @@ count as larger than all others; a component without any other id has a null
 
 from __future__ import annotations
 
-import itertools
 import math
 from dataclasses import dataclass
 
