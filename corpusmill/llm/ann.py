@@ -1,9 +1,10 @@
 """Nearest neighbours by inner product with multiprobe p-stable hashing.
 
-A vector x becomes (x / M, sqrt(1 - |x / M|^2)), M being the largest norm, and a
-query q becomes (q / |q|, 0): the largest inner product is then the least
-Euclidean distance, which the 2-stable hash functions floor((a.x + b) / w) keep
-close. A table joins ``n_hashes`` of them to a bucket. A query visits its own
+A vector x becomes (x / s, sqrt(1 - |x / s|^2)) and a query q (q / |q|, 0). With
+s = M, the largest norm, the largest inner product is the least Euclidean
+distance; with s = |x| the distance is that of directions, which tells vectors
+apart better where norms say little. s = M^(1 - lift) |x|^lift goes from one to
+the other. The 2-stable hash functions floor((a.x + b) / w) keep near points close. A table joins ``n_hashes`` of them to a bucket. A query visits its own
 bucket and, in the order of estimated success (the sum of squared distances to
 the slots it would have to move to), perturbed ones, ``probes`` in each of
 ``n_tables`` tables.
@@ -14,9 +15,15 @@ visit it meet in blocks of bounded size on both sides, their number following
 the bucket's counts: a bucket with a third of all rows is many blocks. A block
 keeps the ``k`` best of each query, so the merge stays small and loses nothing.
 
-``probes`` is fitted: the least number with which a bounded sample
-(``SAMPLE_QUERIES`` against ``SAMPLE_ROWS`` rows) reaches a recall of ``target``;
-every row is indexed and every query searched.
+Hashes, width, lift and probes are fitted. The true neighbours, among all rows, of a
+bounded sample of queries (``SAMPLE_QUERIES``) are found in one pass. Each setting of
+``SETTINGS`` needs some number of probes to reach a recall of ``target`` on them;
+the one is taken that costs least: the share of rows that a query then meets
+(from a sample of ``SAMPLE_ROWS``) and what it takes to send a query to a bucket, in
+rows met. The more rows, the nearer their neighbours and the less a probe weighs,
+so the cells get finer as the table grows. If no setting reaches ``target``, the
+cells are made wider until one does, at the utmost one cell, which is an exact scan.
+Every row is indexed and every query searched.
 
 Defined results: vectors that are null, empty, zero, of another length than most
 or that hold a null or non-finite number take no part, nor do rows without an
@@ -28,6 +35,7 @@ id. Without any vectors there are no rows. Extra columns are not read.
 from __future__ import annotations
 
 import itertools
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,31 +48,48 @@ from corpusmill.llm.common import table, written
 N_TABLES = 2
 N_HASHES = 3
 WIDTH = 1.5
-REACH = 2  # slots to each side that a probe may move a hash
+#: (hashes, width), from coarse cells to fine ones, each tried with the lifts
+SETTINGS = ((3, 1.5), (4, 1.0), (6, 1.5), (6, 1.0), (8, 1.5), (8, 1.0), (10, 1.5), (10, 1.0))
+LIFTS = (0.0, 1.0)
+PROBE_ROWS = 200  # sending a query to a bucket (Arrow, shuffle) counts as much as meeting so many rows
+MOST_PROBES = 1024  # of a setting; one that needs more is not taken
 TARGET = 0.95
 SAMPLE_ROWS = 20_000
 SAMPLE_QUERIES = 200
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 1024
 SEED = 7
+_LOG = logging.getLogger(__name__)
 
 
 @dataclass
 class Hashes:
-    """Projections (tables, dimensions + 1, hashes), offsets, and the moves of a probe."""
+    """Projections (tables, dimensions + 1, hashes), offsets, and the moves of a probe:
+    up to two slots to each side for few hashes, else one slot in up to four hashes."""
 
     a: np.ndarray
     b: np.ndarray
     width: float
     scale: float  # largest norm
+    lift: float = 0.0
 
     def __post_init__(self):
-        moves = itertools.product(range(-REACH, REACH + 1), repeat=self.a.shape[2])
+        n = self.a.shape[2]
+        if n <= 4:
+            moves = itertools.product(range(-2, 3), repeat=n)
+        else:
+            moves = (m for some in range(5) for at in itertools.combinations(range(n), some) for by in itertools.product((-1, 1), repeat=some)
+                     for m in [tuple(dict(zip(at, by)).get(k, 0) for k in range(n))])
         self.moves = np.array(sorted(moves, key=lambda m: (sum(map(abs, m)), m)))
 
+    @classmethod
+    def drawn(cls, dim: int, tables: int, hashes: int, width: float, scale: float, lift: float = 0.0) -> Hashes:
+        rng = np.random.default_rng(SEED)
+        return cls(rng.standard_normal((tables, dim + 1, hashes)), rng.random((tables, hashes)) * width, width, scale, lift)
+
     def rows(self, x: np.ndarray) -> np.ndarray:
         """Vectors with the coordinate that makes all norms equal."""
-        x = x / self.scale
+        x = x / (self.scale ** (1 - self.lift) * np.sqrt((x * x).sum(axis=1, keepdims=True)) ** self.lift)
         return np.c_[x, np.sqrt(np.maximum(1 - (x * x).sum(axis=1), 0))]
 
     @staticmethod
@@ -86,6 +111,8 @@ class Hashes:
 
     def probes(self, q: np.ndarray, t: int, most: int) -> np.ndarray:
         """(queries, most) buckets in the order of estimated success."""
+        if len(q) > 256:  # costs of all moves are held for some queries at once
+            return np.concatenate([self.probes(q[i:i + 256], t, most) for i in range(0, len(q), 256)])
         at = self.slots(q, t)
         base = np.floor(at)
         frac, cost = at - base, np.zeros((len(q), len(self.moves)))
@@ -115,23 +142,74 @@ def _sample(rows: DataFrame, n: int, most: int) -> tuple[np.ndarray, np.ndarray]
     return t.column(0).to_numpy(), _matrix(t.column(1))
 
 
-def fitted_probes(h: Hashes, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, target: float) -> int:
-    """Least number of probes with that recall on a sample."""
-    if not len(x) or not len(q):
-        return 1
-    scores = q @ x.T
-    scores[q_ids[:, None] == ids[None]] = -np.inf
-    best = np.argsort(-scores, axis=1)[:, :min(k, max(len(x) - 1, 1))]
-    all_ = len(h.moves)
-    found_at = np.full(best.shape, all_)
+@dataclass
+class Fit:
+    hashes: Hashes
+    probes: int
+    recall: float  # of the sample of queries, in all rows
+    share: float  # of the rows that a query meets, summed over tables
+
+
+def _tried(h: Hashes, probes: int, q: np.ndarray, near: list[np.ndarray], sample: np.ndarray, target: float) -> Fit:
+    """``near``: the neighbours of each query. The least number of probes, at most
+    ``probes``, with that recall (with less, if they do not do)."""
+    most = min(probes, len(h.moves))
+    found_at = [np.full(len(v), most) for v in near]
+    met = np.zeros(most)
     for t in range(len(h.a)):
-        of_rows, of_queries = h.bucket(np.floor(h.slots(h.rows(x), t))), h.probes(h.queries(q), t, all_)
-        for i in range(len(q)):
-            hit = of_queries[i][None] == of_rows[best[i]][:, None]
-            found_at[i] = np.minimum(found_at[i], np.where(hit.any(axis=1), hit.argmax(axis=1), all_))
-    found = np.sort(found_at.ravel())
-    need = found[min(int(np.ceil(target * len(found))), len(found)) - 1]
-    return int(min(need + 1, all_))
+        of_queries, of_rows = h.probes(h.queries(q), t, most), np.sort(h.bucket(np.floor(h.slots(h.rows(sample), t))))
+        met += (np.searchsorted(of_rows, of_queries, "right") - np.searchsorted(of_rows, of_queries)).sum(axis=0)
+        for i, v in enumerate(near):
+            hit = of_queries[i][None] == h.bucket(np.floor(h.slots(h.rows(v), t)))[:, None]
+            found_at[i] = np.minimum(found_at[i], np.where(hit.any(axis=1), hit.argmax(axis=1), most))
+    found = np.sort(np.concatenate(found_at))
+    need = int(found[min(int(np.ceil(target * len(found))), len(found)) - 1]) if len(found) else 0
+    need = min(need, most - 1)
+    return Fit(h, need + 1, float((found <= need).mean()) if len(found) else 1.0, float(met[:need + 1].sum() / max(len(q) * len(sample), 1)))
+
+
+def fitted(n: int, scale: float, q: np.ndarray, near: list[np.ndarray], sample: np.ndarray, n_tables: int = N_TABLES, target: float = TARGET,
+           settings=SETTINGS) -> Fit:
+    """The setting of least cost for ``n`` rows that reaches ``target``."""
+    dim = q.shape[1]
+    tried = [_tried(Hashes.drawn(dim, n_tables, hashes, width, scale, lift), MOST_PROBES, q, near, sample, target) for hashes, width in settings for lift in LIFTS]
+    good = [f for f in tried if f.recall >= target]
+    width = settings[0][1]
+    while not good:
+        width *= 2
+        last = _tried(Hashes.drawn(dim, n_tables, settings[0][0], width, scale), MOST_PROBES, q, near, sample, target)
+        good = [last] if last.recall >= target else []
+    return min(good, key=lambda f: f.share + PROBE_ROWS * n_tables * f.probes / max(n, 1))
+
+
+def _near(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> list[np.ndarray]:
+    """The ``k`` nearest of all rows to each of a bounded number of queries: tasks keep
+    the best that they have seen."""
+
+    def run(batches):
+        best = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column(1))
+            scores = q @ x.T
+            scores[q_ids[:, None] == b.column(0).to_numpy()[None]] = -np.inf
+            at = np.argpartition(-scores, min(k, len(x)) - 1, axis=1)[:, :k]
+            now = np.take_along_axis(scores, at, axis=1), x[at]
+            if best is not None:
+                scores, vecs = np.hstack([best[0], now[0]]), np.hstack([best[1], now[1]])
+                at = np.argpartition(-scores, min(k, scores.shape[1]) - 1, axis=1)[:, :k]
+                now = np.take_along_axis(scores, at, axis=1), np.take_along_axis(vecs, at[:, :, None], axis=1)
+            best = now
+        if best is not None:
+            i, j = np.nonzero(best[0] > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(best[0][i, j]), pa.array(list(best[1][i, j]), pa.list_(pa.float64()))], ["q", "score", "vec"])
+
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec")
+    best = rows.select("id", "vec").mapInArrow(run, "q long, score double, vec array<double>").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    t = best.select("q", "vec").toArrow()
+    of, x = t.column(0).to_numpy(), _matrix(t.column(1))
+    return [x[of == i].reshape(-1, q.shape[1]) for i in range(len(q))]
 
 
 def _spread(h: Hashes, probes: int | None):
@@ -187,7 +265,8 @@ def _block(k: int):
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, vec_col: str = "embedding", id_col: str = "vec_id", n_tables: int = N_TABLES,
                n_hashes: int = N_HASHES, width: float = WIDTH, probes: int | None = None, target: float = TARGET) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): the nearest found of each row for
-    which ``is_query`` (over the columns of ``vectors``) holds."""
+    which ``is_query`` (over the columns of ``vectors``) holds. ``n_hashes`` and
+    ``width`` hold where ``probes`` is given; else all three are fitted."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"),
                           F.monotonically_increasing_id().alias("row")).where(F.col("id").isNotNull() & _good(F.col("vec")))
     rows = written(rows, "vectors")
@@ -199,10 +278,15 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, vec_col: str =
         return vectors.sparkSession.createDataFrame([], empty)
     dim, n, scale, n_q = sizes[0]
     rows = rows.where(F.size("vec") == dim)
-    rng = np.random.default_rng(SEED)
-    h = Hashes(rng.standard_normal((n_tables, dim + 1, n_hashes)), rng.random((n_tables, n_hashes)) * width, width, scale)
-    if probes is None:
-        probes = fitted_probes(h, *_sample(rows, n, SAMPLE_ROWS), *_sample(rows.where("asks"), n_q, SAMPLE_QUERIES), k, target)
+    if probes is not None:
+        h = Hashes.drawn(dim, n_tables, n_hashes, width, scale)
+    elif not n_q:
+        return vectors.sparkSession.createDataFrame([], empty)
+    else:
+        ids, q = (v[:SAMPLE_QUERIES] for v in _sample(rows.where("asks"), n_q, SAMPLE_QUERIES))
+        fit = fitted(n, scale, q.reshape(-1, dim), _near(rows, ids, q, k) if len(q) else [], _sample(rows, n, SAMPLE_ROWS)[1].reshape(-1, dim), n_tables, target)
+        h, probes = fit.hashes, fit.probes
+        _LOG.info("%d hashes of width %s, lift %s, %d probes: recall %.3f, share of rows met %.3f", h.a.shape[2], h.width, h.lift, probes, fit.recall, fit.share)
     vec_type = rows.schema["vec"].dataType.simpleString()
     schema = f"tab int, cell long, row long, id long, vec {vec_type}"
     index = rows.select("row", "id", "vec").mapInArrow(_spread(h, None), schema)

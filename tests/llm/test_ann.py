@@ -80,6 +80,41 @@ def test_probes_come_in_order_of_success():
         assert order == sorted(order)
 
 
+def _fit(x, seed=0, **options):
+    rng = np.random.default_rng(seed)
+    at = rng.choice(len(x), 200, replace=False)
+    scores = x[at] @ x.T
+    scores[np.arange(len(at)), at] = -np.inf
+    near = [x[i] for i in np.argpartition(-scores, 20, axis=1)[:, :20]]
+    return A.fitted(len(x), np.sqrt((x * x).sum(axis=1)).max(), x[at], near, x[rng.choice(len(x), min(len(x), 20_000), replace=False)], **options)
+
+
+def test_cells_get_finer_as_the_table_grows():
+    """Vectors in clusters: a query meets few of the rows, and a smaller share of more."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((500, 64))
+    fits = []
+    for n in (50_000, 200_000):
+        fits.append(_fit(centres[rng.integers(0, 500, n)] + 0.3 * rng.standard_normal((n, 64))))
+    assert all(f.recall >= A.TARGET for f in fits)
+    assert fits[1].share < fits[0].share < 0.2
+
+
+def test_cells_are_widened_until_the_recall_is_reached():
+    x = np.random.default_rng(4).standard_normal((2_000, 32))
+    f = _fit(x, settings=((3, 0.01),), target=1.0)
+    assert f.recall == 1.0 and f.hashes.width > 0.01
+
+
+def test_neighbours_of_the_sample_are_those_of_all_rows(spark):
+    rows = _rows(300)
+    df = spark.createDataFrame([(i, v) for i, v, _ in rows], "id long, vec array<float>").repartition(5)
+    x = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    got = A._near(df, np.array([0, 20]), x[[0, 20]], 7)
+    want = brute(rows, k=7)
+    assert [v.tolist() for v in got] == [[x[i].tolist() for i, _ in want[q]] for q in (0, 20)]
+
+
 def test_unfit_vectors_few_rows_ties_empty_and_clashing_columns(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 2.0], 1), (40, [0.0, 1.0], 1), (5, None, 1), (6, [], 1),
