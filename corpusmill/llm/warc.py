@@ -385,6 +385,8 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 def op6_warc_pages(spark, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write(page_records(table(spark, sf_dir, "pages")), path)
-    back = read(spark, path, payload="check")
+    # the predicates reach the headers: revisits are told without a block, and only responses are decoded
+    revisits = read(spark, path, payload="skip").where("record_type = 'revisit'")
+    back = revisits.unionByName(read(spark, path, payload="check").where("record_type = 'response'"))
     return back.select(_page_id("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"),
                        F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", _page_id("refers_to").alias("refers_to"))
