@@ -19,7 +19,11 @@ repeats. An anchor whose rank no other run has is unique and done. What is left
 longer strings, until the rank is that of the whole window.
 
 Copies within a task are settled there, so an anchor rank has at most one row
-per task and run: a passage in a third of all documents makes no hot key.
+per task and run: a passage in a third of all documents makes no hot key. A short
+string that many documents share (a notice, a ruled line) is the anchor of as many
+different runs. Such ranks are found in a bounded sample of documents; their rows
+are dealt by rank and run, and known to be of several runs. The sample only decides
+where rows are sorted, not what is found.
 Texts without a repeated window never shuffle; a Bloom filter of bounded size
 tells them (a false positive is shuffled for nothing).
 
@@ -49,6 +53,10 @@ from corpusmill.llm.exact_dedup import MAX_FILTER_BITS, filter_bits, maybe_repea
 LENGTH = 100
 #: bytes whose ranks the rounds before the last compare
 STEPS = (32, 64)
+#: documents, and the most of all, in which ranks of many runs are looked for
+SAMPLE_DOCS, SAMPLE_SHARE = 20_000, 1 / 16
+#: a rank is dealt by its runs if it has this part of the runs of the sample's ranks of several, and so many
+HOT_PART, HOT_LEAST = 1 / 4096, 8
 _BLOCK = 1 << 20  # bytes ranked at once
 _HELD = 1_000_000  # anchors settled within a task at once
 _POS = np.uint64((1 << 24) - 1)
@@ -225,10 +233,12 @@ def _carried(batches):
             yield i.as_py(), th.as_py(), _unpacked(place.as_py())[1], part.as_py()
 
 
-def _sorted_pass(length: int):
+def _sorted_pass(length: int, hot: list[int] | tuple = ()):
     """Task over rows in order of (gram, run, id, th, place): spans of all rows but
     the first of their class, and the first rows of grams with several classes.
-    Rows without a th are of documents that their id alone tells apart."""
+    Rows without a th are of documents that their id alone tells apart. ``hot``: grams
+    of several classes, of which a task sees some."""
+    hot = np.array(hot, np.int64)
 
     def run(batches):
         head, head_part = np.empty((5, 0), np.int64), np.empty(0, object)  # first row of the class that is open
@@ -250,7 +260,7 @@ def _sorted_pass(length: int):
             known, at = gram.shape[1], np.flatnonzero(new)[head.shape[1]:]
             starts, start_parts = np.hstack([gram, rows[:, at]]), np.r_[gram_part, parts[at]]
             same = starts[0][1:] == starts[0][:-1]
-            several = np.r_[False, same] | np.r_[same, False]
+            several = np.r_[False, same] | np.r_[same, False] | np.isin(starts[0].astype(np.int64), hot)
             out = several.copy()
             out[:known] &= not given
             if out.any():
@@ -294,11 +304,26 @@ def _known(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tested.where("maybe").drop("maybe"), tested.where("not maybe").drop("maybe")
 
 
-def _round(rows: DataFrame, length: int, gram: int, texts_of, carry: bool) -> DataFrame:
+def _hot(rows: DataFrame, docs: int, length: int, gram: int, texts_of) -> list[int]:
+    """Ranks of many runs, at most ``1 / HOT_PART``, by a sample of ``docs`` documents."""
+    share = min(SAMPLE_SHARE, SAMPLE_DOCS / max(docs, 1))
+    some = rows.where(F.pmod(F.xxhash64("id", "th"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    ranked = some.mapInArrow(_anchors(length, gram, texts_of, False), _ROWS).where("end is null")
+    runs = written(ranked.groupBy("gram", "run").agg(F.lit(1)).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sampled")
+    total = runs.agg(F.sum("n")).first()[0] or 0
+    return [r.gram for r in runs.where((F.col("n") >= HOT_LEAST) & (F.col("n") > total * HOT_PART)).select("gram").collect()]
+
+
+def _dealt(ranked: DataFrame, hot: list[int]) -> DataFrame:
+    """By rank, those of many runs by rank and run."""
+    return ranked.repartition("gram", F.when(F.col("gram").isin(hot), F.col("run"))) if hot else ranked.repartition("gram")
+
+
+def _round(rows: DataFrame, length: int, gram: int, texts_of, carry: bool, hot: list[int]) -> DataFrame:
     """Rank, sort, and tell repeats (rows with an end) from open runs."""
     ranked = rows.mapInArrow(_anchors(length, gram, texts_of, carry), _ROWS)
-    in_order = ranked.repartition("gram").sortWithinPartitions("gram", "run", "id", "th", "place")
-    return written(in_order.mapInArrow(_sorted_pass(length), _ROWS), f"round{gram}")
+    in_order = _dealt(ranked, hot).sortWithinPartitions("gram", "run", "id", "th", "place")
+    return written(in_order.mapInArrow(_sorted_pass(length, hot), _ROWS), f"round{gram}")
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH) -> DataFrame:
@@ -307,12 +332,14 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     if not steps or length - steps[0] >= (1 << _RUN_BITS) - 1:
         raise ValueError(f"length must be {STEPS[0] + 1} to {STEPS[0] + (1 << _RUN_BITS) - 2}")
     rows = _keyed(docs, text_col, id_col).select("id", "th", "text")
-    rounds = [_round(rows, length, steps[0], _whole, False)]
+    rounds = [_round(rows, length, steps[0], _whole, False, _hot(rows, rows.count(), length, steps[0], _whole))]
     open_runs = written(rounds[0].where("end is null").groupBy("id", "th").agg(F.collect_set("place").alias("places")), "open")
     maybe, _ = _known(rows, open_runs.select("id", "th"))
     texts, texts_of = maybe.join(open_runs, ["id", "th"]).select("id", "th", "text", "places"), _open_runs(length)
     for gram in [*steps[1:], length]:
-        rounds.append(_round(texts, length, gram, texts_of, gram < length))
+        # the runs of a rank of the whole window are all one
+        hot = _hot(texts, open_runs.count(), length, gram, texts_of) if texts_of is not _carried and gram < length else []
+        rounds.append(_round(texts, length, gram, texts_of, gram < length, hot))
         texts, texts_of = rounds[-1].where("end is null").select("id", "th", "place", "bytes"), _carried
     spans = rounds[0]
     for r in rounds[1:]:

@@ -75,6 +75,45 @@ def test_other_length_and_long_text(spark):
     assert ordered(S.report(df, length=40).collect(), *COLS) == brute(texts, 40)
 
 
+def test_ranks_of_many_runs_against_brute_force(spark, tables, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLE_SHARE", 1.0)
+    monkeypatch.setattr(S, "HOT_LEAST", 2)
+    monkeypatch.setattr(S, "HOT_PART", 0.0)
+    rnd = random.Random(9)
+    notice, rule = "".join(rnd.choices("abcdefgh ", k=48)), "".join(rnd.choices("-=", k=90))
+    fill = lambda k: "".join(rnd.choices("abcdefgh ", k=k))
+    texts = [fill(rnd.randint(60, 160)) + rnd.choice([notice, rule]) + fill(rnd.randint(60, 160)) for _ in range(150)]
+    texts += [texts[3] + fill(20), texts[4], texts[5][30:]] + _texts(3, 40)
+    assert ordered(S.op10_suffix_dedup(spark, tables("documents", docs_of(texts), DOCS)).collect(), *COLS) == brute(texts)
+
+
+@pytest.mark.parametrize("shared", [48, 90])
+def test_a_short_string_in_all_documents_is_dealt_to_many_tasks(spark, shared):
+    rnd = random.Random(shared)
+    notice = "".join(rnd.choices("abcdefgh", k=shared))
+    fill = lambda k: "".join(rnd.choices("abcdefgh ", k=k))
+    df = spark.createDataFrame([(i, fill(110) + notice + fill(110)) for i in range(8_000)], "doc_id long, text string")
+    rows = S._keyed(df, "text", "doc_id").select("id", "th", "text")
+    hot = S._hot(rows, 8_000, 100, 32, S._whole)
+    assert 0 < len(hot) < 100
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        ranked = rows.mapInArrow(S._anchors(100, 32, S._whole, False), S._ROWS)
+        most = {}
+        for name, by in (("gram", []), ("run", hot)):
+            parts = S._dealt(ranked, by).groupBy(S.F.spark_partition_id().alias("p"), S.F.col("gram").isin(hot).alias("hot"), "gram").count()
+            n = parts.groupBy("p").agg(S.F.sum("count").alias("rows"), S.F.max(S.F.when(S.F.col("hot"), S.F.col("count"))).alias("of_one")).collect()
+            rows_ = sorted(r.rows for r in n)
+            most[name] = rows_[-1] / rows_[len(rows_) // 2], max(r.of_one or 0 for r in n)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert most["run"][0] < 1.2 and most["run"][1] < most["gram"][1] / 8
+
+
 def test_sorted_pass_over_any_batch_border():
     rnd = random.Random(4)
     rows = sorted((rnd.randint(0, 6), rnd.randint(0, 3), rnd.randint(0, 2), S._packed(0, rnd.randint(0, 5), 1)) for _ in range(60))
