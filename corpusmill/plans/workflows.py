@@ -128,13 +128,15 @@ def evaluation_batches(evaluated: DataFrame, tokenizer: Callable[[Column], Colum
     return OM.pad_batches(S.assign_batches(rows, rank, size), "ids", [group, "batch_id"], pad_id).select(group, "stem", "batch_id", "labels", "attention_mask")
 
 
-def evaluation_metrics(batches: DataFrame, logits: DataFrame, group: str = "split", digits: int | None = 6) -> DataFrame:
+def evaluation_metrics(batches: DataFrame, logits: DataFrame | Callable[[DataFrame], DataFrame], group: str = "split", digits: int | None = 6) -> DataFrame:
     """Teacher-forced metrics of each group: ``batches(group, stem, labels)`` with
     the ``logits(stem, logits)`` a model has stored for them (one row of logits for
-    each position, ``[T, V]``). Positions are flattened with their labels, those
-    ignored do not count, and a stem without logits counts nowhere. Adds the
-    printable ``summary`` line."""
-    flat = OM.flatten_logits(batches.join(logits, "stem"), "logits", "labels", keep=(group, "stem"))
+    each position, ``[T, V]``), or with a function that puts ``logits`` beside the
+    ``labels`` of the batches, in one row a text or in several, each of some of its
+    positions (what is too large to be moved or nested whole). Positions are
+    flattened with their labels, those ignored do not count, and a stem without
+    logits counts nowhere. Adds the printable ``summary`` line."""
+    flat = OM.flatten_logits(_with_logits(batches, logits), "logits", "labels", keep=(group, "stem"))
     # the line is made of the exact values, the columns are rounded
     exact = OM.split_metrics(OM.score_tokens(flat), group, digits=None)
     lines = OM.metrics_summary(exact, group).withColumnRenamed(group, "__g")
@@ -143,6 +145,10 @@ def evaluation_metrics(batches: DataFrame, logits: DataFrame, group: str = "spli
     return joined if digits is None else joined.withColumns({c: F.when(F.isnan(c), F.col(c)).otherwise(F.round(c, digits)) for c in numbers})
 
 
+def _with_logits(labelled: DataFrame, logits: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return logits(labelled) if callable(logits) else labelled.join(logits, "stem")
+
+
 def corpus_counts(files: DataFrame, primary: str = ".c", listing: str = ".s", derived: str = ".ghidra.c") -> DataFrame:
     """One row of counts over ``files(name, content)``: sources, listings and the
     other tool's files, pairs by stem and those with two non-empty texts, distinct
@@ -249,14 +255,15 @@ def candidate_texts(files: DataFrame, sources: DataFrame, **suffixes: str) -> Da
     return sources.select("stem").dropDuplicates(["stem"]).hint("merge").join(every, "stem").select("stem", "candidate", T.normalize_c("text").alias("text"))
 
 
-def rank_candidate_texts(candidates: DataFrame, logits: DataFrame, tokenizer: Callable[[Column], Column], max_tokens: int | None = None,
-                         cap: float | None = 20.0) -> DataFrame:
+def rank_candidate_texts(candidates: DataFrame, logits: DataFrame | Callable[[DataFrame], DataFrame], tokenizer: Callable[[Column], Column],
+                         max_tokens: int | None = None, cap: float | None = 20.0) -> DataFrame:
     """``candidates(stem, candidate, text)`` scored by the ``logits(stem, logits)``
-    that a model has stored for the source, position by position: tokens, mean
+    that a model has stored for the source, position by position (or by a function
+    that puts them beside the labels, see :func:`evaluation_metrics`): tokens, mean
     loss, perplexity (``+inf`` from ``cap`` on) and rank within the source."""
     ids = tokenizer(T.tokens("text"))
     labelled = candidates.select("stem", "candidate", (ids if max_tokens is None else F.slice(ids, 1, max_tokens)).alias("labels"))
-    with_logits = labelled.join(logits, "stem").select("stem", "candidate", "labels", F.slice("logits", F.lit(1), F.size("labels")).alias("logits"))
+    with_logits = _with_logits(labelled, logits).select("stem", "candidate", "labels", F.slice("logits", F.lit(1), F.size("labels")).alias("logits"))
     scored = OM.score_tokens(OM.flatten_logits(with_logits, "logits", "labels", keep=("stem", "candidate")))
     return rank_candidates_by_loss(candidates, scored.select("stem", "candidate", "nll"), cap)
 
