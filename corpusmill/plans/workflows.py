@@ -328,23 +328,13 @@ def tokenized_training_set(pairs: DataFrame, max_src: int | None = None, max_tgt
 
         ids = tokenizer(tokenizer(pairs, "src", "input_ids"), "tgt", "labels")
         return ids.select("stem", "split", cut("input_ids", max_src).alias("input_ids"), cut("labels", max_tgt).alias("labels"))
-    # both sides of a pair are one row of tokens, written once: the dictionary and
-    # the ids read the same normal forms, and a token of both sides is joined once
-    sides = select_where(pairs, [F.col("stem"), F.col("split"), T.tokens("src").alias("s"), T.tokens("tgt").alias("t")], lambda r: F.lit(True))
-    rows = stored(sides.select(
-        F.monotonically_increasing_id().alias("row"), "stem", "split", F.size("s").alias("n_src"), F.size("t").alias("n_tgt"),
-        TK.token_groups(F.concat("s", "t")).alias("groups")), "tokens")
-    vocab = TK.build_vocab(rows.select(F.transform("groups", lambda g: g["token"]).alias("tokens")), "tokens", seed, first_id)
-    # only places that stay after the cut are numbered
-    n_src = F.col("n_src") if max_src is None else F.least("n_src", F.lit(max_src))
-    last = F.col("n_src") + (F.col("n_tgt") if max_tgt is None else F.least("n_tgt", F.lit(max_tgt)))
-
-    def stays(p: Column) -> Column:
-        return (p < n_src) | ((p >= F.col("n_src")) & (p < last))
-
-    kept = F.filter(F.transform("groups", lambda g: F.struct(g["token"].alias("token"), F.filter(g["places"], stays).alias("places"))),
-                    lambda g: F.size(g["places"]) > 0)
-    numbered = TK.ids_of_groups(rows.select("row", n_src.alias("n"), kept.alias("groups")), "row", "groups", vocab, "ids")
-    return rows.select("row", "stem", "split").join(numbered, "row").select(
-        "stem", "split", F.slice("ids", F.lit(1), F.col("n")).alias("input_ids"),
-        F.slice("ids", F.col("n") + 1, F.greatest(F.size("ids") - F.col("n"), F.lit(0))).alias("labels"))
+    # both sides of a pair are one dictionary, written once: the vocabulary is made
+    # of all its words, and only words that stay after the cut are numbered
+    texts = pairs.select(F.monotonically_increasing_id().alias("row"), "stem", "split", "src", "tgt")
+    rows = stored(TK.text_dictionaries(texts, {"src": max_src, "tgt": max_tgt}), "tokens")
+    vocab = TK.build_vocab(rows, "words", seed, first_id)
+    numbered = TK.ids_of_words(rows.select("row", F.slice("words", F.lit(1), F.col("n_kept")).alias("words")), "row", "words", vocab)
+    placed = rows.select("row", "stem", "split", "codes", "n_src").join(numbered, "row", "left").select(
+        "stem", "split", "n_src", F.transform("codes", lambda c: F.get("ids", c)).alias("ids"))
+    return placed.select("stem", "split", F.slice("ids", F.lit(1), F.col("n_src")).alias("input_ids"),
+                         F.slice("ids", F.col("n_src") + 1, F.greatest(F.size("ids") - F.col("n_src"), F.lit(0))).alias("labels"))
