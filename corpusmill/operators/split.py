@@ -80,6 +80,15 @@ def split_exact(df: DataFrame, key: str = "stem", train: float = 0.8, val: float
     return out.select(*cols)
 
 
+def in_stretch(key, keys: DataFrame, seed=42, key_col: str = "stem") -> F.Column:
+    """Whether ``key`` lies from the first to the last of ``keys`` in the seeded
+    order: two bounds, a filter that needs no join and drops none of ``keys``. A
+    split of :func:`split_exact` is such a stretch, so it passes that split (and
+    those between, if ``keys`` are of several) and nothing else. Reads ``keys`` once, when called."""
+    first, last = keys.select(order_hash(key_col, seed).alias("h")).agg(F.min("h"), F.max("h")).first()
+    return order_hash(key, seed).between(F.lit(first).cast("string"), F.lit(last).cast("string"))
+
+
 def split_threshold(key, train: float = 0.8, val: float = 0.1, seed=42) -> F.Column:
     """Stateless split for unbounded input: the first 32 bits of the seeded
     md5 as a fraction in [0, 1) against the cut points. Fractions are

@@ -89,7 +89,7 @@ def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys skipped) -> both texts non-empty -> C normal form (assembly raw)."""
     files = code_files(spark, sf_dir)
     keys = S.split_exact(pair_by_stem(files, ".s", ".c").select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED)
-    return W.evaluation_set(files, keys.where("split = 'test'").select("stem"), INCLUDE_CAP)
+    return W.evaluation_set(files, keys.where("split = 'test'").select("stem"), INCLUDE_CAP, seed=SEED)
 
 
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,13 +102,21 @@ def first_samples(files: DataFrame, n: int = 5, train: float = 0.8, val: float =
     return found.orderBy("split_rank").limit(n)  # a stored table has no order of its own
 
 
-def evaluation_set(files: DataFrame, keys: DataFrame, include_cap: int | None = None, require: bool = False) -> DataFrame:
+def evaluation_set(files: DataFrame, keys: DataFrame, include_cap: int | None = None, require: bool = False, seed=None) -> DataFrame:
     """Key list -> pair lookup (missing keys skipped) -> both texts
     non-empty -> C normal form; the assembly stays raw. Other columns of the keys
     are carried along. With ``require``, an empty list and a list without any valid
-    pair are errors."""
+    pair are errors.
+
+    With ``seed``, that of the split the keys come from, files outside their stretch
+    of its order are passed over before any text is moved. Any list gives the same
+    rows with it; one that is no part of such a split only passes over fewer files."""
     if require:
         keys = CH.required(keys, "keys", keys=(F.count(F.lit(1)), "no stems in the list"))
+    elif seed is not None:
+        keys = stored(keys, "keys")
+    if seed is not None:
+        files = files.where(S.in_stretch(stem_of("name"), keys, seed))
     p = pair_by_stem(files, ".s", ".c")
     more = [c for c in keys.columns if c != "stem"]
     ev = non_empty_pairs(keys.hint("merge").join(p, "stem", "inner"))
