@@ -87,7 +87,7 @@ def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation set of the test split: key list -> pair lookup (missing
     keys skipped) -> both texts non-empty -> C normal form (assembly raw)."""
-    files = code_files(spark, sf_dir)
+    files = primary_only(code_files(spark, sf_dir, deal=False))
     keys = S.split_exact(pair_by_stem(files, ".s", ".c").select("stem"), "stem", TRAIN_FRAC, VAL_FRAC, SEED)
     return W.evaluation_set(files, keys.where("split = 'test'").select("stem"), INCLUDE_CAP, seed=SEED)
 

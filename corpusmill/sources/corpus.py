@@ -106,14 +106,16 @@ DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, deal: bool = True) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df) if deal and name in TEXT_TABLES else df
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(name, path, content, kind)`` — one row per file of the code view."""
-    docs = table(spark, sf_dir, "documents").select(*DOC_COLUMNS)
+def code_files(spark: SparkSession, sf_dir: str, deal: bool = True) -> DataFrame:
+    """``(name, path, content, kind)`` — one row per file of the code view. Without
+    ``deal``, the rows stay where they are read: for flows that shuffle the texts
+    before they work on them."""
+    docs = table(spark, sf_dir, "documents", deal).select(*DOC_COLUMNS)
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     failed = labels.where("quality = 0").select("doc_id")
     labelled = labels.select("doc_id")

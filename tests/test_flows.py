@@ -95,6 +95,6 @@ def test_evaluation_queries_move_no_training_text(spark, tmp_path, monkeypatch):
     for module, query, left in ((EQ, EQ.evaluation_metrics, ("val", "test")), (CQ, CQ.eval_pairs, ("test",))):
         got = []
         for some in (files, _guarded(files, [s for s, name in split.items() if name in left])):
-            monkeypatch.setattr(module, "code_files", lambda *a, some=some: some)
+            monkeypatch.setattr(module, "code_files", lambda *a, some=some, **k: some)
             got.append(sorted(query(spark, str(tmp_path)).collect()))
         assert got[0] and got[0] == got[1]
