@@ -28,6 +28,19 @@ def scorable(logits, label) -> Column:
     return F.coalesce((y != IGNORE_INDEX) & (y >= 0) & (y < F.size(l)) & ~F.exists(l, lambda x: x.isNull()), F.lit(False))
 
 
+def log_norm(logits) -> Column:
+    """The log-sum-exp of a row of logits; NULL where the row or one of its logits
+    is missing, so that no label can be scored. It is the same for every label."""
+    return let(_c(logits).cast("array<double>"), lambda l: F.when(~F.exists(l, lambda x: x.isNull()), log_sum_exp(l)))
+
+
+def nll_of_norm(logits, label, norm) -> Column:
+    """:func:`nll` where the row's :func:`log_norm` is at hand: one look into the
+    logits (``array<double>``), whatever their number."""
+    l, y = _c(logits), _c(label)
+    return F.when((y != IGNORE_INDEX) & (y >= 0) & (y < F.size(l)), _c(norm) - F.try_element_at(l, (y + 1).cast("int")))
+
+
 def losses(logits, label, smoothing: float = 0.0) -> Column:
     """Struct ``(nll, nll_smoothed)`` with one log-sum-exp for both; NULL where
     the position can't be scored. See :func:`nll`."""

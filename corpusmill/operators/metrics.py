@@ -12,23 +12,32 @@ from corpusmill.functions import metrics as M
 
 
 def flatten_logits(df: DataFrame, logits: str = "logits", labels: str = "labels",
-                   keep=("split", "stem")) -> DataFrame:
+                   keep=("split", "stem"), norms: str = "norms") -> DataFrame:
     """``[B,T,V]`` rows (``array<array<double>>`` logits with ``array<int>``
-    labels) -> one row per position ``(…, pos, logits, label)``."""
+    labels) -> one row per position ``(…, pos, logits, label)``. If the frame has
+    ``norms``, the :func:`functions.metrics.log_norm` of each row of logits, there
+    is ``norm`` too."""
     keep = [c for c in keep if c in df.columns]
-    z = F.posexplode(F.arrays_zip(F.col(logits).alias("l"), F.col(labels).alias("y")))
-    return df.select(*keep, z).select(*keep, "pos", F.col("col.l").alias("logits"), F.col("col.y").alias("label"))
+    with_norms = norms in df.columns
+    z = F.posexplode(F.arrays_zip(F.col(logits).alias("l"), F.col(labels).alias("y"), *([F.col(norms).alias("n")] if with_norms else [])))
+    return df.select(*keep, z).select(*keep, "pos", F.col("col.l").alias("logits"), F.col("col.y").alias("label"),
+                                      *([F.col("col.n").alias("norm")] if with_norms else []))
 
 
 def score_tokens(df: DataFrame, logits: str = "logits", label: str = "label",
-                 smoothing: float = 0.0) -> DataFrame:
+                 smoothing: float = 0.0, norm: str = "norm") -> DataFrame:
     """Add ``nll`` (NULL where ignored or not scorable), ``pred`` (argmax) and
     ``correct``. Positions that can't be scored are told by
-    :func:`rejected_tokens`."""
-    both = M.losses(logits, label, smoothing)
-    out = df.withColumn("__losses", both).withColumn("pred", M.argmax(logits)).withColumn("nll", F.col("__losses.nll"))
-    if smoothing:
-        out = out.withColumn("nll_smoothed", F.col("__losses.nll_smoothed"))
+    :func:`rejected_tokens`. A frame that has ``norm``, the log-sum-exp of each row
+    of logits (:func:`functions.metrics.log_norm`), is scored without taking it anew;
+    the smoothed loss needs all of the logits, and takes them."""
+    if norm in df.columns and not smoothing:
+        out = df.withColumn("pred", M.argmax(logits)).withColumn("nll", M.nll_of_norm(logits, label, norm))
+    else:
+        both = M.losses(logits, label, smoothing)
+        out = df.withColumn("__losses", both).withColumn("pred", M.argmax(logits)).withColumn("nll", F.col("__losses.nll"))
+        if smoothing:
+            out = out.withColumn("nll_smoothed", F.col("__losses.nll_smoothed"))
     return out.drop("__losses").withColumn(
         "correct", F.col("nll").isNotNull() & F.coalesce(F.col("pred") == F.col(label), F.lit(False)))
 

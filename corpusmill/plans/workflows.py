@@ -141,7 +141,8 @@ def evaluation_metrics(batches: DataFrame, logits: DataFrame | Callable[[DataFra
     the ``logits(stem, logits)`` a model has stored for them (one row of logits for
     each position, ``[T, V]``), or with a function that puts ``logits`` beside the
     ``labels`` of the batches, in one row a text or in several, each of some of its
-    positions (what is too large to be moved or nested whole). Positions are
+    positions (what is too large to be moved or nested whole), and, if it has them,
+    ``norms``, the log-sum-exp of each row of logits. Positions are
     flattened with their labels, those ignored do not count, and a stem without
     logits counts nowhere. Adds the printable ``summary`` line."""
     flat = OM.flatten_logits(_with_logits(batches, logits), "logits", "labels", keep=(group, "stem"))
@@ -271,7 +272,8 @@ def rank_candidate_texts(candidates: DataFrame, logits: DataFrame | Callable[[Da
     loss, perplexity (``+inf`` from ``cap`` on) and rank within the source."""
     ids = tokenizer(T.tokens("text"))
     labelled = candidates.select("stem", "candidate", (ids if max_tokens is None else F.slice(ids, 1, max_tokens)).alias("labels"))
-    with_logits = _with_logits(labelled, logits).select("stem", "candidate", "labels", F.slice("logits", F.lit(1), F.size("labels")).alias("logits"))
+    scores = _with_logits(labelled, logits)
+    with_logits = scores.select("stem", "candidate", "labels", *[F.slice(c, F.lit(1), F.size("labels")).alias(c) for c in ("logits", "norms") if c in scores.columns])
     scored = OM.score_tokens(OM.flatten_logits(with_logits, "logits", "labels", keep=("stem", "candidate")))
     return rank_candidates_by_loss(candidates, scored.select("stem", "candidate", "nll"), cap)
 
