@@ -269,8 +269,10 @@ def rank_candidate_texts(candidates: DataFrame, logits: DataFrame | Callable[[Da
     """``candidates(stem, candidate, text)`` scored by the ``logits(stem, logits)``
     that a model has stored for the source, position by position (or by a function
     that puts them beside the labels, see :func:`evaluation_metrics`): tokens, mean
-    loss, perplexity (``+inf`` from ``cap`` on) and rank within the source."""
-    ids = tokenizer(T.tokens("text"))
+    loss, perplexity (``+inf`` from ``cap`` on) and rank within the source. A
+    tokenizer (token array -> id array) that has ``of_text``, the same from the text
+    itself, is called by that."""
+    ids = tokenizer.of_text("text") if hasattr(tokenizer, "of_text") else tokenizer(T.tokens("text"))
     labelled = candidates.select("stem", "candidate", (ids if max_tokens is None else F.slice(ids, 1, max_tokens)).alias("labels"))
     scores = _with_logits(labelled, logits)
     with_logits = scores.select("stem", "candidate", "labels", *[F.slice(c, F.lit(1), F.size("labels")).alias(c) for c in ("logits", "norms") if c in scores.columns])
